@@ -36,11 +36,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most ``rows`` rows, so that long texts do not add up in a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
+    """Arrow batches of at most ``rows`` rows and about ``mb`` MB, so that long texts do not add up in a worker."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", mb << 20)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:

@@ -2,18 +2,52 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from metrifold.llm.bpe import encode
 from metrifold.llm.common import table
+from metrifold.llm.decontaminate import digest_columns, scan
+from metrifold.llm.fingerprints import fingerprint
 from metrifold.llm.near_dedup import near_duplicates
+from metrifold.llm.secrets import find_secrets
+from metrifold.llm.sharding import place
+from metrifold.llm.token_counts import count_tokens
+from metrifold.llm.token_shards import read_documents, write_shards
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
-QUERIES = {
-    "op1_minhash_near_dedup": op1_minhash_near_dedup,
-}
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_columns(scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=13))
+
+
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint(table(spark, sf_dir, "documents"))
+
+
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op5_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place(table(spark, sf_dir, "documents"), shards=24)
+
+
+def op7_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_documents(write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_benchmark_decontamination, op3_document_fingerprints, op4_secret_scans, op5_byte_level_bpe, op6_sharding, op7_token_id_output, op8_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
