@@ -10,6 +10,7 @@ from metrifold.llm.common import table
 from metrifold.llm.decontaminate import digest_columns, scan
 from metrifold.llm.fingerprints import fingerprint
 from metrifold.llm.near_dedup import near_duplicates
+from metrifold.llm.quality import classify
 from metrifold.llm.secrets import find_secrets
 from metrifold.llm.sharding import place
 from metrifold.llm.token_counts import count_tokens
@@ -48,6 +49,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_benchmark_decontamination, op3_document_fingerprints, op4_secret_scans, op5_byte_level_bpe, op6_sharding, op7_token_id_output, op8_token_counts)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "quality_scores.content", "quality_scores.metadata", "quality_scores.combined", "accepted")
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_benchmark_decontamination, op3_document_fingerprints, op4_secret_scans, op5_byte_level_bpe, op6_sharding, op7_token_id_output, op8_token_counts, op10_quality_classifier)}
 
 ORACLE_SQL: dict[str, str] = {}
