@@ -15,6 +15,7 @@ from metrifold.llm.secrets import find_secrets
 from metrifold.llm.sharding import place
 from metrifold.llm.token_counts import count_tokens
 from metrifold.llm.token_shards import read_documents, write_shards
+from metrifold.llm.transcripts import as_transcripts, parse
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,11 +50,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse(as_transcripts(table(spark, sf_dir, "conversations")))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "quality_scores.content", "quality_scores.metadata", "quality_scores.combined", "accepted")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_benchmark_decontamination, op3_document_fingerprints, op4_secret_scans, op5_byte_level_bpe, op6_sharding, op7_token_id_output, op8_token_counts, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_benchmark_decontamination, op3_document_fingerprints, op4_secret_scans, op5_byte_level_bpe, op6_sharding, op7_token_id_output, op8_token_counts, op9_chat_formatting, op10_quality_classifier)}
 
 ORACLE_SQL: dict[str, str] = {}
