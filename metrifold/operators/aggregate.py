@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from metrifold.functions.scalar import consumer_name, last_rank
-from metrifold.operators.base import SECOND, finite, has_band, whole
+from metrifold.operators.base import SECOND, finite, has_band, idiv, whole
 
 
 def agg(df: DataFrame, fn: str, by: Sequence[str] = (), without: Sequence[str] | None = None, q: float = 0.5) -> DataFrame:
@@ -31,7 +31,7 @@ def count_values(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame
 
 def collapse(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """One series from many: the sum in each rounded second."""
-    second = F.floor((F.col("ts_ns") + SECOND // 2) / SECOND).cast("long") * SECOND
+    second = idiv(F.col("ts_ns") + SECOND // 2, SECOND) * SECOND
     return df.groupBy(*keys, second.alias("ts_ns")).agg(F.sum("value").alias("value"))
 
 

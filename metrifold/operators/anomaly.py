@@ -148,14 +148,18 @@ def score(findings: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def detect(df: DataFrame, keys: Sequence[str], step_s: float = 1.0) -> DataFrame:
-    """All detectors of all series in one job: outliers on smoothed values, the rest on raw ones, scored by index."""
-    devs = allan(df, keys)
+    """All detectors of all series in one job: outliers on smoothed values, the rest on raw ones, scored by index.
+
+    The samples and the few deviations are read by every detector, so both are persisted; lost parts are made again.
+    """
+    df = df.select(*keys, "idx", "value").persist()
+    devs = allan(df, keys).persist()
     tau = smoothing_tau(devs, keys)
     d = df.join(tau, list(keys))
     smoothed = smooth(d, keys, F.col("tau")).withColumn("m", mad_multiplier(F.col("noise")))
     mad = mad_outliers(smoothed, keys, F.col("m"), "smoothed").select(*keys, "idx", F.lit("mad").alias("kind"), F.lit(1.0).alias("confidence"))
     steps = cliffs(df, keys).select(*keys, "idx", F.lit("cliff").alias("kind"), F.lit(1.0).alias("confidence"))
-    shifts = cusum(df, keys).select(*keys, "idx", F.col("side").alias("kind"), F.lit(1.0).alias("confidence"))
+    shifts = cusum(df, keys, *CUSUM_LEVELS[1]).select(*keys, "idx", F.col("side").alias("kind"), F.lit(1.0).alias("confidence"))
     gradual = cusum(df, keys, *CUSUM_LEVELS[0]).select(*keys, "idx", F.lit("gradual").alias("kind"), F.lit(1.0).alias("confidence"))
     points = change_points(df, keys, devs, step_s).select(*keys, "idx", F.lit("change").alias("kind"), "confidence")
     return score(mad.unionByName(steps).unionByName(shifts).unionByName(gradual).unionByName(points), keys)

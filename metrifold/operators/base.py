@@ -43,3 +43,12 @@ def same(keys: Sequence[str], a: DataFrame, b: DataFrame) -> Column:
     for k in keys:
         out = out & a[k].eqNullSafe(b[k])
     return out
+
+
+def idiv(c: Column, n: int | Column) -> Column:
+    """Whole-number division; times in nanoseconds are beyond what doubles hold exactly."""
+    return F.call_function("div", c, n if isinstance(n, Column) else F.lit(n))
+
+
+def idiv_up(c: Column, n: int) -> Column:
+    return idiv(c + F.lit(n - 1), n)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metrifold.operators.base import whole
+from metrifold.operators.base import idiv, whole
 
 
 def rebase(df: DataFrame, offset_ns: int = 0) -> DataFrame:
@@ -18,7 +18,7 @@ def rebase(df: DataFrame, offset_ns: int = 0) -> DataFrame:
 
 def compare(a: DataFrame, b: DataFrame, labels: Sequence[str], step_ns: int, offset_ns: int = 0) -> DataFrame:
     """Baseline ``a`` and experiment ``b`` step by step from their own starts, up to the shorter one's end; ``delta`` is null where either misses."""
-    side = lambda d, name, off: rebase(d, off).select(*labels, F.floor(F.col("rel_ns") / step_ns).cast("long").alias("step"), "value").groupBy(*labels, "step").agg(F.avg("value").alias(name))
+    side = lambda d, name, off: rebase(d, off).select(*labels, idiv(F.col("rel_ns"), step_ns).alias("step"), "value").groupBy(*labels, "step").agg(F.avg("value").alias(name))
     x, y = side(a, "baseline", 0), side(b, "experiment", offset_ns)
     ends = x.agg(F.max("step").alias("m")).unionAll(y.agg(F.max("step").alias("m"))).agg(F.min("m").alias("__end"))
     j = x.join(y, [*labels, "step"], "full").join(F.broadcast(ends)).where(F.col("step") <= F.col("__end")).drop("__end")
@@ -65,12 +65,12 @@ def minmax_decimate(df: DataFrame, keys: Sequence[str], points: int) -> DataFram
 
 def heatmap_coarsen(df: DataFrame, factor: int) -> DataFrame:
     """Least and greatest of each row's ``factor`` neighbouring time columns."""
-    return df.groupBy("y", F.floor(F.col("t") / factor).cast("long").alias("t")).agg(F.min("value").alias("min"), F.max("value").alias("max"))
+    return df.groupBy("y", idiv(F.col("t"), factor).alias("t")).agg(F.min("value").alias("min"), F.max("value").alias("max"))
 
 
 def heatmap_triples(df: DataFrame, series: str) -> DataFrame:
     """(time_idx, id, value) with a dense index of the distinct times: numbers within coarse spans, then span offsets."""
-    span = F.floor(F.col("ts_ns") / 3_600_000_000_000).cast("long")
+    span = idiv(F.col("ts_ns"), 3_600_000_000_000)
     ts = df.select("ts_ns").distinct().withColumn("span", span)
     sizes = ts.groupBy("span").agg(F.count("*").alias("n"))
     before = sizes.select("span", (F.sum("n").over(Window.orderBy("span")) - F.col("n")).alias("before"))  # one row for each hour

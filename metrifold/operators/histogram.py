@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metrifold.operators.base import SECOND, series
+from metrifold.operators.base import SECOND, idiv, series
 
 
 def bucket_count(gp: int, mvp: int) -> int:
@@ -71,7 +71,7 @@ def _ranked(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def quantiles(df: DataFrame, keys: Sequence[str], gp: int, qs: Sequence[float] = (0.5, 0.9, 0.99, 0.999, 0.9999), stride: int | None = None) -> DataFrame:
     """(keys, ts_ns, quantile, value, lo, hi): the end of the bucket that holds rank ceil(q total); its bounds are the band."""
     if stride:
-        df = df.withColumn("ts_ns", F.floor(F.col("ts_ns") / stride).cast("long") * stride)
+        df = df.withColumn("ts_ns", idiv(F.col("ts_ns"), stride) * stride)
     df = merge(df, keys)
     r = _ranked(df, keys).withColumn("quantile", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
     r = r.where((F.col("cum") >= F.greatest(F.ceil(F.col("quantile") * F.col("total")), F.lit(1))) & (F.col("total") > 0))
@@ -113,7 +113,7 @@ def rate_mean(df: DataFrame, keys: Sequence[str], gp: int) -> DataFrame:
 
 def heatmap(df: DataFrame, by: Sequence[str] = (), stride: int | None = None) -> DataFrame:
     """Sparse (ts_ns, bucket, count) cells of increments."""
-    ts = F.floor(F.col("ts_ns") / stride).cast("long") * stride if stride else F.col("ts_ns")
+    ts = idiv(F.col("ts_ns"), stride) * stride if stride else F.col("ts_ns")
     return df.where("count > 0").groupBy(*by, ts.alias("ts_ns"), "bucket").agg(F.sum("count").alias("count"))
 
 
@@ -133,7 +133,7 @@ def downsample(df: DataFrame, keys: Sequence[str], gp: int, to_gp: int) -> DataF
 
 def summaries(df: DataFrame, keys: Sequence[str], gp: int, qs: Sequence[float] = (0.5, 0.9, 0.99)) -> DataFrame:
     """Percentiles of increments as gauges with a ``percentile`` label."""
-    return quantiles(df, keys, gp, qs).select(*keys, "ts_ns", F.concat(F.lit("p"), F.regexp_replace(F.format_number(F.col("quantile") * 100, "0.####"), r"\.", "")).alias("percentile"), "value")
+    return quantiles(df, keys, gp, qs).select(*keys, "ts_ns", F.concat(F.lit("p"), F.regexp_replace(F.regexp_replace((F.col("quantile") * 100).cast("decimal(10,4)").cast("string"), r"\.?0+$", ""), r"\.", "")).alias("percentile"), "value")
 
 
 def from_le(df: DataFrame, keys: Sequence[str], gp: int = 7) -> DataFrame:

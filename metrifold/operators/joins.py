@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metrifold.operators.base import has_band
+from metrifold.operators.base import has_band, idiv
 
 
 def _op(op: str, a: Column, b: Column) -> Column:
@@ -69,8 +69,8 @@ def annotate_samples(df: DataFrame, annotations: DataFrame, slot: int) -> DataFr
     """
     end = F.col("ts_ns") + F.coalesce(F.col("duration_ns"), F.lit(0))
     a = annotations.select(F.col("ts_ns").alias("a_start"), end.alias("a_end"), "id", "description", *[F.col(c).alias(f"a_{c}") for c in ("source", "node", "instance")])
-    a = a.withColumn("__slot", F.explode(F.sequence(F.floor(F.col("a_start") / slot).cast("long"), F.floor(F.col("a_end") / slot).cast("long"))))
-    j = df.withColumn("__slot", F.floor(F.col("ts_ns") / slot).cast("long")).join(a, "__slot").where(F.col("ts_ns").between(F.col("a_start"), F.col("a_end")))
+    a = a.withColumn("__slot", F.explode(F.sequence(idiv(F.col("a_start"), slot), idiv(F.col("a_end"), slot))))
+    j = df.withColumn("__slot", idiv(F.col("ts_ns"), slot)).join(a, "__slot").where(F.col("ts_ns").between(F.col("a_start"), F.col("a_end")))
     for c in ("source", "node", "instance"):
         if c in df.columns:
             j = j.where(F.coalesce(F.col(f"a_{c}"), F.col(c)).eqNullSafe(F.col(c)))

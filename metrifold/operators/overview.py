@@ -52,11 +52,17 @@ def extract_features(df: DataFrame, consumers: DataFrame | None = None, step_s:
     clean = df.where(finite(F.col("value")))
     stats = summary_stats(df, keys).join(df.groupBy("metric").agg(F.count_if(finite(F.col("value"))).alias("n")), "metric")
     stats = analysis_status(stats)
-    found = detect(clean, keys, step_s).join(stats.where("status = 'Analyzed'").select("metric"), "metric", "left_semi")
+    found = detect(clean, keys, step_s)
     counts = found.groupBy("metric").agg(F.count("*").alias("anomalies"), F.count_if(F.col("severity").isin("High", "Critical")).alias("severe"), F.count_if(F.col("kind") == "change").alias("shifts"))
     d = stats.join(counts, "metric", "left").na.fill(0, ["anomalies", "severe", "shifts"])
-    none = d.select("metric").limit(0)
-    return tier_metrics(d, counts.where("severe > 0"), counts.where("shifts > 0"), consumers if consumers is not None else none, none)
+    analyzed = F.col("status") == "Analyzed"
+    d = d.withColumns({c: F.when(analyzed, F.col(c)).otherwise(F.lit(0).cast("long")) for c in ("anomalies", "severe", "shifts")})
+    top = F.lit(None).cast("string")
+    if consumers is not None:
+        d, top = d.join(consumers.select("metric").distinct().withColumn("__top", F.lit(True)), "metric", "left"), F.when(F.col("__top"), "top_consumer")
+    promotion = F.coalesce(F.when(F.col("severe") > 0, "anomalous"), F.when(F.col("shifts") > 0, "regime_shift"), top)
+    d = d.withColumn("promotion", promotion)
+    return d.withColumn("tier", F.when(F.col("promotion").isNull(), "Summary").otherwise("Full")).drop("__top")
 
 
 def overview_document(features: DataFrame, rankings: DataFrame, correlations: DataFrame) -> DataFrame:

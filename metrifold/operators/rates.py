@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metrifold.operators.base import MINUTE, SECOND, series, whole
+from metrifold.operators.base import MINUTE, SECOND, idiv, idiv_up, series, whole
 
 
 def _over(keys: Sequence[str], range_ns: int):
@@ -49,8 +49,8 @@ def interp_grid(df: DataFrame, keys: Sequence[str], step: int, column: str = "va
     """``column`` on the grid of multiples of ``step``, linear between the samples on either side; nothing beyond them."""
     w = series(keys)
     pairs = df.select(*keys, "ts_ns", F.col(column).cast("double").alias("v"), F.lag("ts_ns").over(w).alias("t0"), F.lag(F.col(column).cast("double")).over(w).alias("v0"))
-    first = F.ceil(F.coalesce(F.col("t0") + 1, F.col("ts_ns")) / step).cast("long")
-    last = F.floor(F.col("ts_ns") / step).cast("long")
+    first = idiv_up(F.coalesce(F.col("t0") + 1, F.col("ts_ns")), step)
+    last = idiv(F.col("ts_ns"), step)
     points = pairs.where(first <= last).withColumn("g", F.explode(F.sequence(first, last)))
     at = F.col("g") * step
     inside = F.col("v0") + (F.col("v") - F.col("v0")) * ((at - F.col("t0")) / (F.col("ts_ns") - F.col("t0")))
@@ -171,9 +171,9 @@ def gauge_grid(df: DataFrame, keys: Sequence[str], step: int) -> DataFrame:
     """The last sample at or before each grid time from a series' first sample to its last."""
     nxt = F.lead("ts_ns").over(series(keys))
     spans = df.select(*keys, "ts_ns", "value", nxt.alias("t1"))
-    first = F.ceil(F.col("ts_ns") / step).cast("long")
-    last = F.when(F.col("t1").isNull(), first).otherwise(F.ceil(F.col("t1") / step).cast("long") - 1)
-    return spans.where(first <= last).select(*keys, (F.explode(F.sequence(first, last)) * step).alias("ts_ns"), "value")
+    first = idiv_up(F.col("ts_ns"), step)
+    last = F.when(F.col("t1").isNull(), first).otherwise(idiv_up(F.col("t1"), step) - 1)
+    return spans.where(first <= last).withColumn("__g", F.explode(F.sequence(first, last))).select(*keys, (F.col("__g") * step).alias("ts_ns"), "value")
 
 
 def jitter(df: DataFrame, keys: Sequence[str], declared_ns: int | None = None) -> DataFrame:
@@ -187,7 +187,7 @@ def jitter(df: DataFrame, keys: Sequence[str], declared_ns: int | None = None) -
 
 def bucket_of(ts: Column, interval: int) -> Column:
     """The centre of the interval nearest to a time."""
-    return F.floor((ts + interval // 2) / interval).cast("long") * interval
+    return idiv(ts + interval // 2, interval) * interval
 
 
 def quantize(df: DataFrame, keys: Sequence[str], interval: int) -> DataFrame:

@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+from pyspark.sql import DataFrame, SparkSession
+
+from metrifold.plans import registry
+
+MODULES = ("basics", "shapes", "analysis")
+
+
+def _load() -> None:
+    for name in MODULES:
+        import_module(f"metrifold.plans.{name}")
+
 
 def queries() -> dict:
-    return {}
+    _load()
+    return registry.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {}
+    _load()
+    return registry.SQL
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["flagship_rate_by_type_hourly"](spark, sf_dir)
