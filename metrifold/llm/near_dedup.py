@@ -1,8 +1,9 @@
 """Near-duplicate classes: banded MinHash, verified by Odd sketches and then by full shingle sets.
 
-Steps, all Spark jobs: one pass makes each document's distinct word shingles, MinHash samples, band keys
-and Odd sketch (the samples folded into a parity bitmap: the population count of the XOR of two bitmaps
-estimates high similarities closely). Equal shingle sets fall together by digest, so copies cost no pairs.
+Steps, all Spark jobs: one pass makes each document's distinct word shingles, band keys of independent MinHash
+samples, and an Odd sketch: the bottom MinHash samples of one hash (all of a set of up to SAMPLES shingles)
+folded into a parity bitmap, so that the population count of the XOR of two bitmaps estimates how many samples
+differ, closely for high similarities. Equal shingle sets fall together by digest, so copies cost no pairs.
 Within a band bucket every member is held against one centre (a star, not all pairs); pairs whose sketches
 allow the threshold are confirmed on the full sets. Buckets that still hold several components get a second
 star with other centres, and what is left after that is compared in bounded blocks of sketches, so that no
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 from metrifold.llm.common import small_batches, texts, written
 
-SKETCH_BITS = 512
+SKETCH_BITS = 2048
+SAMPLES = 1024
 BLOCK = 512
 MISS = 1.5e-5
 _WORDS = SKETCH_BITS // 64
@@ -83,7 +85,6 @@ def _signer(k: int, percent: int):
     add = rng.integers(0, 2**63, samples, dtype=np.uint64)
     fold = rng.integers(1, 2**63, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     band_no = _mix(np.arange(1, bands + 1, dtype=np.uint64))
-    slot_no = _mix(np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
     def sign(s: np.ndarray) -> tuple[list[int], list[int]]:
         low = np.full(samples, 2**32 - 1, np.uint64)
@@ -93,7 +94,7 @@ def _signer(k: int, percent: int):
             part >>= np.uint64(32)
             np.minimum(low, part.min(axis=0), out=low)
         keys = _mix((low.reshape(bands, rows) * fold).sum(axis=1, dtype=np.uint64) + band_no)
-        slots = (_mix(low + slot_no) >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64)
+        slots = (_mix(s[:SAMPLES]) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
         parity = np.packbits((np.bincount(slots, minlength=SKETCH_BITS) & 1).astype(np.uint8))
         return keys.view(np.int64).tolist(), parity.view(np.int64).tolist()
 
@@ -122,20 +123,36 @@ def signatures(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str
     return narrow.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
 
 
-def _likely(percent: int):
-    """Most XOR bits that two sketches may differ in: the threshold less six standard errors of the estimate."""
-    bands, rows = bands_for(percent)
-    n, j = bands * rows, percent / 100
-    least = max(0.02, j - 6 * math.sqrt(j * (1 - j) / n) - 0.02)
-    apart = 2 * n * (1 - least)
-    return int(math.floor(SKETCH_BITS / 2 * (1 - math.exp(-2 * apart / SKETCH_BITS))))
+def _limit(percent: int, sizes, np_=np):
+    """Most XOR bits for two sketches of documents at the threshold, six standard errors added.
+
+    ``sizes`` is an array or column of the summed sample counts; ``np_`` has its exp, sqrt and where.
+    """
+    j, n = percent / 100, float(SKETCH_BITS)
+    p = 2 * j / (1 + j)
+    drawn = 6 * 2 * math.sqrt(SAMPLES * p * (1 - p))  # sampling error, where sets are larger than SAMPLES
+    apart = sizes * ((1 - j) / (1 + j)) + np_.where(sizes > SAMPLES, drawn, 0.0)
+    odd = (1 - np_.exp(apart * (-2 / n))) * 0.5
+    spread = odd * (1 - odd) * n - apart * np_.exp(apart * (-4 / n))
+    return odd * n + 6 * np_.sqrt(np_.where(spread > 1, spread, 1.0)) + 1
+
+
+class _Sql:
+    """The functions of ``_limit`` for columns."""
+
+    exp, sqrt = staticmethod(F.exp), staticmethod(F.sqrt)
+
+    @staticmethod
+    def where(test, yes, no):
+        return F.when(test, yes).otherwise(F.lit(no))
 
 
-def _sketch_distance(a: str, b: str):
-    out = F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0]))
+def _alike(percent: int):
+    """Whether the sketches ``sa`` and ``sb`` allow the threshold."""
+    apart = F.bit_count(F.col("sa")[0].bitwiseXOR(F.col("sb")[0]))
     for i in range(1, _WORDS):
-        out = out + F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]))
-    return out
+        apart = apart + F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i]))
+    return apart <= _limit(percent, (F.col("na") + F.col("nb")).cast("double"), _Sql)
 
 
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -164,7 +181,7 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, label: str) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    used = written(docs.join(need, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{label}-texts")
+    used = written(docs.join(need, "doc_id", "left_semi"), f"{label}-texts")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,14 +200,14 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, label: s
     return left.join(used.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
-def _star(buckets: DataFrame, sketches: DataFrame, most: int, salt: int) -> DataFrame:
+def _star(buckets: DataFrame, sketches: DataFrame, percent: int, salt: int) -> DataFrame:
     """(a, b): each bucket member with the bucket's centre, where they are of different components and the sketches allow a link."""
     order = F.col("rep") if not salt else F.xxhash64("rep", F.lit(salt))
     centre = buckets.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("rep"), F.col("comp").alias("comp"))).alias("c"))
     pairs = buckets.join(centre.select("key", F.col("c.rep").alias("b"), F.col("c.comp").alias("cb")), "key").where("comp <> cb").select(F.col("rep").alias("a"), "b").distinct()
-    s = sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"))
-    t = sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"))
-    return pairs.join(s, "a").join(t, "b").where(_sketch_distance("sa", "sb") <= most).select("a", "b")
+    s = sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"), F.col("samples").alias("na"))
+    t = sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"), F.col("samples").alias("nb"))
+    return pairs.join(s, "a").join(t, "b").where(_alike(percent)).select("a", "b")
 
 
 def _open_buckets(buckets: DataFrame, comps: DataFrame) -> DataFrame:
@@ -200,23 +217,25 @@ def _open_buckets(buckets: DataFrame, comps: DataFrame) -> DataFrame:
     return now.join(keys, "key")
 
 
-def _blocks(buckets: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
+def _blocks(buckets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """(a, b): every pair of different components in an open bucket whose sketches allow a link; pairs of bounded blocks are compared, only hits are rows."""
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = buckets.join(sketches, "rep").withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    rows = rows.select("key", "rep", "comp", "sketch", "mine", other).select("key", "rep", "comp", "sketch", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    rows = rows.select("key", "rep", "comp", "sketch", "samples", "mine", other).select("key", "rep", "comp", "sketch", "samples", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         sk = np.array(pdf["sketch"].tolist(), np.int64).view(np.uint64).reshape(len(pdf), _WORDS)
-        rep, comp, mine = (pdf[c].to_numpy() for c in ("rep", "comp", "mine"))
+        rep, comp, mine, samples = (pdf[c].to_numpy() for c in ("rep", "comp", "mine", "samples"))
         lo, hi = int(pdf["lo"].iat[0]), int(pdf["hi"].iat[0])
         left, right = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
         found = []
         for i in left:
-            near = right[np.bitwise_count(sk[right] ^ sk[i]).sum(axis=1) <= most]
-            near = near[(comp[near] != comp[i]) & ((rep[near] < rep[i]) if lo == hi else True)]
-            found += [(rep[i], x) for x in rep[near]]
+            near = right[(comp[right] != comp[i]) & ((rep[right] < rep[i]) if lo == hi else True)]
+            if len(near):
+                apart = np.bitwise_count(sk[near] ^ sk[i]).sum(axis=1)
+                near = near[apart <= _limit(percent, (samples[near] + samples[i]).astype(float))]
+                found += [(rep[i], x) for x in rep[near]]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long").distinct()
@@ -225,25 +244,27 @@ def _blocks(buckets: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row: classes of documents linked by a Jaccard similarity of ``k``-word shingle sets of ``percent`` or more."""
     small_batches(docs.sparkSession)
-    most = _likely(percent)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col(id_col).isNotNull())
     sig = written(signatures(docs, k, percent, id_col, text_col), "signatures")
     usable = sig.where("digest is not null and doc_id is not null")
     reps = written(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")), "representatives")
     own = usable.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    own = written(own.select(F.col("doc_id").alias("rep"), "bands", "sketch"), "own-signatures")
-    sketches = own.select("rep", "sketch")
+    own = written(own.select(F.col("doc_id").alias("rep"), "bands", "sketch", F.least("n_shingles", F.lit(SAMPLES)).alias("samples")), "own-signatures")
+    sketches = own.select("rep", "sketch", "samples")
     banded = own.select("rep", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = written(banded.join(shared, "key").select("key", "rep", "n", F.col("rep").alias("comp")), "buckets")
 
-    edges = written(_confirmed(written(_star(buckets, sketches, most, 0), "pairs"), plain, k, percent, "star"), "edges")
+    # One pass gathers the texts that may be compared; the merge join is asked for so that its plan is the same at every size.
+    held = buckets.select(F.col("rep").alias("doc_id")).distinct()
+    plain = written(plain.hint("merge").join(held.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
+    edges = written(_confirmed(written(_star(buckets, sketches, percent, 0), "pairs"), plain, k, percent, "star"), "edges")
     comps = written(connected_components(edges), "components")
     for salt in (1, 0):
         left = written(_open_buckets(buckets, comps), "open")
         if left.isEmpty():
             break
-        pairs = written(_star(left, sketches, most, salt) if salt else _blocks(left, sketches, most), "pairs")
+        pairs = written(_star(left, sketches, percent, salt) if salt else _blocks(left, sketches, percent), "pairs")
         if pairs.isEmpty():
             continue
         edges = written(edges.unionAll(_confirmed(pairs, plain, k, percent, "more")), "edges")
