@@ -11,8 +11,8 @@ link between different texts is lost and no task holds a whole bucket.
 
 Defined cases: null or empty text and text without words have no shingles and link with nothing; a text of
 fewer than ``k`` words is one shingle; rows with a null id are returned unlinked (component null, kept);
-repeated rows of one id are returned as often as they come, in one component; columns other than id and text
-are not touched.
+repeated rows of one id are returned as often as they come, in one component (where their texts differ, any one of
+them is held against others); columns other than id and text are not touched.
 """
 
 from __future__ import annotations
@@ -244,7 +244,7 @@ def _blocks(buckets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row: classes of documents linked by a Jaccard similarity of ``k``-word shingle sets of ``percent`` or more."""
     small_batches(docs.sparkSession)
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col(id_col).isNotNull())
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     sig = written(signatures(docs, k, percent, id_col, text_col), "signatures")
     usable = sig.where("digest is not null and doc_id is not null")
     reps = written(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")), "representatives")
@@ -270,5 +270,5 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         edges = written(edges.unionAll(_confirmed(pairs, plain, k, percent, "more")), "edges")
         comps = written(connected_components(edges), "components")
     label = sig.select("doc_id", "n_shingles", "digest").join(reps, "digest", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id").alias("component_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id")
     return label.select("doc_id", "n_shingles", component).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
