@@ -40,7 +40,7 @@ def spaced(df: DataFrame, keys: Sequence[str], gap: str | int) -> DataFrame:
     g = df.withColumn("__w", width.cast("long")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", F.col("__w").alias("w"), F.struct(*rest).alias("row")))).alias("a"))
     none = F.slice(F.col("a"), 1, 0)
     kept = F.aggregate("a", none, lambda acc, x: F.when((F.size(acc) == 0) | (x["idx"] - F.element_at(acc, -1)["idx"] >= x["w"]), F.concat(acc, F.array(x))).otherwise(acc))
-    return g.select(*keys, F.explode(kept).alias("k")).select(*keys, "k.row.*")
+    return g.select(*keys, F.explode(kept).alias("__kept")).select(*keys, "__kept.row.*")
 
 
 def cliffs(df: DataFrame, keys: Sequence[str]) -> DataFrame:
