@@ -61,4 +61,29 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_benchmark_decontamination, op3_document_fingerprints, op4_secret_scans, op5_byte_level_bpe, op6_sharding, op7_token_id_output, op8_token_counts, op9_chat_formatting, op10_quality_classifier)}
 
-ORACLE_SQL: dict[str, str] = {}
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce({_LOW}, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+r AS (SELECT a AS doc_id, a AS pt FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.pt),
+c AS (SELECT doc_id, min(pt) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id, d.doc_id = coalesce(c.component_id, d.doc_id) AS kept FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id""",
+    "op2_benchmark_decontamination": f"""WITH dw AS (SELECT doc_id, regexp_extract_all(coalesce({_LOW}, ''), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(coalesce({_LOW}, ''), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark WHERE item_id IS NOT NULL),
+iv AS (SELECT DISTINCT item_id, least(len(ws), 13) AS size, unnest(list_transform(range(1, greatest(len(ws) - 12, 1) + 1), lambda i: array_to_string(ws[i:i+12], ' '))) AS win FROM iw WHERE len(ws) > 0),
+dv AS (SELECT doc_id, size, unnest(range(1, len(ws) - size + 2)) AS pt, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i:i+size-1], ' '))) AS win FROM dw, (SELECT DISTINCT size FROM iv) z WHERE len(ws) >= size),
+m AS (SELECT doc_id, dv.size, pt, item_id FROM dv JOIN iv ON iv.win = dv.win AND iv.size = dv.size),
+h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(pt, pt + size)) AS pos FROM m) GROUP BY doc_id),
+k AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM m GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    "op6_sharding": """WITH RECURSIVE t AS (SELECT i, i::BIGINT AS c, 0 AS step FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, step + 1 FROM t WHERE step < 8),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM t WHERE step = 8),
+b AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(strlen(text), 0) + 8 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents),
+z AS (SELECT doc_id, size::BIGINT AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(c >> 8, tab[1 + (xor(c, x) & 255)])), 4294967295::BIGINT) AS text_crc32 FROM b, tab),
+s AS (SELECT doc_id, s, ('0x' || substr(md5(doc_id || ':' || s), 1, 12))::BIGINT AS draw FROM documents, range(25) q(s)),
+p AS (SELECT doc_id, arg_max(s, struct_pack(a := draw, b := -s)) FILTER (s < 24) AS shard, arg_max(s, struct_pack(a := draw, b := -s)) AS grown_shard FROM s GROUP BY doc_id)
+SELECT z.doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(z.doc_id::VARCHAR), 1, 12))::BIGINT, z.doc_id) - 1 AS slot, grown_shard::INT AS grown_shard FROM z JOIN p ON p.doc_id = z.doc_id""",
+}
