@@ -91,3 +91,21 @@ def diff_range(df: DataFrame, trim: float = 0.05) -> DataFrame:
     p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)")
     g = df.where("value is not null").agg(p(trim).alias("lo"), p(1 - trim).alias("hi"))
     return g.select("lo", "hi", F.greatest(F.abs("lo"), F.abs("hi")).alias("reach"))
+
+
+def ab_report(a: DataFrame, b: DataFrame, kpis: DataFrame, step_ns: int, title: str = "title") -> DataFrame:
+    """For each KPI that both arms have: steps met, means, mean delta and its percent, widest divergence, and how often the experiment is higher.
+
+    ``a`` and ``b`` hold KPI results by title; ``kpis`` lists titles. KPIs that an arm lacks come with zero steps.
+    """
+    steps = compare(a, b, [title], step_ns).where("delta is not null")
+    g = steps.groupBy(title).agg(
+        F.count("*").alias("steps"),
+        F.avg("baseline").alias("baseline"),
+        F.avg("experiment").alias("experiment"),
+        F.avg("delta").alias("delta"),
+        F.max(F.abs("delta")).alias("widest"),
+        F.avg((F.col("delta") > 0).cast("double")).alias("higher"),
+    )
+    out = kpis.select(title).distinct().join(g, title, "left")
+    return out.withColumns({"steps": F.coalesce("steps", F.lit(0)), "pct": F.try_divide(F.col("delta") * 100, F.abs("baseline"))})
