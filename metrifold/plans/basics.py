@@ -443,7 +443,7 @@ def f07(s, d):
 
 @query("f09_to_ts_ns", f"WITH {G} SELECT event_id, ts_ns // 1000000 * 1000000 AS a, ts_ns AS b, ts_ns // 60000000000 * 60000000000 AS c FROM g")
 def f09(s, d):
-    t = F.timestamp_micros(F.floor(F.col("ts_ns") / 1000).cast("long"))
+    t = F.timestamp_micros(B.idiv(F.col("ts_ns"), 1000))
     return gauges(s, d).select("event_id", S.to_ts_ns(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("a"), S.to_ts_ns(F.col("ts_ns").cast("string")).alias("b"), S.to_ts_ns(F.date_format(t, "yyyy-MM-dd HH:mm")).alias("c"))
 
 

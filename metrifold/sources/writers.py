@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from metrifold.operators.base import idiv
+
 
 def write_recording(df: DataFrame, path: str, keys: Sequence[str] = ("metric",), row_group_bytes: int = 1 << 20, by: Sequence[str] = ()) -> None:
     """Parquet ranged by time and sorted by series and time, in small row groups, so that time windows skip most of it."""
@@ -28,7 +30,7 @@ def _label_text(c: str = "labels"):
 def to_prometheus_text(df: DataFrame) -> DataFrame:
     """(metric, line): a TYPE line and the samples of each metric with times in ms, distinct."""
     head = df.select("metric", F.lit(0).alias("o"), F.concat_ws(" ", F.lit("# TYPE"), "metric", "kind").alias("line")).distinct()
-    body = df.select("metric", F.lit(1).alias("o"), F.concat(F.col("metric"), _label_text(), F.lit(" "), F.col("value").cast("string"), F.lit(" "), F.floor(F.col("ts_ns") / 1_000_000).cast("string")).alias("line")).distinct()
+    body = df.select("metric", F.lit(1).alias("o"), F.concat(F.col("metric"), _label_text(), F.lit(" "), F.col("value").cast("string"), F.lit(" "), idiv(F.col("ts_ns"), 1_000_000).cast("string")).alias("line")).distinct()
     return head.unionByName(body).orderBy("metric", "o", "line").select("metric", "line")
 
 
@@ -40,7 +42,7 @@ def histogram_text(df: DataFrame, keys: Sequence[str], gp: int) -> DataFrame:
     w = Window.partitionBy(*keys, "ts_ns").orderBy("bucket")
     d = df.withColumns({"cum": F.sum("count").over(w), "end": end})
     name = F.concat_ws("_", *keys)
-    at = F.concat(F.lit(" "), F.floor(F.col("ts_ns") / 1_000_000).cast("string"))
+    at = F.concat(F.lit(" "), idiv(F.col("ts_ns"), 1_000_000).cast("string"))
     lines = d.select(*keys, "ts_ns", F.concat(name, F.lit('_distribution_bucket{le="'), F.col("end").cast("string"), F.lit('"} '), F.col("cum").cast("string"), at).alias("line"))
     total = d.groupBy(*keys, "ts_ns").agg(F.sum("count").cast("string").alias("n"), F.sum(F.col("count") * F.col("end")).cast("string").alias("s"))
     tails = total.select(*keys, "ts_ns", F.explode(F.array(F.concat(name, F.lit('_distribution_bucket{le="+Inf"} '), F.col("n"), at), F.concat(name, F.lit("_distribution_count "), F.col("n"), at), F.concat(name, F.lit("_distribution_sum "), F.col("s"), at))).alias("line"))

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from metrifold.operators.base import idiv
+
 
 def with_time(sdf: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    return sdf.withColumn("ts", F.timestamp_micros(F.floor(F.col("ts_ns") / 1000).cast("long"))).withWatermark("ts", delay)
+    return sdf.withColumn("ts", F.timestamp_micros(idiv(F.col("ts_ns"), 1000))).withWatermark("ts", delay)
 
 
 def ingest_stream(sdf: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes"):
