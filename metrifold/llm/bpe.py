@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by a rank queue under a hierarchical bitmap.
 
 Each pre-token's bytes form a linked list of parts. Every adjacent pair that is a known token waits in the
-bucket of its rank; a three-level bitmap over the ranks finds the lowest waiting rank by find-first-set, and
+bucket of its rank; a hierarchical bitmap over the ranks finds the lowest waiting rank by find-first-set, and
 the leftmost position of that bucket merges next. An entry whose position has since changed is stale and
 skipped. Work is near-linear in the length, so very long pre-tokens are no special case.
 
@@ -27,42 +27,19 @@ from metrifold.llm.common import small_batches
 from metrifold.llm.pieces import SAFE_PATTERN, PieceCache
 
 
+WIDTH = 8  # bits of a rank that one bitmap word resolves: 256 ranks a word, one summary bit for each word
+BITS = [1 << i for i in range(4096)]
+
+
 class RankQueue:
-    """Positions by merge rank; the lowest rank is found in three steps of find-first-set over 64-way bitmaps."""
+    """Positions by merge rank under a two-level bitmap: a summary of words, and a word for each 256 ranks.
+
+    Find-first-set on the summary and then on one word gives the lowest waiting rank. It is empty between uses.
+    """
 
     def __init__(self, ranks: int):
         self.buckets: dict[int, list[int]] = {}
-        self.low = [0] * ((ranks >> 6) + 1)
-        self.mid = [0] * ((ranks >> 12) + 1)
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        self.low[rank >> 6] |= 1 << (rank & 63)
-        self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-        self.top |= 1 << (rank >> 12)
-
-    def first(self) -> int:
-        """The lowest waiting rank."""
-        a = (self.top & -self.top).bit_length() - 1
-        m = self.mid[a]
-        b = a << 6 | (m & -m).bit_length() - 1
-        w = self.low[b]
-        return b << 6 | (w & -w).bit_length() - 1
-
-    def close(self, rank: int) -> None:
-        """Take an empty bucket away."""
-        del self.buckets[rank]
-        at = rank >> 6
-        self.low[at] &= ~(1 << (rank & 63))
-        if not self.low[at]:
-            self.mid[at >> 6] &= ~(1 << (at & 63))
-            if not self.mid[at >> 6]:
-                self.top &= ~(1 << (at >> 6))
+        self.words = [0] * ((ranks >> WIDTH) + 1)
 
 
 class Bpe:
@@ -71,51 +48,76 @@ class Bpe:
         self.pattern = regex.compile(pattern)
         self.tokens = {i: b for b, i in ranks.items()}
         self.queue = RankQueue(max(ranks.values()) + 1)
+        self.pairs = [ranks.get(bytes((i >> 8, i & 255)), -1) for i in range(1 << 16)]  # ranks of two-byte tokens
 
     def merge(self, piece: bytes) -> list[int]:
-        """The token ids of one pre-token."""
-        whole = self.ranks.get(piece)
+        """The token ids of one pre-token; the queue's steps stand inline, for this is the hot loop."""
+        get = self.ranks.get
+        whole = get(piece)
         if whole is not None:
             return [whole]
-        get, queue, n = self.ranks.get, self.queue, len(piece)
+        buckets, words, pairs, n = self.queue.buckets, self.queue.words, self.pairs, len(piece)
         after = list(range(1, n + 1))  # start of the next part
         before = list(range(-1, n - 1))
-        waits = [-1] * n  # the rank under which the pair that starts here waits
-        for i in range(n - 1):
-            if (r := get(piece[i : i + 2])) is not None:
-                waits[i] = r
-                queue.push(r, i)
-        while queue.top:
-            rank = queue.first()
-            bucket = queue.buckets[rank]
-            i = heappop(bucket)
-            if not bucket:
-                queue.close(rank)
+        waits = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:])]  # the rank under which the pair that starts here waits
+        waits.append(-1)
+        summary = 0
+        for i, rank in enumerate(waits):
+            if rank >= 0:
+                if rank in buckets:
+                    buckets[rank].append(i)  # in order, so a heap as it is
+                else:
+                    buckets[rank] = [i]
+                    words[rank >> WIDTH] |= BITS[rank & 255]
+                    summary |= BITS[rank >> WIDTH]
+        while summary:
+            at = (summary & -summary).bit_length() - 1
+            word = words[at]
+            bit = word & -word
+            rank = at << WIDTH | bit.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                words[at] = word = word ^ bit
+                if not word:
+                    summary ^= BITS[at]
             if waits[i] != rank:
-                continue
+                continue  # stale
             gone = after[i]
             end = after[i] = after[gone]
-            waits[gone] = -1
+            waits[gone] = waits[i] = -1
             if end < n:
                 before[end] = i
-                r = get(piece[i : after[end]])
-                waits[i] = -1 if r is None else r
-                if r is not None:
-                    queue.push(r, i)
-            else:
-                waits[i] = -1
+                rank = get(piece[i : after[end]])
+                if rank is not None:
+                    waits[i] = rank
+                    if rank in buckets:
+                        heappush(buckets[rank], i)
+                    else:
+                        buckets[rank] = [i]
+                        words[rank >> WIDTH] |= BITS[rank & 255]
+                        summary |= BITS[rank >> WIDTH]
             j = before[i]
             if j >= 0:
-                r = get(piece[j:end])
-                if r is None:
+                rank = get(piece[j:end])
+                if rank is None:
                     waits[j] = -1
-                elif r != waits[j]:
-                    waits[j] = r
-                    queue.push(r, j)
+                elif rank != waits[j]:
+                    waits[j] = rank
+                    if rank in buckets:
+                        heappush(buckets[rank], j)
+                    else:
+                        buckets[rank] = [j]
+                        words[rank >> WIDTH] |= BITS[rank & 255]
+                        summary |= BITS[rank >> WIDTH]
         out, i = [], 0
         while i < n:
-            out.append(self.ranks[piece[i : after[i]]])
-            i = after[i]
+            end = after[i]
+            out.append(get(piece[i:end]))
+            i = end
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -136,7 +138,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class _PreTokens(dict):
     """pre-token -> little-endian ids; bounded in two generations."""
 
-    def __init__(self, bpe: Bpe, most: int = 300_000):
+    def __init__(self, bpe: Bpe, most: int = 700_000):
         super().__init__()
         self.bpe, self.most, self.old = bpe, most, {}
 
