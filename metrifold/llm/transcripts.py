@@ -9,7 +9,7 @@ Lines are then rendered as canonical turns: a header where a turn starts, an end
 
 Defined cases: rows with a null conversation or turn have no place and are left out; null text is one empty
 line; an unknown or null role is not counted in the fit but is decoded; of rows that share conversation and turn
-all are kept, in the order of their texts; without any labelled row the model is uniform and gives the first role.
+all are kept, in the order of their texts' hashes; without any labelled row the model is uniform and gives the first role.
 """
 
 from __future__ import annotations
@@ -66,12 +66,10 @@ class Hmm:
     move: np.ndarray
     show: np.ndarray
 
-    def transfer(self, codes: list[int], first: bool) -> np.ndarray:
+    def transfer(self, codes: list[int]) -> np.ndarray:
         """Best score from each first state (rows) to each last state of a segment, its own emissions included."""
         n = len(STATES)
         score = np.where(np.eye(n, dtype=bool), self.show[:, codes[0]], -np.inf)
-        if first:
-            score = score + self.start[:, None]
         for c in codes[1:]:
             score = (score[:, :, None] + self.move[None]).max(axis=1) + self.show[:, c]
         return score
@@ -93,7 +91,8 @@ class Hmm:
 
     def ends(self, transfers: list[np.ndarray]) -> list[tuple[int, int]]:
         """The (first, last) states of each segment on the best path over all of them."""
-        best, back = transfers[0].max(axis=0), [(transfers[0].argmax(axis=0), None)]
+        opening = transfers[0] + self.start[:, None]
+        best, back = opening.max(axis=0), [(opening.argmax(axis=0), None)]
         for t in transfers[1:]:
             entry = best[:, None] + self.move
             into, score = entry.argmax(axis=0), entry.max(axis=0)
@@ -148,10 +147,10 @@ def parse(lines: DataFrame, model: Hmm | None = None) -> DataFrame:
     """(conv_id, turn, line_no, role, starts, rendered) of each line: the recovered role, whether a turn starts, and the canonical text."""
     small_batches(lines.sparkSession)
     model = model or fit(lines)
-    rows = lines.where("conv_id is not null and turn is not null").select("conv_id", F.floor(F.col("turn") / SEGMENT).cast("long").alias("seg"), F.col("turn").cast("long").alias("turn"), F.col("line_no").cast("long").alias("line_no"), F.coalesce("line", F.lit("")).alias("line")).withColumn("code", line_code(F.col("line")))
+    rows = lines.where("conv_id is not null and turn is not null").select("conv_id", F.floor(F.col("turn") / SEGMENT).cast("long").alias("seg"), F.col("turn").cast("long").alias("turn"), F.col("line_no").cast("long").alias("line_no"), F.coalesce("line", F.lit("")).alias("line"))
+    rows = rows.withColumns({"code": line_code(F.col("line")), "tie": F.xxhash64("line")})
     key = ["conv_id", "seg"]
-    order = [*key, "turn", "line_no", "line"]
-    ids = rows.groupBy("conv_id").agg(F.min("seg").alias("least"))
+    order = [*key, "turn", "line_no", "tie"]
     kind = rows.schema["conv_id"].dataType.simpleString()
     akind = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     n = len(STATES)
@@ -160,7 +159,7 @@ def parse(lines: DataFrame, model: Hmm | None = None) -> DataFrame:
         def made() -> Iterator[tuple]:
             for (conv, seg), group in groupby(_rows(batches), key=lambda r: r[:2]):
                 group = list(group)
-                yield conv, seg, model.transfer([r[2] for r in group], group[0][3]).ravel().tolist()
+                yield conv, seg, model.transfer([r[2] for r in group]).ravel().tolist()
 
         return _batches(made(), pa.schema([("conv_id", akind), ("seg", pa.int64()), ("m", pa.list_(pa.float64()))]))
 
@@ -181,8 +180,7 @@ def parse(lines: DataFrame, model: Hmm | None = None) -> DataFrame:
 
         def made() -> Iterator[tuple]:
             for _, group in groupby(_rows(batches), key=lambda r: r[:2]):
-                group = list(group)
-                first, last, before, after = group[0][6:10]
+                (*_, first, last, before, after), *group = group  # the ends come first
                 path = [before, *model.between([r[5] for r in group], first, last), after]
                 for i, r in enumerate(group, 1):
                     new = lambda k: path[k] < 0 or path[k - 1] < 0 or STATES[path[k]][1] or STATES[path[k]][0] != STATES[path[k - 1]][0]
@@ -193,8 +191,10 @@ def parse(lines: DataFrame, model: Hmm | None = None) -> DataFrame:
 
         return _batches(made(), pa.schema([("conv_id", akind), ("turn", pa.int64()), ("line_no", pa.int64()), ("role", pa.string()), ("starts", pa.bool_()), ("rendered", pa.string())]))
 
-    coded = rows.join(ids, "conv_id").select(*key, "code", (F.col("seg") == F.col("least")).alias("opens"), "turn", "line_no", "line")
-    matrices = coded.repartition(*key).sortWithinPartitions(*order).select(*key, "code", "opens").mapInArrow(transfers, f"conv_id {kind}, seg long, m array<double>")
+    # Only codes are shuffled to find the ends; the lines move once, with each segment's ends as a row before them.
+    coded = rows.select(*order, "code").repartition(*key).sortWithinPartitions(*order)
+    matrices = coded.select(*key, "code").mapInArrow(transfers, f"conv_id {kind}, seg long, m array<double>")
     bounds = matrices.repartition("conv_id").sortWithinPartitions(*key).mapInArrow(ends, f"conv_id {kind}, seg long, first long, last long, before long, after long")
-    joined = rows.join(bounds, key).repartition(*key).sortWithinPartitions(*order)
-    return joined.select(*key, "turn", "line_no", "line", "code", "first", "last", "before", "after").mapInArrow(decoded, f"conv_id {kind}, turn long, line_no long, role string, starts boolean, rendered string")
+    both = rows.withColumn("is_line", F.lit(1)).unionByName(bounds.withColumn("is_line", F.lit(0)), allowMissingColumns=True)
+    ordered = both.repartition(*key).sortWithinPartitions(*key, "is_line", "turn", "line_no", "tie")
+    return ordered.select(*key, "turn", "line_no", "line", "code", "first", "last", "before", "after").mapInArrow(decoded, f"conv_id {kind}, turn long, line_no long, role string, starts boolean, rendered string")

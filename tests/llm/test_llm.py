@@ -373,7 +373,7 @@ def test_segments_give_the_whole_viterbi_path(spark, monkeypatch):
     monkeypatch.setattr(transcripts, "SEGMENT", 2)
     assert sorted(map(tuple, transcripts.parse(lines, model).collect())) == want
     path = collections.defaultdict(list)
-    for r in lines.withColumn("code", transcripts.line_code(F.col("line"))).orderBy("conv_id", "turn", "line_no", "line").collect():
+    for r in lines.withColumn("code", transcripts.line_code(F.col("line"))).orderBy("conv_id", "turn", "line_no", F.xxhash64("line")).collect():
         path[r.conv_id].append(r.code)
     for c, codes in path.items():
         score, back = model.start + model.show[:, codes[0]], []
