@@ -123,15 +123,17 @@ def signatures(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str
     return narrow.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
 
 
-def _limit(percent: int, sizes, np_=np):
+def _limit(percent: int, sizes, np_=np, ratio=None):
     """Most XOR bits for two sketches of documents at the threshold, six standard errors added.
 
-    ``sizes`` is an array or column of the summed sample counts; ``np_`` has its exp, sqrt and where.
+    ``sizes`` are the summed sample counts, ``ratio`` the smaller shingle set's size over the larger's (None: any), as
+    arrays or columns; ``np_`` has their exp, sqrt, where and maximum. Sets of up to SAMPLES shingles are held whole.
+    Of a larger set's samples a share is common to both: 2j / (1 + j) in sets of one size, j where one holds the other.
     """
     j, n = percent / 100, float(SKETCH_BITS)
-    p = 2 * j / (1 + j)
-    drawn = 6 * 2 * math.sqrt(SAMPLES * p * (1 - p))  # sampling error, where sets are larger than SAMPLES
-    apart = sizes * ((1 - j) / (1 + j)) + np_.where(sizes > SAMPLES, drawn, 0.0)
+    common = j if ratio is None else (ratio + 1) * (j / (1 + j))
+    drawn = sizes - 2 * SAMPLES * common + 6 * 2 * np_.sqrt(SAMPLES * common * (1 - common))
+    apart = np_.maximum(sizes * ((1 - j) / (1 + j)), drawn)
     odd = (1 - np_.exp(apart * (-2 / n))) * 0.5
     spread = odd * (1 - odd) * n - apart * np_.exp(apart * (-4 / n))
     return odd * n + 6 * np_.sqrt(np_.where(spread > 1, spread, 1.0)) + 1
@@ -140,7 +142,7 @@ def _limit(percent: int, sizes, np_=np):
 class _Sql:
     """The functions of ``_limit`` for columns."""
 
-    exp, sqrt = staticmethod(F.exp), staticmethod(F.sqrt)
+    exp, sqrt, maximum = staticmethod(F.exp), staticmethod(F.sqrt), staticmethod(F.greatest)
 
     @staticmethod
     def where(test, yes, no):
@@ -148,11 +150,12 @@ class _Sql:
 
 
 def _alike(percent: int):
-    """Whether the sketches ``sa`` and ``sb`` allow the threshold."""
+    """Whether the sketches ``sa`` and ``sb`` of ``na`` and ``nb`` shingles allow the threshold."""
     apart = F.bit_count(F.col("sa")[0].bitwiseXOR(F.col("sb")[0]))
     for i in range(1, _WORDS):
         apart = apart + F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i]))
-    return apart <= _limit(percent, (F.col("na") + F.col("nb")).cast("double"), _Sql)
+    sizes = F.least("na", F.lit(SAMPLES)) + F.least("nb", F.lit(SAMPLES))
+    return apart <= _limit(percent, sizes.cast("double"), _Sql, F.least("na", "nb") / F.greatest("na", "nb"))
 
 
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -205,8 +208,8 @@ def _star(buckets: DataFrame, sketches: DataFrame, percent: int, salt: int) -> D
     order = F.col("rep") if not salt else F.xxhash64("rep", F.lit(salt))
     centre = buckets.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("rep"), F.col("comp").alias("comp"))).alias("c"))
     pairs = buckets.join(centre.select("key", F.col("c.rep").alias("b"), F.col("c.comp").alias("cb")), "key").where("comp <> cb").select(F.col("rep").alias("a"), "b").distinct()
-    s = sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"), F.col("samples").alias("na"))
-    t = sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"), F.col("samples").alias("nb"))
+    s = sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"), F.col("size").alias("na"))
+    t = sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"), F.col("size").alias("nb"))
     return pairs.join(s, "a").join(t, "b").where(_alike(percent)).select("a", "b")
 
 
@@ -222,11 +225,11 @@ def _blocks(buckets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = buckets.join(sketches, "rep").withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    rows = rows.select("key", "rep", "comp", "sketch", "samples", "mine", other).select("key", "rep", "comp", "sketch", "samples", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    rows = rows.select("key", "rep", "comp", "sketch", "size", "mine", other).select("key", "rep", "comp", "sketch", "size", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         sk = np.array(pdf["sketch"].tolist(), np.int64).view(np.uint64).reshape(len(pdf), _WORDS)
-        rep, comp, mine, samples = (pdf[c].to_numpy() for c in ("rep", "comp", "mine", "samples"))
+        rep, comp, mine, size = (pdf[c].to_numpy() for c in ("rep", "comp", "mine", "size"))
         lo, hi = int(pdf["lo"].iat[0]), int(pdf["hi"].iat[0])
         left, right = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
         found = []
@@ -234,7 +237,9 @@ def _blocks(buckets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
             near = right[(comp[right] != comp[i]) & ((rep[right] < rep[i]) if lo == hi else True)]
             if len(near):
                 apart = np.bitwise_count(sk[near] ^ sk[i]).sum(axis=1)
-                near = near[apart <= _limit(percent, (samples[near] + samples[i]).astype(float))]
+                held = np.minimum(size[near], SAMPLES) + min(size[i], SAMPLES)
+                ratio = np.minimum(size[near], size[i]) / np.maximum(size[near], size[i])
+                near = near[apart <= _limit(percent, held.astype(float), ratio=ratio)]
                 found += [(rep[i], x) for x in rep[near]]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
@@ -249,8 +254,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     usable = sig.where("digest is not null and doc_id is not null")
     reps = written(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")), "representatives")
     own = usable.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    own = written(own.select(F.col("doc_id").alias("rep"), "bands", "sketch", F.least("n_shingles", F.lit(SAMPLES)).alias("samples")), "own-signatures")
-    sketches = own.select("rep", "sketch", "samples")
+    own = written(own.select(F.col("doc_id").alias("rep"), "bands", "sketch", F.col("n_shingles").alias("size")), "own-signatures")
+    sketches = own.select("rep", "sketch", "size")
     banded = own.select("rep", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = written(banded.join(shared, "key").select("key", "rep", "n", F.col("rep").alias("comp")), "buckets")

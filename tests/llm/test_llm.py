@@ -127,6 +127,27 @@ def test_odd_sketches_never_refuse_a_link():
         assert apart <= near_dedup._limit(85, np.array(min(len(a), 1024) + min(len(b), 1024), float))
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_odd_sketches_never_refuse_a_truncated_copy(percent):
+    rng = np.random.default_rng(5)
+    sketch = lambda s: np.bincount((near_dedup._mix(s[: near_dedup.SAMPLES]) & np.uint64(near_dedup.SKETCH_BITS - 1)).astype(np.int64), minlength=near_dedup.SKETCH_BITS) & 1
+    for n in (1100, 1300, 3000, 15_000):
+        for _ in range(60):
+            b = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            a = np.sort(rng.permutation(b)[: -(-len(b) * percent // 100)])
+            held = np.array(min(len(a), 1024) + min(len(b), 1024), float)
+            apart = (sketch(a) != sketch(b)).sum()
+            assert apart <= near_dedup._limit(percent, held, ratio=np.array(len(a) / len(b)))
+            assert apart <= near_dedup._limit(percent, held)
+
+
+def test_truncated_copies_of_long_documents_are_linked(spark):
+    """Pairs at exactly the threshold, one text inside the other, of more shingles than a sketch holds samples."""
+    rows = [(2 * i + cut, " ".join(f"d{i}w{x}" for x in range(2 + (1700 if cut else 2000)))) for i in range(30) for cut in (0, 1)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == {d: (1700 if d % 2 else 2000, d - d % 2) for d, _ in rows}
+
+
 # --- 2 decontamination ---------------------------------------------------------------------------------------------
 def brute_hits(docs, items, n):
     low = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
