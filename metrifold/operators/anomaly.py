@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metrifold.operators.base import whole
-from metrifold.operators.stability import allan, dev_at, smooth, smoothing_tau
+from metrifold.operators.stability import all_noise_transitions, allan, dev_at, smooth, smoothing_tau
 
 #: Multiplier of the scaled MAD by noise class; fixed values.
 MAD_MULTIPLIERS = {"WhitePhase": 4.0, "FlickerPhase": 4.0, "RandomWalk": 6.5, "FlickerWalk": 6.5}
@@ -134,11 +134,15 @@ WEIGHTS = {"mad": (1.0, 0.0, 0), "cliff": (3.0, 0.8 / 3, 1), "up": (2.0, 0.0, 0)
 
 
 def score(findings: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Added weights at each index from findings (keys, idx, kind, confidence), with confidence and severity steps."""
+    """Added weights at each index from findings (keys, idx, kind, confidence), with confidence and severity steps.
+
+    Where findings have a column ``bonus``, it adds to their weight.
+    """
     w = F.create_map(*[F.lit(x) for k, v in WEIGHTS.items() for x in (k, v[0])])
     part = F.create_map(*[F.lit(x) for k, v in WEIGHTS.items() for x in (k, v[1])])
     reach = F.create_map(*[F.lit(x) for k, v in WEIGHTS.items() for x in (k, v[2])])
     own = w[F.col("kind")] * F.when(F.col("kind").isin("change", "allan", "hadamard", "mod_allan"), F.coalesce("confidence", F.lit(1.0))).otherwise(1.0)
+    own = own + F.coalesce("bonus", F.lit(0.0)) if "bonus" in findings.columns else own
     d = findings.withColumns({"own": own, "k": reach[F.col("kind")]}).withColumn("by", F.explode(F.sequence(-F.col("k"), F.col("k"))))
     d = d.select(*keys, (F.col("idx") + F.col("by")).alias("idx"), "kind", F.when(F.col("by") == 0, F.col("own")).otherwise(F.col("own") * part[F.col("kind")]).alias("weight"), (F.col("by") == 0).alias("here"))
     g = d.groupBy(*keys, "idx").agg(F.sum("weight").alias("score"), F.bool_or("here").alias("here"), F.max_by("kind", F.struct("weight", "kind")).alias("kind")).where((F.col("idx") >= 0) & F.col("here"))
@@ -148,7 +152,7 @@ def score(findings: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def detect(df: DataFrame, keys: Sequence[str], step_s: float = 1.0) -> DataFrame:
-    """All detectors of all series in one job: outliers on smoothed values, the rest on raw ones, scored by index.
+    """All detectors of all series in one job: outliers on smoothed values, the rest (with the noise transitions of three deviations) on raw ones, scored by index.
 
     The samples and the few deviations are read by every detector, so both are persisted; lost parts are made again.
     """
@@ -162,7 +166,10 @@ def detect(df: DataFrame, keys: Sequence[str], step_s: float = 1.0) -> DataFrame
     shifts = cusum(df, keys, *CUSUM_LEVELS[1]).select(*keys, "idx", F.col("side").alias("kind"), F.lit(1.0).alias("confidence"))
     gradual = cusum(df, keys, *CUSUM_LEVELS[0]).select(*keys, "idx", F.lit("gradual").alias("kind"), F.lit(1.0).alias("confidence"))
     points = change_points(df, keys, devs, step_s).select(*keys, "idx", F.lit("change").alias("kind"), "confidence")
-    return score(mad.unionByName(steps).unionByName(shifts).unionByName(gradual).unionByName(points), keys)
+    found = mad.unionByName(steps).unionByName(shifts).unionByName(gradual).unionByName(points).withColumn("bonus", F.lit(0.0))
+    bonus = F.when((F.col("ratio") > 3) | (F.col("ratio") < 0.33), 1.0).otherwise(0.5)
+    found = found.unionByName(all_noise_transitions(df, keys).select(*keys, "idx", "kind", "confidence", bonus.alias("bonus")))
+    return score(found, keys)
 
 
 def anomaly_summary(anomalies: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -53,12 +53,17 @@ def hadamard(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return d.groupBy(*keys, "tau").agg(F.sqrt(F.sum(third * third) / (6.0 * F.col("tau") * F.col("tau") * F.count("*"))).alias("dev"))
 
 
-def mod_allan(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, tau, dev): modified Allan deviation, by differences of running sums."""
+def _sums_before(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, idx, value, s): the sum of the values before each idx, and a last row with the sum of all and no value."""
     run = Window.partitionBy(*keys).orderBy("idx")
-    sums = df.withColumn("s", F.sum(F.col("value").cast("double")).over(run) - F.col("value"))  # sum before idx
+    sums = df.withColumn("s", F.sum(F.col("value").cast("double")).over(run) - F.col("value"))
     ends = df.groupBy(*keys).agg((F.max("idx") + 1).alias("idx"), F.sum(F.col("value").cast("double")).alias("s"))
-    d = _spread(sums.select(*keys, "idx", "s").unionByName(ends), keys, "s")
+    return sums.select(*keys, "idx", "value", "s").unionByName(ends, allowMissingColumns=True)
+
+
+def mod_allan(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, tau, dev): modified Allan deviation, by differences of running sums."""
+    d = _spread(_sums_before(df, keys), keys, "s")
     d = _shifted(d.withColumn("n", F.col("n") - 1).where(F.col("tau") * 3 <= F.col("n")), keys, 3)
     block = F.col("x3") - 3 * F.col("x2") + 3 * F.col("x1") - F.col("x0")
     t = F.col("tau").cast("double")
@@ -133,17 +138,31 @@ def smooth(df: DataFrame, keys: Sequence[str], width: Column | int) -> DataFrame
 
 
 def noise_transitions(df: DataFrame, keys: Sequence[str], kind: str = "allan") -> DataFrame:
-    """Windows of max(n/4, 50) points, each half over the last: where the deviation at tau max(w/10, 2) doubles or halves."""
+    """The transitions of one deviation."""
+    return all_noise_transitions(df, keys, (kind,)).drop("kind")
+
+
+def all_noise_transitions(df: DataFrame, keys: Sequence[str], kinds: Sequence[str] = tuple(DEVIATIONS)) -> DataFrame:
+    """Windows of max(n/4, 50) points, each half over the last: where the deviation at tau max(w/10, 2) doubles or halves.
+
+    One pass serves all kinds: each point goes to the up to four differences that it is part of, and these are gathered by
+    (series, window, idx). Differences that reach beyond a window lack a part, so they are null and not counted.
+    """
     sizes = df.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("w", F.greatest(F.floor(F.col("n") / 4), F.lit(50)).cast("long")).where("w <= n").withColumn("m", F.greatest(F.floor(F.col("w") / 10), F.lit(2)).cast("long"))
     hop = F.floor(F.col("w") / 2)
-    d = df.join(sizes, list(keys)).withColumn("win", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("idx") - F.col("w")) / hop) + 1).cast("long"), F.floor(F.col("idx") / hop).cast("long"))))
-    d = d.where((F.col("idx") >= F.col("win") * hop) & (F.col("idx") < F.col("win") * hop + F.col("w")) & (F.col("win") * hop + F.col("w") <= F.col("n")))
-    pts = d.select(*keys, "win", "w", F.col("m").alias("tau"), "idx", F.col("value").cast("double").alias("x"))
-    times = {"allan": 2, "hadamard": 3, "mod_allan": 2}[kind]
-    s = _shifted(pts, [*keys, "win"], times)
-    diff = F.col("x2") - 2 * F.col("x1") + F.col("x0") if times == 2 else F.col("x3") - 3 * F.col("x2") + 3 * F.col("x1") - F.col("x0")
-    devs = s.groupBy(*keys, "win", "w", "tau").agg(F.sqrt(F.sum(diff * diff) / (F.lit(2.0 if times == 2 else 6.0) * F.col("tau") * F.col("tau") * F.count("*"))).alias("dev"))
-    ratio = F.try_divide(F.col("dev"), F.lag("dev").over(Window.partitionBy(*keys).orderBy("win")))
+    d = _sums_before(df, keys).join(sizes, list(keys)).withColumn("win", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("idx") - F.col("w") - 1) / hop) + 1).cast("long"), F.floor(F.col("idx") / hop).cast("long"))))
+    end = F.col("win") * hop + F.col("w")
+    d = d.where((F.col("idx") >= F.col("win") * hop) & (F.col("idx") <= end) & (end <= F.col("n")))  # a running sum stands at the end, a value does not
+    pts = d.select(*keys, "win", "w", F.col("m").alias("tau"), "idx", F.when(F.col("idx") < end, F.col("value").cast("double")).alias("x"), "s", F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("part"))
+    pts = pts.withColumn("idx", F.col("idx") - F.col("part") * F.col("tau")).where(F.col("idx") >= F.col("win") * hop)
+    parts = pts.groupBy(*keys, "win", "w", "tau", "idx").agg(*[F.max(F.when(F.col("part") == k, F.col(c))).alias(f"{c}{k}") for c in ("x", "s") for k in range(4)])
+    third = lambda c: F.col(f"{c}3") - 3 * F.col(f"{c}2") + 3 * F.col(f"{c}1") - F.col(f"{c}0")
+    t = F.col("tau").cast("double")
+    forms = {"allan": (F.col("x2") - 2 * F.col("x1") + F.col("x0"), 2.0 * t * t), "hadamard": (third("x"), 6.0 * t * t), "mod_allan": (third("s"), 2.0 * t * t * t * t)}
+    dev = lambda diff, scale: F.sqrt(F.try_divide(F.sum(diff * diff), scale * F.count(diff)))
+    devs = parts.groupBy(*keys, "win", "w", "tau").agg(*[dev(*forms[kind]).alias(kind) for kind in kinds])
+    devs = devs.select(*keys, "win", "w", F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("dev")) for kind in kinds])))
+    ratio = F.try_divide(F.col("dev"), F.lag("dev").over(Window.partitionBy(*keys, "kind").orderBy("win")))
     out = devs.withColumn("ratio", ratio).where((F.col("ratio") > 2) | (F.col("ratio") < 0.5))
     conf = F.lit(0.5) + F.when((F.col("ratio") > 3) | (F.col("ratio") < 1 / 3), 0.3).otherwise(0.0) + F.when((F.col("ratio") > 5) | (F.col("ratio") < 0.2), 0.2).otherwise(0.0)
-    return out.select(*keys, (F.col("win") * F.floor(F.col("w") / 2)).cast("long").alias("idx"), "dev", "ratio", conf.alias("confidence"))
+    return out.select(*keys, (F.col("win") * F.floor(F.col("w") / 2)).cast("long").alias("idx"), "kind", "dev", "ratio", conf.alias("confidence"))
