@@ -14,8 +14,8 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import cache
 from heapq import heappop, heappush
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metrifold.llm.common import small_batches
-from metrifold.llm.pieces import SAFE_PATTERN, PieceCache
+from metrifold.llm.pieces import SAFE_PATTERN, Bounded, PartCache, hold
 
 
 WIDTH = 8  # bits of a rank that one bitmap word resolves: 256 ranks a word, one summary bit for each word
@@ -135,48 +135,38 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-class _PreTokens(dict):
-    """pre-token -> little-endian ids; bounded in two generations."""
+class Encoder:
+    """Whole texts to little-endian ids: cut at safe spaces, cached by unit; texts that can't be cut by pre-token."""
 
-    def __init__(self, bpe: Bpe, most: int = 700_000):
-        super().__init__()
-        self.bpe, self.most, self.old = bpe, most, {}
+    def __init__(self, path: str, pattern: str):
+        self.bpe = Bpe(read_ranks(path), pattern)
+        self.words = Bounded(24)
+        self.cache = PartCache(lambda parts: [self.plain(" " + part) for part in parts], self.plain, b"".join, special="\x00") if pattern == SAFE_PATTERN else None
 
-    def __missing__(self, word: str) -> bytes:
-        value = self.old.get(word)
+    def _word(self, word: str) -> bytes:
+        value = self.words.find(word)
         if value is None:
             value = np.array(self.bpe.merge(word.encode()), "<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
-            self[word] = value
+            self.words.keep(word, value)
         return value
 
-
-class Encoder:
-    """Whole texts to little-endian ids: cut at safe spaces, cached by part and by pre-token."""
-
-    def __init__(self, path: str, pattern: str):
-        self.bpe = Bpe(read_ranks(path), pattern)
-        self.words = _PreTokens(self.bpe)
-        self.cache = PieceCache(self.plain, special="\x00") if pattern == SAFE_PATTERN else None
-
     def plain(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.bpe.pattern.findall(text)))
+        return b"".join(map(self._word, self.bpe.pattern.findall(text)))
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        cut = self.cache.values(texts) if self.cache is not None else repeat(None)
+        return (self.plain(text) if got is None else got for text, got in zip(texts, cut))
 
     def encode(self, text: str) -> bytes:
-        parts = self.cache.parts(text) if self.cache is not None and text else None
-        return self.plain(text) if parts is None else b"".join(parts)
+        return next(self.encode_all([text]))
 
     def decode(self, ids: bytes) -> bytes:
         return self.bpe.decode(np.frombuffer(ids, "<u4").tolist())
 
 
-@cache
 def encoder(path: str, pattern: str) -> Encoder:
-    """One encoder for each worker process."""
-    return Encoder(path, pattern)
+    """One encoder for each worker process, held while the worker encodes."""
+    return hold(("bpe", path, pattern), lambda: Encoder(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
@@ -189,8 +179,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         enc = encoder(path, pattern)
         for batch in batches:
             out: dict = {name: [] for name in schema.names} | {"doc_id": batch.column("doc_id")}
-            for text in batch.column("text").to_pylist():
-                got = enc.encode(text or "")
+            for got in enc.encode_all([text or "" for text in batch.column("text").to_pylist()]):
                 out["n_tokens"].append(len(got) // 4)
                 out["ids_sha256"].append(hashlib.sha256(got).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(enc.decode(got)).hexdigest())

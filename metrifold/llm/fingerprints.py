@@ -1,14 +1,16 @@
 """Document fingerprints by closed syncmers, in DataFrame functions alone.
 
-A text is a sequence of units: its words, or its characters where it is short or its words are very long. A
-``k``-unit window is an anchor when the least of its ``s``-unit parts lies at either edge. Whether a window is
-one depends on the window alone, so equal passages give equal anchors wherever they stand. The fingerprint is
-the distinct anchors' hashes in text order; likeness is the Jaccard similarity of two fingerprints, and
-``offsets`` gives the positions of shared anchors for positional matching.
-
-Defined cases: null text is empty; an empty text has an empty fingerprint, alike (1.0) only to another empty
-one; texts of fewer than ``k`` units have each unit for an anchor; of rows that share an id the order is that of
-their texts; rows with a null id have no place in the order and are left out.
+A text is a sequence of units: short pieces of its words that end where a certain character stands, so that
+pieces fall alike wherever a passage stands and whatever its length, in scripts without spaces too. Before the
+first unit stand ``K - 1`` blank ones. A ``K``-unit window is an anchor when the least of its ``S``-unit parts
+lies at either edge, and so is each window that reaches the blanks. Whether a window is one depends on the window
+alone, so equal passages give equal anchors wherever they stand, and a text that is made longer keeps its anchors
+but for those of its last unit. The fingerprint is the distinct anchors' hashes in text order; likeness is the
+Jaccard similarity of two fingerprints, and ``offsets`` gives the positions of shared anchors for positional matching.
+
+Defined cases: null text is empty; a text without units (empty or white space) has an empty fingerprint, alike
+(1.0) only to another empty one; any other text has an anchor at least; of rows that share an id the order is that
+of their texts; rows with a null id come before all others, in the order of their texts.
 """
 
 from __future__ import annotations
@@ -17,29 +19,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, S = 5, 2  # a window has four parts, so about half of the windows are anchors
-_SPACE = r"[ \t\n\x0B\f\r]+"
-
-
-def _units(text: str) -> Column:
-    words = F.filter(F.split(F.col(text), _SPACE), lambda w: w != "")
-    return F.when((F.char_length(text) < 64) | (F.size(words) * 24 < F.char_length(text)), F.split(F.col(text), "")).otherwise(words)
+#: A unit ends after a digit, one of two vowels or a sign of a script without spaces, or where white space follows.
+ENDS = r"(?<=[eo0-9\u0E00-\u0EFF\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7A3])|[ \t\n\x0B\f\r]+"
 
 
 def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
     """``df`` with ``name``: the distinct anchors of the column ``text`` in text order, array<int>."""
-    u, h, m = f"__u_{name}", f"__h_{name}", f"__m_{name}"
-    df = df.withColumn(u, F.when(F.char_length(text) == 0, F.array().cast("array<string>")).otherwise(_units(text)))
-    df = df.withColumn(h, F.transform(u, lambda w: F.xxhash64(w)))
-    pairs = F.transform(F.sequence(F.lit(0), F.size(h) - S), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1)))
-    df = df.withColumn(m, F.when(F.size(h) >= K, pairs))
+    h, m = f"__h_{name}", f"__m_{name}"
+    units = F.transform(F.filter(F.split(text, ENDS), lambda unit: unit != ""), lambda unit: F.xxhash64(unit))
+    df = df.withColumn(h, F.concat(F.array_repeat(F.lit(0).cast("long"), K - 1), units))
+    pairs = F.transform(F.slice(h, 1, F.size(h) - 1), lambda a, i: F.xxhash64(a, F.get(h, i + 1)))
+    df = df.withColumn(m, pairs)
 
-    def anchor(i: Column) -> Column:
-        first, second, third, last = (F.get(m, i + j) for j in range(4))
-        return F.when(F.least(first, last) <= F.least(second, third), F.hash(first, third, last))
+    def anchor(first: Column, i: Column) -> Column:
+        second, third, last = (F.get(m, i + j) for j in range(1, 4))
+        return F.when((i < K - 1) | (F.least(first, last) <= F.least(second, third)), F.hash(first, third, last))
 
-    windows = F.transform(F.sequence(F.lit(0), F.size(h) - K), anchor)
-    found = F.when(F.size(h) >= K, F.filter(windows, lambda x: x.isNotNull())).otherwise(F.transform(h, lambda x: F.hash(x)))
-    return df.withColumn(name, F.array_distinct(found)).drop(u, h, m)
+    windows = F.transform(F.slice(m, 1, F.size(h) - K + 1), anchor)
+    return df.withColumn(name, F.array_distinct(F.filter(windows, lambda x: x.isNotNull()))).drop(h, m)
 
 
 def likeness(a: str, b: str) -> Column:
@@ -67,25 +64,27 @@ def _range_of(column: str, bounds: list[int]) -> Column:
     return F.when(block == 0, 0).otherwise((block - 1) * step + inside)
 
 
-def fingerprint(docs: DataFrame, rows_a_range: int = 4_000, most_ranges: int = 65_536, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint(docs: DataFrame, rows_a_range: int = 10_000, most_ranges: int = 16_384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each row.
 
-    The next document is found within ranges of doc_id; only each range's first row is read again for its neighbour.
+    The next document is found within ranges of doc_id, each a sort that may spill; only each range's first row is
+    read again for its neighbour. ``most_ranges`` bounds the plan's list of bounds; beyond it ranges hold more rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("k", F.coalesce("doc_id", F.lit(-(2**63))))  # null is the least id
     n = rows.count()
     ranges = min(most_ranges, max(1, n // rows_a_range))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], max(1000, 10 * ranges))).first()[0] if ranges > 1 else []
+    cuts = rows.agg(F.percentile_approx("k", [i / ranges for i in range(1, ranges)], max(1000, 10 * ranges))).first()[0] if ranges > 1 else []
     bounds = sorted(set(cuts or []))
-    ranged = rows.withColumn("r", _range_of("doc_id", bounds))
-    order = ("doc_id", "text")
+    ranged = rows.withColumn("r", _range_of("k", bounds))
+    order = ("k", "text")
     own = with_anchors(ranged.repartition("r"), "text", "fp")
     w = Window.partitionBy("r").orderBy(*order)
     own = own.withColumn("next", F.lead(F.struct("text", "fp")).over(w))
 
-    firsts = ranged.groupBy("r").agg(F.min("doc_id").alias("doc_id"))  # one row for each range
-    ring = firsts.select(F.coalesce(F.lag("r").over(Window.orderBy("r")), F.max("r").over(Window.partitionBy(F.lit(0)))).alias("r"), "doc_id")
-    heads = rows.join(F.broadcast(ring), "doc_id").groupBy("r").agg(F.min("text").alias("head_text"))
+    firsts = ranged.groupBy("r").agg(F.min("k").alias("k"))  # one row for each range
+    ring = firsts.select(F.coalesce(F.lag("r").over(Window.orderBy("r")), F.max("r").over(Window.partitionBy(F.lit(0)))).alias("r"), "k")
+    heads = rows.join(F.broadcast(ring), "k").groupBy("r").agg(F.min("text").alias("head_text"))
     heads = with_anchors(heads, "head_text", "head_fp")
     with_next = own.join(heads.select("r", F.struct(F.col("head_text").alias("text"), F.col("head_fp").alias("fp")).alias("head")), "r", "left")
     with_next = with_next.select("doc_id", "text", "fp", F.coalesce("next", "head").alias("next"), F.char_length("text").cast("long").alias("n_chars"))

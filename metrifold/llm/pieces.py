@@ -1,62 +1,138 @@
 """Splitting texts where no pre-token can reach across, and worker caches over the parts.
 
 In the pre-token pattern of the byte-level vocabularies white space only ever begins a pre-token or stands
-alone. So a single space between two other characters always begins one, a single line feed between two others
-is one by itself, and a mark of punctuation after letters begins one. Such a text can be cut there and the
-parts encoded one by one. A part that is empty, or has white space (in the wide sense of ``str.isspace``) at its
+alone. So a single space between two other characters always begins one, line feeds between two others stand
+apart, and so does one mark of punctuation after a letter and before white space. A text can be cut there and its
+parts encoded one by one, those after a space with the space that leads them. A part that is empty, or has white space (in the wide sense of ``str.isspace``) at its
 edge or a special token's opening anywhere, is not clean: its text takes the whole-text way.
+
+Caches are bounded in bytes, and a worker holds those of one operator at a time (``hold``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import batched
+from typing import Any
+
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The pattern for which the cuts are proven; fixed value.
 SAFE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_MARKS = frozenset(".,!?;:")
+_MARK = r"([A-Za-zÀ-ÖØ-öø-ɏΑ-Ρα-ωА-я])([.,!?;:])( |\n|$)"
+_FEED = r"(\n+)(\S)"
+_ENTRY = 160  # bytes of an entry beside its value
+
+_held: dict = {}
+
+
+def hold(key: tuple, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept in this worker until another key is asked for; caches of other operators are let go."""
+    if key not in _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+        if key:
+            _held[key] = make()
+    return _held.get(key)
 
 
-class Unclean(Exception):
-    """A text can't be cut at its spaces."""
+def let_go() -> None:
+    """Drop whatever caches this worker still holds."""
+    hold((), lambda: None)
 
 
-class PieceCache(dict):
-    """piece -> what ``make`` gives for it after ``lead``; two generations of bounded size. Values add up by ``+``."""
+class Bounded(dict):
+    """A cache in two generations of at most ``mb`` megabytes together.
 
-    def __init__(self, make: Callable, lead: str = " ", most: int = 300_000, special: str = "<|"):
+    A key is kept when it is met for the second time (by a filter of ``hash`` bits), so that what occurs once does
+    not drive out the rest; keys of over 64 characters are never kept.
+    """
+
+    def __init__(self, mb: float, value_bytes: int = 40):
         super().__init__()
-        self.make, self.lead, self.most, self.special, self.old = make, lead, most, special, {}
-        self.bare = self if not lead else PieceCache(make, "", most // 4, special)
-        self.marks = {mark: make(mark) for mark in _MARKS}
-        self.feed = make("\n")
-
-    def _new(self, piece: str):
-        if not piece or piece[0].isspace() or piece[-1].isspace() or self.special in piece:
-            raise Unclean
-        head, feed, tail = piece.partition("\n")
-        if feed and not head[-1].isspace() and not tail[0].isspace():
-            return self[head] + self.feed + self.bare[tail]
-        if piece[-1] in _MARKS and piece[:-1].isalpha():
-            return self[piece[:-1]] + self.marks[piece[-1]]
-        return self.make(self.lead + piece)
-
-    def __missing__(self, piece: str):
-        value = self.old.get(piece)
-        if value is None:
-            value = self._new(piece)
-            if "\n" in piece:
-                return value
-        if len(piece) <= 64:
+        self.most, self.old, self.met = int(mb * (1 << 19)) // (_ENTRY + value_bytes), {}, bytearray(1 << 20)
+
+    def find(self, key: str):
+        value = self.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self[key] = value
+        return value
+
+    def keep(self, key: str, value) -> None:
+        at = hash(key) & 0xFFFFF
+        if not self.met[at]:
+            self.met[at] = 1
+        elif len(key) <= 64:
             if len(self) >= self.most:
-                self.old = dict(self)
+                self.old, self.met = dict(self), bytearray(1 << 20)
                 self.clear()
-            self[piece] = value
-        return value
+            self[key] = value
+
+
+def _marked(texts: list[str]) -> list[str]:
+    """The texts with a space before and after what can be cut off a part: \\0 leads marks and line feeds, \\1 what no space led."""
+    cut = pc.replace_substring_regex(pa.array(texts, pa.string()), _MARK, "\\1 \0\\2\\3")
+    return pc.replace_substring_regex(cut, _FEED, " \0\\1 \1\\2").to_pylist()
+
+
+class PartCache:
+    """Values of texts' parts. ``led`` gives the values of parts that a space leads, in order, ``bare`` that of one that none leads, ``add`` the value of several together.
+
+    ``table`` is a first tier of led parts that is never evicted.
+    """
+
+    def __init__(self, led: Callable[[list[str]], list], bare: Callable[[str], Any], add: Callable[[list], Any], mb: float = 48, special: str = "<|", table: dict | None = None):
+        self.led, self.bare, self.add, self.special, self.table = led, bare, add, special, table
+        self.cache = Bounded(mb)
+
+    def _clean(self, part: str) -> bool:
+        if part[:1] == "\0":
+            return True
+        part = part.removeprefix("\1")
+        return bool(part) and not part[0].isspace() and not part[-1].isspace() and self.special not in part
+
+    def _single(self, part: str):
+        """The value of a part that begins with \\0 or \\1; of several line feeds the last is a pre-token of its own."""
+        if part[0] == "\1" or len(part) == 2:
+            return self.bare(part[1:])
+        return self.add([self.bare(part[1:-1]), self.bare(part[-1])])
+
+    def _rows(self, texts: tuple[str, ...]) -> list[list | None]:
+        cache = self.cache
+        near = (self.table or cache).get
+        out: list[list | None] = []
+        gaps: list[tuple[list, int, str]] = []
+        want: dict[str, Any] = {}
+        for text, marked in zip(texts, _marked(texts), strict=True):
+            parts = ("\1" + marked).split(" ")
+            row: list | None = list(map(near, parts))
+            if "\0" in text or "\1" in text:
+                row = None
+            elif None in row:
+                for i in [i for i, value in enumerate(row) if value is None]:
+                    part = parts[i]
+                    value = cache.find(part)
+                    if value is not None:
+                        row[i] = value
+                    elif part in want or self._clean(part):
+                        want[part] = None
+                        gaps.append((row, i, part))
+                    else:
+                        row = None
+                        break
+            out.append(row)
+        led = [part for part in want if part[0] not in "\0\1"]
+        want |= zip(led, self.led(led) if led else (), strict=True)
+        for part, value in want.items():
+            if value is None:
+                want[part] = value = self._single(part)
+            cache.keep(part, value)
+        for row, i, part in gaps:
+            row[i] = want[part]
+        return out
 
-    def parts(self, text: str) -> list | None:
-        """What belongs to each part of ``text`` in order, or None where the text can't be cut."""
-        first, *rest = text.split(" ")
-        try:
-            return [self.bare[first], *map(self.__getitem__, rest)]
-        except Unclean:
-            return None
+    def values(self, texts: list[str], at_once: int = 64) -> Iterator[Any]:
+        """The value of each text, None where it can't be cut."""
+        for some in batched(texts, at_once):
+            yield from (None if row is None else self.add(row) for row in self._rows(some))
