@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metrifold.operators.base import whole
+from metrifold.operators.base import cut, folded, whole
 from metrifold.operators.stability import all_noise_transitions, allan, dev_at, smooth, smoothing_tau
 
 #: Multiplier of the scaled MAD by noise class; fixed values.
@@ -23,98 +25,157 @@ def mad_multiplier(noise: Column) -> Column:
     return out
 
 
-def mad_outliers(df: DataFrame, keys: Sequence[str], m: Column | float = 5.0, column: str = "value", exact: bool = True) -> DataFrame:
+def medians(df: DataFrame, keys: Sequence[str], column: Column, name: str) -> DataFrame:
+    """(keys, name): the exact median, the mean of the middle two for even counts; a sort that may spill, no buffer."""
+    d = df.select(*keys, column.alias("__v")).withColumns({"__n": F.count("__v").over(Window.partitionBy(*keys)), "__k": F.row_number().over(Window.partitionBy(*keys).orderBy("__v"))})
+    middle = (F.col("__k") == F.floor((F.col("__n") + 1) / 2)) | (F.col("__k") == F.floor((F.col("__n") + 2) / 2))
+    return d.where(middle).groupBy(*keys).agg(F.avg("__v").alias(name))
+
+
+def mad_stats(df: DataFrame, keys: Sequence[str], column: str = "value") -> DataFrame:
+    """(keys, median, mad) of each series."""
+    med = medians(df.where(F.col(column).isNotNull()), keys, F.col(column).cast("double"), "median")
+    mad = medians(df.join(med, list(keys)), keys, F.abs(F.col(column) - F.col("median")), "mad")
+    return med.join(mad, list(keys))
+
+
+def mad_outliers(df: DataFrame, keys: Sequence[str], m: Column | float = 5.0, column: str = "value", stats: DataFrame | None = None) -> DataFrame:
     """Rows strictly farther from the median than m x 1.4826 x MAD, with median, mad and threshold."""
-    p = (lambda c: F.percentile(c, F.lit(0.5))) if exact else (lambda c: F.percentile_approx(c, 0.5, 10000))
-    med = df.groupBy(*keys).agg(p(column).alias("median"))
-    d = df.join(med, list(keys))
-    mad = d.groupBy(*keys).agg(p(F.abs(F.col(column) - F.col("median"))).alias("mad"))
-    d = d.join(mad, list(keys)).withColumn("threshold", (m if isinstance(m, Column) else F.lit(m)) * 1.4826 * F.col("mad"))
+    d = df.join(mad_stats(df, keys, column) if stats is None else stats, list(keys))
+    d = d.withColumn("threshold", (m if isinstance(m, Column) else F.lit(m)) * 1.4826 * F.col("mad"))
     return d.where(F.abs(F.col(column) - F.col("median")) > F.col("threshold"))
 
 
-def spaced(df: DataFrame, keys: Sequence[str], gap: str | int) -> DataFrame:
-    """Of candidates in idx order those at least ``gap`` after the last one kept: a fold over each series' candidates."""
-    width = F.col(gap) if isinstance(gap, str) else F.lit(gap)
-    rest = [c for c in df.columns if c not in keys]
-    g = df.withColumn("__w", width.cast("long")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", F.col("__w").alias("w"), F.struct(*rest).alias("row")))).alias("a"))
-    none = F.slice(F.col("a"), 1, 0)
-    kept = F.aggregate("a", none, lambda acc, x: F.when((F.size(acc) == 0) | (x["idx"] - F.element_at(acc, -1)["idx"] >= x["w"]), F.concat(acc, F.array(x))).otherwise(acc))
-    return g.select(*keys, F.explode(kept).alias("__kept")).select(*keys, "__kept.row.*")
-
+def _arrow(df: DataFrame, columns: Sequence[str]) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-def cliffs(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Steps beyond thresholds set by the coefficient of variation, sustained where the next difference is under half; and changes of the two-point means beyond one and a half times the threshold, not next to a found one."""
-    w = Window.partitionBy(*keys).orderBy("idx")
-    d = df.withColumns({"mean": F.avg("value").over(whole(keys)), "sd": F.stddev_pop("value").over(whole(keys)), **{f"b{i}": F.lag("value", i).over(w) for i in (1, 2)}, "n1": F.lead("value").over(w)})
-    cv = F.try_divide(F.col("sd"), F.abs("mean"))
-    sigmas = F.when(cv < 0.1, 5.0).when(cv < 0.3, 4.0).otherwise(3.0)
-    share = F.when(cv < 0.1, 0.5).when(cv < 0.3, 0.35).otherwise(0.25)
-    d = d.withColumns({"limit": F.greatest(sigmas * F.col("sd"), share * F.abs("mean")), "diff": F.col("value") - F.col("b1")})
-    step = d.where((F.abs("diff") > F.col("limit")) & (F.col("sd") > 0)).withColumn("sustained", F.coalesce(F.abs(F.col("n1") - F.col("value")) < 0.5 * F.abs("diff"), F.lit(False)))
-    step = step.select(*keys, "idx", "diff", "sustained", F.lit("step").alias("kind"))
-    change = (F.col("value") + F.col("n1")) / 2 - (F.col("b1") + F.col("b2")) / 2
-    level = d.where(F.abs(change) > 1.5 * F.col("limit")).select(*keys, "idx", change.alias("diff"), F.lit(True).alias("sustained"), F.lit("level").alias("kind"))
-    near = step.select(*keys, F.explode(F.sequence(F.col("idx") - 1, F.col("idx") + 1)).alias("idx")).distinct()
-    return step.unionByName(level.join(near, [*keys, "idx"], "left_anti"))
-
-
-def cusum(df: DataFrame, keys: Sequence[str], k: float = 1.0, h: float = 6.0) -> DataFrame:
-    """(keys, idx, side): alarms of the two-sided CUSUM of z-values, both sums reset on an alarm.
-
-    A fold in the JVM over one series' array; split very long recordings by a further key such as the day.
-    """
-    stats = df.groupBy(*keys).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.array_sort(F.collect_list(F.struct("idx", F.col("value").cast("double").alias("v")))).alias("a"))
-    start = F.struct(F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), F.array().cast("array<struct<idx:bigint,side:string>>").alias("found"))
+    return to_arrow_schema(df.select(*columns).schema)
 
-    def step(acc: Column, x: Column) -> Column:
-        z = (x["v"] - F.col("mean")) / F.col("sd")
-        up, down = F.greatest(F.lit(0.0), acc["up"] + z - k), F.greatest(F.lit(0.0), acc["down"] - z - k)
-        side = F.when(up > h, "up").when(down > h, "down")
-        alarm = F.array(F.struct(x["idx"].cast("bigint").alias("idx"), side.alias("side")))
-        return F.struct(F.when(side.isNull(), up).otherwise(0.0).alias("up"), F.when(side.isNull(), down).otherwise(0.0).alias("down"), F.when(side.isNull(), acc["found"]).otherwise(F.concat(acc["found"], alarm)).alias("found"))
 
-    return stats.where("sd > 1e-10").select(*keys, F.inline(F.aggregate("a", start, step)["found"]))
+def spaced(df: DataFrame, keys: Sequence[str], gap: str | int) -> DataFrame:
+    """Of candidates in idx order those at least ``gap`` after the last one kept: a fold with one number of state."""
+    d = df.withColumn("__w", (F.col(gap) if isinstance(gap, str) else F.lit(gap)).cast("long"))
 
+    def step(state: dict, rows: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for idx, w in zip(rows.column("idx").to_pylist(), rows.column("__w").to_pylist(), strict=True):
+            keep.append("last" not in state or idx - state["last"] >= w)
+            if keep[-1]:
+                state["last"] = idx
+        return rows.filter(pa.array(keep, pa.bool_()))
 
-def cusum_levels(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    out = None
-    for level, (k, h) in enumerate(CUSUM_LEVELS):
-        part = cusum(df, keys, k, h).withColumn("level", F.lit(level))
-        out = part if out is None else out.unionByName(part)
-    return out
+    kinds = dict(df.dtypes)
+    return folded(d, keys, ["idx"], step, ", ".join(f"`{c}` {kinds[c]}" for c in df.columns), _arrow(df, df.columns))
 
 
-def change_points(df: DataFrame, keys: Sequence[str], devs: DataFrame | None = None, step_s: float = 1.0, tau: Column | int = 30) -> DataFrame:
-    """Centres where the means of the windows on either side differ, spaced a window apart.
+def cliffs(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, idx, magnitude, direction, kind): sustained steps, and level changes apart from them.
 
-    Windows are clamp(2 tau, 30, 120) s in steps, ten at least and a quarter of the series at most. Kept are t > 3,
-    change over deviation > 2, change over 10 % and confidence over 0.4.
+    A step is a difference beyond s deviations or beyond a share p of the mean (s and p by the coefficient of variation:
+    5 and 0.5 over 0.4, 4 and 0.35 over 0.25, else 3 and 0.25), after which the next difference is under half of it.
+    A level change is a difference of 1.5 s deviations between the means of the two points before and the two after;
+    next to a step none counts, and of neighbouring ones every second.
+    """
+    w, all_of = Window.partitionBy(*keys).orderBy("idx"), whole(keys)
+    v = F.col("value").cast("double")
+    d = df.select(*keys, "idx", v.alias("value"), F.avg(v).over(all_of).alias("mean"), F.stddev_pop(v).over(all_of).alias("sd"), *[F.lag(v, i).over(w).alias(f"b{i}") for i in (1, 2)], *[F.lead(v, i).over(w).alias(f"a{i}") for i in (1, 2)])
+    cv = F.when(F.col("mean") != 0, F.col("sd") / F.abs("mean")).otherwise(0.0)
+    d = d.withColumns({"far": F.when(cv > 0.4, 5.0).when(cv > 0.25, 4.0).otherwise(3.0) * F.col("sd"), "share": F.when(cv > 0.4, 0.5).when(cv > 0.25, 0.35).otherwise(0.25), "diff": F.col("value") - F.col("b1")})
+    size = F.abs("diff")
+    big = (size > F.col("far")) | (F.col("mean") != 0) & (size / F.abs("mean") > F.col("share"))
+    lasts = F.col("a1").isNull() | (F.abs(F.col("a1") - F.col("value")) < 0.5 * size)
+    change = (F.col("a1") + F.col("a2")) / 2 - (F.col("b1") + F.col("b2")) / 2
+    d = d.withColumns({"step": F.coalesce(big & lasts, F.lit(False)), "change": change})
+    beside = F.col("step") | F.coalesce(F.lag("step").over(w), F.lit(False)) | F.coalesce(F.lead("step").over(w), F.lit(False))
+    d = d.withColumn("level", F.coalesce(F.abs("change") > 1.5 * F.col("far"), F.lit(False)) & ~beside)
+    found = d.where("step or level").withColumn("island", F.col("idx") - F.row_number().over(Window.partitionBy(*keys, "level").orderBy("idx")))
+    odd = (F.row_number().over(Window.partitionBy(*keys, "level", "island").orderBy("idx")) % 2) == 1
+    found = found.withColumn("odd", odd).where("step or odd").withColumn("by", F.when(F.col("step"), F.col("diff")).otherwise(F.col("change")))
+    return found.select(*keys, "idx", F.abs("by").alias("magnitude"), F.when(F.col("by") > 0, "Increase").otherwise("Decrease").alias("direction"), F.when(F.col("step"), "step").otherwise("level").alias("kind"))
+
+
+def _alarms(c: np.ndarray, s: float, h: float) -> tuple[list[int], float]:
+    """Where sums of ``c`` held at 0 from below, starting at ``s``, pass ``h`` and start anew; and the last sum. Blocks keep the work linear."""
+    out, at = [], 0
+    while at < len(c):
+        run = np.cumsum(c[at : at + 256])
+        run[:] = run + s - np.minimum(np.minimum.accumulate(run + s), 0)
+        over = np.flatnonzero(run > h)
+        if len(over):
+            at += int(over[0]) + 1
+            out.append(at - 1)
+            s = 0.0
+        else:
+            at, s = at + len(run), float(run[-1])
+    return out, s
+
+
+def cusum(df: DataFrame, keys: Sequence[str], levels: Sequence[tuple[float, float]] = CUSUM_LEVELS[1:2]) -> DataFrame:
+    """(keys, idx, level, side): alarms of the two-sided CUSUM at each (k, h) in standard deviations; a sum that alarms starts anew, the other goes on.
+
+    One pass folds every level and side of a series with two sums each; deviations from the mean are scaled before it.
+    """
+    v = F.col("value").cast("double")
+    z = F.try_divide(v - F.avg(v).over(whole(keys)), F.stddev_pop(v).over(whole(keys)))
+    d = df.select(*keys, F.col("idx").cast("long").alias("idx"), z.alias("z")).where("z is not null")
+    schema = _arrow(d, keys)
+    for field in (pa.field("idx", pa.int64()), pa.field("level", pa.int64()), pa.field("side", pa.string())):
+        schema = schema.append(field)
+
+    def step(state: dict, rows: pa.RecordBatch) -> pa.RecordBatch:
+        zs = rows.column("z").to_numpy(zero_copy_only=False)
+        at: list[int] = []
+        level: list[int] = []
+        side: list[str] = []
+        for i, (k, h) in enumerate(levels):
+            for name, sign in (("up", 1.0), ("down", -1.0)):
+                found, state[i, name] = _alarms(sign * zs - k, state.get((i, name), 0.0), h)
+                at += found
+                level += [i] * len(found)
+                side += [name] * len(found)
+        got = rows.take(pa.array(at, pa.int64()))
+        return pa.RecordBatch.from_arrays([*(got.column(x) for x in (*keys, "idx")), pa.array(level, pa.int64()), pa.array(side, pa.string())], names=[*keys, "idx", "level", "side"])
+
+    kinds = dict(df.dtypes)
+    return folded(d, keys, ["idx"], step, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "idx long, level long, side string"]), schema)
+
+
+def change_points(df: DataFrame, keys: Sequence[str], devs: DataFrame | None = None, step_s: float = 1.0, tau: DataFrame | int = 30) -> DataFrame:
+    """(keys, idx, before, after, pct, significance, confidence): where the means of the windows on either side differ, spaced a window apart.
+
+    Windows are clamp(2 tau, 30, 120) s in steps (rounded), ten at least and a quarter of the series at most; series have
+    60 points or more. Centres are half a window apart; the last window may be as short as half. ``tau`` is a number of
+    steps or (keys, tau). Kept are t > 3, change over deviation > 2, change over 10 % of the mean before, confidence over 0.4.
     """
     devs = allan(df, keys) if devs is None else devs
     n = df.groupBy(*keys).agg(F.count("*").alias("n")).where("n >= 60")
-    t = tau if isinstance(tau, Column) else F.lit(tau)
-    width = F.least(F.greatest(F.floor(F.least(F.greatest(2 * t, F.lit(30)), F.lit(120)) / step_s), F.lit(10)), F.floor(F.col("n") / 4))
-    sizes = n.withColumn("w", width.cast("long"))
+    n = n.withColumn("tau", F.lit(tau)) if isinstance(tau, int) else n.join(tau.select(*keys, "tau"), list(keys))
+    span = F.least(F.greatest(2 * F.col("tau") * step_s, F.lit(30.0)), F.lit(120.0)) / step_s
+    sizes = n.withColumn("span", span).withColumn("w", F.least(F.greatest(F.round("span"), F.lit(10.0)), F.floor(F.col("n") / 4)).cast("long"))
     run = Window.partitionBy(*keys).orderBy("idx")
-    sums = df.select(*keys, "idx", F.sum(F.col("value").cast("double")).over(run).alias("s"), F.sum(F.col("value").cast("double") ** 2).over(run).alias("q"))
-    centres = sizes.withColumn("idx", F.explode(F.sequence(F.col("w"), F.col("n") - F.col("w"), F.greatest(F.floor(F.col("w") / 2), F.lit(1)).cast("long"))))
-    at = lambda name, shift: sums.select(*keys, (F.col("idx") + shift).alias("at"), F.col("s").alias(f"s_{name}"), F.col("q").alias(f"q_{name}"))
-    c = centres.withColumns({"lo": F.col("idx") - F.col("w"), "hi": F.col("idx") + F.col("w")})
-    for name, column in (("lo", "lo"), ("mid", "idx"), ("hi", "hi")):
-        c = c.join(at(name, 1).withColumnRenamed("at", column), [*keys, column], "left")
-    zero = lambda x: F.coalesce(F.col(x), F.lit(0.0))
-    w = F.col("w")
-    before, after = (F.col("s_mid") - zero("s_lo")) / w, (F.col("s_hi") - F.col("s_mid")) / w
-    vb = F.greatest((F.col("q_mid") - zero("q_lo")) / w - before * before, F.lit(0.0))
-    va = F.greatest((F.col("q_hi") - F.col("q_mid")) / w - after * after, F.lit(0.0))
-    c = c.withColumns({"before": before, "after": after, "se": F.sqrt((vb + va) / w)})
-    c = c.join(dev_at(devs, keys, sizes.select(*keys, w.alias("at"))).select(*keys, "dev"), list(keys), "left")
+    v = F.col("value").cast("double")
+    # values are taken from their series' mean first, so that the difference of two sums of squares keeps its digits
+    d = df.select(*keys, "idx", v.alias("v"), F.avg(v).over(whole(keys)).alias("middle"))
+    x = F.col("v") - F.col("middle")
+    sums = d.select(*keys, "idx", "middle", F.sum(x).over(run).alias("s"), F.sum(x * x).over(run).alias("q"))
+    half = F.floor(F.col("w") / 2)
+    c = sizes.withColumn("mid", F.explode(F.sequence(F.col("w"), F.least(F.col("n") - half, F.col("n") - 1), half.cast("long"))))
+    c = c.withColumns({"lo": F.col("mid") - F.col("w"), "hi": F.least(F.col("mid") + F.col("w"), F.col("n"))})
+    at = lambda name: sums.select(*keys, (F.col("idx") + 1).alias(name), F.col("s").alias(f"s_{name}"), F.col("q").alias(f"q_{name}"), *(["middle"] if name == "mid" else []))
+    for name in ("lo", "mid", "hi"):
+        c = c.join(at(name), [*keys, name], "left")
+    zero = lambda name: F.coalesce(F.col(name), F.lit(0.0))
+    nb, na = F.col("w"), F.col("hi") - F.col("mid")
+    mb, ma = (F.col("s_mid") - zero("s_lo")) / nb, (F.col("s_hi") - F.col("s_mid")) / na
+    vb = F.greatest((F.col("q_mid") - zero("q_lo")) / nb - mb * mb, F.lit(0.0))
+    va = F.greatest((F.col("q_hi") - F.col("q_mid")) / na - ma * ma, F.lit(0.0))
+    c = c.withColumns({"before": mb + F.col("middle"), "after": ma + F.col("middle"), "se": F.sqrt((vb + va) / 2) * F.sqrt(1 / nb + 1 / na)})
+    c = c.join(dev_at(devs, keys, sizes.select(*keys, F.col("span").alias("at"))).select(*keys, "dev"), list(keys))
     change = F.abs(F.col("after") - F.col("before"))
-    c = c.withColumns({"t": F.when(F.col("se") > 0, change / F.col("se")).otherwise(F.when(change > 0, F.lit(1e9)).otherwise(0.0)), "sig": F.coalesce(F.try_divide(change, F.col("dev")), F.lit(0.0)), "pct": F.coalesce(F.try_divide(change, F.abs("before")), F.lit(1.0))})
-    conf = 0.5 * F.least(F.col("sig") / 10, F.lit(1.0)) + 0.3 * F.least(F.col("t") / 10, F.lit(1.0)) + 0.2 * F.least(2 * F.col("pct"), F.lit(1.0))
-    c = c.withColumn("confidence", conf).where("t > 3 and sig > 2 and pct > 0.1 and confidence > 0.4")
-    return spaced(c.select(*keys, "idx", "before", "after", "pct", "confidence", "w"), keys, "w").drop("w")
+    c = c.withColumns({"t": F.when(F.col("se") > 0, change / F.col("se")).otherwise(0.0), "significance": change / F.col("dev"), "pct": F.coalesce(F.try_divide(change, F.abs("before")), F.lit(0.0))})
+    one = lambda e: F.least(e, F.lit(1.0))
+    c = c.withColumn("confidence", 0.5 * one(F.col("significance") / 10) + 0.3 * one(F.col("t") / 10) + 0.2 * one(2 * F.col("pct"))).where("t > 3 and significance > 2 and pct > 0.1 and confidence > 0.4")
+    return spaced(c.select(*keys, F.col("mid").alias("idx"), "before", "after", "pct", "significance", "confidence", "w"), keys, "w").drop("w")
 
 
 def detrend_norm(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -129,47 +190,73 @@ def detrend_norm(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return d.withColumn("z", F.when(sd < 1e-10, F.lit(0.0)).otherwise(F.col("__r") / sd)).drop("__x", "__y", "__r")
 
 
-#: Weight at the index itself, share of it for neighbours, and their reach; fixed values.
-WEIGHTS = {"mad": (1.0, 0.0, 0), "cliff": (3.0, 0.8 / 3, 1), "up": (2.0, 0.0, 0), "down": (2.0, 0.0, 0), "gradual": (0.5, 0.0, 0), "change": (4.0, 0.3, 5), "allan": (3.5, 0.2, 10), "hadamard": (3.0, 0.2, 10), "mod_allan": (3.2, 0.2, 10)}
+#: Weight at the index, share of it (for cliffs the weight itself) at its neighbours, and their reach; fixed values.
+WEIGHTS = {"mad": (1.0, 0.0, 0), "cliff": (3.0, 0.8, 1), "up": (2.0, 0.0, 0), "down": (2.0, 0.0, 0), "change": (4.0, 0.3, 5), "allan": (3.5, 0.2, 10), "hadamard": (3.0, 0.2, 10), "mod_allan": (3.2, 0.2, 10)}
+#: What a transition adds where the deviation changes beyond a ratio of 3 or 0.33 (half of it otherwise); fixed values.
+DRAMATIC = {"allan": 1.0, "hadamard": 0.8, "mod_allan": 0.9}
+
+
+def _by_kind(values: dict) -> Column:
+    return F.create_map(*[F.lit(x) for kind, value in values.items() for x in (kind, value)])[F.col("kind")]
 
 
-def score(findings: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Added weights at each index from findings (keys, idx, kind, confidence), with confidence and severity steps.
+def score(findings: DataFrame, values: DataFrame, keys: Sequence[str], stats: DataFrame | None = None) -> DataFrame:
+    """(keys, idx, value, type, score, confidence, severity) of the indices with enough evidence.
 
-    Where findings have a column ``bonus``, it adds to their weight.
+    ``findings`` (keys, idx, kind, confidence, ratio) are outliers (mad), cliffs, CUSUM sides (up, down), alarms of any
+    CUSUM level (cusum), change points (change) and noise transitions of three kinds; confidence scales the weight of
+    the last two. Neighbours get a share. An alarm that is no cliff and no shift adds a half. ``values`` (keys, idx,
+    value) are the analysed ones; a value's distance is that from the median in MADs.
     """
-    w = F.create_map(*[F.lit(x) for k, v in WEIGHTS.items() for x in (k, v[0])])
-    part = F.create_map(*[F.lit(x) for k, v in WEIGHTS.items() for x in (k, v[1])])
-    reach = F.create_map(*[F.lit(x) for k, v in WEIGHTS.items() for x in (k, v[2])])
-    own = w[F.col("kind")] * F.when(F.col("kind").isin("change", "allan", "hadamard", "mod_allan"), F.coalesce("confidence", F.lit(1.0))).otherwise(1.0)
-    own = own + F.coalesce("bonus", F.lit(0.0)) if "bonus" in findings.columns else own
-    d = findings.withColumns({"own": own, "k": reach[F.col("kind")]}).withColumn("by", F.explode(F.sequence(-F.col("k"), F.col("k"))))
-    d = d.select(*keys, (F.col("idx") + F.col("by")).alias("idx"), "kind", F.when(F.col("by") == 0, F.col("own")).otherwise(F.col("own") * part[F.col("kind")]).alias("weight"), (F.col("by") == 0).alias("here"))
-    g = d.groupBy(*keys, "idx").agg(F.sum("weight").alias("score"), F.bool_or("here").alias("here"), F.max_by("kind", F.struct("weight", "kind")).alias("kind")).where((F.col("idx") >= 0) & F.col("here"))
-    conf = F.when(F.col("score") >= 6, 0.95).when(F.col("score") >= 4, 0.85).when(F.col("score") >= 2, 0.7).when(F.col("score") >= 1, 0.5).otherwise(0.3)
-    severity = F.when(F.col("score") >= 6, "Critical").when(F.col("score") >= 4, "High").when(F.col("score") >= 2, "Medium").otherwise("Low")
-    return g.select(*keys, "idx", "kind", "score", conf.alias("confidence"), severity.alias("severity"))
-
-
-def detect(df: DataFrame, keys: Sequence[str], step_s: float = 1.0) -> DataFrame:
-    """All detectors of all series in one job: outliers on smoothed values, the rest (with the noise transitions of three deviations) on raw ones, scored by index.
-
-    The samples and the few deviations are read by every detector, so both are persisted; lost parts are made again.
+    stats = mad_stats(values, keys) if stats is None else stats
+    scaled = F.when(F.col("kind").isin("change", *DRAMATIC), F.coalesce("confidence", F.lit(1.0))).otherwise(1.0)
+    more = F.coalesce(_by_kind(DRAMATIC), F.lit(0.0)) * F.when((F.col("ratio") > 3) | (F.col("ratio") < 0.33), 1.0).when(F.col("ratio").isNotNull(), 0.5).otherwise(0.0)
+    own = F.coalesce(_by_kind({k: v[0] for k, v in WEIGHTS.items()}), F.lit(0.0)) * scaled + more
+    share = F.coalesce(_by_kind({k: v[1] for k, v in WEIGHTS.items()}), F.lit(0.0))
+    reach = F.coalesce(_by_kind({k: v[2] for k, v in WEIGHTS.items()}), F.lit(0))
+    d = findings.withColumns({"own": own, "share": share}).withColumn("by", F.explode(F.sequence(-reach, reach)))
+    near = F.when(F.col("kind") == "cliff", F.col("share")).otherwise(F.col("own") * F.col("share"))
+    here = F.col("by") == 0
+    d = d.select(*keys, (F.col("idx") + F.col("by")).alias("idx"), F.when(here, F.col("own")).otherwise(near).alias("weight"), F.when(here, F.col("kind")).alias("kind"))
+    has = lambda *kinds: F.coalesce(F.bool_or(F.col("kind").isin(*kinds)), F.lit(False))
+    g = d.groupBy(*keys, "idx").agg(F.sum("weight").alias("score"), has("mad").alias("outlier"), has("up", "down").alias("shift"), has("cusum").alias("alarm"), has("cliff").alias("cliff"))
+    g = g.withColumn("score", F.col("score") + F.when(F.col("alarm") & ~F.col("cliff") & ~F.col("shift"), 0.5).otherwise(0.0))
+    g = g.join(values.select(*keys, "idx", F.col("value").cast("double").alias("value")), [*keys, "idx"]).join(stats.select(*keys, "median", "mad"), list(keys))
+    g = g.withColumn("far", F.when(F.col("mad") > 0, F.abs(F.col("value") - F.col("median")) / F.col("mad")).otherwise(0.0))
+    s, far = F.col("score"), F.col("far")
+    single = F.when(far > 10, 0.8).when(far > 7, 0.7).when(far > 5, 0.6).otherwise(0.4)
+    g = g.withColumn("confidence", F.when(s >= 3, 0.95).when(s >= 2.5, 0.9).when(s >= 2, 0.85).when(s >= 1.5, 0.7).when(s >= 1, single).otherwise(0.3)).where("confidence >= 0.7 or (far > 7 and score >= 1.5)")
+    c = F.col("confidence")
+    severity = F.when((c >= 0.95) & (far > 10), "Critical").when((c >= 0.9) | (c >= 0.85) & (far > 7), "High").when((c >= 0.8) | (far > 7), "Medium").otherwise("Low")
+    kind = F.when(F.col("outlier") & F.col("alarm"), "Combined").when(F.col("outlier"), "PointOutlier").when(F.col("shift"), "LevelShift").otherwise("TrendChange")
+    return g.select(*keys, "idx", "value", kind.alias("type"), "score", "confidence", severity.alias("severity"))
+
+
+def detect(df: DataFrame, keys: Sequence[str], step_s: float = 1.0) -> dict[str, DataFrame]:
+    """Every detector over every series of at least ten seconds, in a few Spark jobs: ``anomalies`` and, of each series, ``changes`` (change points), ``noise`` (class and tau) and ``sizes``.
+
+    Outliers, and the values and distances that the anomalies report, are those of the smoothed series; cliffs, CUSUM,
+    change points (windows by each series' own tau) and the noise transitions of three deviations go by the raw one.
+    What several detectors read is written once to the shared folder, so plans stay small and nothing stays in memory.
     """
-    df = df.select(*keys, "idx", "value").persist()
-    devs = allan(df, keys).persist()
-    tau = smoothing_tau(devs, keys)
-    d = df.join(tau, list(keys))
-    smoothed = smooth(d, keys, F.col("tau")).withColumn("m", mad_multiplier(F.col("noise")))
-    mad = mad_outliers(smoothed, keys, F.col("m"), "smoothed").select(*keys, "idx", F.lit("mad").alias("kind"), F.lit(1.0).alias("confidence"))
-    steps = cliffs(df, keys).select(*keys, "idx", F.lit("cliff").alias("kind"), F.lit(1.0).alias("confidence"))
-    shifts = cusum(df, keys, *CUSUM_LEVELS[1]).select(*keys, "idx", F.col("side").alias("kind"), F.lit(1.0).alias("confidence"))
-    gradual = cusum(df, keys, *CUSUM_LEVELS[0]).select(*keys, "idx", F.lit("gradual").alias("kind"), F.lit(1.0).alias("confidence"))
-    points = change_points(df, keys, devs, step_s).select(*keys, "idx", F.lit("change").alias("kind"), "confidence")
-    found = mad.unionByName(steps).unionByName(shifts).unionByName(gradual).unionByName(points).withColumn("bonus", F.lit(0.0))
-    bonus = F.when((F.col("ratio") > 3) | (F.col("ratio") < 0.33), 1.0).otherwise(0.5)
-    found = found.unionByName(all_noise_transitions(df, keys).select(*keys, "idx", "kind", "confidence", bonus.alias("bonus")))
-    return score(found, keys)
+    df = cut(df.select(*keys, "idx", F.col("value").cast("double").alias("value")), "samples")
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("n")).where((F.col("n") - 1) * step_s >= 10)
+    df = df.join(sizes.select(*keys), list(keys))
+    devs = cut(allan(df, keys), "deviations")
+    noise = cut(smoothing_tau(devs, keys).join(sizes.select(*keys), list(keys), "right").select(*keys, F.coalesce("noise", F.lit("Unknown")).alias("noise"), F.coalesce("tau", F.lit(30)).cast("long").alias("tau")), "noise")
+    smoothed = cut(smooth(df.join(noise, list(keys)), keys, F.col("tau")).select(*keys, "idx", F.col("smoothed").alias("value"), mad_multiplier(F.col("noise")).alias("m")), "smoothed")
+    stats = cut(mad_stats(smoothed, keys), "medians")
+    changes = cut(change_points(df, keys, devs, step_s, noise), "changes")
+    one, none = F.lit(1.0).alias("confidence"), F.lit(None).cast("double").alias("ratio")
+    mad = mad_outliers(smoothed, keys, F.col("m"), stats=stats).select(*keys, "idx", F.lit("mad").alias("kind"), one, none)
+    steps = cliffs(df, keys).select(*keys, "idx", F.lit("cliff").alias("kind"), one, none)
+    alarms = cut(cusum(df, keys, CUSUM_LEVELS), "alarms")
+    any_level = alarms.select(*keys, "idx", F.lit("cusum").alias("kind"), one, none).distinct()
+    shifts = alarms.where("level = 1").select(*keys, "idx", F.col("side").alias("kind"), one, none)
+    points = changes.select(*keys, "idx", F.lit("change").alias("kind"), "confidence", none)
+    turns = all_noise_transitions(df, keys).select(*keys, "idx", "kind", "confidence", "ratio")
+    found = cut(mad.unionByName(steps).unionByName(any_level).unionByName(shifts).unionByName(points).unionByName(turns), "findings")
+    return {"anomalies": cut(score(found, smoothed, keys, stats), "anomalies"), "changes": changes, "noise": noise, "sizes": sizes}
 
 
 def anomaly_summary(anomalies: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -179,7 +266,8 @@ def anomaly_summary(anomalies: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def confidence_score(anomalies: DataFrame, sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Mean confidence, lowered where over a tenth of the samples are anomalous."""
-    g = anomalies.groupBy(*keys).agg(F.avg("confidence").alias("c"), F.count("*").alias("k")).join(sizes, list(keys))
-    rate = F.col("k") / F.col("n")
-    return g.select(*keys, (F.col("c") * F.least(F.lit(1.0), F.lit(0.1) / rate)).alias("confidence"))
+    """(keys, confidence) of every series in ``sizes``: the mean confidence of its anomalies, less by what their share is over a tenth (by a half at most); 1 without any."""
+    g = sizes.join(anomalies.groupBy(*keys).agg(F.avg("confidence").alias("__c"), F.count("*").alias("__found")), list(keys), "left")
+    rate = F.col("__found") / F.col("n")
+    less = F.when(rate > 0.1, 1 - F.least(rate - 0.1, F.lit(0.5))).otherwise(1.0)
+    return g.select(*keys, F.coalesce(F.col("__c") * less, F.lit(1.0)).alias("confidence"))

@@ -6,9 +6,12 @@ measurement band is known ``lo`` and ``hi``. Every operator takes the key column
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SECOND = 1_000_000_000
@@ -52,3 +55,43 @@ def idiv(c: Column, n: int | Column) -> Column:
 
 def idiv_up(c: Column, n: int) -> Column:
     return idiv(c + F.lit(n - 1), n)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir, or on a local master without that setting one of our own."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
+        path = spark.sparkContext.getCheckpointDir()
+    return path.rstrip("/")
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: its plan is not repeated by each reader, and lost executors lose nothing."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def folded(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Callable[[dict, pa.RecordBatch], pa.RecordBatch], schema: str, arrow: pa.Schema) -> DataFrame:
+    """A sequential fold of each series over its sorted rows: ``step(state, rows)`` sees a series' rows in pieces and gives rows with the keys.
+
+    A series streams through one task in Arrow batches with a state of fixed size, so its length bounds time and not memory.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, {}
+        for batch in batches:
+            at = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)) if batch.num_rows else []
+            start = 0
+            for i in [*[i for i in range(1, len(at)) if at[i] != at[i - 1]], len(at)] if at else []:
+                if at[start] != now:
+                    now, state = at[start], {}
+                out = step(state, batch.slice(start, i - start))
+                if out.num_rows:
+                    yield pa.RecordBatch.from_arrays([out.column(f.name).cast(f.type) for f in arrow], schema=arrow)
+                start = i
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -6,29 +6,35 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Lags in seconds that are tried on either side of 0; fixed values.
 LAG_SECONDS = (1, 2, 5, 10, 15, 30, 60, 120, 300)
 
 
-def lag_steps(step_s: float, duration_s: float) -> list[int]:
-    """The lags in steps, limited to 300 s and a third of the duration."""
-    most = min(300.0, duration_s / 3)
-    out = {0} | {int(s / step_s) for s in LAG_SECONDS if s <= most and s >= step_s}
+def lag_steps(step_s: float) -> list[int]:
+    """The lags in steps."""
+    out = {0} | {int(s / step_s) for s in LAG_SECONDS if s >= step_s}
     return sorted(out | {-x for x in out})
 
 
+def span_steps(df: DataFrame) -> DataFrame:
+    """One row: how many steps the series (idx) span."""
+    return df.agg((F.max("idx") + 1).alias("steps"))
+
+
 def candidate_pairs(c: DataFrame) -> DataFrame:
     """Ordered pairs of candidates (rank, metric, base) with different base metrics; the list is capped before (T03), so this is a join of a dozen rows."""
     a, b = c.select([F.col(x).alias(f"{x}_a") for x in c.columns]), c.select([F.col(x).alias(f"{x}_b") for x in c.columns])
-    return a.join(F.broadcast(b), (F.col("rank_a") < F.col("rank_b")) & (F.col("base_a") != F.col("base_b")))
+    return a.join(b, (F.col("rank_a") < F.col("rank_b")) & (F.col("base_a") != F.col("base_b")))
 
 
-def lag_join(df: DataFrame, pairs: DataFrame, lags: Sequence[int]) -> DataFrame:
-    """(pair, lag, x, y): x[i + lag] with y[i] for every pair (pair, a, b) of series in ``df`` (series, idx, value); lags spread the rows, joins are equi-joins."""
-    left = df.join(F.broadcast(pairs), F.col("series") == F.col("a")).withColumn("lag", F.explode(F.array(*[F.lit(x).cast("long") for x in lags]))).select("pair", "lag", "b", (F.col("idx") - F.col("lag")).alias("i"), F.col("value").cast("double").alias("x"))
+def lag_join(df: DataFrame, pairs: DataFrame, lags: Sequence[int], span: DataFrame | None = None) -> DataFrame:
+    """(pair, lag, x, y): x[i + lag] with y[i] for every pair (pair, a, b) of series in ``df`` (series, idx, value); lags spread the rows, joins are equi-joins. With ``span`` only lags of up to a third of it."""
+    left = df.join(pairs, F.col("series") == F.col("a")).withColumn("lag", F.explode(F.array(*[F.lit(x).cast("long") for x in lags]))).select("pair", "lag", "b", (F.col("idx") - F.col("lag")).alias("i"), F.col("value").cast("double").alias("x"))
+    if span is not None:
+        left = left.join(F.broadcast(span), F.abs("lag") * 3 <= F.col("steps"))  # one row
     right = df.select(F.col("series").alias("b"), F.col("idx").alias("i"), F.col("value").cast("double").alias("y"))
     return left.join(right, ["b", "i"]).select("pair", "lag", "x", "y")
 
@@ -49,9 +55,9 @@ def best_lag(r: DataFrame, step_s: float, least: int = 5) -> DataFrame:
     return g.select("pair", F.col("b.lag").alias("lag"), (F.col("b.lag") * step_s).alias("lag_s"), F.col("b.r").alias("r"), F.col("b.n").alias("n"))
 
 
-def correlate(df: DataFrame, pairs: DataFrame, step_s: float, duration_s: float) -> DataFrame:
-    """Every pair's best lag, strongest first."""
-    return best_lag(xcorr(lag_join(df, pairs, lag_steps(step_s, duration_s))), step_s).orderBy(F.desc(F.abs("r")), "pair")
+def correlate(df: DataFrame, pairs: DataFrame, step_s: float) -> DataFrame:
+    """Every pair's best lag of up to 300 s and a third of the span, strongest first."""
+    return best_lag(xcorr(lag_join(df, pairs, lag_steps(step_s), span_steps(df))), step_s).orderBy(F.desc(F.abs("r")), "pair")
 
 
 def _extreme(x: np.ndarray, y: np.ndarray, boxes: tuple, sign: float, rounds: int = 50) -> float:
@@ -117,7 +123,3 @@ def select_candidates(metrics: DataFrame, consumers: DataFrame, cap: int = 12) -
     extra = consumers.join(metrics, "metric", "left_anti").select("metric", F.lit(0.0).alias("salience"))
     d = metrics.select("metric", "salience").unionByName(extra).orderBy(F.desc("salience"), "metric").limit(cap)
     return d.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("salience"), "metric")))  # of at most ``cap`` rows
-
-
-def abs_r(c: str = "r") -> Column:
-    return F.abs(F.col(c))

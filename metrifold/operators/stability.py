@@ -1,7 +1,6 @@
 """Stability deviations of indexed series (keys, idx, value) and what follows from them.
 
-Estimators are the published ones (IEEE 1139), values taken as phase data at unit spacing. A tau's differences are
-joins of a series with itself at idx + m, so work is spread by (series, idx) whatever the series' lengths.
+Estimators are the published ones (IEEE 1139), values taken as phase data at unit spacing.
 """
 
 from __future__ import annotations
@@ -21,36 +20,41 @@ def taus_up_to(n: int) -> list[int]:
     return out
 
 
-def _spread(df: DataFrame, keys: Sequence[str], column: str = "value") -> DataFrame:
-    """Each point once for each tau that its series' length allows: keys, tau, n, idx, x."""
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    longest = sizes.agg(F.max("n")).first()[0] or 0
-    taus = F.array(*[F.lit(t).cast("long") for t in taus_up_to(longest)] or [F.lit(None).cast("long")])
-    d = df.select(*keys, "idx", F.col(column).cast("double").alias("x")).join(sizes, list(keys))
-    return d.withColumn("tau", F.explode(F.filter(taus, lambda t: t * 3 <= F.col("n"))))
+_TAUS = tuple(taus_up_to(3 * 10**12))
+_CHUNK = 4096
 
 
-def _shifted(d: DataFrame, keys: Sequence[str], times: int) -> DataFrame:
-    """x0 .. x_times at idx, idx + tau, ..."""
-    out = d.withColumnRenamed("x", "x0")
-    for k in range(1, times + 1):
-        later = d.select(*keys, "tau", (F.col("idx") - k * F.col("tau")).alias("idx"), F.col("x").alias(f"x{k}"))
-        out = out.join(later, [*keys, "tau", "idx"])
-    return out
+def _differences(df: DataFrame, keys: Sequence[str], order: int, column: str = "value", spare: int = 0) -> DataFrame:
+    """(keys, tau, x0 .. x_order): the points at idx, idx + tau, ... for each tau that the series' length allows.
+
+    Points that are a multiple of tau apart have one residue. A point goes once to its residue for each tau, in chunks
+    of at most _CHUNK points (the first few of a chunk stand at the end of the one before too), and the differences
+    are leads there: one exchange, and no task holds a series. ``spare`` rows of a series are no points.
+    """
+    sizes = df.groupBy(*keys).agg((F.count("*") - spare).alias("n"))
+    d = df.select(*keys, "idx", F.col(column).cast("double").alias("x0")).join(sizes, list(keys))
+    d = d.select(*keys, "idx", "x0", F.explode(F.filter(F.array(*[F.lit(t).cast("long") for t in _TAUS]), lambda t: t * 3 <= F.col("n"))).alias("tau"))
+    place = F.call_function("div", F.col("idx"), F.col("tau"))
+    chunk = F.call_function("div", place, F.lit(_CHUNK))
+    early = (place % _CHUNK < order) & (chunk > 0)
+    d = d.select(*keys, "idx", "x0", "tau", (F.col("idx") % F.col("tau")).alias("r"), F.explode(F.when(early, F.array(chunk - 1, chunk)).otherwise(F.array(chunk))).alias("chunk"))
+    w = Window.partitionBy(*keys, "tau", "r", "chunk").orderBy("idx")
+    return d.select(*keys, "tau", "x0", *[F.lead("x0", k).over(w).alias(f"x{k}") for k in range(1, order + 1)]).where(F.col(f"x{order}").isNotNull())
 
 
 def allan(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, tau, dev): Allan deviation."""
-    d = _shifted(_spread(df, keys), keys, 2)
     second = F.col("x2") - 2 * F.col("x1") + F.col("x0")
-    return d.groupBy(*keys, "tau").agg(F.sqrt(F.sum(second * second) / (2.0 * F.col("tau") * F.col("tau") * F.count("*"))).alias("dev"))
+    return _differences(df, keys, 2).groupBy(*keys, "tau").agg(F.sqrt(F.sum(second * second) / (2.0 * F.col("tau") * F.col("tau") * F.count("*"))).alias("dev"))
+
+
+def _third() -> Column:
+    return F.col("x3") - 3 * F.col("x2") + 3 * F.col("x1") - F.col("x0")
 
 
 def hadamard(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, tau, dev): Hadamard deviation."""
-    d = _shifted(_spread(df, keys), keys, 3)
-    third = F.col("x3") - 3 * F.col("x2") + 3 * F.col("x1") - F.col("x0")
-    return d.groupBy(*keys, "tau").agg(F.sqrt(F.sum(third * third) / (6.0 * F.col("tau") * F.col("tau") * F.count("*"))).alias("dev"))
+    return _differences(df, keys, 3).groupBy(*keys, "tau").agg(F.sqrt(F.sum(_third() * _third()) / (6.0 * F.col("tau") * F.col("tau") * F.count("*"))).alias("dev"))
 
 
 def _sums_before(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -63,11 +67,9 @@ def _sums_before(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def mod_allan(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, tau, dev): modified Allan deviation, by differences of running sums."""
-    d = _spread(_sums_before(df, keys), keys, "s")
-    d = _shifted(d.withColumn("n", F.col("n") - 1).where(F.col("tau") * 3 <= F.col("n")), keys, 3)
-    block = F.col("x3") - 3 * F.col("x2") + 3 * F.col("x1") - F.col("x0")
     t = F.col("tau").cast("double")
-    return d.groupBy(*keys, "tau").agg(F.sqrt(F.sum(block * block) / (2.0 * t * t * t * t * F.count("*"))).alias("dev"))
+    d = _differences(_sums_before(df, keys), keys, 3, "s", spare=1)
+    return d.groupBy(*keys, "tau").agg(F.sqrt(F.sum(_third() * _third()) / (2.0 * t * t * t * t * F.count("*"))).alias("dev"))
 
 
 DEVIATIONS = {"allan": allan, "hadamard": hadamard, "mod_allan": mod_allan}
@@ -110,29 +112,33 @@ def dev_at(devs: DataFrame, keys: Sequence[str], wanted: DataFrame) -> DataFrame
 
 
 def smoothing_tau(devs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The most confident cycle's tau, else 15, 30 or 60 steps by noise class."""
+    """The most confident cycle's tau, else by noise class 15 steps for phase noise, 60 for random and flicker walk, and 30."""
     best = cycle_minima(devs, keys).groupBy(*keys).agg(F.max_by("tau", F.struct("confidence", -F.col("tau"))).alias("cycle"))
-    steps = F.when(F.col("noise").isin("WhitePhase", "FlickerPhase"), 15).when(F.col("noise") == "FlickerFrequency", 30).otherwise(60)
+    steps = F.when(F.col("noise").isin("WhitePhase", "FlickerPhase"), 15).when(F.col("noise").isin("RandomWalk", "FlickerWalk"), 60).otherwise(30)
     return noise_class(devs, keys).join(best, list(keys), "left").select(*keys, "noise", F.coalesce("cycle", steps.cast("long")).alias("tau"))
 
 
 def smooth(df: DataFrame, keys: Sequence[str], width: Column | int) -> DataFrame:
-    """Centred moving mean of ``width`` points (a column or number); the first and last ``width`` points at the edges; unchanged if width <= 2 or n < 2 width.
+    """Centred moving mean; unchanged if width <= 2 or n < 2 width.
 
-    The width may differ by series, so the mean is a difference of running sums joined at computed bounds.
+    Inside the series it spans half the width (rounded down) on either side of a point and the point itself; nearer
+    to an end than that, the first or last ``width`` points. The width (a column or number) may differ by series, so
+    the mean is a difference of running sums joined at computed bounds.
     """
     d = df.withColumn("w", (width if isinstance(width, Column) else F.lit(width)).cast("long"))
     run = Window.partitionBy(*keys).orderBy("idx")
     n = F.count("*").over(Window.partitionBy(*keys))
     d = d.withColumns({"n": n, "s": F.sum(F.col("value").cast("double")).over(run)})
-    half = F.floor(F.col("w") / 2)
-    start = F.greatest(F.lit(0), F.least(F.col("idx") - half, F.col("n") - F.col("w")))
-    d = d.withColumns({"from": (start - 1).cast("long"), "to": (start + F.col("w") - 1).cast("long")})
+    half, i = F.floor(F.col("w") / 2), F.col("idx")
+    early, late = i < half, i + half >= F.col("n")
+    start = F.when(early, 0).when(late, F.col("n") - F.col("w")).otherwise(i - half)
+    end = F.when(early, F.col("w")).when(late, F.col("n")).otherwise(i + half + 1)
+    d = d.withColumns({"from": (start - 1).cast("long"), "to": (end - 1).cast("long")})
     at = d.select(*keys, F.col("idx").alias("__i"), F.col("s").alias("__s"))
     hi = at.withColumnsRenamed({"__i": "to", "__s": "s_to"})
     lo = at.withColumnsRenamed({"__i": "from", "__s": "s_from"})
     j = d.join(hi, [*keys, "to"], "left").join(lo, [*keys, "from"], "left")
-    mean = (F.col("s_to") - F.coalesce("s_from", F.lit(0.0))) / F.col("w")
+    mean = (F.col("s_to") - F.coalesce("s_from", F.lit(0.0))) / (F.col("to") - F.col("from"))
     out = F.when((F.col("w") <= 2) | (F.col("n") < 2 * F.col("w")), F.col("value").cast("double")).otherwise(mean)
     return j.withColumn("smoothed", out).drop("w", "n", "s", "from", "to", "s_to", "s_from")
 
@@ -143,12 +149,14 @@ def noise_transitions(df: DataFrame, keys: Sequence[str], kind: str = "allan") -
 
 
 def all_noise_transitions(df: DataFrame, keys: Sequence[str], kinds: Sequence[str] = tuple(DEVIATIONS)) -> DataFrame:
-    """Windows of max(n/4, 50) points, each half over the last: where the deviation at tau max(w/10, 2) doubles or halves.
+    """Windows of max(n/4, 50) points, each half over the last: where the deviation at tau max(w/10, 2) more than doubles or halves.
+
+    Series of at least 100 points; confidence is 0.8 beyond a ratio of 3 or 0.33, else 0.7.
 
     One pass serves all kinds: each point goes to the up to four differences that it is part of, and these are gathered by
     (series, window, idx). Differences that reach beyond a window lack a part, so they are null and not counted.
     """
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("w", F.greatest(F.floor(F.col("n") / 4), F.lit(50)).cast("long")).where("w <= n").withColumn("m", F.greatest(F.floor(F.col("w") / 10), F.lit(2)).cast("long"))
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("w", F.greatest(F.floor(F.col("n") / 4), F.lit(50)).cast("long")).where("n >= 100").withColumn("m", F.greatest(F.floor(F.col("w") / 10), F.lit(2)).cast("long"))
     hop = F.floor(F.col("w") / 2)
     d = _sums_before(df, keys).join(sizes, list(keys)).withColumn("win", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("idx") - F.col("w") - 1) / hop) + 1).cast("long"), F.floor(F.col("idx") / hop).cast("long"))))
     end = F.col("win") * hop + F.col("w")
@@ -164,5 +172,5 @@ def all_noise_transitions(df: DataFrame, keys: Sequence[str], kinds: Sequence[st
     devs = devs.select(*keys, "win", "w", F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("dev")) for kind in kinds])))
     ratio = F.try_divide(F.col("dev"), F.lag("dev").over(Window.partitionBy(*keys, "kind").orderBy("win")))
     out = devs.withColumn("ratio", ratio).where((F.col("ratio") > 2) | (F.col("ratio") < 0.5))
-    conf = F.lit(0.5) + F.when((F.col("ratio") > 3) | (F.col("ratio") < 1 / 3), 0.3).otherwise(0.0) + F.when((F.col("ratio") > 5) | (F.col("ratio") < 0.2), 0.2).otherwise(0.0)
+    conf = F.when((F.col("ratio") > 3) | (F.col("ratio") < 0.33), 0.8).otherwise(0.7)
     return out.select(*keys, (F.col("win") * F.floor(F.col("w") / 2)).cast("long").alias("idx"), "kind", "dev", "ratio", conf.alias("confidence"))

@@ -258,9 +258,9 @@ def j07(s, d):
     return out.select("metric", "step", *[r6(c, 7).alias(c) for c in ("baseline", "experiment", "delta")])
 
 
-@query("j08_divergence", f"WITH {G}, {_DAYS}, s AS (SELECT metric, usr % 2 AS arm, ts_ns, round(sum(value),6) AS v FROM dy WHERE usr < 20 GROUP BY ALL) SELECT coalesce(a.metric,b.metric) AS metric, coalesce(a.ts_ns,b.ts_ns) AS ts_ns, CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN least(a.v,b.v) END AS lower, CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN greatest(a.v,b.v) END AS upper FROM (SELECT * FROM s WHERE arm=0) a FULL JOIN (SELECT * FROM s WHERE arm=1) b ON a.metric=b.metric AND a.ts_ns=b.ts_ns")
+@query("j08_divergence", f"WITH {G}, {_DAYS}, s AS (SELECT metric, usr % 2 AS arm, ts_ns, round(sum(value),6) AS v FROM dy GROUP BY ALL) SELECT coalesce(a.metric,b.metric) AS metric, coalesce(a.ts_ns,b.ts_ns) AS ts_ns, CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN least(a.v,b.v) END AS lower, CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN greatest(a.v,b.v) END AS upper FROM (SELECT * FROM s WHERE arm=0) a FULL JOIN (SELECT * FROM s WHERE arm=1) b ON a.metric=b.metric AND a.ts_ns=b.ts_ns")
 def j08(s, d):
-    g = _daily(s, d).where("usr < 20").groupBy("metric", (F.col("usr") % 2).alias("arm"), "ts_ns").agg(r6(F.sum("value")).alias("value"))
+    g = _daily(s, d).groupBy("metric", (F.col("usr") % 2).alias("arm"), "ts_ns").agg(r6(F.sum("value")).alias("value"))
     return M.divergence(g.where("arm = 0"), g.where("arm = 1"), ["metric"])
 
 

@@ -47,7 +47,7 @@ def stream_rate(sdf: DataFrame, key: str = "series") -> DataFrame:
 
 
 def stream_cusum(sdf: DataFrame, baseline: DataFrame, key: str = "series", k: float = 1.0, h: float = 6.0) -> DataFrame:
-    """Alarms of the two-sided CUSUM against a frozen baseline (key, mean, sd): two sums of state for each series."""
+    """Alarms of the two-sided CUSUM against a frozen baseline (key, mean, sd): two sums of state for each series; the one that alarms starts anew."""
 
     def alarms(s: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         up, down = state.get if state.exists else (0.0, 0.0)
@@ -55,13 +55,16 @@ def stream_cusum(sdf: DataFrame, baseline: DataFrame, key: str = "series", k: fl
         rows = pd.concat(list(batches)).sort_values("ts_ns")
         for ts, z in zip(rows["ts_ns"].tolist(), rows["z"].tolist(), strict=True):
             up, down = max(0.0, up + z - k), max(0.0, down - z - k)
-            if up > h or down > h:
-                out.append((s[0], ts, "up" if up > h else "down"))
-                up = down = 0.0
+            if up > h:
+                out.append((s[0], ts, "up"))
+                up = 0.0
+            if down > h:
+                out.append((s[0], ts, "down"))
+                down = 0.0
         state.update((up, down))
         yield pd.DataFrame(out, columns=[key, "ts_ns", "side"])
 
-    d = sdf.join(F.broadcast(baseline.where("sd > 1e-10")), key).select(F.col(key).cast("string").alias(key), "ts_ns", ((F.col("value") - F.col("mean")) / F.col("sd")).alias("z"))
+    d = sdf.join(baseline.where("sd > 0"), key).select(F.col(key).cast("string").alias(key), "ts_ns", ((F.col("value") - F.col("mean")) / F.col("sd")).alias("z"))
     return d.groupBy(key).applyInPandasWithState(alarms, f"{key} string, ts_ns long, side string", "up double, down double", "append", GroupStateTimeout.NoTimeout)
 
 

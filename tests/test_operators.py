@@ -45,20 +45,6 @@ def test_double_exp_needs_two_samples(spark):
     assert R.double_exp(samples(spark, [1, 2, 3, 4]), ["k"], 0.5, 0.5).first().value == pytest.approx(4.0)
 
 
-def test_cusum_equals_a_loop(spark):
-    rng = np.random.default_rng(5)
-    v = np.concatenate([rng.normal(0, 1, 100), rng.normal(2, 1, 100)])
-    d = R.indexed(samples(spark, v), ["k"])
-    got = sorted((r.idx, r.side) for r in N.cusum(d, ["k"], 1.0, 6.0).collect())
-    z, up, down, want = (v - v.mean()) / v.std(), 0.0, 0.0, []
-    for i, x in enumerate(z):
-        up, down = max(0, up + x - 1), max(0, down - x - 1)
-        if up > 6 or down > 6:
-            want.append((i, "up" if up > 6 else "down"))
-            up = down = 0.0
-    assert got == want
-
-
 def test_a_level_shift_is_a_change_point(spark):
     v = [10 + (i % 3) * 0.1 for i in range(100)] + [20 + (i % 3) * 0.1 for i in range(100)]
     d = R.indexed(samples(spark, v), ["k"])
@@ -66,53 +52,6 @@ def test_a_level_shift_is_a_change_point(spark):
     assert any(abs(r.idx - 100) <= 15 and r.after > r.before for r in got)
 
 
-def test_detect_scores_a_spike(spark):
-    v = [10 + math.sin(i) for i in range(120)]
-    v[60] = 500
-    got = N.detect(R.indexed(samples(spark, v), ["k"]), ["k"]).collect()
-    assert any(r.idx in (60, 61) and r.severity in ("Medium", "High", "Critical") for r in got)
-
-
-def _window_devs(x, kind):
-    """A loop over the windows: {start: deviation}."""
-    w = max(len(x) // 4, 50)
-    m = max(w // 10, 2)
-    out = {}
-    for start in range(0, len(x) - w + 1, w // 2):
-        v = np.array(x[start : start + w], float)
-        if kind == "hadamard":
-            d, scale = v[3 * m :] - 3 * v[2 * m : -m] + 3 * v[m : -2 * m] - v[: -3 * m], 6.0 * m * m
-        else:
-            d, scale = v[2 * m :] - 2 * v[m:-m] + v[: -2 * m], 2.0 * m * m
-        if kind == "mod_allan":
-            d = np.convolve(d, np.ones(m), "valid") / m
-        out[start] = math.sqrt((d * d).sum() / (scale * len(d)))
-    return out
-
-
-NOISY = [10 + np.sin(i * 1.7) * (0.1 if i < 200 else 8.0) for i in range(403)]
-
-
-@pytest.mark.parametrize("kind", ["allan", "hadamard", "mod_allan"])
-def test_noise_transitions_equal_a_loop(spark, kind):
-    devs = _window_devs(NOISY, kind)
-    starts = sorted(devs)
-    want = {b: (devs[b], devs[b] / devs[a]) for a, b in zip(starts, starts[1:]) if not 0.5 <= devs[b] / devs[a] <= 2}
-    got = {r.idx: (r.dev, r.ratio) for r in T.noise_transitions(R.indexed(samples(spark, NOISY), ["k"]), ["k"], kind).collect()}
-    assert want and sorted(got) == sorted(want)
-    for i in want:
-        assert got[i] == pytest.approx(want[i], rel=1e-6)
-
-
-def test_detect_scores_noise_transitions(spark):
-    d = R.indexed(samples(spark, NOISY), ["k"])
-    got = {r.idx: r.score for r in N.detect(d, ["k"]).collect()}
-    for kind in T.DEVIATIONS:
-        for r in T.noise_transitions(d, ["k"], kind).collect():
-            bonus = 1.0 if r.ratio > 3 or r.ratio < 0.33 else 0.5
-            assert got[r.idx] >= N.WEIGHTS[kind][0] * r.confidence + bonus - 1e-9
-
-
 def test_r_band_is_nominal_for_points_and_wider_for_boxes(spark):
     rows = [("p", float(i), float(i), float(i), 2.0 * i, 2.0 * i, 2.0 * i) for i in range(20)] + [("q", float(i), i - 3.0, i + 3.0, i + (-1.0) ** i, i - 4.0, i + 4.0) for i in range(20)]
     got = {r.pair: r for r in C.r_band(spark.createDataFrame(rows, "pair string, x double, xlo double, xhi double, y double, ylo double, yhi double")).collect()}
@@ -205,7 +144,7 @@ def test_overview_is_deterministic(spark):
     v = [10 + (i % 3) * 0.1 for i in range(70)] + [30 + (i % 3) * 0.1 for i in range(70)]
     d = R.indexed(samples(spark, v).withColumnRenamed("k", "metric"), ["metric"])
     flat = R.indexed(samples(spark, [5] * 70, "flat").withColumnRenamed("k", "metric"), ["metric"])
-    f = O.extract_features(d.unionByName(flat)).orderBy("metric").collect()
+    f = O.extract_features(d.unionByName(flat))["metrics"].orderBy("metric").collect()
     assert [(r.metric, r.status) for r in f] == [("a", "Analyzed"), ("flat", "Constant")]
     assert f[0].tier == "Full" and f[1].tier == "Summary" and f[1].anomalies == 0
     rank = spark.createDataFrame([("cpu", 1, "x")], "domain string, rank long, name string")
