@@ -64,7 +64,7 @@ def _range_of(column: str, bounds: list[int]) -> Column:
     return F.when(block == 0, 0).otherwise((block - 1) * step + inside)
 
 
-def fingerprint(docs: DataFrame, rows_a_range: int = 10_000, most_ranges: int = 16_384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint(docs: DataFrame, rows_a_range: int = 4_000, most_ranges: int = 16_384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each row.
 
     The next document is found within ranges of doc_id, each a sort that may spill; only each range's first row is
