@@ -6,8 +6,11 @@ folded into a parity bitmap, so that the population count of the XOR of two bitm
 differ, closely for high similarities. Equal shingle sets fall together by digest, so copies cost no pairs.
 Within a band bucket every member is held against one centre (a star, not all pairs); pairs whose sketches
 allow the threshold are confirmed on the full sets. Buckets that still hold several components get a second
-star with other centres, and what is left after that is compared in bounded blocks of sketches, so that no
-link between different texts is lost and no task holds a whole bucket.
+star with other centres. The members of what is left are dealt again by bands of more samples, which part texts
+that only share a template; two stars later, pairs of different components in buckets that are still open are
+compared in bounded blocks of sketches. So a link is missed only if no band finds it: with a chance of at most
+MISS at the threshold for either set of bands, less above it. Buckets and centres of any size are dealt to tasks by
+parts of at most about SALT rows.
 
 Defined cases: null or empty text and text without words have no shingles and link with nothing; a text of
 fewer than ``k`` words is one shingle; rows with a null id are returned unlinked (component null, kept);
@@ -28,48 +31,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metrifold.llm.common import small_batches, texts, written
+from metrifold.llm.pieces import let_go
 
 SKETCH_BITS = 2048
 SAMPLES = 1024
 BLOCK = 512
+SALT = 512
+CLOSER = 900  # samples at most of the bands that open buckets are dealt by again
 MISS = 1.5e-5
 _WORDS = SKETCH_BITS // 64
 
 
-def bands_for(percent: int) -> tuple[int, int]:
-    """(bands, rows): the longest rows for which at most 160 samples miss a pair at the threshold less often than MISS."""
+def bands_for(percent: int, most: int = 160) -> tuple[int, int]:
+    """(bands, rows): the longest rows for which at most ``most`` samples miss a pair at the threshold less often than MISS."""
     j, best = percent / 100, (1, 1)
     for rows in range(1, 17):
         bands = math.ceil(math.log(MISS) / math.log1p(-(j**rows))) if j < 1 else 1
-        if bands * rows <= 160:
+        if bands * rows <= most:
             best = (bands, rows)
     return best
 
 
-class _WordIds(dict):
-    """word -> 64-bit id; bounded, long words are not kept."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            if len(self) >= 500_000:
-                self.clear()
-            self[word] = value
-        return value
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: bytes | None, k: int, ids: _WordIds) -> np.ndarray:
+def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; bytes.lower and bytes.split treat exactly A-Z and ASCII space."""
     words = text.lower().split() if text else []
     if not words:
         return np.empty(0, np.uint64)
-    w = np.fromiter(map(ids.__getitem__, words), np.uint64, len(words))
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = max(1, len(w) - k + 1)
     h = np.full(n, min(k, len(w)), np.uint64)
     for i in range(min(k, len(w))):
@@ -77,8 +71,8 @@ def shingle_set(text: bytes | None, k: int, ids: _WordIds) -> np.ndarray:
     return np.unique(h)
 
 
-def _signer(k: int, percent: int):
-    bands, rows = bands_for(percent)
+def _signer(percent: int, most: int = 160):
+    bands, rows = bands_for(percent, most)
     samples = bands * rows
     rng = np.random.default_rng(20240229)
     mult = rng.integers(1, 2**63, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -101,16 +95,17 @@ def _signer(k: int, percent: int):
     return sign
 
 
-def signatures(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def signatures(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text", most: int = 160) -> DataFrame:
     """(doc_id, n_shingles, digest, bands, sketch) of each row; digest to sketch are null without shingles."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sign = _WordIds(), _signer(k, percent)
+        let_go()
+        sign = _signer(percent, most)
         for batch in batches:
             out: dict = {name: [] for name in schema.names}
             for text in texts(batch):
-                s = shingle_set(text, k, ids)
+                s = shingle_set(text, k)
                 keys, sketch = sign(s) if len(s) else (None, None)
                 out["n_shingles"].append(len(s))
                 out["digest"].append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
@@ -167,9 +162,11 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     seen = None
     while True:
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that both sides of the join are dealt anew and a hot node's part can be split
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), label)
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large, label)
+        low2 = written(large.groupBy("u").agg(F.min("v").alias("m")), label)
         small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(low2.select("u", F.col("m").alias("v"))).distinct()
         now = written(small, label)
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -181,6 +178,26 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     return members.unionAll(roots).select(F.col("u").alias("node"), "component")
 
 
+def _parts(n: str = "n") -> Column:
+    return F.ceil(F.col(n) / SALT).cast("int")
+
+
+def _part_of(other: str) -> Column:
+    """The part that a row of a group of ``n`` goes to, by another of its columns."""
+    return F.pmod(F.xxhash64(other), _parts()).cast("int").alias("part")
+
+
+def _each_part(df: DataFrame) -> DataFrame:
+    """A group's row (with its size ``n``) once for each part of the group."""
+    return df.withColumn("part", F.explode(F.sequence(F.lit(0), _parts() - 1))).drop("n")
+
+
+def _attach(pairs: DataFrame, side: str, other: str, rows: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, n) with the columns of ``rows`` (side, ...): no pair's side occurs in more than ``n`` pairs, so a hot one is dealt to parts."""
+    sizes = pairs.groupBy(side).agg(F.max("n").alias("n"))
+    return pairs.withColumn("part", _part_of(other)).join(_each_part(sizes.join(rows, side)), [side, "part"]).drop("part")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, label: str) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -188,44 +205,51 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, label: s
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _WordIds()
         for batch in batches:
             keep, last, sb = [], None, None
             for ta, tb in zip(texts(batch, "ta"), texts(batch, "tb"), strict=True):
                 if tb != last:
-                    last, sb = tb, shingle_set(tb, k, ids)
-                sa = shingle_set(ta, k, ids)
+                    last, sb = tb, shingle_set(tb, k)
+                sa = shingle_set(ta, k)
                 both = len(np.intersect1d(sa, sb, assume_unique=True))
                 keep.append(100 * both >= percent * (len(sa) + len(sb) - both) and both > 0)
             yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}, schema=schema).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(used.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    return left.join(used.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+    left = _attach(pairs, "a", "b", used.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")))
+    return _attach(left, "b", "a", used.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))).select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+
+
+def _buckets(signed: DataFrame, label: str) -> DataFrame:
+    """(key, rep, n, comp) of the buckets of several members, from (rep, bands)."""
+    banded = signed.select("rep", F.explode("bands").alias("key"))
+    shared = written(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"{label}-keys")  # so that a hot key's part can be split
+    return written(banded.join(shared, "key").select("key", "rep", "n", F.col("rep").alias("comp")), label)
 
 
 def _star(buckets: DataFrame, sketches: DataFrame, percent: int, salt: int) -> DataFrame:
-    """(a, b): each bucket member with the bucket's centre, where they are of different components and the sketches allow a link."""
+    """(a, b, n): each bucket member with the bucket's centre, where they are of different components and the sketches allow a link."""
     order = F.col("rep") if not salt else F.xxhash64("rep", F.lit(salt))
-    centre = buckets.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("rep"), F.col("comp").alias("comp"))).alias("c"))
-    pairs = buckets.join(centre.select("key", F.col("c.rep").alias("b"), F.col("c.comp").alias("cb")), "key").where("comp <> cb").select(F.col("rep").alias("a"), "b").distinct()
+    centre = buckets.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("rep"), F.col("comp").alias("comp"))).alias("c"), F.max("n").alias("n"))
+    centre = centre.select("key", F.col("c.rep").alias("b"), F.col("c.comp").alias("cb"), "n")
+    pairs = buckets.withColumn("part", _part_of("rep")).join(_each_part(centre), ["key", "part"]).where("comp <> cb").groupBy(F.col("rep").alias("a"), "b").agg(F.max("n").alias("n"))
     s = sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"), F.col("size").alias("na"))
     t = sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"), F.col("size").alias("nb"))
-    return pairs.join(s, "a").join(t, "b").where(_alike(percent)).select("a", "b")
+    return _attach(pairs.join(s, "a"), "b", "a", t).where(_alike(percent)).select("a", "b", "n")
 
 
 def _open_buckets(buckets: DataFrame, comps: DataFrame) -> DataFrame:
     """Buckets whose members still lie in several components, with the members' components."""
-    now = buckets.select("key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    keys = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("key", "n")
-    return now.join(keys, "key")
+    now = buckets.select("key", "rep", "n").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    keys = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("n").alias("n")).where("x <> y").select("key", "n")
+    return now.withColumn("part", _part_of("rep")).join(_each_part(keys), ["key", "part"]).drop("part")
 
 
 def _blocks(buckets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """(a, b): every pair of different components in an open bucket whose sketches allow a link; pairs of bounded blocks are compared, only hits are rows."""
+    """(a, b, n): every pair of different components in an open bucket whose sketches allow a link; pairs of bounded blocks are compared, only hits are rows."""
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = buckets.join(sketches, "rep").withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    rows = rows.select("key", "rep", "comp", "sketch", "size", "mine", other).select("key", "rep", "comp", "sketch", "size", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    rows = rows.select("key", "n", "rep", "comp", "sketch", "size", "mine", other).select("key", "n", "rep", "comp", "sketch", "size", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         sk = np.array(pdf["sketch"].tolist(), np.int64).view(np.uint64).reshape(len(pdf), _WORDS)
@@ -240,10 +264,10 @@ def _blocks(buckets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
                 held = np.minimum(size[near], SAMPLES) + min(size[i], SAMPLES)
                 ratio = np.minimum(size[near], size[i]) / np.maximum(size[near], size[i])
                 near = near[apart <= _limit(percent, held.astype(float), ratio=ratio)]
-                found += [(rep[i], x) for x in rep[near]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                found += [(rep[i], x, pdf["n"].iat[0]) for x in rep[near]]
+        return pd.DataFrame(found, columns=["a", "b", "n"], dtype="int64")
 
-    return rows.groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long").distinct()
+    return rows.groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long, n long").groupBy("a", "b").agg(F.max("n").alias("n"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,20 +280,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     own = usable.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     own = written(own.select(F.col("doc_id").alias("rep"), "bands", "sketch", F.col("n_shingles").alias("size")), "own-signatures")
     sketches = own.select("rep", "sketch", "size")
-    banded = own.select("rep", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = written(banded.join(shared, "key").select("key", "rep", "n", F.col("rep").alias("comp")), "buckets")
+    buckets = _buckets(own, "buckets")
 
     # One pass gathers the texts that may be compared; the merge join is asked for so that its plan is the same at every size.
     held = buckets.select(F.col("rep").alias("doc_id")).distinct()
     plain = written(plain.hint("merge").join(held.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
     edges = written(_confirmed(written(_star(buckets, sketches, percent, 0), "pairs"), plain, k, percent, "star"), "edges")
     comps = written(connected_components(edges), "components")
-    for salt in (1, 0):
+    for salt in (1, 2, 3, None):
         left = written(_open_buckets(buckets, comps), "open")
+        if salt == 2 and not left.isEmpty():
+            members = left.select(F.col("rep").alias("doc_id")).distinct()
+            closer = signatures(plain.join(members, "doc_id", "left_semi"), k, percent, most=CLOSER)
+            buckets = _buckets(written(closer.select(F.col("doc_id").alias("rep"), "bands"), "closer-signatures"), "closer-buckets")
+            left = written(_open_buckets(buckets, comps), "open")
         if left.isEmpty():
             break
-        pairs = written(_star(left, sketches, percent, salt) if salt else _blocks(left, sketches, percent), "pairs")
+        pairs = written(_blocks(left, sketches, percent) if salt is None else _star(left, sketches, percent, salt), "pairs")
         if pairs.isEmpty():
             continue
         edges = written(edges.unionAll(_confirmed(pairs, plain, k, percent, "more")), "edges")

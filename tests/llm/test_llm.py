@@ -103,6 +103,25 @@ def test_near_duplicates_of_a_dense_group(spark):
     assert got == brute_classes(rows, 3, 85)
 
 
+def test_near_duplicates_of_a_shared_template(spark, monkeypatch):
+    """Texts that share four fifths with everyone and more with their own few: buckets stay open until they are dealt again, parts and blocks are small."""
+    monkeypatch.setattr(near_dedup, "SALT", 16)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(60):
+        own = base[:230] + [f"g{i}w{j}" for j in range(70)]
+        for c in range(4):
+            w = list(own)
+            for _ in range(rnd.choice([0, 3, 8])):
+                w[rnd.randrange(len(w))] = f"x{rnd.randrange(10**6)}"
+            rows.append((4 * i + c, " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(d, 3, 85).collect()}
+    assert got == brute_classes(rows, 3, 85)
+
+
 def test_near_duplicates_on_edges(edge, empty):
     got = near_dedup.near_duplicates(edge, 3, 85).collect()
     assert len(got) == edge.count()
@@ -116,7 +135,7 @@ def test_near_duplicates_on_edges(edge, empty):
 
 
 def test_odd_sketches_never_refuse_a_link():
-    sign = near_dedup._signer(3, 85)
+    sign = near_dedup._signer(85)
     rng = np.random.default_rng(3)
     for n in (20, 200, 1500, 6000):
         a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
