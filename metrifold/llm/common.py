@@ -46,6 +46,14 @@ def small_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
             spark.conf.set(key, str(most))
 
 
+def free_name(columns: list[str], wish: str) -> str:
+    """``wish`` with as many underscores before it as make it a name that no column has (Spark does not tell cases apart)."""
+    taken = {c.lower() for c in columns}
+    while wish.lower() in taken:
+        wish = f"_{wish}"
+    return wish
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
     """The UTF-8 bytes of a string column, None where null."""
     return batch.column(column).cast(pa.binary()).to_pylist()

@@ -3,12 +3,16 @@
 The base kinds are three patterns: a named assignment (``assign``), an access key id (``access``) and a long
 lower-case hexadecimal run (``hex``), each leftmost and non-overlapping, with a least length. Beyond them,
 base64 and hexadecimal candidates are decoded and reported only when their bytes parse: a signed token whose
-header and payload are JSON objects and whose header names an algorithm (``jwt``), a private key in DER whose
-nested lengths add up (``der``; hexadecimal ``hexder``), an OpenSSH key whose length-prefixed fields add up
-(``openssh``), and PEM blocks around either (``pem``). A decoded text is searched once more for the same.
+header and payload are JSON objects and whose header names an algorithm (``jwt``; it may lack a signature only where
+the algorithm is none), a private key in DER whose versions and nested lengths add up (``der``), an OpenSSH key whose
+length-prefixed fields, as many as its key count asks for, add up (``openssh``), and PEM blocks around either, with
+RFC 1421 headers too (``pem``). Base64 may be wrapped over lines, and a key may begin after a separator inside a run;
+its own length says where it ends. Of an odd run of hexadecimal digits either end may be the one too many. Decoded
+text is searched for the same again, ``depth`` encodings deep.
 
 Defined cases: null text is empty and holds nothing; repeated rows are scanned as often as they come; offsets
-are code points, the end exclusive; spans of the base kinds are never dropped for those of the method.
+are code points, the end exclusive; spans of the base kinds are never dropped for those of the method; extra columns
+of whatever name are kept as they are.
 """
 
 from __future__ import annotations
@@ -24,17 +28,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metrifold.llm.common import small_batches
+from metrifold.llm.common import free_name, small_batches
 
-KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "openssh", "hexder")
+KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "openssh")
+DEPTH = 2
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # a match takes the whole run, so the length can stand in the pattern
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _NAMES = ("pass", "secret", "token", "api")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
+_DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)+")
+_ARMOUR = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)-----")
+_HEADER = re.compile(r"\s*[A-Za-z0-9-]+:[^\n]*(?:\n[ \t][^\n]*)*(?:\n|$)")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{32,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)*={0,2}")
+_STARTS = re.compile(r"(?<![A-Za-z0-9])(?=M[A-P])|(?=b3BlbnNzaC1rZXktdjEA)")  # the first bytes of a DER sequence and of an OpenSSH key
 _ANYHEX = re.compile(r"[0-9A-Fa-f]{64,}")
+_OPENSSH = b"openssh-key-v1\x00"
+#: Object identifiers of RSA and EC keys in PKCS#8; fixed values.
+_RSA, _EC = bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce3d0201")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -80,42 +90,80 @@ def _children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | No
     return out
 
 
-def is_der_key(data: bytes) -> bool:
-    """A private key: RSA (nine integers), EC (version 1, octets) or PKCS#8 (version, algorithm, octets), with lengths that add up."""
+def _number(data: bytes, part: tuple[int, int, int]) -> int:
+    return int.from_bytes(data[part[1] : part[2]], "big", signed=True) if part[2] - part[1] <= 4 else -1
+
+
+def der_form(data: bytes) -> str | None:
+    """Which private key it is, with all lengths adding up: rsa (version and eight integers), dsa (version 0 and five), ec (version 1, octets, its tagged fields) or pkcs8 around a key of its algorithm."""
     top = _tlv(data, 0, len(data))
     if top is None or top[0] != 0x30 or top[2] != len(data):
-        return False
+        return None
     parts = _children(data, top[1], top[2])
-    if not parts:
-        return False
-    tags = [p[0] for p in parts]
-    if len(tags) >= 9 and tags[:9] == [2] * 9:
-        return True
-    if tags[:2] == [2, 4] and data[parts[0][1] : parts[0][2]] == b"\x01":
-        return True
-    if tags[:3] == [2, 0x30, 4]:
-        inner = _children(data, *parts[1][1:])
-        return bool(inner) and inner[0][0] == 6
-    return False
+    if not parts or parts[0][0] != 2:
+        return None
+    tags, version = [p[0] for p in parts], _number(data, parts[0])
+    if tags == [2] * 9 or tags == [2] * 9 + [0x30]:
+        return "rsa" if version == len(tags) - 9 else None
+    if tags == [2] * 6:
+        return "dsa" if version == 0 else None
+    if tags[:2] == [2, 4] and version == 1:
+        return "ec" if set(tags[2:]) <= {0xA0, 0xA1} and parts[1][2] > parts[1][1] else None
+    if tags[:3] == [2, 0x30, 4] and version in (0, 1) and set(tags[3:]) <= {0xA0, 0x81, 0xA1}:
+        algorithm, octets = _children(data, *parts[1][1:]), data[parts[2][1] : parts[2][2]]
+        if not algorithm or algorithm[0][0] != 6:
+            return None
+        name, inner = data[algorithm[0][1] : algorithm[0][2]], _tlv(octets, 0, len(octets))
+        if name in (_RSA, _EC):
+            return "pkcs8" if der_form(octets) == ("rsa" if name == _RSA else "ec") else None
+        return "pkcs8" if inner is not None and inner[2] == len(octets) and inner[0] in (2, 4, 0x30) else None
+    return None
 
 
-def is_openssh_key(data: bytes) -> bool:
-    magic = b"openssh-key-v1\x00"
-    if not data.startswith(magic):
+def is_der_key(data: bytes) -> bool:
+    return der_form(data) is not None
+
+
+def is_encrypted_key(data: bytes) -> bool:
+    """PKCS#8 under encryption: an algorithm and octets."""
+    top = _tlv(data, 0, len(data))
+    parts = _children(data, top[1], top[2]) if top and top[0] == 0x30 and top[2] == len(data) else None
+    if not parts or [p[0] for p in parts] != [0x30, 4]:
         return False
-    at = len(magic)
-    for field in range(6):
+    algorithm = _children(data, *parts[0][1:])
+    return bool(algorithm) and algorithm[0][0] == 6
+
+
+def _openssh_end(data: bytes) -> int | None:
+    """Where an OpenSSH key ends: three strings, the count, so many public keys and the private part; None unless all fit."""
+    if not data.startswith(_OPENSSH):
+        return None
+    at, left = len(_OPENSSH), 3
+    while left >= 0:
         if at + 4 > len(data):
-            return False
-        size = int.from_bytes(data[at : at + 4], "big")
-        at += 4
-        if field != 3:  # the fourth is a count, the others are sized strings
-            at += size
-    return at <= len(data)
+            return None
+        size, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+        if left:
+            at, left = at + size, left - 1
+        elif not 1 <= size <= len(data) // 4:
+            return None
+        else:
+            for _ in range(size + 1):
+                if at + 4 > len(data):
+                    return None
+                at += 4 + int.from_bytes(data[at : at + 4], "big")
+            return at if at <= len(data) else None
+        if at > len(data):
+            return None
+    return None
+
+
+def is_openssh_key(data: bytes) -> bool:
+    return _openssh_end(data) == len(data)
 
 
 def _json_object(s: str) -> dict | None:
-    raw = _b64(s)
+    raw = _b64(s) if s[:1] == "e" else None  # of an opening brace
     if not raw or raw[:1] != b"{":
         return None
     try:
@@ -125,38 +173,127 @@ def _json_object(s: str) -> dict | None:
     return out if isinstance(out, dict) else None
 
 
-def is_jwt(header: str, payload: str) -> bool:
+def is_jwt_header(header: str, signed: bool) -> bool:
     head = _json_object(header)
-    return head is not None and isinstance(head.get("alg"), str) and _json_object(payload) is not None
+    alg = head.get("alg") if head is not None else None
+    return isinstance(alg, str) and (signed or alg.lower() == "none")
 
 
-def confirmed_spans(text: str, depth: int = 1) -> list[tuple[str, int, int]]:
-    """Candidates whose decoded bytes parse as keys or signed tokens."""
+def _tokens(text: str) -> list[tuple[str, int, int]]:
+    """Signed tokens at any three neighbouring segments of a dotted run; a header may follow a separator inside its segment."""
     out = []
-    if "." in text and "ey" in text:
-        out += [("jwt", m.start(), m.end()) for m in _JWT.finditer(text) if is_jwt(m[1], m[2])]
-    if "PRIVATE KEY-----" in text:
-        for m in _PEM.finditer(text):
-            data = _b64("".join(m[2].split()))
-            if data and (is_der_key(data) or is_openssh_key(data) or "ENCRYPTED" in m[1] and _tlv(data, 0, len(data))):
-                out.append(("pem", m.start(), m.end()))
-    for m in _BASE64.finditer(text):
-        data = _b64(m[0])
-        if not data:
+    for m in _DOTTED.finditer(text):
+        parts = m[0].split(".")
+        ends = [m.start() - 1]
+        for part in parts:
+            ends.append(ends[-1] + 1 + len(part))
+        for i in range(len(parts) - 1):
+            if _json_object(parts[i + 1]) is None:
+                continue
+            signed = i + 2 < len(parts) and parts[i + 2] != ""
+            for cut in re.finditer(r"(?:^|(?<=[_-]))e[w-z]", parts[i]):
+                if is_jwt_header(parts[i][cut.start() :], signed):
+                    out.append(("jwt", ends[i] + 1 + cut.start(), ends[min(i + 3, len(parts))]))
+                    break
+    return out
+
+
+def _blocks(text: str) -> list[tuple[str, int, int]]:
+    """PEM blocks: each BEGIN with the next mark, where that is its END."""
+    out, begin = [], None
+    for m in _ARMOUR.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m
+        elif begin is not None and begin[2] == m[2]:
+            body, headers = text[begin.end() : m.start()].replace("\\r", "").replace("\\n", "\n"), ""
+            while h := _HEADER.match(body):
+                body, headers = body[h.end() :], headers + h[0]
+            data = _b64("".join(body.split())) or b""
+            cipher = "ENCRYPTED" in headers and "DEK-Info:" in headers and len(data) >= 16 and len(data) % 8 == 0
+            if cipher or is_der_key(data) or is_openssh_key(data) or "ENCRYPTED" in m[2] and is_encrypted_key(data):
+                out.append(("pem", begin.start(), m.end()))
+            begin = None
+    return out
+
+
+def _kind(data: bytes, depth: int) -> str | None:
+    """What decoded bytes hold."""
+    if data[:1] == b"\x30" and is_der_key(data):
+        return "der"
+    if is_openssh_key(data):
+        return "openssh"
+    if depth and data.isascii() and (inner := confirmed_spans(data.decode("ascii"), depth - 1)):
+        return inner[0][0]
+    return None
+
+
+def _encoded(text: str, depth: int) -> list[tuple[str, int, int]]:
+    """Base64 runs, whole or from a key's beginning to where its own length ends, over line breaks too."""
+    out = []
+    for m in _RUN.finditer(text):
+        first = m[0].split("\n", 1)[0].rstrip("\r")
+        if (data := _b64(first)) and (kind := _kind(data, depth)):
+            out.append((kind, m.start(), m.start() + len(first)))
             continue
-        if data[0] == 0x30 and is_der_key(data):
-            out.append(("der", m.start(), m.end()))
-        elif is_openssh_key(data):
-            out.append(("openssh", m.start(), m.end()))
-        elif depth and data.isascii() and (inner := confirmed_spans(data.decode("ascii"), depth - 1)):
-            out.append((inner[0][0], m.start(), m.end()))
+        places = [i for i, c in enumerate(m[0]) if c not in "\r\n\t "] if "\n" in m[0] else range(len(m[0]))
+        joined = "".join(map(m[0].__getitem__, places)) if "\n" in m[0] else m[0]
+        done, breaks = 0, {k for k in range(1, len(places)) if places[k] > places[k - 1] + 1}
+        starts = {x.start() for x in _STARTS.finditer(joined)} | {k for k in breaks if _STARTS.match(joined[k : k + 20])}
+        for at in sorted(starts):
+            head = _b64(joined[at : at + 8]) or b""
+            if at < done or len(head) < 6:
+                continue
+            bare = joined[at:].rstrip("=")
+            if head[0] == 0x30:
+                extra = head[1] & 0x7F if head[1] >= 0x80 else 0
+                size = 2 + extra + int.from_bytes(head[2 : 2 + extra], "big") if extra else 2 + head[1]
+                chars = -(-size * 4 // 3)
+                if extra > 4 or size < 24 or chars > len(bare) or not is_der_key(_b64(bare[:chars]) or b""):
+                    continue
+                kind = "der"
+            else:
+                whole = _b64(bare[: len(bare) // 4 * 4]) or b""
+                size = _openssh_end(whole if len(bare) % 4 < 2 else _b64(bare) or b"")
+                if size is None:
+                    continue
+                chars, kind = -(-size * 4 // 3), "openssh"
+            end = at + chars
+            while end < len(joined) and joined[end] == "=" and (end - at) % 4:
+                end += 1
+            out.append((kind, m.start() + places[at], m.start() + places[end - 1] + 1))
+            done = end
+        if not done and "\n" in m[0]:  # the other lines by themselves, and all lines as one text
+            at = m.start()
+            for line in m[0].split("\n"):
+                word = line.strip()
+                if at > m.start() and len(word) >= 32 and (data := _b64(word)) and (kind := _kind(data, depth)):
+                    begin = at + line.index(word)
+                    out.append((kind, begin, begin + len(word)))
+                at += len(line) + 1
+            if (data := _b64(joined)) and (kind := _kind(data, depth)):
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def _hexed(text: str, depth: int) -> list[tuple[str, int, int]]:
+    out = []
     for m in _ANYHEX.finditer(text):
-        data = bytes.fromhex(m[0][: len(m[0]) // 2 * 2])
-        if data[0] == 0x30 and is_der_key(data):
-            out.append(("hexder", m.start(), m.end()))
+        n = len(m[0])
+        for at in (0, 1) if n % 2 else (0,):
+            if kind := _kind(bytes.fromhex(m[0][at : at + n // 2 * 2]), depth):
+                out.append((kind, m.start() + at, m.start() + at + n // 2 * 2))
+                break
     return out
 
 
+def confirmed_spans(text: str, depth: int = DEPTH) -> list[tuple[str, int, int]]:
+    """Candidates whose decoded bytes parse as keys or signed tokens."""
+    out = _tokens(text) if ".e" in text else []
+    if "PRIVATE KEY-----" in text:
+        out += _blocks(text)
+    return out + _encoded(text, depth) + _hexed(text, depth)
+
+
 def _ordered(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     return sorted(set(spans), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
@@ -175,7 +312,7 @@ def redacted(text: str, spans: list[tuple[str, int, int]], mark: str = "[SECRET]
     return "".join([*out, text[at:]])
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of each row."""
     small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
@@ -188,28 +325,29 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 for kind in KINDS[:3]:
                     out[f"n_{kind}"].append(sum(s[0] == kind for s in base))
                 out["base_sha256"].append(hashlib.sha256(joined(base).encode()).hexdigest())
-                out["spans"].append(joined(base + confirmed_spans(text or "")))
+                out["spans"].append(joined(base + confirmed_spans(text or "", depth)))
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", depth: int = DEPTH) -> DataFrame:
     """``docs`` with every found span of ``text_col`` replaced by ``mark``; n_chars, where there is one, is set anew for changed rows."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def clean(series):
-        return series.map(lambda t: t if t is None else redacted(t, base_spans(t) + confirmed_spans(t), mark))
+        return series.map(lambda t: t if t is None else redacted(t, base_spans(t) + confirmed_spans(t, depth), mark))
 
-    out = docs.withColumn("__clean", clean(F.col(text_col)))
+    clear = free_name(docs.columns, "clean")
+    out = docs.withColumn(clear, clean(F.col(text_col)))
     columns = []
     for name in docs.columns:
         if name == text_col:
-            columns.append(F.col("__clean").alias(name))
+            columns.append(F.col(clear).alias(name))
         elif name == "n_chars":
-            columns.append(F.when(F.col("__clean") == F.col(text_col), F.col(name)).otherwise(F.char_length("__clean").cast("long")).alias(name))
+            columns.append(F.when(F.col(clear) == F.col(text_col), F.col(name)).otherwise(F.char_length(clear).cast("long")).alias(name))
         else:
             columns.append(F.col(name))
     return out.select(columns)

@@ -279,19 +279,85 @@ def _der(tag, body):
     return bytes([tag]) + size + body
 
 
-def test_structure_is_confirmed():
+def _keys():
+    """(kind, bytes) of sound keys, and of bytes that only look like some."""
+    num = lambda x: _der(2, x)
+    rsa = _der(0x30, num(b"\x00") + b"".join(num(bytes([5 + i]) * 40) for i in range(8)))
+    ec = _der(0x30, num(b"\x01") + _der(4, b"\x07" * 32) + _der(0xA0, _der(6, b"\x2a\x86\x48\xce\x3d\x03\x01\x07")))
+    dsa = _der(0x30, num(b"\x00") + b"".join(num(bytes([9 + i]) * 30) for i in range(5)))
+    oid = lambda h: _der(0x30, _der(6, bytes.fromhex(h)) + b"\x05\x00")
+    pkcs8 = _der(0x30, num(b"\x00") + oid("2a864886f70d010101") + _der(4, rsa))
+    ed = _der(0x30, num(b"\x00") + _der(0x30, _der(6, bytes.fromhex("2b6570"))) + _der(4, _der(4, b"\x03" * 32)))
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    ssh = b"openssh-key-v1\x00" + b"".join(map(field, (b"none", b"none", b""))) + (2).to_bytes(4, "big") + b"".join(map(field, (b"publ", b"second", b"p" * 61)))
+    good = [("der", x) for x in (rsa, ec, dsa, pkcs8, ed)] + [("openssh", ssh)]
+    bad = [rsa[:-1], _der(0x30, num(b"\x07") + b"".join(num(b"\x01" * 40) for _ in range(8))), _der(0x30, num(b"\x02") + _der(4, b"\x07" * 32)), _der(0x30, num(b"\x00") + oid("2a864886f70d010101") + _der(4, ec)), ssh[:-1], ssh.replace(b"\x00\x00\x00\x02", b"\x00\x00\x00\x09", 1), random.Random(2).randbytes(90)]
+    return good, bad
+
+
+def _jwt(alg="HS256", signature="c2lnbmF0dXJl"):
     import base64
 
-    b64 = lambda x: base64.b64encode(x).decode()
-    rsa = _der(0x30, b"".join(_der(2, b"\x01" * 40) for _ in range(9)))
-    ec = _der(0x30, _der(2, b"\x01") + _der(4, b"\x07" * 32))
     url = lambda o: base64.urlsafe_b64encode(json.dumps(o).encode()).decode().rstrip("=")
-    jwt = f"{url({'alg': 'HS256'})}.{url({'sub': 'x'})}.c2ln"
-    ssh = b"openssh-key-v1\x00" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + (4).to_bytes(4, "big") + b"publ" + (4).to_bytes(4, "big") + b"priv"
-    for text, kind in ((b64(rsa), "der"), (b64(ec), "der"), (jwt, "jwt"), (b64(ssh), "openssh"), (rsa.hex(), "hexder"), (b64(jwt.encode()), "jwt"), (f"-----BEGIN RSA PRIVATE KEY-----\n{b64(rsa)}\n-----END RSA PRIVATE KEY-----", "pem")):
-        assert any(k == kind for k, _, _ in secrets.confirmed_spans(f"é {text} x")), kind
-    for text in (b64(rsa[:-1]), b64(b"\x30\x82" + os.urandom(60)), f"{url({'typ': 'x'})}.{url({})}.z", b64(os.urandom(64)), "A" * 64, rsa.hex()[:-2]):
-        assert not secrets.confirmed_spans(f"é {text} x")
+    return f"{url({'alg': alg, 'typ': 'JWT'})}.{url({'sub': 'x', 'n': 17})}.{signature}"
+
+
+def test_structures_are_found_where_they_stand():
+    """Each sound key in each encoding, glued and wrapped in each way, gives one span: its own place."""
+    import base64
+
+    good, bad = _keys()
+    b64 = lambda x: base64.b64encode(x).decode()
+    wrap = lambda t, n, end: end.join(t[i : i + n] for i in range(0, len(t), n))
+    forms = {
+        "plain": b64, "no padding": lambda x: b64(x).rstrip("="), "url": lambda x: base64.urlsafe_b64encode(x).decode(), "hex": bytes.hex, "HEX": lambda x: x.hex().upper(),
+        "lines": lambda x: wrap(b64(x), 64, "\n"), "dos lines": lambda x: wrap(b64(x), 76, "\r\n"), "indented": lambda x: wrap(b64(x), 64, "\n    "), "twice": lambda x: b64(b64(x).encode()), "hex of base64": lambda x: b64(x).encode().hex(),
+    }
+    for kind, key in good:
+        for name, form in forms.items():
+            text = form(key)
+            for before, after in (("é ", " x"), ("k=", "\n"), ("", "")):
+                whole = before + text + after
+                assert (kind, len(before), len(before) + len(text)) in secrets.confirmed_spans(whole), (kind, name, before)
+        for before in ("user/", "id-", "a+b/"):  # a key after a separator in the run
+            text = b64(key).rstrip("=")
+            assert (kind, len(before), len(before) + len(text)) in secrets.confirmed_spans(before + text), (kind, before)
+        assert (kind, 66, 66 + len(forms["lines"](key).rstrip("="))) in [(k, a, b - forms["lines"](key).count("=")) for k, a, b in secrets.confirmed_spans("ab" * 32 + "x\n" + forms["lines"](key))] or kind == "openssh"
+        label = "OPENSSH PRIVATE KEY" if kind == "openssh" else "PRIVATE KEY"
+        for end in ("\n", "\\n"):
+            pem = f"-----BEGIN {label}-----{end}{wrap(b64(key), 64, end)}{end}-----END {label}-----"
+            assert ("pem", 2, 2 + len(pem)) in secrets.confirmed_spans(f"é {pem} x")
+    for data in bad:
+        for name, form in forms.items():
+            assert not secrets.confirmed_spans(f"é {form(data)} x"), name
+    odd = "a" + good[0][1].hex()
+    assert ("der", 3, 2 + len(odd)) in secrets.confirmed_spans(f"é {odd} x")
+
+
+def test_signed_tokens_and_armour():
+    import base64
+
+    jwt = _jwt()
+    for before in ("", "user_session.", "a.b.", "session_", "x-", "eyJ9."):
+        assert ("jwt", len(before), len(before) + len(jwt)) in secrets.confirmed_spans(before + jwt), before
+    assert secrets.confirmed_spans(_jwt("none", "")) and not secrets.confirmed_spans(_jwt("HS256", ""))
+    assert not secrets.confirmed_spans(jwt.replace("eyJ", "eyI", 1)) and not secrets.confirmed_spans("a.b.c" * 50)
+    assert ("jwt", 0, 2 * len(jwt)) in secrets.confirmed_spans(jwt.encode().hex())
+    body = base64.b64encode(random.Random(1).randbytes(64)).decode()
+    old = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00AA\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    assert ("pem", 0, len(old)) in secrets.confirmed_spans(old)
+    assert not [k for k in secrets.confirmed_spans(old.replace("DEK-Info", "Other")) if k[0] == "pem"]
+    deep = base64.b64encode(base64.b64encode(jwt.encode())).decode()
+    assert secrets.confirmed_spans(deep) and not secrets.confirmed_spans(deep, depth=1)
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    for text in ("A" * 500_000, "MIIEow" * 80_000, "eyJ." * 100_000, "-----BEGIN PRIVATE KEY-----" * 20_000, "0" * 400_001, "ab/MIIE" * 60_000, "e_" * 100_000 + ".e", "eyJ_" * 10_000 + "." + _jwt().split(".")[1] + ".x", ("Q" * 64 + "\n") * 5_000):
+        began = time.process_time()
+        secrets.confirmed_spans(text)
+        assert time.process_time() - began < 20, text[:8]
 
 
 def test_secrets_on_edges(edge, empty):
