@@ -202,17 +202,26 @@ def test_scan_on_edges(edge, empty, bench):
     rows = [tuple(r) for r in edge.select("doc_id", "text").collect()]
     want = brute_hits(rows, [tuple(r) for r in bench.collect()], 13)
     for words in (200_000, 0):
-        got = decontaminate.digest_columns(decontaminate.scan(edge.where("doc_id is not null") if not words else edge, bench, 13, broadcast_words=words)).collect()
-        assert sorted(map(tuple, got), key=str) == [w for w in want if words or w[0] is not None]
-    assert decontaminate.scan(empty, bench).count() == 0
-    assert decontaminate.scan(edge, bench.limit(0)).where("n_hit > 0").count() == 0
+        got = decontaminate.digest_columns(decontaminate.scan(edge, bench, 13, broadcast_words=words)).collect()
+        assert sorted(map(tuple, got), key=str) == want
+        assert decontaminate.scan(empty, bench, broadcast_words=words).count() == 0
+        assert decontaminate.scan(edge, bench.limit(0), broadcast_words=words).where("n_hit > 0").count() == 0
+        for spans in (True, False):
+            out = decontaminate.remove_contaminated(edge, bench, spans=spans, broadcast_words=words)
+            assert out.columns == edge.columns and out.count() == (edge.count() if spans else sum(not w[5] for w in want))
 
 
 def test_spans_are_cut_out(spark, bench):
-    d = spark.createDataFrame([(1, "é say ALPHA-beta, gamma! end", "x"), (2, "clean", "y")], "doc_id long, text string, other string")
-    got = {r.doc_id: r for r in decontaminate.remove_contaminated(d, bench, spans=True).collect()}
-    assert got[1].text == "é say ! end" and got[2].text == "clean" and got[1].other == "x"
-    assert [r.doc_id for r in decontaminate.remove_contaminated(d, bench).collect()] == [2]
+    """The same spans both ways, in long texts with many hits too."""
+    long = " é ".join(["alpha beta gamma", "clean", "two words"] * 3000)
+    d = spark.createDataFrame([(1, "é say ALPHA-beta, gamma! end", "x"), (2, "clean", "y"), (3, long, "z"), (None, "one two words", "n")], "doc_id long, text string, other string")
+    for words in (200_000, 0):
+        got = {r.doc_id: r for r in decontaminate.remove_contaminated(d, bench, spans=True, broadcast_words=words).collect()}
+        assert got[1].text == "é say ! end" and got[2].text == "clean" and got[1].other == "x" and got[None].text == "one "
+        assert got[3].text == " é ".join(["", "clean", ""] * 3000)
+        assert [r.doc_id for r in decontaminate.remove_contaminated(d, bench, broadcast_words=words).collect()] == [2]
+    a, b = (sorted(map(str, decontaminate.scan(d, bench, broadcast_words=words).collect())) for words in (200_000, 0))
+    assert a == b
 
 
 # --- 3 fingerprints ------------------------------------------------------------------------------------------------
