@@ -2,13 +2,15 @@
 
 States are a role's first line and its further lines. What a line shows (a speaker marker and its kind, its
 length, how it begins and ends) is one small code; transitions and emissions are smoothed counts over all
-labelled rows. Viterbi runs by segments of at most ``SEGMENT`` turns: each segment gives the best score from
-every first to every last state, the segments of a transcript are then joined by their ends alone, and each is
-decoded between its fixed ends. So no task holds a long transcript, and the result is that of one Viterbi run.
+labelled rows. Viterbi runs by segments: the lines of ``SEGMENT`` turns stream through a task in pieces of at most
+``LINES`` lines. Each piece gives the best score from every first to every last state, the pieces of a transcript are
+then joined by their ends alone, and each is decoded between its fixed ends. So a task holds the lines of one
+piece at a time, however long a turn or transcript is, and the result is that of one Viterbi run.
 Lines are then rendered as canonical turns: a header where a turn starts, an end mark where it stops.
 
 Defined cases: rows with a null conversation or turn have no place and are left out; null text is one empty
-line; an unknown or null role is not counted in the fit but is decoded; of rows that share conversation and turn
+line; an unknown or null role is not counted in the fit and is decoded as one of the three; a turn follows the one
+before it in its conversation, whatever numbers lie between; of rows that share conversation and turn
 all are kept, in the order of their texts' hashes; without any labelled row the model is uniform and gives the first role.
 """
 
@@ -16,18 +18,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import batched, chain, groupby, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metrifold.llm.common import small_batches
 
 ROLES = ("user", "assistant", "system")
 STATES = tuple((role, first) for role in ROLES for first in (True, False))
-SEGMENT = 512
+SEGMENT, LINES = 512, 4096
 #: Speaker markers by the side they stand for; fixed values.
 MARKERS = {"user": "user|human|customer|question|q|me", "assistant": "assistant|bot|ai|model|answer|agent|a", "system": "system|instructions|instruction|context"}
 _FORM = r"(?i)^\s*(?:#{{1,4}}\s*|\[|<\|?|\*\*)?(?:{})(?:\]|\|?>|\*\*)?(?:\s*[:>]|(?<=[\]>]))\s*"
@@ -118,8 +120,9 @@ def fit(lines: DataFrame) -> Hmm:
     for r in known.where("line_no > 0").groupBy("role", (F.col("line_no") == 1).alias("second")).count().collect():
         move[at[r["role"], r["second"]], at[r["role"], False]] += r["count"]
     turns = known.groupBy("conv_id", "turn").agg(F.min("role").alias("role"), F.max("line_no").alias("lines"))
-    after = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("before"), (F.col("lines") == 0).alias("single"))
-    for r in turns.join(after, ["conv_id", "turn"], "left").groupBy("role", "before", "single").count().collect():
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    after = turns.select("role", F.lag("role").over(w).alias("before"), (F.lag("lines").over(w) == 0).alias("single"))
+    for r in after.groupBy("role", "before", "single").count().collect():
         if r["before"] is None:
             start[at[r["role"], True]] += r["count"]
         else:
@@ -158,20 +161,20 @@ def parse(lines: DataFrame, model: Hmm | None = None) -> DataFrame:
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made() -> Iterator[tuple]:
             for (conv, seg), group in groupby(_rows(batches), key=lambda r: r[:2]):
-                group = list(group)
-                yield conv, seg, model.transfer([r[2] for r in group]).ravel().tolist()
+                for piece, some in enumerate(batched(group, LINES)):
+                    yield conv, seg, piece, model.transfer([r[2] for r in some]).ravel().tolist()
 
-        return _batches(made(), pa.schema([("conv_id", akind), ("seg", pa.int64()), ("m", pa.list_(pa.float64()))]))
+        return _batches(made(), pa.schema([("conv_id", akind), ("seg", pa.int64()), ("piece", pa.int64()), ("m", pa.list_(pa.float64()))]))
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made() -> Iterator[tuple]:
             for conv, group in groupby(_rows(batches), key=lambda r: r[0]):
                 group = list(group)
-                found = model.ends([np.array(r[2]).reshape(n, n) for r in group])
+                found = model.ends([np.array(r[3]).reshape(n, n) for r in group])
                 for i, r in enumerate(group):
-                    yield conv, r[1], *found[i], found[i - 1][1] if i else -1, found[i + 1][0] if i + 1 < len(group) else -1
+                    yield conv, r[1], r[2], *found[i], found[i - 1][1] if i else -1, found[i + 1][0] if i + 1 < len(group) else -1
 
-        return _batches(made(), pa.schema([("conv_id", akind), *((c, pa.int64()) for c in ("seg", "first", "last", "before", "after"))]))
+        return _batches(made(), pa.schema([("conv_id", akind), *((c, pa.int64()) for c in ("seg", "piece", "first", "last", "before", "after"))]))
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
@@ -180,21 +183,29 @@ def parse(lines: DataFrame, model: Hmm | None = None) -> DataFrame:
 
         def made() -> Iterator[tuple]:
             for _, group in groupby(_rows(batches), key=lambda r: r[:2]):
-                (*_, first, last, before, after), *group = group  # the ends come first
-                path = [before, *model.between([r[5] for r in group], first, last), after]
-                for i, r in enumerate(group, 1):
-                    new = lambda k: path[k] < 0 or path[k - 1] < 0 or STATES[path[k]][1] or STATES[path[k]][0] != STATES[path[k - 1]][0]
-                    role = STATES[path[i]][0]
-                    text = marker.sub("", r[4], count=1) if new(i) else r[4]
-                    text = (f"<|im_start|>{role}\n" if new(i) else "") + text + ("<|im_end|>\n" if path[i + 1] < 0 or new(i + 1) else "\n")
-                    yield r[0], r[2], r[3], role, bool(new(i)), text
+                bounds, row = [], next(group)
+                while row[5] is None:  # the pieces' ends come first, without a code
+                    bounds.append(row[6:])
+                    row = next(group)
+                lines = chain([row], group)
+                for first, last, before, after in bounds:
+                    yield from piece(list(islice(lines, LINES)), first, last, before, after)
+
+        def piece(rows: list[tuple], first: int, last: int, before: int, after: int) -> Iterator[tuple]:
+            path = [before, *model.between([r[5] for r in rows], first, last), after]
+            new = [path[k] < 0 or path[k - 1] < 0 or STATES[path[k]][1] or STATES[path[k]][0] != STATES[path[k - 1]][0] for k in range(1, len(path))]
+            for i, r in enumerate(rows):
+                role = STATES[path[i + 1]][0]
+                text = marker.sub("", r[4], count=1) if new[i] else r[4]
+                text = (f"<|im_start|>{role}\n" if new[i] else "") + text + ("<|im_end|>\n" if path[i + 2] < 0 or new[i + 1] else "\n")
+                yield r[0], r[2], r[3], role, bool(new[i]), text
 
         return _batches(made(), pa.schema([("conv_id", akind), ("turn", pa.int64()), ("line_no", pa.int64()), ("role", pa.string()), ("starts", pa.bool_()), ("rendered", pa.string())]))
 
-    # Only codes are shuffled to find the ends; the lines move once, with each segment's ends as a row before them.
+    # Only codes are shuffled to find the ends; the lines move once, with the ends of each segment's pieces as rows before them.
     coded = rows.select(*order, "code").repartition(*key).sortWithinPartitions(*order)
-    matrices = coded.select(*key, "code").mapInArrow(transfers, f"conv_id {kind}, seg long, m array<double>")
-    bounds = matrices.repartition("conv_id").sortWithinPartitions(*key).mapInArrow(ends, f"conv_id {kind}, seg long, first long, last long, before long, after long")
+    matrices = coded.select(*key, "code").mapInArrow(transfers, f"conv_id {kind}, seg long, piece long, m array<double>")
+    bounds = matrices.repartition("conv_id").sortWithinPartitions(*key, "piece").mapInArrow(ends, f"conv_id {kind}, seg long, piece long, first long, last long, before long, after long")
     both = rows.withColumn("is_line", F.lit(1)).unionByName(bounds.withColumn("is_line", F.lit(0)), allowMissingColumns=True)
-    ordered = both.repartition(*key).sortWithinPartitions(*key, "is_line", "turn", "line_no", "tie")
+    ordered = both.repartition(*key).sortWithinPartitions(*key, "is_line", "piece", "turn", "line_no", "tie")
     return ordered.select(*key, "turn", "line_no", "line", "code", "first", "last", "before", "after").mapInArrow(decoded, f"conv_id {kind}, turn long, line_no long, role string, starts boolean, rendered string")

@@ -486,7 +486,9 @@ def test_segments_give_the_whole_viterbi_path(spark, monkeypatch):
     model = transcripts.fit(lines)
     want = sorted(map(tuple, transcripts.parse(lines, model).collect()))
     monkeypatch.setattr(transcripts, "SEGMENT", 2)
-    assert sorted(map(tuple, transcripts.parse(lines, model).collect())) == want
+    for most in (4096, 3, 1):
+        monkeypatch.setattr(transcripts, "LINES", most)
+        assert sorted(map(tuple, transcripts.parse(lines, model).collect())) == want
     path = collections.defaultdict(list)
     for r in lines.withColumn("code", transcripts.line_code(F.col("line"))).orderBy("conv_id", "turn", "line_no", F.xxhash64("line")).collect():
         path[r.conv_id].append(r.code)
@@ -503,6 +505,41 @@ def test_segments_give_the_whole_viterbi_path(spark, monkeypatch):
     assert transcripts.parse(lines.limit(0), model).count() == 0
 
 
+def test_transcripts_on_edges(spark):
+    """Very long turns and lines, clashing columns, gaps between turns, empty tables, text ids; a fit that counts by hand."""
+    rows = [("a", 0, "user", "User: hi"), ("a", 5, "assistant", "Assistant: " + "x" * 200_000), ("a", 7, "user", "\n".join(["line"] * 9000)), ("b", 0, None, ""), ("b", 0, None, "")]
+    d = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string").select("*", *[F.lit("clash").alias(c) for c in ("seg", "piece", "code", "tie", "first", "is_line", "line_no")])
+    lines = transcripts.as_transcripts(d)
+    got = transcripts.parse(lines).collect()
+    assert len(got) == 1 + 1 + 9000 + 2 and {r.conv_id for r in got} == {"a", "b"}
+    text = "".join(r.rendered for r in sorted(got, key=lambda r: (r.conv_id, r.turn, r.line_no)))
+    assert text.count("<|im_start|>") == text.count("<|im_end|>") and text.count("line\n") >= 8999
+    assert transcripts.parse(transcripts.as_transcripts(d.limit(0))).count() == 0
+    plain = spark.createDataFrame([(1, 0, "user", "a"), (1, 3, "assistant", "b\nc"), (1, 4, "user", "d"), (2, 9, "system", "e")], "conv_id int, turn int, role string, text string")
+    m = transcripts.fit(transcripts.as_transcripts(plain))
+    at = {x: i for i, x in enumerate(transcripts.STATES)}
+    start, move = np.ones(6), np.full((6, 6), 0.1)
+    start[at["user", True]] += 1
+    start[at["system", True]] += 1
+    for x, y in ((("user", True), ("assistant", True)), (("assistant", True), ("assistant", False)), (("assistant", False), ("user", True))):
+        move[at[x], at[y]] += 1
+    assert np.allclose(np.exp(m.start), start / start.sum()) and np.allclose(np.exp(m.move), move / move.sum(axis=1, keepdims=True))
+    assert np.allclose(np.exp(m.show).sum(axis=1), 1)
+
+
+@have
+def test_roles_of_held_out_conversations(spark):
+    """The model never sees the conversations that it decodes."""
+    lines = transcripts.as_transcripts(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet"))
+    model = transcripts.fit(lines.where("pmod(xxhash64(conv_id), 5) > 0"))
+    held = lines.where("pmod(xxhash64(conv_id), 5) = 0")
+    j = transcripts.parse(held, model).join(held.select("conv_id", "turn", "line_no", F.col("role").alias("truth")), ["conv_id", "turn", "line_no"])
+    style = F.expr("pmod(crc32(cast(cast(conv_id as string) as binary)), 4) < 3").alias("marked")
+    got = {r.marked: r.right for r in j.groupBy(style).agg(F.avg((F.col("role") == F.col("truth")).cast("int")).alias("right")).collect()}
+    print("held-out role accuracy", got)
+    assert got[True] > 0.97 and got[False] > 0.6
+
+
 @have
 def test_marked_roles_are_recovered(spark):
     lines = transcripts.as_transcripts(spark.read.parquet(f"{DATA}/conversations.parquet"))
