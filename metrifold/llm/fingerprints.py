@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 K, S = 5, 2  # a window has four parts, so about half of the windows are anchors
 #: A unit ends after a digit, one of two vowels or a sign of a script without spaces, or where white space follows.
-ENDS = r"(?<=[eo0-9\u0E00-\u0EFF\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7A3])|[ \t\n\x0B\f\r]+"
+ENDS = r"[ \t\n\x0B\f\r]+|(?<=[eo0-9\u0E00-\u0EFF\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7A3])"
 
 
 def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
