@@ -8,7 +8,8 @@ labelled rows, and a last logistic model on the same scores combines the two. Ev
 
 Parameters: ``most_labelled`` and ``most_pool`` bound the sampled rows, chosen by a hash of doc_id; ``words`` the
 content vocabulary. A row is good when quality is 1 and toxic is not. Defined cases: rows of ``labels`` with a
-null id or null quality are ignored, repeated ones count once by their least values; without rows of both kinds
+null id or null quality are ignored, repeated ones count once by their least values (of repeated documents with several
+texts the least text is fitted on); without rows of both kinds
 every score is 1.0 and nothing is rejected; null text is empty, null metadata a value of its own; repeated
 documents are scored as often as they come; extra columns are kept.
 """
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metrifold.llm.common import small_batches, written
+from metrifold.llm.common import free_name, small_batches, written
 from metrifold.llm.decontaminate import words_of
 
 _UPPER = bytes(range(65, 91))
@@ -130,7 +131,7 @@ def _sampled(docs: DataFrame, labels: DataFrame, most_labelled: int, most_pool:
     pool = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64(F.col("doc_id"), F.lit(1)), "doc_id").limit(most_pool).distinct()
     pool = pool.join(known.join(F.broadcast(pool), "doc_id", "left_semi").select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit(None).cast("int").alias("good"))
     ids = chosen.unionByName(pool)  # at most most_labelled + most_pool rows of two numbers
-    return docs.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    return docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "source", "lang", "n_chars", "good")).alias("r")).select("doc_id", "r.*")
 
 
 def _vocabulary(sample: DataFrame, words: int, least: int) -> dict[bytes, int]:
@@ -236,7 +237,8 @@ def score_column(model: Model, columns: list[str]) -> Column:
     return score(have("text", "string"), have("source", "string"), have("lang", "string"), have("n_chars", "long"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options) -> DataFrame:
-    """``docs`` with ``quality_scores`` and ``accepted``: combined score of at least ``least``."""
+def classify(docs: DataFrame, labels: DataFrame, least: float = 0.5, scores: str = "quality_scores", accepted: str = "accepted", **options) -> DataFrame:
+    """``docs`` with ``scores`` and ``accepted``: combined score of at least ``least``. A name that ``docs`` has already gets underscores before it."""
     model = fit(docs, labels, **options)
-    return docs.withColumn("quality_scores", score_column(model, docs.columns)).withColumn("accepted", F.col("quality_scores.combined") >= least)
+    scores, accepted = free_name(docs.columns, scores), free_name(docs.columns, accepted)
+    return docs.withColumn(scores, score_column(model, docs.columns)).withColumn(accepted, F.col(f"{scores}.combined") >= least)
