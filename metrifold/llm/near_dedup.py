@@ -5,9 +5,9 @@ samples, and an Odd sketch: the bottom MinHash samples of one hash (all of a set
 folded into a parity bitmap, so that the population count of the XOR of two bitmaps estimates how many samples
 differ, closely for high similarities. Equal shingle sets fall together by digest, so copies cost no pairs.
 Within a band bucket every member is held against one centre (a star, not all pairs); pairs whose sketches
-allow the threshold are confirmed on the full sets. Buckets that still hold several components get a second
-star with other centres. The members of what is left are dealt again by bands of more samples, which part texts
-that only share a template; two stars later, pairs of different components in buckets that are still open are
+allow the threshold are confirmed on the full sets. The members of buckets that still hold several components are
+dealt again by bands of more samples, which part texts that only share a template; two stars with other centres
+later, pairs of different components in buckets that are still open are
 compared in bounded blocks of sketches. So a link is missed only if no band finds it: with a chance of at most
 MISS at the threshold for either set of bands, less above it. Buckets and centres of any size are dealt to tasks by
 parts of at most about SALT rows.
@@ -159,23 +159,19 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     Alternating large-star and small-star rounds: joins and minima only, so a hot node is split like any skewed join.
     """
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), label)
-    seen = None
     while True:
-        both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # written, so that both sides of the join are dealt anew and a hot node's part can be split
-        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), label)
+        # settled when every node has one label and those that are labels have their own
+        labels = now.unionAll(now.select(F.col("v").alias("u"), "v")).groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("x"))
+        labels = written(labels, label)
+        if labels.where("m <> x").isEmpty():
+            return labels.select(F.col("u").alias("node"), F.col("m").alias("component"))
+        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # the least neighbours are a table, so that both sides of the join are dealt anew and a hot node's part can be split
+        low = labels.select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large, label)
-        low2 = written(large.groupBy("u").agg(F.min("v").alias("m")), label)
+        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(low2.select("u", F.col("m").alias("v"))).distinct()
         now = written(small, label)
-        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == seen:
-            break
-        seen = state
-    members = now.groupBy("u").agg(F.min("v").alias("component"))
-    roots = members.select(F.col("component").alias("u")).distinct().select("u", F.col("u").alias("component"))
-    return members.unionAll(roots).select(F.col("u").alias("node"), "component")
 
 
 def _parts(n: str = "n") -> Column:
@@ -198,10 +194,10 @@ def _attach(pairs: DataFrame, side: str, other: str, rows: DataFrame) -> DataFra
     return pairs.withColumn("part", _part_of(other)).join(_each_part(sizes.join(rows, side)), [side, "part"]).drop("part")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, label: str) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold."""
+def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, both_hot: bool = False) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the threshold; an ``a`` occurs at most once for each band unless ``both_hot``."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    used = written(docs.join(need, "doc_id", "left_semi"), f"{label}-texts")
+    used = written(docs.join(need, "doc_id", "left_semi"), "pair-texts")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +211,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, label: s
                 keep.append(100 * both >= percent * (len(sa) + len(sb) - both) and both > 0)
             yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}, schema=schema).filter(pa.array(keep, pa.bool_()))
 
-    left = _attach(pairs, "a", "b", used.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")))
+    texts_a = used.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+    left = _attach(pairs, "a", "b", texts_a) if both_hot else pairs.join(texts_a, "a")
     return _attach(left, "b", "a", used.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))).select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
@@ -285,11 +282,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     # One pass gathers the texts that may be compared; the merge join is asked for so that its plan is the same at every size.
     held = buckets.select(F.col("rep").alias("doc_id")).distinct()
     plain = written(plain.hint("merge").join(held.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
-    edges = written(_confirmed(written(_star(buckets, sketches, percent, 0), "pairs"), plain, k, percent, "star"), "edges")
+    edges = written(_confirmed(written(_star(buckets, sketches, percent, 0), "pairs"), plain, k, percent), "edges")
     comps = written(connected_components(edges), "components")
-    for salt in (1, 2, 3, None):
+    for salt in (1, 2, None):
         left = written(_open_buckets(buckets, comps), "open")
-        if salt == 2 and not left.isEmpty():
+        if salt == 1 and not left.isEmpty():
             members = left.select(F.col("rep").alias("doc_id")).distinct()
             closer = signatures(plain.join(members, "doc_id", "left_semi"), k, percent, most=CLOSER)
             buckets = _buckets(written(closer.select(F.col("doc_id").alias("rep"), "bands"), "closer-signatures"), "closer-buckets")
@@ -299,7 +296,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         pairs = written(_blocks(left, sketches, percent) if salt is None else _star(left, sketches, percent, salt), "pairs")
         if pairs.isEmpty():
             continue
-        edges = written(edges.unionAll(_confirmed(pairs, plain, k, percent, "more")), "edges")
+        edges = written(edges.unionAll(_confirmed(pairs, plain, k, percent, salt is None)), "edges")
         comps = written(connected_components(edges), "components")
     label = sig.select("doc_id", "n_shingles", "digest").join(reps, "digest", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id")
