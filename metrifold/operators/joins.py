@@ -79,9 +79,9 @@ def annotate_samples(df: DataFrame, annotations: DataFrame, slot: int) -> DataFr
 
 def attribute(catalog: DataFrame, exact: DataFrame, prefixes: DataFrame, ambiguous: Sequence[str] = (), agent: str = "agent") -> DataFrame:
     """``subsystem`` of each metric: its sampler label, else for the agent's metrics the exact table, else the longest prefix that ends at an underscore; ambiguous names stay without."""
-    c = catalog.join(F.broadcast(exact.select("metric", F.col("subsystem").alias("__exact"))), "metric", "left")
+    c = catalog.join(exact.select("metric", F.col("subsystem").alias("__exact")), "metric", "left")
     heads = F.transform(F.sequence(F.lit(1), F.size(F.split("metric", "_"))), lambda n: F.array_join(F.slice(F.split("metric", "_"), F.lit(1), n), "_"))
-    hits = catalog.select("metric").distinct().withColumn("prefix", F.explode(heads)).join(F.broadcast(prefixes.select("prefix", F.col("subsystem").alias("__prefix"))), "prefix")
+    hits = catalog.select("metric").distinct().withColumn("prefix", F.explode(heads)).join(prefixes.select("prefix", F.col("subsystem").alias("__prefix")), "prefix")
     best = hits.groupBy("metric").agg(F.max_by("__prefix", F.length("prefix")).alias("__prefix"))
     c = c.join(best, "metric", "left")
     known = F.when((F.col("source") == agent) & ~F.col("metric").isin(*ambiguous), F.coalesce("__exact", "__prefix"))
@@ -100,11 +100,14 @@ def describe_metrics(catalog: DataFrame, by_source: DataFrame, top: DataFrame) -
 
 
 def pair_kpis(members: DataFrame, titles: DataFrame, available: DataFrame) -> DataFrame:
-    """(title, ok, missing): a category's KPIs, present in all members under each one's own title for it; the members without it otherwise."""
-    want = titles.select("title").distinct().crossJoin(F.broadcast(members.select("member"))).join(titles.select("title", "member", F.col("own_title")), ["title", "member"], "left")
+    """(category, title, ok, missing): a category's KPIs, present in all its members under each one's own title for it; the members without it otherwise.
+
+    ``members`` (category, member), ``titles`` (category, title, member, own_title), ``available`` (member, title).
+    """
+    want = titles.select("category", "title").distinct().join(members.select("category", "member"), "category").join(titles.select("category", "title", "member", "own_title"), ["category", "title", "member"], "left")
     have = available.select("member", F.col("title").alias("__t"), F.lit(True).alias("__have")).distinct()
     w = want.withColumn("__t", F.coalesce("own_title", "title")).join(have, ["member", "__t"], "left")
-    return w.groupBy("title").agg(F.bool_and(F.coalesce("__have", F.lit(False))).alias("ok"), F.array_sort(F.collect_list(F.when(F.col("__have").isNull(), F.col("member")))).alias("missing"))
+    return w.groupBy("category", "title").agg(F.bool_and(F.coalesce("__have", F.lit(False))).alias("ok"), F.array_sort(F.collect_list(F.when(F.col("__have").isNull(), F.col("member")))).alias("missing"))
 
 
 def common_labels(a: DataFrame, b: DataFrame, labels: Sequence[str]) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from metrifold.operators.base import MINUTE, SECOND, idiv, idiv_up, series, whole
+from metrifold.operators.base import MINUTE, SECOND, folded, idiv, idiv_up, series, whole
 
 
 def _over(keys: Sequence[str], range_ns: int):
@@ -114,14 +116,12 @@ def irate(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _line(df: DataFrame, keys: Sequence[str], range_ns: int) -> tuple[DataFrame, Column, Column]:
-    """Least squares over the range: slope a second and the value at the current sample; x is counted back from the sample's day for precision."""
+    """Least squares over the range: slope a second and the value at the current sample; moments are taken about running means, so long series keep their digits."""
     w = _over(keys, range_ns - 1)
     x, y = (F.col("ts_ns") - F.min("ts_ns").over(whole(keys))) / float(SECOND), F.col("value").cast("double")
     df = df.select(*keys, "ts_ns", x.alias("x"), y.alias("y"))
-    n, sx, sy = F.count("*").over(w), F.sum("x").over(w), F.sum("y").over(w)
-    sxx, sxy = F.sum(F.col("x") * F.col("x")).over(w), F.sum(F.col("x") * F.col("y")).over(w)
-    slope = F.when(n > 1, F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx))
-    return df, slope, (sy - slope * sx) / n + slope * F.col("x")
+    slope = F.regr_slope("y", "x").over(w)
+    return df, slope, F.avg("y").over(w) + slope * (F.col("x") - F.avg("x").over(w))
 
 
 def deriv(df: DataFrame, keys: Sequence[str], range_ns: int) -> DataFrame:
@@ -153,18 +153,31 @@ def resets(df: DataFrame, keys: Sequence[str], range_ns: int) -> DataFrame:
 def double_exp(df: DataFrame, keys: Sequence[str], smooth: float, trend: float) -> DataFrame:
     """Double exponential smoothing of each series: its last level (null with fewer than two samples).
 
-    One array holds a series, so split very long recordings (by day, say) with a further key.
+    A series streams through one task with two numbers of state.
     """
-    arr = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ts_ns", F.col("value").cast("double").alias("v")))).alias("a"))
-    v = lambda i: F.get(F.col("a.v"), F.lit(i))
-    start = F.struct(v(0).alias("s"), (v(1) - v(0)).alias("b"))
-
-    def step(acc: Column, x: Column) -> Column:
-        s = F.lit(smooth) * x + F.lit(1 - smooth) * (acc["s"] + acc["b"])
-        return F.struct(s.alias("s"), (F.lit(trend) * (s - acc["s"]) + F.lit(1 - trend) * acc["b"]).alias("b"))
-
-    level = F.aggregate(F.slice(F.col("a.v"), 2, F.greatest(F.size("a"), F.lit(1))), start, step)["s"]
-    return arr.select(*keys, F.when(F.size("a") >= 2, level).alias("value"))
+    names = list(keys)
+
+    def step(state: dict, rows: pa.RecordBatch) -> pa.RecordBatch:
+        n, level, slope = state.get("n", 0), state.get("level"), state.get("slope")
+        for x in rows.column("v").to_pylist():
+            if n == 1:
+                slope = x - level
+            if n:
+                last = level
+                level = smooth * x + (1 - smooth) * (last + slope)
+                slope = trend * (level - last) + (1 - trend) * slope
+            else:
+                level = x
+            n += 1
+        state.update(n=n, level=level, slope=slope)
+        last_row = rows.slice(rows.num_rows - 1, 1)
+        return pa.RecordBatch.from_arrays([*(last_row.column(k) for k in names), pa.array([n], pa.int64()), pa.array([level if n > 1 else None], pa.float64())], names=[*names, "n", "value"])
+
+    d = df.select(*names, "ts_ns", F.col("value").cast("double").alias("v"))
+    schema = to_arrow_schema(d.select(*names).schema).append(pa.field("n", pa.int64())).append(pa.field("value", pa.float64()))
+    kinds = dict(d.dtypes)
+    levels = folded(d, names, ["ts_ns", "v"], step, ", ".join([*(f"`{k}` {kinds[k]}" for k in names), "n long, value double"]), schema)
+    return levels.groupBy(*names).agg(F.max_by("value", "n").alias("value"))
 
 
 def gauge_grid(df: DataFrame, keys: Sequence[str], step: int) -> DataFrame:

@@ -56,7 +56,7 @@ def drop_metrics(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def keep_kpi_series(df: DataFrame, kpis: DataFrame, agent: str = "agent") -> DataFrame:
     """Series that a KPI names (by the name before a colon), and all of the agent's own."""
     named = kpis.select(F.split("metric", ":")[0].alias("__base")).distinct().withColumn("__named", F.lit(True))
-    out = df.withColumn("__base", F.split("metric", ":")[0]).join(F.broadcast(named), "__base", "left")
+    out = df.withColumn("__base", F.split("metric", ":")[0]).join(named, "__base", "left")
     return out.where(F.col("__named") | (F.col("source") == agent)).drop("__base", "__named")
 
 

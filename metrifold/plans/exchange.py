@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -22,8 +21,7 @@ def _last(s, d):
 
 
 def _folder(s) -> str:
-    top = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="exchange-")
-    return f"{top.rstrip('/')}/exchange-{uuid.uuid4().hex}"
+    return f"{B.shared_dir(s)}/exchange-{uuid.uuid4().hex}"
 
 
 @query("s05_prometheus_text_round_trip", f"WITH {G}, {_LAST} SELECT metric, usr, v::DOUBLE AS value, 'counter' AS kind FROM l")
@@ -83,3 +81,25 @@ def e11(s, d):
     g = gauges(s, d).withColumnRenamed("metric", "title")
     out = M.ab_report(g.where("usr % 2 = 0"), g.where("usr % 2 = 1"), g.select("title").distinct(), B.DAY)
     return out.select("title", "steps", *[r6(c).alias(c) for c in ("baseline", "experiment", "delta", "widest", "higher", "pct")])
+
+
+@query("s09_load_kpis", "SELECT p_brand AS service, p_type AS title, 'latency' AS role, count(*) AS n, count(*) FILTER (p_size > 25) AS ratios FROM part GROUP BY ALL")
+def s09(s, d):
+    """Templates written as a directory of JSON documents, one a brand, and read again."""
+    path = _folder(s)
+    kpi = F.struct(F.lit("latency").alias("role"), F.col("p_type").alias("title"), F.col("p_name").alias("query"), F.lit("gauge").alias("type"), F.lit(None).cast("string").alias("subtype"), F.lit(None).cast("array<double>").alias("percentiles"), (F.col("p_size") > 25).alias("denominator"))
+    docs = table(s, d, "part").groupBy(F.col("p_brand").alias("service_name")).agg(F.array().cast("array<string>").alias("aliases"), F.collect_list(kpi).alias("kpis"))
+    docs.repartition(4, "service_name").write.option("maxRecordsPerFile", 1).json(path)
+    return I.load_kpis(s, path).groupBy("service", "title", "role").agg(F.count("*").alias("n"), F.count_if("denominator").alias("ratios"))
+
+
+@query("s12_read_ground_truth", "SELECT o_orderpriority AS subsystem, count(*) AS documents, sum(o_orderkey % 3 + 1)::BIGINT AS signals, round(sum(o_totalprice),2) AS until FROM orders GROUP BY o_orderpriority")
+def s12(s, d):
+    """Truth documents written as JSON lines and read again."""
+    path = _folder(s)
+    key = F.col("o_orderkey")
+    signal = F.struct(F.concat(F.lit("m"), key.cast("string")).alias("metric"), F.lit("ElevatedInWindow").alias("check"))
+    doc = table(s, d, "orders").select(F.lit(1).alias("schema_version"), F.lit("cpu_saturation").alias("class"), F.col("o_orderpriority").alias("subsystem"), F.lit("m").alias("mechanism"), F.lit("up").alias("direction"), F.array(F.lit(0.0), F.col("o_totalprice")).alias("induced_window_s"), F.array_repeat(signal, (key % 3 + 1).cast("int")).alias("expected_signals"))
+    doc.write.json(path)
+    t = I.read_ground_truth(s, path, lines=True)
+    return t.groupBy("subsystem").agg(F.count("*").alias("documents"), F.sum(F.size("expected_signals")).cast("long").alias("signals"), r6(F.sum(F.col("induced_window_s")[1]), 2).alias("until"))

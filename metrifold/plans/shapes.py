@@ -206,11 +206,12 @@ def j14(s, d):
 @query("j18_pair_kpis", "SELECT p_brand AS title, bool_and(k > 0) AS ok, coalesce(string_agg(CASE WHEN k = 0 THEN m END, ',' ORDER BY m), '') AS missing FROM (SELECT b.p_brand, m.m, count(p.p_partkey) AS k FROM (SELECT DISTINCT p_brand FROM part) b CROSS JOIN (VALUES ('PROMO'),('LARGE')) m(m) LEFT JOIN part p ON p.p_brand=b.p_brand AND p.p_type=m.m AND p.p_size > 45 GROUP BY ALL) GROUP BY ALL")
 def j18(s, d):
     p = table(s, d, "part").where("p_type in ('PROMO','LARGE')")
-    members = p.select(F.col("p_type").alias("member")).distinct()
-    titles = p.select(F.col("p_brand").alias("title"), F.col("p_type").alias("member"), F.col("p_brand").alias("own_title")).distinct()
-    base = table(s, d, "part").select(F.col("p_brand").alias("title")).distinct().withColumn("member", F.lit("none")).withColumn("own_title", F.lit(None).cast("string"))
+    one = F.lit("types").alias("category")
+    members = p.select(one, F.col("p_type").alias("member")).distinct()
+    titles = p.select(one, F.col("p_brand").alias("title"), F.col("p_type").alias("member"), F.col("p_brand").alias("own_title")).distinct()
+    base = table(s, d, "part").select(one, F.col("p_brand").alias("title")).distinct().withColumn("member", F.lit("none")).withColumn("own_title", F.lit(None).cast("string"))
     out = J.pair_kpis(members, titles.unionByName(base), p.where("p_size > 45").select(F.col("p_type").alias("member"), F.col("p_brand").alias("title")))
-    return out.withColumn("missing", F.array_join("missing", ","))
+    return out.select("title", "ok", F.array_join("missing", ",").alias("missing"))
 
 
 @query("j19_common_labels", "SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier")

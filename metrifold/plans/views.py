@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from metrifold.operators import base as B
 from metrifold.operators import histogram as H
 from metrifold.operators.rates import rate_raw
-from metrifold.plans.registry import C, G, counters, end_sql, gauges, increments, query, r6
+from metrifold.plans.registry import C, G, counters, end_sql, gauges, increments, query, r6, start_sql
 from metrifold.plans.registry import H as HS
 
 
@@ -186,30 +186,54 @@ def _matches(selector: str) -> Column:
 
 
 def evaluate(df: DataFrame, views: Sequence[View], times: Sequence[str] = ("ts_ns",)) -> DataFrame:
-    """(view, grp, ts_ns, value) of all views in one aggregation for each grouping label; ``df`` has metric, labels, ts_ns, value (rates already taken)."""
+    """(view, grp, ts_ns, value) of all views in one aggregation; ``df`` has metric, labels, ts_ns, value (rates already taken).
+
+    Each row goes once to the total and once to each label that a view groups by.
+    """
     names = {_parts(s)[0] for w in views for s in (*w.num, *w.den, *w.also)}
-    df = df.where(F.col("metric").isin(*sorted(names)))
-    out = None
-    for by in sorted({w.by for w in views}, key=str):
-        own = [w for w in views if w.by == by]
-        grp = F.try_element_at("labels", F.lit(by)) if by else F.lit(None).cast("string")
-        used = sorted({(s, w.fn) for w in own for s in (*w.num, *w.den, *w.also)})
-        at = {u: f"m{i}" for i, u in enumerate(used)}
-        g = df.groupBy(grp.alias("grp"), *times).agg(*[FNS[fn](F.when(_matches(s), F.col("value"))).alias(at[s, fn]) for s, fn in used])
-        cells = []
-        for w in own:
-            top, low = F.lit(1.0), F.lit(1.0)
-            for s in w.num:
-                top = top * F.col(at[s, w.fn])
-            for s in w.den:
-                low = low * F.col(at[s, w.fn])
-            for s in w.also:
-                low = low + F.col(at[s, w.fn])
-            value = F.try_divide(top, low) * w.scale
-            cells.append(F.struct(F.lit(w.name).alias("view"), (1 - value if w.rest else value).alias("value")))
-        d = g.select("grp", *times, F.inline(F.array(*cells))).where("value is not null").select("view", "grp", *times, "value")
-        out = d if out is None else out.unionByName(d)
-    return out
+    labels = sorted({w.by for w in views}, key=str)
+    groups = [F.struct(F.lit(by).cast("string").alias("by"), (F.try_element_at("labels", F.lit(by)) if by else F.lit(None).cast("string")).alias("grp")) for by in labels]
+    df = df.where(F.col("metric").isin(*sorted(names))).withColumn("__g", F.explode(F.array(*groups)))
+    used = sorted({(s, w.fn) for w in views for s in (*w.num, *w.den, *w.also)})
+    at = {u: f"m{i}" for i, u in enumerate(used)}
+    g = df.groupBy(F.col("__g.by").alias("by"), F.col("__g.grp").alias("grp"), *times).agg(*[FNS[fn](F.when(_matches(s), F.col("value"))).alias(at[s, fn]) for s, fn in used])
+    cells = []
+    for w in views:
+        top, low = F.lit(1.0), F.lit(1.0)
+        for s in w.num:
+            top = top * F.col(at[s, w.fn])
+        for s in w.den:
+            low = low * F.col(at[s, w.fn])
+        for s in w.also:
+            low = low + F.col(at[s, w.fn])
+        value = F.try_divide(top, low) * w.scale
+        cells.append(F.struct(F.lit(w.name).alias("view"), F.when(F.col("by").eqNullSafe(F.lit(w.by)), 1 - value if w.rest else value).alias("value")))
+    return g.select("grp", *times, F.inline(F.array(*cells))).where("value is not null").select("view", "grp", *times, "value")
+
+
+#: Histogram panels: metric, label that splits it (or none) and unit factor; fixed values. Latencies are in nanoseconds.
+HISTOGRAMS: dict[str, tuple[tuple[str, str | None, float], ...]] = {
+    "v04_network_latency": (("tcp_packet_latency", None, 1e-9),),
+    "v05_blockio_latency_size": (("blockio_latency", "op", 1e-9), ("blockio_size", "op", 1.0)),
+    "v06_scheduler_times": (("scheduler_runqueue_latency", None, 1e-9), ("scheduler_offcpu", None, 1e-9), ("scheduler_running", None, 1e-9)),
+    "v08_syscall_latency": (("syscall_latency", "op", 1e-9),),
+    "v11_overview_latency": (("scheduler_runqueue_latency", None, 1e-9), ("syscall_latency", None, 1e-9), ("blockio_latency", None, 1e-9)),
+    "v13_service_latency": (("vllm_time_to_first_token", None, 1e-9), ("vllm_e2e_request_latency", None, 1e-9), ("cachecannon_response_latency", None, 1e-9)),
+}
+PANEL = (0.5, 0.9, 0.99, 0.999, 0.9999)
+
+
+def histogram_panels(df: DataFrame, panels: Sequence[tuple[str, str | None, float]], gp: int, qs: Sequence[float] = PANEL) -> DataFrame:
+    """(metric, grp, ts_ns, view, value) from increments (metric, labels, ts_ns, bucket, count): percentiles, observations a second and the mean of each panel."""
+    grp, scale, known = F.lit(None).cast("string"), F.lit(1.0), F.lit(False)
+    for metric, label, unit in panels:
+        here = F.col("metric") == metric
+        grp, scale, known = F.when(here, F.try_element_at("labels", F.lit(label)) if label else F.lit(None)).otherwise(grp), F.when(here, unit).otherwise(scale), known | here
+    d = df.where(known).withColumn("grp", grp)
+    q = H.quantiles(d, ["metric", "grp"], gp, qs).select("metric", "grp", "ts_ns", F.concat(F.lit("p"), (F.col("quantile") * 100).cast("float").cast("string")).alias("view"), (F.col("value") * scale).alias("value"))
+    rm = H.rate_mean(H.merge(d, ["metric", "grp"]), ["metric", "grp"], gp)
+    pair = F.inline(F.array(F.struct(F.lit("rate").alias("view"), F.col("rate").alias("value")), F.struct(F.lit("mean").alias("view"), (F.col("mean") * scale).alias("value"))))
+    return q.unionByName(rm.select("metric", "grp", "ts_ns", pair))
 
 
 def view(df: DataFrame, pattern: str) -> DataFrame:
@@ -290,6 +314,33 @@ for _name, _views in GAUGES.items():
     _register(_name, _views, False)
 
 
+def _flagged(d: DataFrame, panels: Sequence[tuple[str, str | None, float]]) -> DataFrame:
+    """Monthly price increments stand for each panel's histogram, their flag for the label."""
+    names = F.array(*[F.lit(m) for m, _, _ in panels])
+    return d.withColumn("metric", F.explode(names)).withColumn("labels", F.create_map(F.lit("op"), F.col("flag")))
+
+
+def _panel_sql(panels: Sequence[tuple[str, str | None, float]]) -> str:
+    rows = ", ".join(f"('{m}', {'true' if label else 'false'}, {unit!r}::DOUBLE)" for m, label, unit in panels)
+    lo, hi = start_sql("bucket", 3), end_sql("bucket", 3)
+    return f"""WITH {HS}, pn AS (SELECT * FROM (VALUES {rows}) t(metric, split, unit)), pd AS (SELECT metric, CASE WHEN split THEN flag END AS grp, unit, ts_ns, bucket, sum(count) AS count FROM h, pn GROUP BY ALL),
+ cu AS (SELECT *, sum(count) OVER (PARTITION BY metric, grp, ts_ns ORDER BY bucket) AS cum, sum(count) OVER (PARTITION BY metric, grp, ts_ns) AS total FROM pd),
+ qs AS (SELECT metric, grp, ts_ns, unit, q, min(bucket) AS bucket FROM cu, (VALUES (0.5::DOUBLE),(0.9::DOUBLE),(0.99::DOUBLE),(0.999::DOUBLE),(0.9999::DOUBLE)) t(q) WHERE cum >= greatest(ceil(q*total), 1) GROUP BY ALL),
+ st AS (SELECT metric, grp, ts_ns, unit, sum(count) AS n, sum(count*({lo}+{hi})/2.0::DOUBLE)/sum(count) AS mean FROM pd GROUP BY ALL),
+ rm AS (SELECT *, n*1e9/(ts_ns-lag(ts_ns) OVER (PARTITION BY metric, grp ORDER BY ts_ns)) AS rate FROM st)
+SELECT metric, grp, ts_ns, CASE q WHEN 0.5 THEN 'p50.0' WHEN 0.9 THEN 'p90.0' WHEN 0.99 THEN 'p99.0' WHEN 0.999 THEN 'p99.9' ELSE 'p99.99' END AS view, CAST(({end_sql('bucket', 3)})*unit AS FLOAT) AS value FROM qs UNION ALL SELECT metric, grp, ts_ns, 'rate', CAST(rate AS FLOAT) FROM rm WHERE rate IS NOT NULL UNION ALL SELECT metric, grp, ts_ns, 'mean', CAST(mean*unit AS FLOAT) FROM rm WHERE rate IS NOT NULL"""
+
+
+def _register_panels(name: str, panels: Sequence[tuple[str, str | None, float]]) -> None:
+    @query(name, _panel_sql(panels))
+    def run(s, d):
+        return histogram_panels(_flagged(increments(s, d), panels), panels, 3).withColumn("value", F.col("value").cast("float"))
+
+
+for _name, _panels in HISTOGRAMS.items():
+    _register_panels(_name, _panels)
+
+
 _ANY = f"r AS (SELECT metric, ts_ns, CASE WHEN value < lag(value) OVER w THEN value ELSE value - lag(value) OVER w END * 1e9 / (ts_ns - lag(ts_ns) OVER w) AS v FROM c WINDOW w AS (PARTITION BY metric, usr ORDER BY ts_ns)), hh AS (SELECT flag AS metric, ts_ns, bucket, sum(count) OVER (PARTITION BY flag, ts_ns ORDER BY bucket) AS cum, sum(count) OVER (PARTITION BY flag, ts_ns) AS total FROM h)"
 
 

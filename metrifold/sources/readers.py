@@ -142,11 +142,14 @@ def read_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet
 
 
 GROUND_TRUTH = "schema_version int, class string, subsystem string, mechanism string, direction string, induced_window_s array<double>, expected_signals array<struct<metric:string,check:string>>, experiment struct<spec_file:string,params:map<string,string>,host_tag:string>"
-ASSESSMENT = "schema_version int, overall string, findings array<struct<kind:string,subsystem:string,mechanism:string,confidence:string,evidence:array<struct<metric:string,idx:bigint,pointer:string>>>>, ruled_out array<string>"
+_EVIDENCE = "array<struct<metric:string,anomaly_index:bigint,regime_shift_index:bigint,correlation_index:bigint,rationale:string>>"
+_FINDING = f"summary:string,confidence:string,evidence:{_EVIDENCE}"
+ASSESSMENT = f"schema_version int, overall struct<{_FINDING},status:string>, findings array<struct<{_FINDING},priority:string,kind:struct<type:string,subsystem:string,mechanism:string,direction:string,missing:string>>>, ruled_out array<struct<{_FINDING}>>"
 
 
-def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(GROUND_TRUTH).json(path, multiLine=True)
+def read_ground_truth(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Documents of their own, or one a line with ``lines``."""
+    return spark.read.schema(GROUND_TRUTH).json(path, multiLine=not lines)
 
 
 def read_assessments(spark: SparkSession, path: str) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from metrifold.operators.base import idiv
+from metrifold.operators.histogram import bucket_bounds
 
 
 def with_time(sdf: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -68,15 +69,52 @@ def stream_cusum(sdf: DataFrame, baseline: DataFrame, key: str = "series", k: fl
     return d.groupBy(key).applyInPandasWithState(alarms, f"{key} string, ts_ns long, side string", "up double, down double", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_summary(sdf: DataFrame, interval: str, keys: Sequence[str] = ("series",), delay: str = "10 minutes") -> DataFrame:
-    """Each interval's increase (last less first of a counter), last and mean by series."""
-    d = with_time(sdf, delay)
-    return d.groupBy(F.window("ts", interval), *keys).agg((F.max("value") - F.min("value")).alias("increase"), F.max_by("value", "ts_ns").alias("last"), F.avg("value").alias("mean"), F.count("*").alias("n"))
+def _grown(samples: Column) -> Column:
+    """What a counter's samples (ts_ns, value) in order add up to; a fall is a reset, after which the value itself counts."""
+    start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0.0).alias("sum"))
+
+    def step(acc: Column, x: Column) -> Column:
+        more = F.when(acc["last"].isNull(), 0.0).when(x["v"] < acc["last"], x["v"]).otherwise(x["v"] - acc["last"])
+        return F.struct(x["v"].alias("last"), (acc["sum"] + more).alias("sum"))
+
+    return F.aggregate(samples, start, step, lambda acc: acc["sum"])
+
 
+def stream_summary(sdf: DataFrame, interval: str, keys: Sequence[str] = ("series",), delay: str = "10 minutes") -> DataFrame:
+    """Each interval's increase (resets adjusted), last and mean by series; a window holds its own samples until it closes."""
+    v = F.col("value").cast("double")
+    samples = F.array_sort(F.collect_list(F.struct("ts_ns", v.alias("v"))))
+    d = with_time(sdf, delay).groupBy(F.window("ts", interval), *keys).agg(samples.alias("s"), F.max_by("value", "ts_ns").alias("last"), F.avg("value").alias("mean"), F.count("*").alias("n"))
+    return d.select("window", *keys, _grown(F.col("s")).alias("increase"), "last", "mean", "n")
+
+
+def stream_histogram_summary(sdf: DataFrame, interval: str, gp: int, keys: Sequence[str] = ("series",), qs: Sequence[float] = (0.5, 0.9, 0.99), delay: str = "10 minutes") -> DataFrame:
+    """Percentiles of what an interval adds to cumulative histograms (``buckets``, dense arrays): the last snapshot less the first, or the last alone after a reset."""
+    d = with_time(sdf, delay).groupBy(F.window("ts", interval), *keys).agg(F.min_by("buckets", "ts_ns").alias("a"), F.max_by("buckets", "ts_ns").alias("b"), F.count("*").alias("n"))
+    less = F.zip_with("b", "a", lambda x, y: x - F.coalesce(y, F.lit(0)))
+    d = d.withColumn("added", F.when(F.exists(less, lambda x: x < 0), F.col("b")).otherwise(less))
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("run"))
+    grow = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["run"], F.array(acc["sum"] + x)).alias("run"))
+    d = d.withColumn("run", F.aggregate("added", start, grow)["run"]).withColumn("total", F.element_at("run", -1))
+    at = lambda q: F.size(F.filter("run", lambda c: c < F.greatest(F.ceil(F.lit(q) * F.col("total")), F.lit(1)))).cast("long")
+    ends = [F.when(F.col("total") > 0, bucket_bounds(at(q), gp)[1].cast("double")).alias(f"p{q * 100:g}".replace(".", "_")) for q in qs]
+    return d.select("window", *keys, F.col("total").alias("added"), *ends)
+
+
+def cumulative_histograms(sdf: DataFrame, key: str, n: int) -> DataFrame:
+    """A snapshot of each series' counts so far (``buckets``) with every sample's ``bucket``: an array of state for each series."""
+
+    def snapshots(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        counts = list(state.get[0]) if state.exists else [0] * n
+        rows = pd.concat(list(batches)).sort_values("ts_ns")
+        out = []
+        for ts, b in zip(rows["ts_ns"].tolist(), rows["bucket"].tolist(), strict=True):
+            counts[b] += 1
+            out.append((k[0], ts, list(counts)))
+        state.update((counts,))
+        yield pd.DataFrame(out, columns=[key, "ts_ns", "buckets"])
 
-def stream_histogram_summary(sdf: DataFrame, interval: str, keys: Sequence[str] = ("series",), delay: str = "10 minutes") -> DataFrame:
-    """Increments of each bucket in an interval; percentiles follow by the batch operators on the closed windows."""
-    return with_time(sdf, delay).groupBy(F.window("ts", interval), *keys, "bucket").agg((F.max("count") - F.min("count")).alias("count"))
+    return sdf.select(key, "ts_ns", "bucket").groupBy(key).applyInPandasWithState(snapshots, f"{key} string, ts_ns long, buckets array<long>", "counts array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 AGGS = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count}
