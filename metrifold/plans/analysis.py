@@ -11,6 +11,7 @@ from metrifold.operators import correlate as C
 from metrifold.operators import exhaustive as E
 from metrifold.operators import overview as O
 from metrifold.operators import stability as S
+from metrifold.plans.registry import C as C_
 from metrifold.plans.registry import G, X, gauges, query, r6, series, table
 
 K = ["metric"]
@@ -254,7 +255,11 @@ def a18(s, d):
     return C.correlate(x, _pairs(x), 1.0).withColumn("r", r6("r"))
 
 
-@query("e03_analyze_correlation")
+_DETRENDED = "zr AS (SELECT h.series, idx, value - my - b*(idx-mx) AS e FROM hx h JOIN (SELECT series, regr_slope(value, idx) AS b, avg(value) AS my, avg(idx) AS mx FROM hx GROUP BY series) q ON q.series=h.series), zz AS (SELECT series, idx, e/stddev_pop(e) OVER (PARTITION BY series) AS value FROM zr)"
+_DETRENDED_XC = _HOURLY.replace(", xc AS", f", {_DETRENDED}, xc AS").replace("JOIN hx x ON", "JOIN zz x ON").replace("JOIN hx y ON", "JOIN zz y ON")
+
+
+@query("e03_analyze_correlation", f"WITH {G}, {_DETRENDED_XC}, b AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY abs(r) DESC, abs(lag), lag) AS k FROM xc WHERE n >= 5) SELECT pair, lag, lag::DOUBLE AS lag_s, round(r,6) AS r, n FROM b WHERE k=1")
 def e03(s, d):
     """Detrended and normalised series, every pair, lags of whole steps up to a third of the span."""
     x = _hourly(s, d)
@@ -290,7 +295,10 @@ def t03(s, d):
 
 
 # --- overview ------------------------------------------------------------------------------------------------------
-@query("a13_build_rankings")
+@query("a13_build_rankings", f"""WITH {C_}, r AS (SELECT metric, usr, (CASE WHEN value < lag(value) OVER w THEN value ELSE value - lag(value) OVER w END)*1e9/(ts_ns - lag(ts_ns) OVER w) / (CASE metric WHEN 'click' THEN 1e9 ELSE 1 END) AS v FROM c WINDOW w AS (PARTITION BY metric, usr ORDER BY ts_ns)),
+ m AS (SELECT metric, usr, avg(v) AS avg, max(v) AS max FROM r WHERE v IS NOT NULL AND metric IN ('click','view','error') GROUP BY ALL),
+ k AS (SELECT *, avg*100/sum(avg) OVER (PARTITION BY metric) AS share, row_number() OVER (PARTITION BY metric ORDER BY avg DESC, usr::VARCHAR) AS rank FROM m)
+SELECT CASE metric WHEN 'click' THEN 'cpu' WHEN 'view' THEN 'io' ELSE 'network' END AS domain, CASE metric WHEN 'click' THEN 'cpu_usage' WHEN 'view' THEN 'blockio_bytes' ELSE 'network_packets' END AS metric, usr::VARCHAR AS name, round(avg,6) AS avg, round(max,6) AS max, round(share,6) AS share, rank FROM k WHERE rank <= 10""")
 def a13(s, d):
     """Three of the driver's types stand for ranked counters."""
     from metrifold.plans.registry import counters
