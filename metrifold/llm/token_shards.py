@@ -107,15 +107,28 @@ class WaveletMatrix:
     def count(self, symbol: int) -> int:
         return self.rank(symbol, self.n)
 
+    def _place(self, level: int, bit: int, k: int) -> int:
+        """Where a plane's ``k``-th (from 0) bit of that value stands: the block by the rank directory, then within it."""
+        before = self.ranks[level].astype(np.int64)
+        if not bit:
+            before = np.arange(len(before)) * _BLOCK - before
+        block = int(np.searchsorted(before, k, side="right")) - 1
+        part = np.unpackbits(self.planes[level][block * (_BLOCK // 8) : (block + 1) * (_BLOCK // 8)], bitorder="little")
+        return block * _BLOCK + int(np.flatnonzero(part == bit)[k - int(before[block])])
+
     def select(self, symbol: int, k: int) -> int:
-        """The position of the ``k``-th (from 0) occurrence, -1 if there is none: bisection over rank."""
+        """The position of the ``k``-th (from 0) occurrence, -1 if there is none: down to the symbol's run, and up by select on each plane."""
         if k < 0 or k >= self.count(symbol):
             return -1
-        lo, hi = 0, self.n
-        while hi - lo > 1:
-            mid = (lo + hi) // 2
-            lo, hi = (lo, mid) if self.rank(symbol, mid) > k else (mid, hi)
-        return lo
+        at, bits = 0, len(self.planes)
+        for level in range(bits):
+            ones = self._ones(level, at)
+            at = self.zeros[level] + ones if symbol >> (bits - 1 - level) & 1 else at - ones
+        at += k
+        for level in range(bits - 1, -1, -1):
+            bit = symbol >> (bits - 1 - level) & 1
+            at = self._place(level, bit, at - self.zeros[level] if bit else at)
+        return at
 
     def to_bytes(self) -> bytes:
         head = struct.pack("<QI", self.n, len(self.planes))
@@ -216,6 +229,20 @@ def read_documents(files: DataFrame) -> DataFrame:
     return rows.join(starts, ["part", "shard"]).select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), (F.col("shard_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def positions(files: DataFrame, symbol: int) -> DataFrame:
+    """(part, shard, at): the places of a token in each shard, by select on the files; one row for each occurrence."""
+    schema = pa.schema([("part", pa.int32()), ("shard", pa.int64()), ("at", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, shard, data in zip(*(batch.column(c).to_pylist() for c in ("part", "shard", "file")), strict=True):
+                matrix = unpack_shard(data)[2]
+                found = [matrix.select(symbol, k) for k in range(matrix.count(symbol))]
+                yield pa.RecordBatch.from_pydict({"part": [part] * len(found), "shard": [shard] * len(found), "at": found}, schema=schema)
+
+    return files.select("part", "shard", "file").mapInArrow(run, "part int, shard long, at long")
+
+
 def occurrences(files: DataFrame, symbol: int) -> DataFrame:
     """(part, shard, n): how often a token stands in each shard, by rank queries on the files."""
 

@@ -536,6 +536,8 @@ def test_shard_files(edge, empty):
             want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
             start += len(ids)
         assert got == want
+        ends = sorted(r.at for r in token_shards.positions(files, 2).collect()) if size == 1 << 18 and files.count() == 1 else None
+        assert ends is None or set(np.cumsum([w[2] for w in want]) - 1) <= set(ends)
         assert token_shards.occurrences(files, 2).agg(F.sum("n")).first()[0] >= len(want)
     assert token_shards.read_documents(token_shards.write_shards(empty, JSON, 2)).count() == 0
 
