@@ -136,9 +136,9 @@ def read_ab(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.withColumn("arm", F.lit("baseline")).unionByName(b.withColumn("arm", F.lit("experiment")), allowMissingColumns=True)
 
 
-def read_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
-    """Live samples from files as they arrive."""
-    return spark.readStream.schema(schema).format(fmt).load(path)
+def read_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files_a_batch: int = 1000) -> DataFrame:
+    """Live samples from files as they arrive, so many in a micro-batch at most."""
+    return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_a_batch).load(path)
 
 
 GROUND_TRUTH = "schema_version int, class string, subsystem string, mechanism string, direction string, induced_window_s array<double>, expected_signals array<struct<metric:string,check:string>>, experiment struct<spec_file:string,params:map<string,string>,host_tag:string>"

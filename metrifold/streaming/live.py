@@ -28,10 +28,18 @@ def dedup_stream(sdf: DataFrame, keys: Sequence[str], delay: str = "10 minutes")
     return with_time(sdf, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def stream_rate(sdf: DataFrame, key: str = "series") -> DataFrame:
+def _timeout(ttl_ms: int | None) -> str:
+    """State of a series that stays silent for ``ttl_ms`` of processing time is dropped; without it state stays. For running queries: a trigger of availableNow would not end with it."""
+    return GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+
+
+def stream_rate(sdf: DataFrame, key: str = "series", ttl_ms: int | None = None) -> DataFrame:
     """Reset-aware rate of each series; the last sample is kept in state, older rows than it are passed over."""
 
     def rates(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last_ts, last_v = state.get if state.exists else (None, None)
         rows = pd.concat(list(batches)).sort_values("ts_ns")
         out = []
@@ -41,16 +49,21 @@ def stream_rate(sdf: DataFrame, key: str = "series") -> DataFrame:
             if last_ts is None or ts > last_ts:
                 last_ts, last_v = ts, v
         state.update((last_ts, last_v))
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=[key, "ts_ns", "value"])
 
     d = sdf.select(F.col(key).cast("string").alias(key), "ts_ns", F.col("value").cast("double").alias("value"))
-    return d.groupBy(key).applyInPandasWithState(rates, f"{key} string, ts_ns long, value double", "ts long, v double", "append", GroupStateTimeout.NoTimeout)
+    return d.groupBy(key).applyInPandasWithState(rates, f"{key} string, ts_ns long, value double", "ts long, v double", "append", _timeout(ttl_ms))
 
 
-def stream_cusum(sdf: DataFrame, baseline: DataFrame, key: str = "series", k: float = 1.0, h: float = 6.0) -> DataFrame:
+def stream_cusum(sdf: DataFrame, baseline: DataFrame, key: str = "series", k: float = 1.0, h: float = 6.0, ttl_ms: int | None = None) -> DataFrame:
     """Alarms of the two-sided CUSUM against a frozen baseline (key, mean, sd): two sums of state for each series; the one that alarms starts anew."""
 
     def alarms(s: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         up, down = state.get if state.exists else (0.0, 0.0)
         out = []
         rows = pd.concat(list(batches)).sort_values("ts_ns")
@@ -63,10 +76,12 @@ def stream_cusum(sdf: DataFrame, baseline: DataFrame, key: str = "series", k: fl
                 out.append((s[0], ts, "down"))
                 down = 0.0
         state.update((up, down))
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=[key, "ts_ns", "side"])
 
     d = sdf.join(baseline.where("sd > 0"), key).select(F.col(key).cast("string").alias(key), "ts_ns", ((F.col("value") - F.col("mean")) / F.col("sd")).alias("z"))
-    return d.groupBy(key).applyInPandasWithState(alarms, f"{key} string, ts_ns long, side string", "up double, down double", "append", GroupStateTimeout.NoTimeout)
+    return d.groupBy(key).applyInPandasWithState(alarms, f"{key} string, ts_ns long, side string", "up double, down double", "append", _timeout(ttl_ms))
 
 
 def _grown(samples: Column) -> Column:
@@ -136,10 +151,13 @@ def snapshot(df: DataFrame, start: int | None = None, end: int | None = None, la
     return time_range(df, start, end, last)
 
 
-def stream_jitter(sdf: DataFrame, key: str = "series") -> DataFrame:
+def stream_jitter(sdf: DataFrame, key: str = "series", ttl_ms: int | None = None) -> DataFrame:
     """Gap to the last sample in ms, from state."""
 
     def gaps(s: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         out = []
         for ts in sorted(pd.concat(list(batches))["ts_ns"].tolist()):
@@ -147,9 +165,11 @@ def stream_jitter(sdf: DataFrame, key: str = "series") -> DataFrame:
                 out.append((s[0], ts, (ts - last) / 1e6))
             last = ts if last is None else max(last, ts)
         state.update((last,))
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=[key, "ts_ns", "gap_ms"])
 
-    return sdf.select(F.col(key).cast("string").alias(key), "ts_ns").groupBy(key).applyInPandasWithState(gaps, f"{key} string, ts_ns long, gap_ms double", "last long", "append", GroupStateTimeout.NoTimeout)
+    return sdf.select(F.col(key).cast("string").alias(key), "ts_ns").groupBy(key).applyInPandasWithState(gaps, f"{key} string, ts_ns long, gap_ms double", "last long", "append", _timeout(ttl_ms))
 
 
 def latest_with_ttl(df: DataFrame, keys: Sequence[str], ttl_ns: int, reserved: DataFrame, cap: int) -> DataFrame:

@@ -174,3 +174,19 @@ def test_assessments(spark):
     metrics = spark.createDataFrame([("m", 2, 0, False), ("w", 0, 0, True)], "metric string, anomalies int, shifts int, within_band boolean")
     got = {r.finding: list(r.why) for r in O.validate_assessment(findings, evidence, metrics).collect()}
     assert got == {2: ["evidence"], 3: ["pointer"], 4: ["summary"], 5: ["within_band"], 6: ["metric", "index"]}
+
+
+def test_stream_cusum_equals_a_loop(spark, tmp_path):
+    """Against a frozen baseline, over two micro-batches."""
+    from metrifold.streaming import live as L
+
+    v = SERIES["shift"]
+    rows = [("a", i * SEC, float(x)) for i, x in enumerate(v)]
+    for part in (rows[:170], rows[170:]):
+        spark.createDataFrame(part, "series string, ts_ns long, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema("series string, ts_ns long, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    base = spark.createDataFrame([("a", float(np.mean(v)), float(np.std(v)))], "series string, mean double, sd double")
+    q = L.stream_cusum(src, base).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((r.ts_ns // SEC, r.side) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted(twins.cusum(v, 1.0, 6.0)) and got
