@@ -186,7 +186,7 @@ def test_stream_cusum_equals_a_loop(spark, tmp_path):
         spark.createDataFrame(part, "series string, ts_ns long, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     src = spark.readStream.schema("series string, ts_ns long, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     base = spark.createDataFrame([("a", float(np.mean(v)), float(np.std(v)))], "series string, mean double, sd double")
-    q = L.stream_cusum(src, base).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q = L.stream_cusum(src, base, k=0.5, h=5.0).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     q.awaitTermination()
     got = sorted((r.ts_ns // SEC, r.side) for r in spark.read.parquet(str(tmp_path / "out")).collect())
-    assert got == sorted(twins.cusum(v, 1.0, 6.0)) and got
+    assert got == sorted(twins.cusum(v, 0.5, 5.0)) and got
