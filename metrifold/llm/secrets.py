@@ -22,7 +22,8 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,6 +43,9 @@ _HEADER = re.compile(r"\s*[A-Za-z0-9-]+:[^\n]*(?:\n[ \t][^\n]*)*(?:\n|$)")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{32,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)*={0,2}")
 _STARTS = re.compile(r"(?<![A-Za-z0-9])(?=M[A-P])|(?=b3BlbnNzaC1rZXktdjEA)")  # the first bytes of a DER sequence and of an OpenSSH key
 _ANYHEX = re.compile(r"[0-9A-Fa-f]{64,}")
+_CUT = re.compile(r"(?:^|(?<=[_-]))e[w-z]")
+_BROKEN = re.compile("[\udc80-\udcff]")
+_JSON = json.JSONDecoder()
 _OPENSSH = b"openssh-key-v1\x00"
 #: Object identifiers of RSA and EC keys in PKCS#8; fixed values.
 _RSA, _EC = bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce3d0201")
@@ -134,32 +138,32 @@ def is_encrypted_key(data: bytes) -> bool:
     return bool(algorithm) and algorithm[0][0] == 6
 
 
-def _openssh_end(data: bytes) -> int | None:
-    """Where an OpenSSH key ends: three strings, the count, so many public keys and the private part; None unless all fit."""
-    if not data.startswith(_OPENSSH):
+def _openssh_end(read: Callable[[int, int], bytes], length: int) -> int | None:
+    """Where an OpenSSH key ends: three strings, the count, so many public keys and the private part; None unless all fit. ``read(at, n)`` gives n of ``length`` bytes."""
+    if read(0, len(_OPENSSH)) != _OPENSSH:
         return None
-    at, left = len(_OPENSSH), 3
-    while left >= 0:
-        if at + 4 > len(data):
-            return None
-        size, at = int.from_bytes(data[at : at + 4], "big"), at + 4
-        if left:
-            at, left = at + size, left - 1
-        elif not 1 <= size <= len(data) // 4:
+
+    def number(at: int) -> int | None:
+        return int.from_bytes(read(at, 4), "big") if at + 4 <= length else None
+
+    at = len(_OPENSSH)
+    for _ in range(3):
+        if (size := number(at)) is None:
             return None
-        else:
-            for _ in range(size + 1):
-                if at + 4 > len(data):
-                    return None
-                at += 4 + int.from_bytes(data[at : at + 4], "big")
-            return at if at <= len(data) else None
-        if at > len(data):
+        at += 4 + size
+    keys = number(at)
+    if keys is None or not 1 <= keys <= length // 4:
+        return None
+    at += 4
+    for _ in range(keys + 1):
+        if (size := number(at)) is None:
             return None
-    return None
+        at += 4 + size
+    return at if at <= length else None
 
 
 def is_openssh_key(data: bytes) -> bool:
-    return _openssh_end(data) == len(data)
+    return _openssh_end(lambda at, n: data[at : at + n], len(data)) == len(data)
 
 
 def _json_object(s: str) -> dict | None:
@@ -173,12 +177,43 @@ def _json_object(s: str) -> dict | None:
     return out if isinstance(out, dict) else None
 
 
-def is_jwt_header(header: str, signed: bool) -> bool:
-    head = _json_object(header)
+def _names_algorithm(head: dict | None, signed: bool) -> bool:
     alg = head.get("alg") if head is not None else None
     return isinstance(alg, str) and (signed or alg.lower() == "none")
 
 
+def is_jwt_header(header: str, signed: bool) -> bool:
+    return _names_algorithm(_json_object(header), signed)
+
+
+class _Tails:
+    """JSON objects that end where a segment ends, from any of its places: a segment is decoded once for each place in a group of four."""
+
+    def __init__(self, segment: str):
+        self.segment, self.decoded = segment, {}
+
+    def object_at(self, at: int) -> dict | None:
+        first, size = at % 4, len(self.segment)
+        if (size - at) % 4 == 1:
+            return None
+        if first not in self.decoded:
+            raw = _b64(self.segment[first:]) or b""
+            whole = raw.decode("utf-8", "surrogateescape")
+            broken = _BROKEN.search(whole[::-1])  # the last byte that is not UTF-8
+            after = len(whole[len(whole) - broken.start() :].encode()) if broken else len(raw)
+            text = raw.decode("latin-1")  # a place for each byte; what JSON is made of is ASCII
+            self.decoded[first] = text, len(raw) - after, len(text.rstrip(" \t\n\r"))
+        text, valid, end = self.decoded[first]
+        begin = (at - first) // 4 * 3
+        if begin < valid or text[begin : begin + 1] != "{":
+            return None
+        try:
+            out, stop = _JSON.raw_decode(text, begin)
+        except (ValueError, RecursionError):
+            return None
+        return out if stop == end else None
+
+
 def _tokens(text: str) -> list[tuple[str, int, int]]:
     """Signed tokens at any three neighbouring segments of a dotted run; a header may follow a separator inside its segment."""
     out = []
@@ -191,8 +226,9 @@ def _tokens(text: str) -> list[tuple[str, int, int]]:
             if _json_object(parts[i + 1]) is None:
                 continue
             signed = i + 2 < len(parts) and parts[i + 2] != ""
-            for cut in re.finditer(r"(?:^|(?<=[_-]))e[w-z]", parts[i]):
-                if is_jwt_header(parts[i][cut.start() :], signed):
+            tails = _Tails(parts[i])
+            for cut in _CUT.finditer(parts[i]):
+                if _names_algorithm(tails.object_at(cut.start()), signed):
                     out.append(("jwt", ends[i] + 1 + cut.start(), ends[min(i + 3, len(parts))]))
                     break
     return out
@@ -205,10 +241,10 @@ def _blocks(text: str) -> list[tuple[str, int, int]]:
         if m[1] == "BEGIN":
             begin = m
         elif begin is not None and begin[2] == m[2]:
-            body, headers = text[begin.end() : m.start()].replace("\\r", "").replace("\\n", "\n"), ""
-            while h := _HEADER.match(body):
-                body, headers = body[h.end() :], headers + h[0]
-            data = _b64("".join(body.split())) or b""
+            body, at = text[begin.end() : m.start()].replace("\\r", "").replace("\\n", "\n"), 0
+            while h := _HEADER.match(body, at):
+                at = h.end()
+            headers, data = body[:at], _b64("".join(body[at:].split())) or b""
             cipher = "ENCRYPTED" in headers and "DEK-Info:" in headers and len(data) >= 16 and len(data) % 8 == 0
             if cipher or is_der_key(data) or is_openssh_key(data) or "ENCRYPTED" in m[2] and is_encrypted_key(data):
                 out.append(("pem", begin.start(), m.end()))
@@ -227,6 +263,26 @@ def _kind(data: bytes, depth: int) -> str | None:
     return None
 
 
+def _read(text: str, start: int, at: int, n: int) -> bytes:
+    """``n`` of the bytes, from ``at`` on, that base64 from ``start`` on stands for."""
+    skip = at % 3
+    return (_b64(text[(a := start + at // 3 * 4) : a + -(-(skip + n) * 4 // 3)]) or b"")[skip : skip + n]
+
+
+def _may_be_key(text: str, start: int, head: int, size: int) -> bool:
+    """Whether the lengths of a DER sequence's parts, a small version first, add up to ``size``; only their heads are decoded."""
+    at, parts = head, 0
+    while at < size:
+        e = _read(text, start, at, 6)
+        if len(e) < 2 or parts == 10 or not parts and (e[0] != 2 or not 1 <= e[1] <= 4):  # no key has more parts
+            return False
+        extra = e[1] & 0x7F if e[1] >= 0x80 else 0
+        if extra > 4 or e[1] == 0x80:
+            return False
+        at, parts = at + 2 + extra + (int.from_bytes(e[2 : 2 + extra], "big") if extra else e[1]), parts + 1
+    return at == size
+
+
 def _encoded(text: str, depth: int) -> list[tuple[str, int, int]]:
     """Base64 runs, whole or from a key's beginning to where its own length ends, over line breaks too."""
     out = []
@@ -239,21 +295,20 @@ def _encoded(text: str, depth: int) -> list[tuple[str, int, int]]:
         joined = "".join(map(m[0].__getitem__, places)) if "\n" in m[0] else m[0]
         done, breaks = 0, {k for k in range(1, len(places)) if places[k] > places[k - 1] + 1}
         starts = {x.start() for x in _STARTS.finditer(joined)} | {k for k in breaks if _STARTS.match(joined[k : k + 20])}
+        bare = len(joined.rstrip("="))
         for at in sorted(starts):
             head = _b64(joined[at : at + 8]) or b""
             if at < done or len(head) < 6:
                 continue
-            bare = joined[at:].rstrip("=")
             if head[0] == 0x30:
                 extra = head[1] & 0x7F if head[1] >= 0x80 else 0
                 size = 2 + extra + int.from_bytes(head[2 : 2 + extra], "big") if extra else 2 + head[1]
                 chars = -(-size * 4 // 3)
-                if extra > 4 or size < 24 or chars > len(bare) or not is_der_key(_b64(bare[:chars]) or b""):
+                if extra > 4 or size < 24 or chars > bare - at or not _may_be_key(joined, at, 2 + extra, size) or not is_der_key(_b64(joined[at : at + chars]) or b""):
                     continue
                 kind = "der"
             else:
-                whole = _b64(bare[: len(bare) // 4 * 4]) or b""
-                size = _openssh_end(whole if len(bare) % 4 < 2 else _b64(bare) or b"")
+                size = _openssh_end(partial(_read, joined, at), (bare - at) * 3 // 4)
                 if size is None:
                     continue
                 chars, kind = -(-size * 4 // 3), "openssh"
@@ -347,7 +402,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET
         if name == text_col:
             columns.append(F.col(clear).alias(name))
         elif name == "n_chars":
-            columns.append(F.when(F.col(clear) == F.col(text_col), F.col(name)).otherwise(F.char_length(clear).cast("long")).alias(name))
+            columns.append(F.when(F.col(clear).eqNullSafe(F.col(text_col)), F.col(name)).otherwise(F.char_length(clear).cast("long")).alias(name))
         else:
             columns.append(F.col(name))
     return out.select(columns)
