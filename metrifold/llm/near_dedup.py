@@ -14,8 +14,8 @@ parts of at most about SALT rows.
 
 Defined cases: null or empty text and text without words have no shingles and link with nothing; a text of
 fewer than ``k`` words is one shingle; rows with a null id are returned unlinked (component null, kept);
-repeated rows of one id are returned as often as they come, in one component (where their texts differ, any one of
-them is held against others); columns other than id and text are not touched.
+repeated rows of one id are returned as often as they come, in one component: where their texts differ, each text is held
+against others, and what any of them links with is linked; columns other than id and text are not touched.
 """
 
 from __future__ import annotations
@@ -95,9 +95,13 @@ def _signer(percent: int, most: int = 160):
     return sign
 
 
+def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("same", F.xxhash64("text"))
+
+
 def signatures(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text", most: int = 160) -> DataFrame:
-    """(doc_id, n_shingles, digest, bands, sketch) of each row; digest to sketch are null without shingles."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+    """(doc_id, same, n_shingles, digest, bands, sketch) of each row; ``same`` tells texts of one id apart; digest to sketch are null without shingles."""
+    schema = pa.schema([("doc_id", pa.int64()), ("same", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
@@ -111,11 +115,10 @@ def signatures(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", te
                 out["digest"].append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 out["bands"].append(keys)
                 out["sketch"].append(sketch)
-            out["doc_id"] = batch.column("doc_id")
+            out["doc_id"], out["same"] = batch.column("doc_id"), batch.column("same")
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
+    return _narrow(docs, id_col, text_col).mapInArrow(run, "doc_id long, same long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
 
 
 def _limit(percent: int, sizes, np_=np, ratio=None):
@@ -267,22 +270,33 @@ def _blocks(buckets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long, n long").groupBy("a", "b").agg(F.max("n").alias("n"))
 
 
+def _one_id(usable: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b) between the nodes of an id that has texts of several shingle sets."""
+    several = usable.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id", F.col("x").alias("first"))
+    apart = several.join(usable.select("doc_id", "digest").distinct(), "doc_id").where("digest <> first")
+    both = apart.join(reps.select("digest", F.col("rep").alias("a")), "digest")
+    return both.join(reps.select(F.col("digest").alias("first"), F.col("rep").alias("b")), "first").select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row: classes of documents linked by a Jaccard similarity of ``k``-word shingle sets of ``percent`` or more."""
     small_batches(docs.sparkSession)
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    plain = _narrow(docs, id_col, text_col).where("doc_id is not null")
     sig = written(signatures(docs, k, percent, id_col, text_col), "signatures")
     usable = sig.where("digest is not null and doc_id is not null")
-    reps = written(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")), "representatives")
-    own = usable.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    own = written(own.select(F.col("doc_id").alias("rep"), "bands", "sketch", F.col("n_shingles").alias("size")), "own-signatures")
+    # Each distinct shingle set is a node of its own number, with one row that stands for it.
+    reps = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "same")).alias("of")).select("digest", "of.doc_id", "of.same")
+    reps = written(reps.withColumn("rep", F.monotonically_increasing_id()), "representatives")
+    place = ["doc_id", "same"]
+    own = usable.drop("digest").join(reps.select("rep", *place), place).dropDuplicates(["rep"])
+    own = written(own.select("rep", "bands", "sketch", F.col("n_shingles").alias("size")), "own-signatures")
     sketches = own.select("rep", "sketch", "size")
     buckets = _buckets(own, "buckets")
 
     # One pass gathers the texts that may be compared; the merge join is asked for so that its plan is the same at every size.
-    held = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    plain = written(plain.hint("merge").join(held.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
-    edges = written(_confirmed(written(_star(buckets, sketches, percent, 0), "pairs"), plain, k, percent), "edges")
+    held = buckets.select("rep").distinct().join(reps.select("rep", *place), "rep")
+    plain = written(plain.hint("merge").join(held.hint("merge"), place).dropDuplicates(["rep"]).select(F.col("rep").alias("doc_id"), "text"), "candidate-texts")
+    edges = written(_confirmed(written(_star(buckets, sketches, percent, 0), "pairs"), plain, k, percent).unionAll(_one_id(usable, reps)), "edges")
     comps = written(connected_components(edges), "components")
     for salt in (1, 2, None):
         left = written(_open_buckets(buckets, comps), "open")
@@ -298,6 +312,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             continue
         edges = written(edges.unionAll(_confirmed(pairs, plain, k, percent, salt is None)), "edges")
         comps = written(connected_components(edges), "components")
-    label = sig.select("doc_id", "n_shingles", "digest").join(reps, "digest", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id")
+    # A component is named by the least id of all its nodes; nodes without links name themselves.
+    named = comps.withColumnRenamed("node", "rep").join(reps.select("rep", "doc_id"), "rep")
+    least = written(named.groupBy("component").agg(F.min("doc_id").alias("least")), "least-ids")
+    named = reps.select("digest", "rep", F.col("doc_id").alias("own")).join(comps.withColumnRenamed("node", "rep"), "rep", "left").join(least, "component", "left")
+    label = sig.select("doc_id", "n_shingles", "digest").join(named.select("digest", F.coalesce("least", "own").alias("least")), "digest", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id")
     return label.select("doc_id", "n_shingles", component).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -89,6 +89,15 @@ def test_near_duplicates_equal_brute_force(real, k, percent):
     assert got == brute_classes([(r.doc_id, r.text) for r in real.select("doc_id", "text").collect()], k, percent)
 
 
+def test_repeated_ids_keep_the_links_of_all_their_texts(spark):
+    """Ids with several texts: what any text links with is linked, whichever row comes first."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(400)) for x in "abc")
+    rows = [(5, b), (5, a), (9, a + " more"), (7, c), (3, c + " x"), (11, b + " y"), (12, c), (12, b), (20, "alone"), (21, None)]
+    for some in (rows, rows[::-1]):
+        got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(some, "doc_id long, text string"), 3, 85).collect()}
+        assert got == {(i, 3, i == 3) for i in (3, 5, 7, 9, 11, 12)} | {(20, 20, True), (21, 21, True)}
+
+
 def test_near_duplicates_of_a_dense_group(spark):
     """Pairs on both sides of the threshold in one bucket: every link counts, also between members that miss the centre."""
     rnd = random.Random(7)
@@ -724,10 +733,12 @@ def test_pipeline_stages(spark, real):
 def test_pipeline_stages_on_edges(spark, edge, empty):
     """Nulls, repeats and clashing names pass every stage; the quality stage equals the scores of a model fitted apart, tokens equal the library."""
     stage = dict(corpus_pipeline.STAGES)
+    edge = edge.unionByName(edge.where("text is null").withColumn("n_chars", F.lit(77).cast("long")).withColumn("doc_id", F.lit(-77).cast("long")))
     clash = edge.select("*", *[F.lit("mine").alias(c) for c in ("accepted", "quality_scores", "judged", "clean", "part", "comp", "component_id", "kept")])
     for name in ("quality", "near_dedup", "decontamination", "secrets"):
         for d in (clash, empty):
             out = stage[name](spark, d, DATA)
+            assert name != "secrets" or out.where("text is null and n_chars = 77").count() == d.where("text is null and n_chars = 77").count()
             assert out.columns == d.columns and out.count() <= d.count()
             assert not out.where("accepted <> 'mine'").count() if d is clash else True
     assert stage["secrets"](spark, clash, DATA).count() == clash.count()
