@@ -1,7 +1,8 @@
 """Document fingerprints by closed syncmers, in DataFrame functions alone.
 
 A text is a sequence of units: short pieces of its words that end where a certain character stands, so that
-pieces fall alike wherever a passage stands and whatever its length, in scripts without spaces too. Before the
+pieces fall alike wherever a passage stands and whatever its length, in scripts without spaces too. Only in a run without
+white space and without any such character (of symbols, or letters of rarer alphabets) pieces depend on where the run begins. Before the
 first unit stand ``K - 1`` blank ones. A ``K``-unit window is an anchor when the least of its ``S``-unit parts
 lies at either edge, and so is each window that reaches the blanks. Whether a window is one depends on the window
 alone, so equal passages give equal anchors wherever they stand, and a text that is made longer keeps its anchors
@@ -19,14 +20,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, S = 5, 2  # a window has four parts, so about half of the windows are anchors
-#: A unit ends after a digit, one of two vowels or a sign of a script without spaces, or where white space follows.
-ENDS = r"[ \t\n\x0B\f\r]+|(?<=[eo0-9\u0E00-\u0EFF\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7A3])"
+#: A unit ends at any white space, after a digit, some vowels of alphabets with two cases, and each letter, mark or symbol
+#: of the others; a run without any of these is cut every 15 characters from where it begins.
+_SPACE, _ENDS = r"\p{Z}\t\n\x0B\f\r", r"eoEO0-9\p{Lo}\p{M}\p{So}аеоиАЕОИαεοιΑΕΟΙաեոԱԵՈაეო"
+UNIT = rf"[^{_SPACE}{_ENDS}]{{1,15}}+[{_ENDS}]?+|[{_ENDS}]"
 
 
 def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
     """``df`` with ``name``: the distinct anchors of the column ``text`` in text order, array<int>."""
     h, m = f"__h_{name}", f"__m_{name}"
-    units = F.transform(F.filter(F.split(text, ENDS), lambda unit: unit != ""), lambda unit: F.xxhash64(unit))
+    units = F.transform(F.regexp_extract_all(text, F.lit(UNIT), 0), lambda unit: F.xxhash64(unit))
     df = df.withColumn(h, F.concat(F.array_repeat(F.lit(0).cast("long"), K - 1), units))
     pairs = F.transform(F.slice(h, 1, F.size(h) - 1), lambda a, i: F.xxhash64(a, F.get(h, i + 1)))
     df = df.withColumn(m, pairs)
