@@ -33,7 +33,8 @@ SEGMENT, LINES = 512, 4096
 #: Speaker markers by the side they stand for; fixed values.
 MARKERS = {"user": "user|human|customer|question|q|me", "assistant": "assistant|bot|ai|model|answer|agent|a", "system": "system|instructions|instruction|context"}
 _FORM = r"(?i)^\s*(?:#{{1,4}}\s*|\[|<\|?|\*\*)?(?:{})(?:\]|\|?>|\*\*)?(?:\s*[:>]|(?<=[\]>]))\s*"
-_ANY = _FORM.format("|".join(MARKERS.values()))
+#: A mark of the canonical form inside a text, with the backslashes that it may have.
+_MARK = r"<(\\*\|im_(?:start|end)\|>)"
 _CODES = 4 * 5 * 2 * 3
 
 
@@ -57,9 +58,9 @@ def as_transcripts(conversations: DataFrame) -> DataFrame:
     for i, names in enumerate(styles):
         for role, text in names.items():
             mark = F.when((style == i) & (F.col("role") == role), text).otherwise(mark)
-    rows = conversations.where("conv_id is not null and turn is not null").select("conv_id", "turn", "role", F.split(F.coalesce("text", F.lit("")), "\n").alias("parts"), mark.alias("mark"))
-    rows = rows.select("conv_id", "turn", "role", "mark", F.posexplode("parts").alias("line_no", "line"))
-    return rows.select("conv_id", "turn", "line_no", F.when(F.col("line_no") == 0, F.concat("mark", "line")).otherwise(F.col("line")).alias("line"), "role")
+    rows = conversations.where("conv_id is not null and turn is not null").select("conv_id", "turn", "role", F.struct(F.xxhash64("text"), F.monotonically_increasing_id()).alias("row"), F.split(F.coalesce("text", F.lit("")), "\n").alias("parts"), mark.alias("mark"))
+    rows = rows.select("conv_id", "turn", "role", "row", "mark", F.posexplode("parts").alias("line_no", "line"))
+    return rows.select("conv_id", "turn", "line_no", F.when(F.col("line_no") == 0, F.concat("mark", "line")).otherwise(F.col("line")).alias("line"), "role", "row")
 
 
 @dataclass
@@ -150,12 +151,15 @@ def parse(lines: DataFrame, model: Hmm | None = None) -> DataFrame:
     """(conv_id, turn, line_no, role, starts, rendered) of each line: the recovered role, whether a turn starts, and the canonical text."""
     small_batches(lines.sparkSession)
     model = model or fit(lines)
-    rows = lines.where("conv_id is not null and turn is not null").select("conv_id", F.floor(F.col("turn") / SEGMENT).cast("long").alias("seg"), F.col("turn").cast("long").alias("turn"), F.col("line_no").cast("long").alias("line_no"), F.coalesce("line", F.lit("")).alias("line"))
+    given = lines.schema["conv_id"].dataType.simpleString()
+    kind = "bigint" if given in ("tinyint", "smallint", "int", "bigint") else "string"
+    conv = F.hex("conv_id") if given == "binary" else F.col("conv_id").cast(kind)
+    row = F.col("row") if "row" in lines.columns else F.lit(0)
+    rows = lines.where("conv_id is not null and turn is not null").select(conv.alias("conv_id"), row.alias("row"), F.floor(F.col("turn") / SEGMENT).cast("long").alias("seg"), F.col("turn").cast("long").alias("turn"), F.col("line_no").cast("long").alias("line_no"), F.coalesce("line", F.lit("")).alias("line"))
     rows = rows.withColumns({"code": line_code(F.col("line")), "tie": F.xxhash64("line")})
     key = ["conv_id", "seg"]
-    order = [*key, "turn", "line_no", "tie"]
-    kind = rows.schema["conv_id"].dataType.simpleString()
-    akind = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+    order = [*key, "turn", "row", "line_no", "tie"]
+    akind = pa.int64() if kind == "bigint" else pa.string()
     n = len(STATES)
 
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +183,7 @@ def parse(lines: DataFrame, model: Hmm | None = None) -> DataFrame:
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
-        marker = re.compile(_ANY)
+        markers, mark = {role: re.compile(_FORM.format(names)) for role, names in MARKERS.items()}, re.compile(_MARK)
 
         def made() -> Iterator[tuple]:
             for _, group in groupby(_rows(batches), key=lambda r: r[:2]):
@@ -196,7 +200,7 @@ def parse(lines: DataFrame, model: Hmm | None = None) -> DataFrame:
             new = [path[k] < 0 or path[k - 1] < 0 or STATES[path[k]][1] or STATES[path[k]][0] != STATES[path[k - 1]][0] for k in range(1, len(path))]
             for i, r in enumerate(rows):
                 role = STATES[path[i + 1]][0]
-                text = marker.sub("", r[4], count=1) if new[i] else r[4]
+                text = mark.sub(r"<\\\1", markers[role].sub("", r[4], count=1) if new[i] else r[4])
                 text = (f"<|im_start|>{role}\n" if new[i] else "") + text + ("<|im_end|>\n" if path[i + 2] < 0 or new[i + 1] else "\n")
                 yield r[0], r[2], r[3], role, bool(new[i]), text
 
@@ -207,5 +211,6 @@ def parse(lines: DataFrame, model: Hmm | None = None) -> DataFrame:
     matrices = coded.select(*key, "code").mapInArrow(transfers, f"conv_id {kind}, seg long, piece long, m array<double>")
     bounds = matrices.repartition("conv_id").sortWithinPartitions(*key, "piece").mapInArrow(ends, f"conv_id {kind}, seg long, piece long, first long, last long, before long, after long")
     both = rows.withColumn("is_line", F.lit(1)).unionByName(bounds.withColumn("is_line", F.lit(0)), allowMissingColumns=True)
-    ordered = both.repartition(*key).sortWithinPartitions(*key, "is_line", "piece", "turn", "line_no", "tie")
-    return ordered.select(*key, "turn", "line_no", "line", "code", "first", "last", "before", "after").mapInArrow(decoded, f"conv_id {kind}, turn long, line_no long, role string, starts boolean, rendered string")
+    ordered = both.repartition(*key).sortWithinPartitions(*key, "is_line", "piece", "turn", "row", "line_no", "tie")
+    out = ordered.select(*key, "turn", "line_no", "line", "code", "first", "last", "before", "after").mapInArrow(decoded, f"conv_id {kind}, turn long, line_no long, role string, starts boolean, rendered string")
+    return out.withColumn("conv_id", F.unhex("conv_id") if given == "binary" else F.col("conv_id").cast(given))
