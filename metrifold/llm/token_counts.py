@@ -6,7 +6,7 @@ and never evicts it. Tier two is the worker's own bounded cache, which asks the
 The sample only decides what is quick, never what is counted: any pre-token that it lacks is encoded by the
 library, and a text that can't be cut at its spaces is encoded whole.
 
-Parameters: ``sample_docs`` documents, of each about ``sample_parts`` parts spread evenly over the whole text, feed
+Parameters: about ``sample_docs`` documents from 16 ranges of ids, of each about ``sample_parts`` parts spread evenly over the whole text, feed
 the table of ``frequent`` entries. Defined cases: null and empty texts have no bytes and no tokens; special
 strings inside texts count as the library's default has it; repeated rows are counted as often as they come.
 """
@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +28,20 @@ from metrifold.llm.library import ByteLevel, is_byte_level
 from metrifold.llm.pieces import hold
 
 
+_RANGES = 16
+
+
 def frequent_lengths(docs: DataFrame, path: str, frequent: int, sample_docs: int, sample_parts: int) -> tuple[str, np.ndarray]:
     """The most frequent pre-tokens of a bounded sample with their token counts."""
-    total = docs.count() if is_byte_level(path) else 0
-    if not total:
+    n, low, high = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first() if is_byte_level(path) else (0, None, None)
+    if not n:
         return "", np.empty(0, np.uint16)
-    sample = docs.select("text").where("text is not null").sample(min(1.0, sample_docs / total), seed=7).limit(2 * sample_docs)
+    # Narrow ranges of ids, spread over all of them: the scan of the texts skips what lies between.
+    low, high = low or 0, high or 0
+    wide = -(-(high - low + 1) * sample_docs // (n * _RANGES))
+    starts = {low + (high - low) * i // _RANGES for i in range(_RANGES)}
+    near = reduce(or_, (F.col("doc_id").between(at, min(at + wide - 1, high)) for at in sorted(starts)))
+    sample = docs.where(near).select("text").where("text is not null").limit(2 * sample_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
