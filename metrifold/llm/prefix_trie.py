@@ -304,8 +304,9 @@ def _level(blocks: DataFrame, level: int, below: DataFrame | None, ends: DataFra
                 yield pa.RecordBatch.from_pydict(out, schema=kind)
 
     each = rows.select("key", "own", "digs").mapInArrow(prefixes, "key string, own string, turns long, prefix int, digest binary")
-    light = each.groupBy("key", "prefix", "digest").agg(F.sum("turns").alias("turns")).where(F.col("turns") <= SHARD).drop("turns")
-    chosen = each.drop("turns").join(light, ["key", "prefix", "digest"]).groupBy("key", "own").agg(F.min(F.struct("prefix", "digest")).alias("x")).select("key", "own", "x.prefix", "x.digest")
+    # Prefixes with more below them are few (thirteen for each SHARD turns at most); the others need no join partner.
+    heavy = written(each.groupBy("key", "prefix", "digest").agg(F.sum("turns").alias("turns")).where(F.col("turns") > SHARD).drop("turns"), f"trie-heavy-{level}")
+    chosen = each.drop("turns").join(heavy, ["key", "prefix", "digest"], "left_anti").groupBy("key", "own").agg(F.min(F.struct("prefix", "digest")).alias("x")).select("key", "own", "x.prefix", "x.digest")
     turns = rows.agg(F.coalesce(F.sum(F.octet_length("digs")), F.lit(0))).first()[0] // 16
     shards = 1 + 2 * turns // SHARD
     dealt = rows.join(chosen, ["key", "own"], "left").withColumn("shard", F.pmod(F.xxhash64("key", F.coalesce("digest", F.unhex("own"))), F.lit(shards)))
