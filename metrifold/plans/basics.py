@@ -171,15 +171,16 @@ def w05id(s, d):
     return R.idelta(gauges(s, d), U).select(*U, "ts_ns", r6("value").alias("value"))
 
 
-_LINE = f"l0 AS (SELECT metric, usr, ts_ns, (ts_ns - min(ts_ns) OVER (PARTITION BY metric, usr))/1e9 AS x, value AS y FROM g), l1 AS (SELECT *, count(*) OVER w AS n, sum(x) OVER w AS sx, sum(y) OVER w AS sy, sum(x*x) OVER w AS sxx, sum(x*y) OVER w AS sxy FROM l0 WINDOW {_RNG}), l2 AS (SELECT *, CASE WHEN n > 1 THEN (n*sxy-sx*sy)/(n*sxx-sx*sx) END AS slope FROM l1)"
+#: Moments about the window's own means, times taken from the current row's.
+_LINE = f"l0 AS (SELECT metric, usr, ts_ns, list(ts_ns) OVER w AS tt, list(value) OVER w AS yy FROM g WINDOW {_RNG}), l1 AS (SELECT *, list_transform(tt, lambda t: (t - ts_ns) / 1e9) AS xx FROM l0), l2 AS (SELECT *, list_avg(xx) AS mx, list_avg(yy) AS my FROM l1), l3 AS (SELECT metric, usr, ts_ns, mx, my, CASE WHEN len(xx) > 1 THEN list_sum(list_transform(range(1, len(xx) + 1), lambda i: (xx[i] - mx) * (yy[i] - my))) / list_sum(list_transform(xx, lambda x: (x - mx) * (x - mx))) END AS slope FROM l2)"
 
 
-@query("w05_deriv", f"WITH {G}, {_LINE} SELECT metric, usr, ts_ns, round(slope*86400,4) AS value FROM l2")
+@query("w05_deriv", f"WITH {G}, {_LINE} SELECT metric, usr, ts_ns, round(slope*86400,4) AS value FROM l3")
 def w05v(s, d):
     return R.deriv(gauges(s, d), U, 5 * D1).select(*U, "ts_ns", r6(F.col("value") * 86400, 4).alias("value"))
 
 
-@query("w05_predict_linear", f"WITH {G}, {_LINE} SELECT metric, usr, ts_ns, round((sy-slope*sx)/n + slope*x + slope*3600,4) AS value FROM l2")
+@query("w05_predict_linear", f"WITH {G}, {_LINE} SELECT metric, usr, ts_ns, round(my - slope*mx + slope*3600,4) AS value FROM l3")
 def w05p(s, d):
     return R.predict_linear(gauges(s, d), U, 5 * D1, 3600).select(*U, "ts_ns", r6("value", 4).alias("value"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from metrifold.plans import registry
 
-MODULES = ("basics", "shapes", "analysis", "views", "live", "exchange")
+MODULES = ("basics", "shapes", "analysis", "views", "live", "exchange", "recordings")
 
 
 def _load() -> None:

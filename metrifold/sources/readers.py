@@ -15,7 +15,7 @@ ANNOTATIONS = "timestamp string, ts string, description string, kind string, det
 
 
 def wide_to_long(df: DataFrame, metrics: Sequence[str] | None = None) -> DataFrame:
-    """(metric, ts_ns, value) of a wide table with one column for each series; time, duration, window and offset columns are no metrics. Columns are chosen before the unpivot, so only they are read."""
+    """(metric, ts_ns, value) of a wide table of unlabelled doubles with one column for each series; time, duration, window and offset columns are no metrics. Columns are chosen before the unpivot, so only they are read. Recordings with counters, lists, windows and labels are read by ``recording``."""
     names = [c for c in df.columns if c not in _SIDE and ":window_" not in c and ":wall_offset" not in c and not isinstance(df.schema[c].dataType, T.ArrayType)]
     names = [c for c in names if metrics is None or c.split("::")[-1] in metrics]
     if not names:
@@ -24,27 +24,8 @@ def wide_to_long(df: DataFrame, metrics: Sequence[str] | None = None) -> DataFra
     return d.unpivot(["ts_ns"], names, "metric", "value").where("value is not null").select("metric", "ts_ns", "value")
 
 
-def read_recording(spark: SparkSession, path: str, metrics: Sequence[str] | None = None) -> DataFrame:
-    return wide_to_long(spark.read.parquet(path), metrics)
-
-
-def read_combined(spark: SparkSession, path: str, metrics: Sequence[str] | None = None) -> DataFrame:
-    """A combined recording whose columns are ``node::metric``."""
-    d = wide_to_long(spark.read.parquet(path), metrics)
-    parts = F.split("metric", "::")
-    return d.withColumn("node", F.when(F.size(parts) > 1, parts[0])).withColumn("metric", F.element_at(parts, -1))
-
-
-def read_tables(spark: SparkSession, **paths: str) -> DataFrame:
-    """Per-sampler tables as one source; ``table`` names the sampler."""
-    out = None
-    for name, path in paths.items():
-        d = read_recording(spark, path).withColumn("table", F.lit(name))
-        out = d if out is None else out.unionByName(d)
-    return out
-
-
 def metrics_in_two_tables(df: DataFrame) -> DataFrame:
+    """Metrics that more than one table claims, of samples or of a catalog."""
     return df.groupBy("metric").agg(F.countDistinct("table").alias("tables")).where("tables > 1")
 
 
