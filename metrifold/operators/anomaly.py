@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from metrifold.operators.base import cut, folded, whole
+from metrifold.operators import scan
+from metrifold.operators.base import cut, finite, folded, whole
 from metrifold.operators.stability import all_noise_transitions, allan, dev_at, smooth, smoothing_tau
 
 #: Multiplier of the scaled MAD by noise class; fixed values.
@@ -26,11 +27,32 @@ def mad_multiplier(noise: Column) -> Column:
     return out
 
 
+_SPARE, _ACCURACY = 2e-4, 10_000
+
+
+def order_statistics(df: DataFrame, keys: Sequence[str], column: Column, between: tuple[float, float], ranks: dict[str, Column]) -> DataFrame:
+    """(keys, n, a column for each of ``ranks``): exact order statistics; a rank is told from ``n`` and counts from 1.
+
+    ``between`` are the least and the greatest share of n that the ranks stand at. A mergeable summary brackets them
+    (its ranks are off by 1 / _ACCURACY at most, the bracket is twice as wide), and one more pass counts what lies below
+    the bracket and each distinct value inside it: no series is sorted or held, and ties cost one row.
+    """
+    v = df.select(*keys, column.cast("double").alias("__v")).where("__v is not null")
+    low, high = max(0.0, between[0] - _SPARE), min(1.0, between[1] + _SPARE)
+    ends = v.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("__v", [low, high], _ACCURACY).alias("__e"), F.min("__v").alias("__least"), F.max("__v").alias("__most"))
+    # a short series is bracketed by its ends, and so is one whose summary may be off by a whole rank
+    short = F.col("n") < _ACCURACY
+    ends = ends.select(F.struct(*keys).alias("__k"), "n", F.when(short, F.col("__least")).otherwise(F.col("__e")[0]).alias("__lo"), F.when(short, F.col("__most")).otherwise(F.col("__e")[1]).alias("__hi"))
+    near = v.withColumn("__k", F.struct(*keys)).join(ends, "__k").where(F.col("__v") <= F.col("__hi"))
+    counts = near.groupBy(*keys, "n", F.when(F.col("__v") >= F.col("__lo"), F.col("__v")).alias("__v")).agg(F.count("*").alias("__m"))
+    w = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("__v"))
+    counts = counts.withColumn("__cum", F.sum("__m").over(w))
+    return counts.groupBy(*keys, "n").agg(*[F.min(F.when(F.col("__cum") >= rank, F.struct("__cum", "__v")))["__v"].alias(name) for name, rank in ranks.items()])
+
+
 def medians(df: DataFrame, keys: Sequence[str], column: Column, name: str) -> DataFrame:
-    """(keys, name): the exact median, the mean of the middle two for even counts; a sort that may spill, no buffer."""
-    d = df.select(*keys, column.alias("__v")).withColumns({"__n": F.count("__v").over(Window.partitionBy(*keys)), "__k": F.row_number().over(Window.partitionBy(*keys).orderBy("__v"))})
-    middle = (F.col("__k") == F.floor((F.col("__n") + 1) / 2)) | (F.col("__k") == F.floor((F.col("__n") + 2) / 2))
-    return d.where(middle).groupBy(*keys).agg(F.avg("__v").alias(name))
+    """(keys, name): the exact median, the mean of the middle two for even counts."""
+    return order_statistics(df, keys, column, (0.5, 0.5), {"__a": F.floor((F.col("n") + 1) / 2), "__b": F.floor((F.col("n") + 2) / 2)}).select(*keys, ((F.col("__a") + F.col("__b")) / 2).alias(name))
 
 
 def mad_stats(df: DataFrame, keys: Sequence[str], column: str = "value") -> DataFrame:
@@ -109,34 +131,91 @@ def _alarms(c: np.ndarray, s: float, h: float) -> tuple[list[int], float]:
     return out, s
 
 
+#: Jobs at most that hand sums from chunk to chunk; what is not settled by then is folded in order.
+ROUNDS = 6
+
+
 def cusum(df: DataFrame, keys: Sequence[str], levels: Sequence[tuple[float, float]] = CUSUM_LEVELS[1:2]) -> DataFrame:
     """(keys, idx, level, side): alarms of the two-sided CUSUM at each (k, h) in standard deviations; a sum that alarms starts anew, the other goes on.
 
-    One pass folds every level and side of a series with two sums each; deviations from the mean are scaled before it.
+    Values that are not finite are no points. Series of up to ``scan.ROWS`` points are one fold each, of every level and side
+    with two sums. Longer ones are cut into chunks that run side by side from 0; then each chunk whose sums begin
+    elsewhere, by what the chunk before ends with, runs again, until no end changes. Paths meet where both touch 0 or
+    start anew, so that a few rounds settle all but a steady drift; after ``ROUNDS`` such series are folded in order.
     """
     v = F.col("value").cast("double")
-    z = F.try_divide(v - F.avg(v).over(whole(keys)), F.stddev_pop(v).over(whole(keys)))
-    d = df.select(*keys, F.col("idx").cast("long").alias("idx"), z.alias("z")).where("z is not null")
+    points = df.where(finite(v)).select(*keys, F.col("idx").cast("long").alias("idx"), v.alias("v"))
+    stats = points.groupBy(*keys).agg(F.avg("v").alias("__m"), F.stddev_pop("v").alias("__s"))
+    points = points.withColumn("__k", F.struct(*keys)).join(stats.select(F.struct(*keys).alias("__k"), "__m", "__s"), "__k")
+    d = points.select(*keys, "idx", F.try_divide(F.col("v") - F.col("__m"), F.col("__s")).alias("z")).where("z is not null")
+    longest = df.groupBy(*keys).agg(F.max("idx").alias("n")).agg(F.max("n")).first()[0]
+    if longest is None or longest < scan.ROWS:
+        return _folds(d, keys, levels).where("side <> 'end'").select(*keys, "idx", "level", "side")
+    return _chunk_folds(d, keys, levels)
+
+
+def _folds(d: DataFrame, keys: Sequence[str], levels: Sequence[tuple[float, float]]) -> DataFrame:
+    """(keys, idx, level, side, ends): alarms, and for each piece of rows a row of side "end" with all sums after it. A row without z sets the sums to its ``begins``."""
+    if "begins" not in d.columns:
+        d = d.withColumn("begins", F.lit(None).cast("array<double>"))
     schema = _arrow(d, keys)
-    for field in (pa.field("idx", pa.int64()), pa.field("level", pa.int64()), pa.field("side", pa.string())):
+    for field in (pa.field("idx", pa.int64()), pa.field("level", pa.int64()), pa.field("side", pa.string()), pa.field("ends", pa.list_(pa.float64()))):
         schema = schema.append(field)
+    sides = (("up", 1.0), ("down", -1.0))
 
     def step(state: dict, rows: pa.RecordBatch) -> pa.RecordBatch:
+        first = rows.column("begins")[0].as_py()
+        if first is not None:
+            state["sums"] = first
+            rows = rows.slice(1)
+        sums = state.setdefault("sums", [0.0] * (2 * len(levels)))
         zs = rows.column("z").to_numpy(zero_copy_only=False)
         at: list[int] = []
         level: list[int] = []
         side: list[str] = []
         for i, (k, h) in enumerate(levels):
-            for name, sign in (("up", 1.0), ("down", -1.0)):
-                found, state[i, name] = _alarms(sign * zs - k, state.get((i, name), 0.0), h)
+            for j, (name, sign) in enumerate(sides):
+                found, sums[2 * i + j] = _alarms(sign * zs - k, sums[2 * i + j], h)
                 at += found
                 level += [i] * len(found)
                 side += [name] * len(found)
+        if rows.num_rows:
+            at, level, side = [*at, rows.num_rows - 1], [*level, -1], [*side, "end"]
         got = rows.take(pa.array(at, pa.int64()))
-        return pa.RecordBatch.from_arrays([*(got.column(x) for x in (*keys, "idx")), pa.array(level, pa.int64()), pa.array(side, pa.string())], names=[*keys, "idx", "level", "side"])
-
-    kinds = dict(df.dtypes)
-    return folded(d, keys, ["idx"], step, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "idx long, level long, side string"]), schema)
+        ends = [None] * (len(at) - 1) + [list(sums)] if at else []
+        return pa.RecordBatch.from_arrays([*(got.column(x) for x in (*keys, "idx")), pa.array(level, pa.int64()), pa.array(side, pa.string()), pa.array(ends, pa.list_(pa.float64()))], names=[*keys, "idx", "level", "side", "ends"])
+
+    kinds = dict(d.dtypes)
+    return folded(d, keys, ["idx"], step, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "idx long, level long, side string, ends array<double>"]), schema)
+
+
+def _chunk_folds(d: DataFrame, keys: Sequence[str], levels: Sequence[tuple[float, float]]) -> DataFrame:
+    d = cut(scan.chunked(d, keys, "idx").drop("__k").withColumn("__c", F.col("__c").cast("long")), "cusum-points")
+    parts, zero = [*keys, "__c"], F.array_repeat(F.lit(0.0), 2 * len(levels))
+    series_of = lambda x: F.struct(*[F.col(k) for k in keys]).alias(x)
+    found = cut(_folds(d, parts, levels).withColumn("begins", zero), "cusum-round")
+    for at in range(ROUNDS + 1):
+        ends = found.where("side = 'end'").groupBy(*parts).agg(F.max_by("ends", "idx").alias("ends"), F.first("begins").alias("was"))
+        now = ends.withColumn("begins", F.coalesce(F.lag("ends").over(Window.partitionBy(*keys).orderBy("__c")), zero))
+        again = cut(now.where(~F.col("begins").eqNullSafe(F.col("was"))).select(*parts, "begins"), "cusum-again")
+        if again.isEmpty():
+            break
+        over = series_of("__k")
+        if at == ROUNDS:  # from each series' first unsettled chunk on, in order
+            first = again.groupBy(*keys).agg(F.min("__c").alias("__from"), F.min_by("begins", "__c").alias("begins"))
+            rest = d.withColumn("__k", over).join(first.select(over, "__from"), "__k").where("__c >= __from").select(*keys, "idx", "z")
+            seeds = first.select(*keys, F.lit(-1).cast("long").alias("idx"), "begins")
+            done = _folds(rest.unionByName(seeds, allowMissingColumns=True), keys, levels)
+            kept = found.withColumn("__k", over).join(first.select(over, "__from"), "__k", "left").where("__from is null or __c < __from")
+            return kept.select(*keys, "idx", "level", "side").unionByName(done.select(*keys, "idx", "level", "side")).where("side <> 'end'")
+        place = lambda x: F.struct(*[F.col(k) for k in parts]).alias(x)
+        rows = d.withColumn("__p", place("__p")).join(again.select(place("__p")), "__p", "left_semi").drop("__p")
+        seeds = again.select(*parts, F.lit(-1).cast("long").alias("idx"), "begins")
+        new = _folds(rows.unionByName(seeds, allowMissingColumns=True), parts, levels)
+        new = new.withColumn("__p", place("__p")).join(again.select(place("__p"), "begins"), "__p").drop("__p")
+        old = found.withColumn("__p", place("__p")).join(again.select(place("__p")), "__p", "left_anti").drop("__p")
+        found = cut(old.unionByName(new), "cusum-round")
+    return found.where("side <> 'end'").select(*keys, "idx", "level", "side")
 
 
 def change_points(df: DataFrame, keys: Sequence[str], devs: DataFrame | None = None, step_s: float = 1.0, tau: DataFrame | int = 30) -> DataFrame:
@@ -151,12 +230,12 @@ def change_points(df: DataFrame, keys: Sequence[str], devs: DataFrame | None = N
     n = n.withColumn("tau", F.lit(tau)) if isinstance(tau, int) else n.join(tau.select(*keys, "tau"), list(keys))
     span = F.least(F.greatest(2 * F.col("tau") * step_s, F.lit(30.0)), F.lit(120.0)) / step_s
     sizes = n.withColumn("span", span).withColumn("w", F.least(F.greatest(F.round("span"), F.lit(10.0)), F.floor(F.col("n") / 4)).cast("long"))
-    run = Window.partitionBy(*keys).orderBy("idx")
     v = F.col("value").cast("double")
     # values are taken from their series' mean first, so that the difference of two sums of squares keeps its digits
-    d = df.select(*keys, "idx", v.alias("v"), F.avg(v).over(whole(keys)).alias("middle"))
+    middle = df.groupBy(*keys).agg(F.avg(v).alias("middle"))
+    d = scan.chunked(df.select(*keys, "idx", v.alias("v")).join(middle, list(keys)), keys, "idx")
     x = F.col("v") - F.col("middle")
-    sums = d.select(*keys, "idx", "middle", F.sum(x).over(run).alias("s"), F.sum(x * x).over(run).alias("q"))
+    sums = scan.prefix_sums(d, {"s": x, "q": x * x}, "idx").select(*keys, "idx", "middle", "s", "q")
     half = F.floor(F.col("w") / 2)
     c = sizes.withColumn("mid", F.explode(F.sequence(F.col("w"), F.least(F.col("n") - half, F.col("n") - 1), half.cast("long"))))
     c = c.withColumns({"lo": F.col("mid") - F.col("w"), "hi": F.least(F.col("mid") + F.col("w"), F.col("n"))})

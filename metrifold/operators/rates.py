@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from metrifold.operators import scan
 from metrifold.operators.base import MINUTE, SECOND, folded, idiv, idiv_up, series, whole
 
 
+_KEPT = ("__k", "__c")
+
+
 def _over(keys: Sequence[str], range_ns: int):
     return Window.partitionBy(*keys).orderBy("ts_ns").rangeBetween(-range_ns, 0)
 
@@ -43,14 +48,19 @@ def rate_raw(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def adjusted(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``adj``: the counter without its resets, 0 at the first sample."""
-    return reset_delta(df, keys).withColumn("adj", F.sum(F.coalesce(F.col("delta"), F.lit(0))).over(series(keys)))
+    """``adj``: the counter without its resets, 0 at the first sample; with prev, prev_ts and delta. Chunk by chunk."""
+    return scan.plain(scan.counter_sums(scan.chunked(df, keys)))
 
 
 def interp_grid(df: DataFrame, keys: Sequence[str], step: int, column: str = "value") -> DataFrame:
     """``column`` on the grid of multiples of ``step``, linear between the samples on either side; nothing beyond them."""
     w = series(keys)
     pairs = df.select(*keys, "ts_ns", F.col(column).cast("double").alias("v"), F.lag("ts_ns").over(w).alias("t0"), F.lag(F.col(column).cast("double")).over(w).alias("v0"))
+    return _between(pairs, keys, step)
+
+
+def _between(pairs: DataFrame, keys: Sequence[str], step: int) -> DataFrame:
+    """The grid points after each pair's earlier sample (t0, v0), up to its later one (ts_ns, v)."""
     first = idiv_up(F.coalesce(F.col("t0") + 1, F.col("ts_ns")), step)
     last = idiv(F.col("ts_ns"), step)
     points = pairs.where(first <= last).withColumn("g", F.explode(F.sequence(first, last)))
@@ -74,9 +84,11 @@ def interp_at(df: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def rate_grid(df: DataFrame, keys: Sequence[str], step: int) -> DataFrame:
     """(V(t) - V(t - step)) / step on the grid, from the interpolated, reset-adjusted counter, where both edges are observed."""
-    grid = interp_grid(adjusted(df, keys), keys, step, "adj")
-    prev = F.lag("value").over(series(keys))
-    return grid.select(*keys, "ts_ns", ((F.col("value") - prev) / (step / SECOND)).alias("value")).where("value is not null")
+    c = scan.counter_sums(scan.chunked(df, keys))
+    pairs = c.select(*keys, *_KEPT, "ts_ns", F.col("adj").cast("double").alias("v"), F.col("prev_ts").alias("t0"), (F.col("adj") - F.col("delta")).cast("double").alias("v0"))
+    # a chunk's points but its first have their neighbour inside it; the chunk's last is carried to the next
+    grid = scan.previous(_between(pairs, [*keys, *_KEPT], step), {"before": "value"})
+    return grid.select(*keys, "ts_ns", ((F.col("value") - F.col("before")) / (step / SECOND)).alias("value")).where("value is not null")
 
 
 def rate(df: DataFrame, keys: Sequence[str], range_ns: int) -> DataFrame:
@@ -151,33 +163,41 @@ def resets(df: DataFrame, keys: Sequence[str], range_ns: int) -> DataFrame:
 
 
 def double_exp(df: DataFrame, keys: Sequence[str], smooth: float, trend: float) -> DataFrame:
-    """Double exponential smoothing of each series: its last level (null with fewer than two samples).
+    """Double exponential smoothing of each series: its last level (null with fewer than two samples); null and NaN are no samples.
 
-    A series streams through one task with two numbers of state.
+    A step maps (level, slope) by a fixed matrix and adds a multiple of the sample, so a chunk of samples is a matrix and a
+    vector: chunks are folded side by side, a row each, and composed in order. The state before the second sample
+    is the first sample and the difference of the first two.
     """
     names = list(keys)
-
-    def step(state: dict, rows: pa.RecordBatch) -> pa.RecordBatch:
-        n, level, slope = state.get("n", 0), state.get("level"), state.get("slope")
-        for x in rows.column("v").to_pylist():
-            if n == 1:
-                slope = x - level
-            if n:
-                last = level
-                level = smooth * x + (1 - smooth) * (last + slope)
-                slope = trend * (level - last) + (1 - trend) * slope
-            else:
-                level = x
-            n += 1
-        state.update(n=n, level=level, slope=slope)
-        last_row = rows.slice(rows.num_rows - 1, 1)
-        return pa.RecordBatch.from_arrays([*(last_row.column(k) for k in names), pa.array([n], pa.int64()), pa.array([level if n > 1 else None], pa.float64())], names=[*names, "n", "value"])
-
-    d = df.select(*names, "ts_ns", F.col("value").cast("double").alias("v"))
-    schema = to_arrow_schema(d.select(*names).schema).append(pa.field("n", pa.int64())).append(pa.field("value", pa.float64()))
-    kinds = dict(d.dtypes)
-    levels = folded(d, names, ["ts_ns", "v"], step, ", ".join([*(f"`{k}` {kinds[k]}" for k in names), "n long, value double"]), schema)
-    return levels.groupBy(*names).agg(F.max_by("value", "n").alias("value"))
+    step = np.array([[1 - smooth, 1 - smooth], [-trend * smooth, 1 - trend * smooth]])
+    gain = np.array([smooth, trend * smooth])
+    v = F.col("value").cast("double")
+    d = df.where(v.isNotNull() & ~F.isnan(v)).select(*names, "ts_ns", v.alias("v"))
+    d = indexed(d, names).withColumn("__c", idiv(F.col("idx"), scan.ROWS))
+    kinds, parts = dict(d.dtypes), [*names, "__c"]
+    schema = to_arrow_schema(d.select(*parts).schema).append(pa.field("n", pa.int64())).append(pa.field("m", pa.list_(pa.float64())))
+
+    def fold(state: dict, rows: pa.RecordBatch) -> pa.RecordBatch:
+        x = rows.column("v").to_numpy(zero_copy_only=False)
+        weights = np.empty((len(x), 2))  # of the newest sample first
+        now, whole_step = gain, np.eye(2)
+        for i in range(len(x)):
+            weights[i] = now
+            now, whole_step = step @ now, whole_step @ step
+        add, matrix, n = state.get("add", np.zeros(2)), state.get("matrix", np.eye(2)), state.get("n", 0) + len(x)
+        state.update(add=whole_step @ add + weights.T @ x[::-1], matrix=whole_step @ matrix, n=n)
+        last = rows.slice(rows.num_rows - 1, 1)
+        return pa.RecordBatch.from_arrays([*(last.column(k) for k in parts), pa.array([n], pa.int64()), pa.array([[*state["matrix"].ravel(), *state["add"]]], pa.list_(pa.float64()))], names=[*parts, "n", "m"])
+
+    pieces = folded(d.where("idx > 0"), parts, ["idx"], fold, ", ".join([*(f"`{k}` {kinds[k]}" for k in parts), "n long, m array<double>"]), schema)
+    chunks = pieces.groupBy(*parts).agg(F.max_by("m", "n").alias("m")).groupBy(*names).agg(F.transform(F.array_sort(F.collect_list(F.struct("__c", "m"))), lambda c: c["m"]).alias("chunks"))  # a row for each ROWS samples
+    starts = d.where("idx < 2").groupBy(*names).agg(F.max(F.when(F.col("idx") == 0, F.col("v"))).alias("x0"), F.max(F.when(F.col("idx") == 1, F.col("v"))).alias("x1"))
+    key = F.struct(*names).alias("__k")
+    both = starts.withColumn("__k", key).join(chunks.select(key, "chunks"), "__k", "left")
+    apply = lambda s, m: F.struct((m[0] * s["l"] + m[1] * s["b"] + m[4]).alias("l"), (m[2] * s["l"] + m[3] * s["b"] + m[5]).alias("b"))
+    level = F.aggregate("chunks", F.struct(F.col("x0").alias("l"), (F.col("x1") - F.col("x0")).alias("b")), apply)["l"]
+    return both.select(*names, F.when(F.col("x1").isNotNull(), level).alias("value"))
 
 
 def gauge_grid(df: DataFrame, keys: Sequence[str], step: int) -> DataFrame:
@@ -223,7 +243,7 @@ def infer_interval(df: DataFrame, keys: Sequence[str], first: int = 100) -> Data
 
 def indexed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``idx``: 0-based place in the series."""
-    return df.withColumn("idx", (F.row_number().over(series(keys)) - 1).cast("long"))
+    return scan.plain(scan.numbered(scan.chunked(df, keys), "idx"))
 
 
 def step_or_default(step_s: Column) -> Column:

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metrifold.operators import scan
+
 
 def taus_up_to(n: int) -> list[int]:
     """1, then half as much again (one more at least), up to n / 3."""
@@ -59,8 +61,7 @@ def hadamard(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def _sums_before(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, idx, value, s): the sum of the values before each idx, and a last row with the sum of all and no value."""
-    run = Window.partitionBy(*keys).orderBy("idx")
-    sums = df.withColumn("s", F.sum(F.col("value").cast("double")).over(run) - F.col("value"))
+    sums = scan.prefix_sums(scan.chunked(df, keys, "idx"), {"s": F.col("value").cast("double")}, "idx").withColumn("s", F.col("s") - F.col("value"))
     ends = df.groupBy(*keys).agg((F.max("idx") + 1).alias("idx"), F.sum(F.col("value").cast("double")).alias("s"))
     return sums.select(*keys, "idx", "value", "s").unionByName(ends, allowMissingColumns=True)
 
@@ -126,9 +127,8 @@ def smooth(df: DataFrame, keys: Sequence[str], width: Column | int) -> DataFrame
     the mean is a difference of running sums joined at computed bounds.
     """
     d = df.withColumn("w", (width if isinstance(width, Column) else F.lit(width)).cast("long"))
-    run = Window.partitionBy(*keys).orderBy("idx")
-    n = F.count("*").over(Window.partitionBy(*keys))
-    d = d.withColumns({"n": n, "s": F.sum(F.col("value").cast("double")).over(run)})
+    sizes = d.groupBy(*keys).agg(F.count("*").alias("n"))
+    d = scan.plain(scan.prefix_sums(scan.chunked(d, keys, "idx"), {"s": F.col("value").cast("double")}, "idx")).join(sizes, list(keys))
     half, i = F.floor(F.col("w") / 2), F.col("idx")
     early, late = i < half, i + half >= F.col("n")
     start = F.when(early, 0).when(late, F.col("n") - F.col("w")).otherwise(i - half)
