@@ -23,7 +23,8 @@ K, S = 5, 2  # a window has four parts, so about half of the windows are anchors
 #: A unit ends at any white space, after a digit, some vowels of alphabets with two cases, and each letter, mark or symbol
 #: of the others; a run without any of these is cut every 15 characters from where it begins.
 _SPACE, _ENDS = r"\p{Z}\t\n\x0B\f\r", r"eoEO0-9\p{Lo}\p{M}\p{So}аеоиАЕОИαεοιΑΕΟΙաեոԱԵՈაეო"
-UNIT = rf"[^{_SPACE}{_ENDS}]{{1,15}}+[{_ENDS}]?+|[{_ENDS}]"
+_REST = rf"\x00-\x08\x0E-\x1F!-/:-@A-DF-NP-Z\[-`a-df-np-z{{-\x7F[^\x00-\x7F{_SPACE}{_ENDS}]"  # all other characters, the common ones first
+UNIT = rf"[{_REST}]{{1,15}}+[{_ENDS}]?+|[{_ENDS}]"
 
 
 def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
