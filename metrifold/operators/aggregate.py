@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from metrifold.functions.scalar import consumer_name, last_rank
+from metrifold.operators.ranks import order_statistics
 from metrifold.operators.base import SECOND, finite, has_band, idiv, whole
 
 
@@ -38,8 +39,8 @@ def collapse(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def percentile_nearest(df: DataFrame, keys: Sequence[str], qs: Sequence[float]) -> DataFrame:
     """Nearest-rank percentiles of finite values: the value at rank max(1, ceil(q n))."""
     d = df.where(finite(F.col("value")))
-    ranked = d.withColumns({"r": F.row_number().over(Window.partitionBy(*keys).orderBy("value")), "n": F.count("*").over(whole(keys))})
-    return ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("r") == last_rank(F.col("n"), q), F.col("value"))).alias(f"p{q * 100:g}".replace(".", "_")) for q in qs])
+    found = order_statistics(d, keys, F.col("value"), (min(qs), max(qs)), {f"p{q * 100:g}".replace(".", "_"): last_rank(F.col("n"), q) for q in qs})
+    return found.drop("n")
 
 
 def summary_stats(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metrifold.operators.base import idiv, whole
+from metrifold.operators.base import has_band, idiv, whole
 
 
 def rebase(df: DataFrame, offset_ns: int = 0) -> DataFrame:
@@ -50,9 +50,10 @@ def _bins(df: DataFrame, keys: Sequence[str], points: int) -> DataFrame:
 
 
 def boxplot(df: DataFrame, keys: Sequence[str], points: int, band: tuple[float, float] = (0.25, 0.75)) -> DataFrame:
-    """Each bin's first time, least, lower, median, upper and greatest value."""
+    """Each bin's first time, least, lower, median, upper and greatest value; with bands also ``unc_lo`` and ``unc_hi``, the edges of all bands in the bin (null without any)."""
     v = lambda q: F.percentile("value", F.lit(q))
-    return _bins(df, keys, points).groupBy(*keys, "bin").agg(F.min("ts_ns").alias("ts_ns"), F.min("value").alias("min"), v(band[0]).alias("lo"), v(0.5).alias("median"), v(band[1]).alias("hi"), F.max("value").alias("max"))
+    edges = [F.min("lo").alias("unc_lo"), F.max("hi").alias("unc_hi")] if has_band(df) else []
+    return _bins(df, keys, points).groupBy(*keys, "bin").agg(F.min("ts_ns").alias("ts_ns"), F.min("value").alias("min"), v(band[0]).alias("q_lo"), v(0.5).alias("median"), v(band[1]).alias("q_hi"), F.max("value").alias("max"), *edges).withColumnsRenamed({"q_lo": "lo", "q_hi": "hi"})
 
 
 def minmax_decimate(df: DataFrame, keys: Sequence[str], points: int) -> DataFrame:

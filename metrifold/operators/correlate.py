@@ -41,18 +41,17 @@ def lag_join(df: DataFrame, pairs: DataFrame, lags: Sequence[int], span: DataFra
 
 def xcorr(joined: DataFrame, least: int = 3) -> DataFrame:
     """Pearson r of each (pair, lag) with at least ``least`` points; 0 where a side hardly varies."""
-    x, y = F.col("x"), F.col("y")
-    g = joined.groupBy("pair", "lag").agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy")).where(F.col("n") >= least)
-    n = F.col("n").cast("double")
-    den = F.sqrt(F.greatest((n * F.col("sxx") - F.col("sx") ** 2) * (n * F.col("syy") - F.col("sy") ** 2), F.lit(0.0)))
-    num = n * F.col("sxy") - F.col("sx") * F.col("sy")
-    return g.select("pair", "lag", "n", F.when(den < 1e-10, F.lit(0.0)).otherwise(F.try_divide(num, den)).alias("r"))
+    # central moments merge without the loss of digits that sums of squares have at large means
+    g = joined.groupBy("pair", "lag").agg(F.count("*").alias("n"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.covar_pop("x", "y").alias("c")).where(F.col("n") >= least)
+    flat = F.sqrt(F.col("vx") * F.col("vy")) * F.col("n") * F.col("n") < 1e-10
+    return g.select("pair", "lag", "n", F.when(flat, F.lit(0.0)).otherwise(F.try_divide(F.col("c"), F.sqrt("vx") * F.sqrt("vy"))).alias("r"))
 
 
 def best_lag(r: DataFrame, step_s: float, least: int = 5) -> DataFrame:
-    """The lag of the greatest |r| (the nearest to 0, then the lower on ties), in seconds too."""
-    g = r.where(F.col("n") >= least).groupBy("pair").agg(F.max_by(F.struct("lag", "r", "n"), F.struct(F.abs("r"), -F.abs("lag"), -F.col("lag"))).alias("b"))
-    return g.select("pair", F.col("b.lag").alias("lag"), (F.col("b.lag") * step_s).alias("lag_s"), F.col("b.r").alias("r"), F.col("b.n").alias("n"))
+    """The lag of the greatest |r| over 0 (the lowest on ties), in whole seconds too; none where it rests on fewer than ``least`` points."""
+    g = r.where(F.abs("r") > 0).groupBy("pair").agg(F.max_by(F.struct("lag", "r", "n"), F.struct(F.abs("r"), -F.col("lag"))).alias("b"))
+    g = g.where(F.col("b.n") >= least)
+    return g.select("pair", F.col("b.lag").alias("lag"), (F.col("b.lag") * int(step_s)).alias("lag_s"), F.col("b.r").alias("r"), F.col("b.n").alias("n"))
 
 
 def correlate(df: DataFrame, pairs: DataFrame, step_s: float) -> DataFrame:

@@ -137,11 +137,21 @@ def summaries(df: DataFrame, keys: Sequence[str], gp: int, qs: Sequence[float] =
 
 
 def from_le(df: DataFrame, keys: Sequence[str], gp: int = 7) -> DataFrame:
-    """Log-linear buckets from cumulative ``le`` buckets: finite bounds only, seconds as ns, else a power of ten that lifts the least bound to 1."""
-    finite = df.where((F.col("le") < float("inf")) & (F.col("le") > 0))
-    least = Window.partitionBy("metric")
-    power = F.when(F.col("metric").endswith("_seconds"), F.lit(1e9)).otherwise(F.pow(F.lit(10.0), F.greatest(F.ceil(-F.log10(F.min("le").over(least))), F.lit(0))))
-    d = finite.withColumn("scaled", F.round(F.col("le") * power).cast("long"))
-    w = Window.partitionBy(*keys, "ts_ns").orderBy("le")
-    d = d.withColumn("count", F.greatest(F.col("cum") - F.coalesce(F.lag("cum").over(w), F.lit(0)), F.lit(0)).cast("long"))
-    return d.groupBy(*keys, "ts_ns", bucket_index(F.col("scaled"), gp).alias("bucket")).agg(F.sum("count").alias("count"), F.max("scaled").alias("top")).withColumn("mvp", F.greatest(F.lit(8), F.least(F.lit(64), F.length(F.bin(F.greatest(F.col("top") - 1, F.lit(1)))) + 1))).drop("top")
+    """Log-linear buckets from cumulative ``le`` buckets (keys, ts_ns, le, cum) with the histogram's ``mvp``.
+
+    Only finite bounds count; seconds become ns, other bounds are lifted by the power of ten that brings the least
+    positive one to 1 or more, and cut to whole numbers, those below 0 to 0. All buckets of a histogram share one mvp.
+    """
+    finite = df.where(F.abs("le") < float("inf"))
+    of = Window.partitionBy(*keys, "ts_ns")
+    least = F.min(F.when(F.col("le") > 0, F.col("le"))).over(of)
+    guess = F.greatest(F.ceil(-F.log10("__least")), F.lit(0)).cast("double")
+    ten = lambda n: F.pow(F.lit(10.0), n)
+    power = F.when(F.col("__least") * ten(guess) < 1, ten(guess + 1)).when((guess > 0) & (F.col("__least") * ten(guess - 1) >= 1), ten(guess - 1)).otherwise(ten(guess))
+    scale = F.when(F.col("metric").endswith("_seconds"), F.lit(1e9)).otherwise(F.coalesce(power, F.lit(1.0)))
+    before = F.coalesce(F.lag("cum").over(of.orderBy("le")), F.lit(0))
+    d = finite.withColumns({"__least": least, "__n": F.greatest(F.col("cum") - before, F.lit(0)).cast("long")})
+    d = d.withColumn("__at", F.greatest(F.floor(F.col("le") * scale), F.lit(0)).cast("long"))
+    d = d.withColumn("__top", F.max("__at").over(of))
+    mvp = F.greatest(F.lit(8), F.least(F.lit(64), F.when(F.col("__top") < 2, 1).otherwise(F.length(F.bin(F.col("__top") - 1)) + 1)))
+    return d.where("__n > 0").groupBy(*keys, "ts_ns", bucket_index(F.col("__at"), gp).alias("bucket")).agg(F.sum("__n").alias("count"), F.max(mvp).alias("mvp"))

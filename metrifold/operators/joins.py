@@ -29,8 +29,9 @@ def binop(a: DataFrame, b: DataFrame, op: str, on: Sequence[str] | None = None,
 
     ``on`` names the matching labels (all common ones if None, less ``ignoring``); with [] a single series is met
     by every row. ``many`` ("left") keeps all labels of the left side. ``align`` puts both on a grid of that step
-    first; ``widen`` adds the time between the two acquisition windows' ends (in s) times the value's own
-    band to either side.
+    first, bands and windows with it; ``widen`` adds the time between the two acquisition windows' ends (in s) times the
+    value's own band to either side. A label that both sides lack matches. Keys that stand twice on the right, or on the
+    left where not all its labels are kept, are an error when the query runs, as in one-to-one matching.
     """
     value = {"value", "lo", "hi", "ts_ns", "window_end_ns", "window_begin_ns", "window_width_ns"}
     labels = [c for c in a.columns if c not in value]
@@ -41,11 +42,13 @@ def binop(a: DataFrame, b: DataFrame, op: str, on: Sequence[str] | None = None,
 
         a = gauge_grid(a, labels, align)
         b = gauge_grid(b, [c for c in b.columns if c not in value], align)
-    keys = [*on, "ts_ns"]
-    left = a.select(*labels, "ts_ns", *[F.col(c).alias(f"__a_{c}") for c in a.columns if c in value - {"ts_ns"}])
-    right = b.select(*keys, *[F.col(c).alias(f"__b_{c}") for c in b.columns if c in value - {"ts_ns"}])
-    j = left.join(right, keys)
     keep = labels if many == "left" or not on else list(on)
+    key = F.struct(*on, "ts_ns").alias("__k")  # a struct, so that nulls match
+    left = a.select(key, *keep, "ts_ns", *[F.col(c).alias(f"__a_{c}") for c in a.columns if c in value - {"ts_ns"}])
+    right = b.select(key, *[F.col(c).alias(f"__b_{c}") for c in b.columns if c in value - {"ts_ns"}])
+    if keep == list(on) and on:
+        left = _single(left, "left")
+    j = left.join(_single(right, "right"), "__k")
     out = {"value": _op(op, F.col("__a_value").cast("double"), F.col("__b_value").cast("double"))}
     if has_band(a) or has_band(b):
         side = lambda s, d: (F.coalesce(F.col(f"__{s}_lo"), F.col(f"__{s}_value")), F.coalesce(F.col(f"__{s}_hi"), F.col(f"__{s}_value"))) if has_band(d) else (F.col(f"__{s}_value"),) * 2
@@ -57,6 +60,14 @@ def binop(a: DataFrame, b: DataFrame, op: str, on: Sequence[str] | None = None,
     return j.select(*keep, "ts_ns", *[c.alias(n) for n, c in out.items()])
 
 
+def _single(df: DataFrame, side: str) -> DataFrame:
+    """``df`` with one row for each ``__k``; a second one fails the query."""
+    rest = [c for c in df.columns if c != "__k"]
+    one = df.groupBy("__k").agg(F.count("*").alias("__n"), F.first(F.struct(*rest)).alias("__r"))
+    checked = F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit(f"several samples on the {side} match at "), F.col("__k").cast("string"))).cast(one.schema["__r"].dataType)).otherwise(F.col("__r"))
+    return one.select("__k", checked.alias("__r")).select("__k", *[F.col(f"__r.{c}").alias(c) for c in rest])
+
+
 def duplicate_matches(b: DataFrame, on: Sequence[str]) -> DataFrame:
     """Right-side keys that stand more than once: a many-to-one match must have none."""
     return b.groupBy(*on, "ts_ns").agg(F.count("*").alias("n")).where("n > 1")

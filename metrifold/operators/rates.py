@@ -201,12 +201,12 @@ def double_exp(df: DataFrame, keys: Sequence[str], smooth: float, trend: float)
 
 
 def gauge_grid(df: DataFrame, keys: Sequence[str], step: int) -> DataFrame:
-    """The last sample at or before each grid time from a series' first sample to its last."""
-    nxt = F.lead("ts_ns").over(series(keys))
-    spans = df.select(*keys, "ts_ns", "value", nxt.alias("t1"))
+    """The last sample, its band and window with it, at or before each grid time from a series' first sample to its last."""
+    rest = [c for c in ("value", "lo", "hi", "window_begin_ns", "window_width_ns", "window_end_ns") if c in df.columns]
+    spans = df.select(*keys, "ts_ns", *rest, F.lead("ts_ns").over(series(keys)).alias("t1"))
     first = idiv_up(F.col("ts_ns"), step)
     last = F.when(F.col("t1").isNull(), first).otherwise(idiv_up(F.col("t1"), step) - 1)
-    return spans.where(first <= last).withColumn("__g", F.explode(F.sequence(first, last))).select(*keys, (F.col("__g") * step).alias("ts_ns"), "value")
+    return spans.where(first <= last).withColumn("__g", F.explode(F.sequence(first, last))).select(*keys, (F.col("__g") * step).alias("ts_ns"), *rest)
 
 
 def jitter(df: DataFrame, keys: Sequence[str], declared_ns: int | None = None) -> DataFrame:

@@ -249,7 +249,7 @@ def a17(s, d):
     return C.xcorr(C.lag_join(x, _pairs(x), C.lag_steps(1.0), C.span_steps(x))).withColumn("r", r6("r"))
 
 
-@query("a18_best_lag_a19_correlate", f"WITH {G}, {_HOURLY}, b AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY abs(r) DESC, abs(lag), lag) AS k FROM xc WHERE n >= 5) SELECT pair, lag, lag::DOUBLE AS lag_s, round(r,6) AS r, n FROM b WHERE k=1")
+@query("a18_best_lag_a19_correlate", f"WITH {G}, {_HOURLY}, b AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY abs(r) DESC, lag) AS k FROM xc WHERE abs(r) > 0) SELECT pair, lag, lag AS lag_s, round(r,6) AS r, n FROM b WHERE k=1 AND n >= 5")
 def a18(s, d):
     x = _hourly(s, d)
     return C.correlate(x, _pairs(x), 1.0).withColumn("r", r6("r"))
@@ -259,7 +259,7 @@ _DETRENDED = "zr AS (SELECT h.series, idx, value - my - b*(idx-mx) AS e FROM hx
 _DETRENDED_XC = _HOURLY.replace(", xc AS", f", {_DETRENDED}, xc AS").replace("JOIN hx x ON", "JOIN zz x ON").replace("JOIN hx y ON", "JOIN zz y ON")
 
 
-@query("e03_analyze_correlation", f"WITH {G}, {_DETRENDED_XC}, b AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY abs(r) DESC, abs(lag), lag) AS k FROM xc WHERE n >= 5) SELECT pair, lag, lag::DOUBLE AS lag_s, round(r,6) AS r, n FROM b WHERE k=1")
+@query("e03_analyze_correlation", f"WITH {G}, {_DETRENDED_XC}, b AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY abs(r) DESC, lag) AS k FROM xc WHERE abs(r) > 0) SELECT pair, lag, lag AS lag_s, round(r,6) AS r, n FROM b WHERE k=1 AND n >= 5")
 def e03(s, d):
     """Detrended and normalised series, every pair, lags of whole steps up to a third of the span."""
     x = _hourly(s, d)
@@ -270,7 +270,7 @@ def e03(s, d):
 @query("a20_r_band")
 def a20(s, d):
     x = _hourly(s, d)
-    j = x.join(F.broadcast(_pairs(x)), F.col("series") == F.col("a")).select("pair", "b", "idx", F.col("value").alias("x"))
+    j = x.join(_pairs(x), F.col("series") == F.col("a")).select("pair", "b", "idx", F.col("value").alias("x"))
     y = x.select(F.col("series").alias("b"), "idx", F.col("value").alias("y"))
     p = j.join(y, ["b", "idx"]).select("pair", "x", (F.col("x") - 50).alias("xlo"), (F.col("x") + 50).alias("xhi"), "y", (F.col("y") - 50).alias("ylo"), (F.col("y") + 50).alias("yhi"))
     return C.r_band(p).select("pair", *[r6(c).alias(c) for c in ("r", "r_min", "r_max")])

@@ -127,6 +127,19 @@ def s06(s, d):
     return H.from_le(cum, ["metric"]).select("metric", "bucket", "count")
 
 
+@query(
+    "s06_le_fractions",
+    f"WITH q AS (SELECT p_brand AS metric, (p_size - 4) / 80.0::DOUBLE AS le, count(*) AS n FROM part GROUP BY ALL), m AS (SELECT metric, CASE WHEN min(le) FILTER (le > 0) >= 1 THEN 1.0::DOUBLE WHEN min(le) FILTER (le > 0) * 10 >= 1 THEN 10 ELSE 100 END AS up FROM q GROUP BY metric), v AS (SELECT q.metric, greatest(floor(le * up), 0)::BIGINT AS value, n FROM q JOIN m ON m.metric = q.metric), t AS (SELECT metric, max(value) AS top FROM v GROUP BY metric) SELECT v.metric, {index_sql('value', 7)} AS bucket, sum(n)::BIGINT AS count, any_value(greatest(8, least(64, CASE WHEN top < 2 THEN 1 ELSE length(bin(top - 1)) + 1 END)))::INT AS mvp FROM v JOIN t ON t.metric = v.metric GROUP BY v.metric, bucket",
+)
+def s06_fractions(s, d):
+    """Bounds below and at 0, and fractions; one largest power for each histogram."""
+    from pyspark.sql import Window
+
+    q = table(s, d, "part").groupBy(F.col("p_brand").alias("metric"), ((F.col("p_size") - 4) / F.lit(80.0)).alias("le")).agg(F.count("*").alias("n"))
+    cum = q.withColumns({"cum": F.sum("n").over(Window.partitionBy("metric").orderBy("le")), "ts_ns": F.lit(0).cast("long")})
+    return H.from_le(cum, ["metric"]).select("metric", "bucket", "count", F.col("mvp").cast("int").alias("mvp"))
+
+
 # --- joins ---------------------------------------------------------------------------------------------------------
 _DAYS = f"dy AS (SELECT metric, usr, ts_ns // {D1} * {D1} AS ts_ns, sum(value) AS value FROM g GROUP BY ALL)"
 

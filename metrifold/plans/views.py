@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from metrifold.operators import base as B
 from metrifold.operators import histogram as H
-from metrifold.operators.rates import rate_raw
+from metrifold.operators.rates import gauge_grid, rate_grid, rate_raw
 from metrifold.plans.registry import C, G, counters, end_sql, gauges, increments, query, r6, start_sql
 from metrifold.plans.registry import H as HS
 
 
 @dataclass(frozen=True)
 class View:
-    """scale x product of ``num`` / product of ``den`` (1 less that with ``rest``), each summed by ``by``; selectors are ``metric`` or ``metric{label=value}``."""
+    """scale x product of ``num`` / product of ``den`` (1 less that with ``rest``), each summed by ``by``; selectors are ``metric`` or ``metric{label=value}``, with ``=~`` or ``!~`` a pattern of the whole label (``!~`` also where it is missing)."""
 
     name: str
     num: tuple[str, ...]
@@ -37,15 +37,15 @@ def v(name, num, den="", scale=1.0, by=None, rest=False, fn="sum", also=""):
 #: Metric names, label values and unit factors are fixed values.
 RATES: dict[str, list[View]] = {
     "v01_cpu": [
-        v("busy", "cpu_usage", "", 1e-9),
+        v("busy", "cpu_usage", "cpu_cores", 1e-9),
         v("busy_by_id", "cpu_usage", "", 1e-9, by="id"),
-        v("user", "cpu_usage{state=user}", "", 1e-9),
-        v("system", "cpu_usage{state=system}", "", 1e-9),
+        v("user", "cpu_usage{state=user}", "cpu_cores", 1e-9),
+        v("system", "cpu_usage{state=system}", "cpu_cores", 1e-9),
         v("ipc", "cpu_instructions", "cpu_cycles"),
         v("ipc_by_id", "cpu_instructions", "cpu_cycles", by="id"),
-        v("ipns", "cpu_instructions cpu_tsc cpu_aperf", "cpu_cycles cpu_mperf", 1e-9),
+        v("ipns", "cpu_instructions cpu_tsc cpu_aperf", "cpu_cycles cpu_mperf cpu_cores", 1e-9),
         v("l3_hit", "cpu_l3_miss", "cpu_l3_access", rest=True),
-        v("frequency", "cpu_tsc cpu_aperf", "cpu_mperf"),
+        v("frequency", "cpu_tsc cpu_aperf", "cpu_mperf cpu_cores"),
         v("branch_miss_ratio", "cpu_branch_misses", "cpu_branch_instructions"),
         v("branch_instructions", "cpu_branch_instructions"),
         v("dtlb_misses", "cpu_dtlb_miss"),
@@ -88,7 +88,7 @@ RATES: dict[str, list[View]] = {
         v("write_operations", "blockio_operations{op=write}"),
     ],
     "v06_scheduler": [
-        v("runqueue_wait", "scheduler_runqueue_wait"),
+        v("runqueue_wait", "scheduler_runqueue_wait", "cpu_cores"),
         v("runqueue_wait_by_id", "scheduler_runqueue_wait", by="id"),
         v("context_switches", "scheduler_context_switch"),
         v("context_switches_by_id", "scheduler_context_switch", by="id"),
@@ -96,7 +96,8 @@ RATES: dict[str, list[View]] = {
     "v07_softirq": [
         v("total", "softirq"),
         v("total_by_id", "softirq", by="id"),
-        v("time", "softirq_time", "", 1e-9),
+        v("time", "softirq_time", "cpu_cores", 1e-9),
+        v("net_rx_time", "softirq_time{kind=net_rx}", "cpu_cores", 1e-9),
         v("time_by_id", "softirq_time", "", 1e-9, by="id"),
         v("net_rx", "softirq{kind=net_rx}"),
         v("timer", "softirq{kind=timer}"),
@@ -125,11 +126,11 @@ RATES: dict[str, list[View]] = {
         v("io_requeues_by_op", "blockio_requeues", by="op"),
     ],
     "v11_overview": [
-        v("cpu", "cpu_usage", "", 1e-9),
+        v("cpu", "cpu_usage", "cpu_cores", 1e-9),
         v("rx_bits", "network_bytes{direction=receive}", "", 8.0),
         v("tx_bits", "network_bytes{direction=transmit}", "", 8.0),
         v("syscalls", "syscall"),
-        v("softirq_time", "softirq_time", "", 1e-9),
+        v("softirq_time", "softirq_time", "cpu_cores", 1e-9),
         v("io_read", "blockio_bytes{op=read}"),
         v("cpu_per_request", "cpu_usage", "requests"),
     ],
@@ -174,15 +175,41 @@ GAUGES: dict[str, list[View]] = {
 FNS = {"sum": F.sum, "avg": F.avg, "max": F.max}
 
 
-def _parts(selector: str) -> tuple[str, str | None, str | None]:
-    m = re.fullmatch(r"([^{]+)(?:\{(\w+)=([^}]*)\})?", selector)
-    return m[1], m[2], m[3]
+def _parts(selector: str) -> tuple[str, str | None, str | None, str | None]:
+    """Metric, label, operator and value."""
+    m = re.fullmatch(r"([^{]+)(?:\{(\w+)(=~|!~|=)(.*)\})?", selector)
+    return m[1], m[2], m[3], m[4]
 
 
 def _matches(selector: str) -> Column:
-    name, key, value = _parts(selector)
+    name, key, op, value = _parts(selector)
     test = F.col("metric") == name
-    return test if key is None else test & (F.try_element_at("labels", F.lit(key)) == value)
+    if key is None:
+        return test
+    label = F.try_element_at("labels", F.lit(key))
+    if op == "=":
+        return test & (label == value)
+    hit = F.coalesce(label, F.lit("")).rlike(f"^(?:{value})$")
+    return test & (hit if op == "=~" else ~hit)
+
+
+def cgroup_views(selected: str) -> list[View]:
+    """The cgroup views of the names that match ``selected``, each by itself, and of all others together."""
+    out = []
+    for w in RATES["v09_cgroups"]:
+        if w.by != "name" or any("{" in s for s in (*w.num, *w.den)):
+            continue
+        pick = lambda op, ss: tuple(f"{s}{{name{op}{selected}}}" for s in ss)
+        out += [View(f"{w.name}_selected", pick("=~", w.num), pick("=~", w.den), w.scale, "name"), View(f"{w.name}_rest", pick("!~", w.num), pick("!~", w.den), w.scale)]
+    return out
+
+
+def on_grid(counters_: DataFrame, gauges_: DataFrame, step: int) -> DataFrame:
+    """Rates of counters and values of gauges (metric, labels, ts_ns, value) at the multiples of ``step``, so that series whose clocks differ meet."""
+    keyed = lambda d: d.withColumn("__l", F.array_sort(F.map_entries("labels"))).drop("labels")
+    keys = ["metric", "__l"]
+    both = rate_grid(keyed(counters_), keys, step).unionByName(gauge_grid(keyed(gauges_), keys, step).withColumn("value", F.col("value").cast("double")).select(*keys, "ts_ns", "value"))
+    return both.select("metric", F.map_from_entries("__l").alias("labels"), "ts_ns", "value")
 
 
 def evaluate(df: DataFrame, views: Sequence[View], times: Sequence[str] = ("ts_ns",)) -> DataFrame:
@@ -237,7 +264,7 @@ def histogram_panels(df: DataFrame, panels: Sequence[tuple[str, str | None, floa
 
 
 def view(df: DataFrame, pattern: str) -> DataFrame:
-    """Views by name, such as ``cpu.*`` or ``memory.free``, over rates or gauges."""
+    """Views by name, such as ``cpu.*`` or ``memory.free``, over rates and gauges; of series with clocks of their own take ``on_grid`` first."""
     group, _, name = pattern.partition(".")
     found = [w for k, ws in (RATES | GAUGES).items() if k.split("_", 1)[1].startswith(group) for w in ws if name in ("*", w.name)]
     return evaluate(df, found)
@@ -256,7 +283,8 @@ _TYPES = ("click", "error", "purchase", "signup", "view")
 
 
 def _selectors(views: Sequence[View]) -> list[str]:
-    return sorted({s for w in views for s in (*w.num, *w.den, *w.also)})
+    """The distinct selectors, patterns by their bare metric."""
+    return sorted({s if _parts(s)[2] in (None, "=") else _parts(s)[0] for w in views for s in (*w.num, *w.den, *w.also)})
 
 
 def _derived(df: DataFrame, views: Sequence[View]) -> DataFrame:
@@ -264,7 +292,7 @@ def _derived(df: DataFrame, views: Sequence[View]) -> DataFrame:
     day = df.groupBy("metric", "usr", (B.idiv(F.col("ts_ns"), B.DAY) * B.DAY).alias("ts_ns")).agg(F.avg("value").alias("value"))
     rows = []
     for i, s in enumerate(_selectors(views)):
-        name, key, value = _parts(s)
+        name, key, _, value = _parts(s)
         labels = [F.lit(x) for k in ("id", "name", "op", "sampler") if k != key for x in (k,)]
         pairs = [x for k in labels for x in (k, (F.col("usr") % 4).cast("string"))] + ([F.lit(key), F.lit(value)] if key else [])
         rows.append(F.struct(F.lit(_TYPES[i % 5]).alias("t"), F.lit(name).alias("m"), F.create_map(*pairs).alias("labels")))
@@ -278,9 +306,10 @@ def _sql(views: Sequence[View], base: str) -> str:
     head = f"WITH {base}, dv AS (SELECT metric, usr, ts_ns // {B.DAY} * {B.DAY} AS ts_ns, avg(value) AS value FROM src GROUP BY ALL), sl AS (SELECT k, usr % 4 AS lab, ts_ns, value FROM dv JOIN (VALUES {rows}) t(k, m) ON m = metric)"
 
     def term(s: str, fn: str) -> str:
-        name, key, _ = _parts(s)
-        ks = [i for i, x in enumerate(sel) if _parts(x)[0] == name and (x == s or key is None)]
-        return f"({fn}(value) FILTER (k IN ({', '.join(map(str, ks))})))"
+        name, key, op, value = _parts(s)
+        ks = [i for i, x in enumerate(sel) if _parts(x)[0] == name and (x == s or key is None or op != "=")]
+        label = "" if op in (None, "=") else f" AND {'NOT ' if op == '!~' else ''}regexp_full_match(lab::VARCHAR, '{value}')"
+        return f"({fn}(value) FILTER (k IN ({', '.join(map(str, ks))}){label}))"
 
     parts = []
     for w in views:
@@ -312,6 +341,7 @@ for _name, _views in RATES.items():
     _register(_name, _views, True)
 for _name, _views in GAUGES.items():
     _register(_name, _views, False)
+_register("v09_cgroups_selected", cgroup_views("0|3"), True)
 
 
 def _flagged(d: DataFrame, panels: Sequence[tuple[str, str | None, float]]) -> DataFrame:

@@ -174,6 +174,6 @@ def stream_jitter(sdf: DataFrame, key: str = "series", ttl_ms: int | None = None
 
 def latest_with_ttl(df: DataFrame, keys: Sequence[str], ttl_ns: int, reserved: DataFrame, cap: int) -> DataFrame:
     """The latest value of each (metric, labels) not older than the TTL before the newest row; reserved names are refused, and the newest ``cap`` series held."""
-    d = df.join(F.broadcast(reserved.select("metric")), "metric", "left_anti")
+    d = df.join(reserved.select("metric"), "metric", "left_anti")
     latest = d.groupBy("metric", *keys).agg(F.max_by("value", "ts_ns").alias("value"), F.max("ts_ns").alias("ts_ns"))
     return retain(latest, ttl_ns + 1).orderBy(F.desc("ts_ns"), "metric", *keys).limit(cap)

@@ -120,3 +120,74 @@ def test_overview_is_deterministic(spark):
     corr = spark.createDataFrame([("a", "b", 0.5)], "a string, b string, r double")
     docs = [O.overview_document(spark.createDataFrame(rows, "metric string, status string"), rank, corr).first()[0] for rows in ([("a", "x"), ("b", "y")], [("b", "y"), ("a", "x")])]
     assert docs[0] == docs[1]
+
+
+def test_labels_that_are_missing_match_and_doubles_are_an_error(spark):
+    from metrifold.operators import joins as J
+
+    a = spark.createDataFrame([("x", None, 1, 2.0), ("y", "r", 1, 3.0)], "id string, op string, ts_ns long, value double")
+    b = spark.createDataFrame([("x", None, 1, 4.0), ("y", "r", 1, 5.0)], "id string, op string, ts_ns long, value double")
+    assert sorted((r.id, r.value) for r in J.binop(a, b, "*").collect()) == [("x", 8.0), ("y", 15.0)]
+    twice = b.unionByName(b.where("id = 'y'"))
+    for args in ((a, twice, {}), (twice, a, {}), (a, twice, {"on": ["op"], "many": "left"})):
+        with pytest.raises(Exception, match="several samples"):
+            J.binop(args[0], args[1], "+", **args[2]).collect()
+    many = spark.createDataFrame([("x", None, 1, 1.0), ("z", None, 1, 2.0)], "id string, op string, ts_ns long, value double")
+    assert sorted((r.id, r.value) for r in J.binop(many, b.drop("id"), "+", on=["op"], many="left").collect()) == [("x", 5.0), ("z", 6.0)]
+
+
+def test_alignment_keeps_bands_and_windows(spark):
+    from metrifold.operators import joins as J
+
+    cols = "k string, ts_ns long, value double, lo double, hi double, window_begin_ns long, window_end_ns long"
+    a = spark.createDataFrame([("a", 12, 10.0, 9.0, 11.0, 5, 7)], cols)
+    b = spark.createDataFrame([("a", 17, 2.0, 1.0, 4.0, 6, 9)], cols)
+    r = J.binop(a, b, "*", align=10, widen=True).collect()
+    spread = (44.0 - 9.0) * 4 / 1e9
+    assert [(x.ts_ns, x.value) for x in r] == [(20, 20.0)] and r[0].lo == pytest.approx(9.0 - spread) and r[0].hi == pytest.approx(44.0 + spread)
+
+
+def test_decimated_bins_keep_the_edges_of_their_bands(spark):
+    from metrifold.operators import compare as M
+
+    d = spark.createDataFrame([("a", i, float(i), float(i) - 1 if i else None, float(i) + 2 if i else None) for i in range(10)], "k string, ts_ns long, value double, lo double, hi double")
+    got = {r.bin: (r.min, r.median, r.max, r.unc_lo, r.unc_hi) for r in M.boxplot(d, ["k"], 2).collect()}
+    assert got == {0: (0.0, 2.0, 4.0, 0.0, 6.0), 1: (5.0, 7.0, 9.0, 4.0, 11.0)}
+
+
+def test_the_best_lag_is_chosen_before_its_points_are_counted(spark):
+    from metrifold.operators import correlate as C
+
+    r = spark.createDataFrame([("p", -2, 0.9, 4), ("p", 1, 0.8, 50), ("q", 1, -0.7, 9), ("q", -1, 0.7, 9), ("q", 0, 0.1, 9), ("z", 0, 0.0, 99)], "pair string, lag long, r double, n long")
+    assert [tuple(x) for x in C.best_lag(r, 2.5).collect()] == [("q", -1, -2, 0.7, 9)]
+    far = spark.createDataFrame([("p", 0, 1e9 + i, 1e9 + (i * 7) % 11) for i in range(200)], "pair string, lag long, x double, y double")
+    want = np.corrcoef(range(200), [(i * 7) % 11 for i in range(200)])[0, 1]
+    assert C.xcorr(far).first().r == pytest.approx(want, abs=1e-6)  # sums of squares of 1e9 would have no digit left
+
+
+def test_le_bounds_are_cut_and_share_a_layout(spark):
+    from metrifold.operators import histogram as H
+
+    rows = [("m", 0, -1.0, 1), ("m", 0, 0.0, 3), ("m", 0, 0.004, 6), ("m", 0, 1.5, 10), ("m", 0, float("inf"), 12), ("t_seconds", 0, 2e-9, 4), ("t_seconds", 0, 3.7e-9, 9)]
+    got = {(r.metric, r.bucket): (r["count"], r.mvp) for r in H.from_le(spark.createDataFrame(rows, "metric string, ts_ns long, le double, cum long"), ["metric"]).collect()}
+    index = spark.range(1).select(H.bucket_index(F.lit(1500), 7).alias("i")).first().i
+    assert got == {("m", 0): (3, 12), ("m", 4): (3, 12), ("m", index): (4, 12), ("t_seconds", 2): (4, 8), ("t_seconds", 3): (5, 8)}
+
+
+def test_views_take_series_whose_clocks_differ_to_a_grid(spark):
+    from metrifold.plans import views as V
+
+    rows = [("cpu_usage", {"id": str(h)}, 10 * t * SEC + h * 7, 10 * t * 500_000_000) for h in (0, 1) for t in range(5)]
+    cores = [("cpu_cores", {}, t * SEC, 4) for t in range(0, 60, 20)]
+    kind = "metric string, labels map<string,string>, ts_ns long, value long"
+    on = V.on_grid(spark.createDataFrame(rows, kind), spark.createDataFrame(cores, kind), 10 * SEC)
+    got = {r.ts_ns // SEC: r.value for r in V.view(on, "cpu.busy").collect()}
+    assert got == {t: pytest.approx(0.125 if t == 10 else 0.25) for t in (10, 20, 30, 40)}  # at 10 s the second has no rate yet
+
+
+def test_selected_cgroups_and_the_rest(spark):
+    from metrifold.plans import views as V
+
+    d = spark.createDataFrame([("cgroup_cpu_usage", {"name": n} if n else {}, 1, v) for n, v in (("/a", 1e9), ("/ab", 2e9), ("/b", 4e9), (None, 8e9))], "metric string, labels map<string,string>, ts_ns long, value double")
+    got = {(r.view, r.grp): r.value for r in V.evaluate(d, V.cgroup_views("/a|/b")).where("value <> 0").collect() if r.view.startswith("cores")}
+    assert got == {("cores_selected", "/a"): 1.0, ("cores_selected", "/b"): 4.0, ("cores_rest", None): 10.0}

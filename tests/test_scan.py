@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from metrifold.operators import anomaly as N
 from metrifold.operators import rates as R
-from metrifold.operators import scan
+from metrifold.operators import ranks, scan
 from metrifold.operators import stability as T
 from tests import twins
 from tests.test_anomaly import SERIES
@@ -124,14 +124,14 @@ def test_sums_of_chunks_serve_smoothing_and_deviations(spark, monkeypatch, rows)
 @pytest.mark.parametrize("accuracy, spare", [(10_000, 2e-4), (40, 0.06)])
 def test_order_statistics_are_exact(spark, monkeypatch, accuracy, spare):
     """Ties, signed zeros, infinities and a null key, bracketed by the summary and by the ends."""
-    monkeypatch.setattr(N, "_ACCURACY", accuracy)
-    monkeypatch.setattr(N, "_SPARE", spare)
+    monkeypatch.setattr(ranks, "_ACCURACY", accuracy)
+    monkeypatch.setattr(ranks, "_SPARE", spare)
     rnd = random.Random(9)
     kinds = {"ties": [rnd.choice([1.0, 2.0, 2.0, 3.0]) for _ in range(501)], None: [rnd.gauss(0, 1) for _ in range(1000)], "zero": [-0.0, 0.0, -0.0, 1.0] * 40, "far": [float("inf"), -float("inf"), 1.0, 2.0, 3.0] * 30, "one": [7.0], "same": [4.0] * 300}
     d = spark.createDataFrame([(k, x) for k, v in kinds.items() for x in v], "k string, value double")
     got = {r.k: r.m for r in N.medians(d, ["k"], F.col("value"), "m").collect()}
     assert got == {k: statistics.median(v) for k, v in kinds.items()}
-    tail = {r.k: (r.n, r.p90, r.p10) for r in N.order_statistics(d, ["k"], F.col("value"), (0.1, 0.9), {"p90": F.ceil(0.9 * F.col("n")), "p10": F.ceil(0.1 * F.col("n"))}).collect()}
+    tail = {r.k: (r.n, r.p90, r.p10) for r in ranks.order_statistics(d, ["k"], F.col("value"), (0.1, 0.9), {"p90": F.ceil(0.9 * F.col("n")), "p10": F.ceil(0.1 * F.col("n"))}).collect()}
     rank = lambda v, q: sorted(v)[max(0, math.ceil(round(q * len(v), 9)) - 1)]
     assert tail == {k: (len(v), rank(v, 0.9), rank(v, 0.1)) for k, v in kinds.items()}
     finite = {k: v for k, v in kinds.items() if k not in ("far", None)}
