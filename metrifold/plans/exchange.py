@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from metrifold.operators import base as B
 from metrifold.operators import compare as M
-from metrifold.plans.registry import G, gauges, query, r6, table
+from metrifold.plans.registry import C, G, H, counters, end_sql, gauges, increments, query, r6, table
 from metrifold.sources import readers as I
 from metrifold.sources import writers as W
 
@@ -103,3 +103,60 @@ def s12(s, d):
     doc.write.json(path)
     t = I.read_ground_truth(s, path, lines=True)
     return t.groupBy("subsystem").agg(F.count("*").alias("documents"), F.sum(F.size("expected_signals")).cast("long").alias("signals"), r6(F.sum(F.col("induced_window_s")[1]), 2).alias("until"))
+
+
+def _template(s, folder: str, name: str, body: str) -> None:
+    """One template file in a shared folder."""
+    s.createDataFrame([(body,)], "value string").coalesce(1).write.text(f"{folder}/{name}")
+
+
+_ORDERS_KPIS = '{"service": "shop", "kpis": [{"title": "clicks a day", "kind": "counter", "role": "load", "select": ["click"], "scale": 86400, "denominator": true}, {"title": "errors per click", "kind": "counter", "select": ["error"], "over": ["click"], "scale": 100}, {"title": "views of some", "kind": "gauge", "select": ["seen{usr=~1|2}"], "by": "usr", "fn": "max"}, {"title": "nothing", "kind": "gauge", "select": ["unheard"]}, {"title": "broken", "kind": "gauge", "select": []}, {"title": "odd", "kind": "sum", "select": ["x"]}]}'
+_PRICE_KPIS = '{"service": "prices", "kpis": [{"title": "price", "kind": "histogram", "select": ["price"], "by": "flag", "scale": 0.01, "quantiles": [0.5, 0.95]}]}'
+_KPI_SQL = f"""WITH {C}, {H}, rt AS (SELECT metric, usr, ts_ns // {B.DAY} * {B.DAY} AS d, (CASE WHEN value < lag(value) OVER w THEN value ELSE value - lag(value) OVER w END) * 1e9 / (ts_ns - lag(ts_ns) OVER w) AS v FROM c WINDOW w AS (PARTITION BY metric, usr ORDER BY ts_ns)),
+sm AS (SELECT d, sum(v) FILTER (metric = 'click') AS cl, sum(v) FILTER (metric = 'error') AS er FROM rt WHERE v IS NOT NULL AND metric IN ('click', 'error') GROUP BY d),
+ga AS (SELECT ts_ns // {B.DAY} * {B.DAY} AS d, usr, max(value) AS v FROM g WHERE metric = 'view' AND usr IN (1, 2) GROUP BY ALL),
+ph AS (SELECT flag, ts_ns, bucket, sum(count) OVER (PARTITION BY flag, ts_ns ORDER BY bucket) AS cum, sum(count) OVER (PARTITION BY flag, ts_ns) AS total FROM h)
+SELECT 'shop' AS service, 'clicks a day' AS title, CAST(NULL AS VARCHAR) AS grp, d AS ts_ns, 'value' AS stat, CAST(cl * 86400 AS FLOAT) AS value FROM sm WHERE cl IS NOT NULL
+UNION ALL SELECT 'shop', 'errors per click', NULL, d, 'value', CAST(er / cl * 100 AS FLOAT) FROM sm WHERE er / cl IS NOT NULL
+UNION ALL SELECT 'shop', 'views of some', usr::VARCHAR, d, 'value', CAST(v AS FLOAT) FROM ga
+UNION ALL SELECT 'prices', 'price', flag, ts_ns, q::VARCHAR, CAST({end_sql('min(bucket)', 3)} * 0.01 AS FLOAT) FROM ph, (VALUES (0.5::DOUBLE), (0.95::DOUBLE)) t(q) WHERE cum >= greatest(ceil(q * total), 1) GROUP BY flag, ts_ns, q"""
+
+
+def _compiled(s):
+    from metrifold.plans import templates as T
+
+    folder = _folder(s)
+    _template(s, folder, "shop", _ORDERS_KPIS)
+    _template(s, folder, "prices", _PRICE_KPIS)
+    _template(s, folder, "empty", "{}")
+    return T.read_templates(s, f"{folder}/*")
+
+
+def _kpi_samples(s, d):
+    """Daily sums of rates and daily maxima of gauges, so that series meet."""
+    from metrifold.operators.rates import rate_raw
+
+    day = (B.idiv(F.col("ts_ns"), B.DAY) * B.DAY).alias("ts_ns")
+    label = F.create_map(F.lit("usr"), F.col("usr").cast("string")).alias("labels")
+    rates = rate_raw(counters(s, d).select("metric", "usr", "ts_ns", "value"), ["metric", "usr"]).groupBy("metric", "usr", day).agg(F.sum("value").alias("value"))
+    seen = gauges(s, d).where("metric = 'view'").groupBy(F.lit("seen").alias("metric"), "usr", day).agg(F.max("value").alias("value"))
+    return rates.unionByName(seen).select("metric", label, "ts_ns", "value")
+
+
+@query("s09_run_templates", _KPI_SQL)
+def s09_run(s, d):
+    """A directory of templates as one aggregation of samples and one of histograms."""
+    from metrifold.plans import templates as T
+
+    prices = increments(s, d).select(F.lit("price").alias("metric"), F.create_map(F.lit("flag"), F.col("flag")).alias("labels"), "ts_ns", "bucket", "count")
+    return T.run_kpis(_compiled(s), _kpi_samples(s, d), prices, 3).withColumn("value", F.col("value").cast("float"))
+
+
+@query("s09_template_status", "SELECT * FROM (VALUES ('shop', 'clicks a day', 'ok'), ('shop', 'errors per click', 'ok'), ('shop', 'views of some', 'ok'), ('shop', 'nothing', 'empty'), ('prices', 'price', 'ok'), ('shop', 'broken', 'nothing selected'), ('shop', 'odd', 'unknown kind')) t(service, title, status) WHERE (SELECT count(*) FROM events) > 0")
+def s09_status(s, d):
+    """Which KPIs of the directory have rows, and why the others have none."""
+    from metrifold.plans import templates as T
+
+    c = _compiled(s)
+    prices = increments(s, d).select(F.lit("price").alias("metric"), F.create_map(F.lit("flag"), F.col("flag")).alias("labels"), "ts_ns", "bucket", "count")
+    return T.statuses(s, c, T.run_kpis(c, _kpi_samples(s, d), prices, 3)).where("title <> ''").select("service", "title", "status")

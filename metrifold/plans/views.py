@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
-from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,20 +12,9 @@ from metrifold.operators import histogram as H
 from metrifold.operators.rates import gauge_grid, rate_grid, rate_raw
 from metrifold.plans.registry import C, G, counters, end_sql, gauges, increments, query, r6, start_sql
 from metrifold.plans.registry import H as HS
+from metrifold.plans.templates import View, evaluate, packaged, parts
 
-
-@dataclass(frozen=True)
-class View:
-    """scale x product of ``num`` / product of ``den`` (1 less that with ``rest``), each summed by ``by``; selectors are ``metric`` or ``metric{label=value}``, with ``=~`` or ``!~`` a pattern of the whole label (``!~`` also where it is missing)."""
-
-    name: str
-    num: tuple[str, ...]
-    den: tuple[str, ...] = ()
-    scale: float = 1.0
-    by: str | None = None
-    rest: bool = False
-    fn: str = "sum"
-    also: tuple[str, ...] = field(default=())  # added to the divisor
+SERVICES = packaged()
 
 
 def v(name, num, den="", scale=1.0, by=None, rest=False, fn="sum", also=""):
@@ -141,16 +128,7 @@ RATES: dict[str, list[View]] = {
         v("bpf_time_by_sampler", "agent_bpf_run_time", "", 1e-9, by="sampler"),
         v("bpf_time_per_run", "agent_bpf_run_time", "agent_bpf_run_count", 1e-9, by="sampler"),
     ],
-    "v13_services": [
-        v("valkey_commands", "redis/total_commands_processed"),
-        v("valkey_net_in_bits", "redis/total_net_input_bytes", "", 8.0),
-        v("vllm_success", "vllm_request_success_total"),
-        v("vllm_preemptions", "vllm_num_preemptions_total"),
-        v("vllm_generation_tokens", "vllm_generation_tokens_total"),
-        v("sglang_requests", "sglang_num_requests_total"),
-        v("sglang_generation_tokens", "sglang_generation_tokens_total"),
-        v("sglang_aborted", "sglang_num_aborted_requests_total"),
-    ],
+    "v13_services": [w for w, _ in SERVICES.views],
 }
 GAUGES: dict[str, list[View]] = {
     "v02_gpu_gauges": [
@@ -172,25 +150,6 @@ GAUGES: dict[str, list[View]] = {
         v("utilization", "memory_available", "memory_total", rest=True),
     ],
 }
-FNS = {"sum": F.sum, "avg": F.avg, "max": F.max}
-
-
-def _parts(selector: str) -> tuple[str, str | None, str | None, str | None]:
-    """Metric, label, operator and value."""
-    m = re.fullmatch(r"([^{]+)(?:\{(\w+)(=~|!~|=)(.*)\})?", selector)
-    return m[1], m[2], m[3], m[4]
-
-
-def _matches(selector: str) -> Column:
-    name, key, op, value = _parts(selector)
-    test = F.col("metric") == name
-    if key is None:
-        return test
-    label = F.try_element_at("labels", F.lit(key))
-    if op == "=":
-        return test & (label == value)
-    hit = F.coalesce(label, F.lit("")).rlike(f"^(?:{value})$")
-    return test & (hit if op == "=~" else ~hit)
 
 
 def cgroup_views(selected: str) -> list[View]:
@@ -212,32 +171,6 @@ def on_grid(counters_: DataFrame, gauges_: DataFrame, step: int) -> DataFrame:
     return both.select("metric", F.map_from_entries("__l").alias("labels"), "ts_ns", "value")
 
 
-def evaluate(df: DataFrame, views: Sequence[View], times: Sequence[str] = ("ts_ns",)) -> DataFrame:
-    """(view, grp, ts_ns, value) of all views in one aggregation; ``df`` has metric, labels, ts_ns, value (rates already taken).
-
-    Each row goes once to the total and once to each label that a view groups by.
-    """
-    names = {_parts(s)[0] for w in views for s in (*w.num, *w.den, *w.also)}
-    labels = sorted({w.by for w in views}, key=str)
-    groups = [F.struct(F.lit(by).cast("string").alias("by"), (F.try_element_at("labels", F.lit(by)) if by else F.lit(None).cast("string")).alias("grp")) for by in labels]
-    df = df.where(F.col("metric").isin(*sorted(names))).withColumn("__g", F.explode(F.array(*groups)))
-    used = sorted({(s, w.fn) for w in views for s in (*w.num, *w.den, *w.also)})
-    at = {u: f"m{i}" for i, u in enumerate(used)}
-    g = df.groupBy(F.col("__g.by").alias("by"), F.col("__g.grp").alias("grp"), *times).agg(*[FNS[fn](F.when(_matches(s), F.col("value"))).alias(at[s, fn]) for s, fn in used])
-    cells = []
-    for w in views:
-        top, low = F.lit(1.0), F.lit(1.0)
-        for s in w.num:
-            top = top * F.col(at[s, w.fn])
-        for s in w.den:
-            low = low * F.col(at[s, w.fn])
-        for s in w.also:
-            low = low + F.col(at[s, w.fn])
-        value = F.try_divide(top, low) * w.scale
-        cells.append(F.struct(F.lit(w.name).alias("view"), F.when(F.col("by").eqNullSafe(F.lit(w.by)), 1 - value if w.rest else value).alias("value")))
-    return g.select("grp", *times, F.inline(F.array(*cells))).where("value is not null").select("view", "grp", *times, "value")
-
-
 #: Histogram panels: metric, label that splits it (or none) and unit factor; fixed values. Latencies are in nanoseconds.
 HISTOGRAMS: dict[str, tuple[tuple[str, str | None, float], ...]] = {
     "v04_network_latency": (("tcp_packet_latency", None, 1e-9),),
@@ -245,7 +178,7 @@ HISTOGRAMS: dict[str, tuple[tuple[str, str | None, float], ...]] = {
     "v06_scheduler_times": (("scheduler_runqueue_latency", None, 1e-9), ("scheduler_offcpu", None, 1e-9), ("scheduler_running", None, 1e-9)),
     "v08_syscall_latency": (("syscall_latency", "op", 1e-9),),
     "v11_overview_latency": (("scheduler_runqueue_latency", None, 1e-9), ("syscall_latency", None, 1e-9), ("blockio_latency", None, 1e-9)),
-    "v13_service_latency": (("vllm_time_to_first_token", None, 1e-9), ("vllm_e2e_request_latency", None, 1e-9), ("cachecannon_response_latency", None, 1e-9)),
+    "v13_service_latency": tuple((p.select, p.by, p.scale) for p in SERVICES.panels),
 }
 PANEL = (0.5, 0.9, 0.99, 0.999, 0.9999)
 
@@ -284,7 +217,7 @@ _TYPES = ("click", "error", "purchase", "signup", "view")
 
 def _selectors(views: Sequence[View]) -> list[str]:
     """The distinct selectors, patterns by their bare metric."""
-    return sorted({s if _parts(s)[2] in (None, "=") else _parts(s)[0] for w in views for s in (*w.num, *w.den, *w.also)})
+    return sorted({s if parts(s)[2] in (None, "=") else parts(s)[0] for w in views for s in (*w.num, *w.den, *w.also)})
 
 
 def _derived(df: DataFrame, views: Sequence[View]) -> DataFrame:
@@ -292,7 +225,7 @@ def _derived(df: DataFrame, views: Sequence[View]) -> DataFrame:
     day = df.groupBy("metric", "usr", (B.idiv(F.col("ts_ns"), B.DAY) * B.DAY).alias("ts_ns")).agg(F.avg("value").alias("value"))
     rows = []
     for i, s in enumerate(_selectors(views)):
-        name, key, _, value = _parts(s)
+        name, key, _, value = parts(s)
         labels = [F.lit(x) for k in ("id", "name", "op", "sampler") if k != key for x in (k,)]
         pairs = [x for k in labels for x in (k, (F.col("usr") % 4).cast("string"))] + ([F.lit(key), F.lit(value)] if key else [])
         rows.append(F.struct(F.lit(_TYPES[i % 5]).alias("t"), F.lit(name).alias("m"), F.create_map(*pairs).alias("labels")))
@@ -306,12 +239,12 @@ def _sql(views: Sequence[View], base: str) -> str:
     head = f"WITH {base}, dv AS (SELECT metric, usr, ts_ns // {B.DAY} * {B.DAY} AS ts_ns, avg(value) AS value FROM src GROUP BY ALL), sl AS (SELECT k, usr % 4 AS lab, ts_ns, value FROM dv JOIN (VALUES {rows}) t(k, m) ON m = metric)"
 
     def term(s: str, fn: str) -> str:
-        name, key, op, value = _parts(s)
-        ks = [i for i, x in enumerate(sel) if _parts(x)[0] == name and (x == s or key is None or op != "=")]
+        name, key, op, value = parts(s)
+        ks = [i for i, x in enumerate(sel) if parts(x)[0] == name and (x == s or key is None or op != "=")]
         label = "" if op in (None, "=") else f" AND {'NOT ' if op == '!~' else ''}regexp_full_match(lab::VARCHAR, '{value}')"
         return f"({fn}(value) FILTER (k IN ({', '.join(map(str, ks))}){label}))"
 
-    parts = []
+    selects = []
     for w in views:
         top = " * ".join(term(s, w.fn) for s in w.num)
         low = " * ".join(term(s, w.fn) for s in w.den) or "1.0"
@@ -319,8 +252,8 @@ def _sql(views: Sequence[View], base: str) -> str:
         value = f"{w.scale!r}::DOUBLE * {top} / {low}"
         value = f"1 - {value}" if w.rest else value
         grp = "CAST(lab AS VARCHAR)" if w.by else "CAST(NULL AS VARCHAR)"
-        parts.append(f"SELECT '{w.name}' AS view, {grp} AS grp, ts_ns, {value} AS value FROM sl GROUP BY ts_ns{', lab' if w.by else ''}")
-    return f"{head} SELECT view, grp, ts_ns, CAST(value AS FLOAT) AS value FROM ({' UNION ALL '.join(parts)}) WHERE value IS NOT NULL"
+        selects.append(f"SELECT '{w.name}' AS view, {grp} AS grp, ts_ns, {value} AS value FROM sl GROUP BY ts_ns{', lab' if w.by else ''}")
+    return f"{head} SELECT view, grp, ts_ns, CAST(value AS FLOAT) AS value FROM ({' UNION ALL '.join(selects)}) WHERE value IS NOT NULL"
 
 
 _RATE_BASE = C + ", src AS (SELECT metric, usr, ts_ns, CASE WHEN value < lag(value) OVER w THEN value ELSE value - lag(value) OVER w END * 1e9 / (ts_ns - lag(ts_ns) OVER w) AS value FROM c WINDOW w AS (PARTITION BY metric, usr ORDER BY ts_ns))"
