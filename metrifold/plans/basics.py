@@ -391,6 +391,16 @@ def u04(s, d):
     return A.absent_from(table(s, d, "customer").select("c_custkey"), table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
+@query("u05_merge_fields", "WITH i AS (SELECT c_custkey AS pos, c_mktsegment AS source, (c_nationkey % 3)::VARCHAR AS id, c_name AS name, 't' || c_custkey AS phone, c_nationkey AS n FROM customer), d AS (SELECT source, arg_min(n, pos) AS n, arg_min(phone, pos) AS phone FROM i GROUP BY source) SELECT source, id, 'version' AS field, '\"' || arg_min(name, pos) || '\"' AS value FROM i GROUP BY ALL UNION ALL SELECT DISTINCT source, id, 'instance', '\"' || id || '\"' FROM i UNION ALL SELECT source, 'descriptions', 'm' || n, '\"' || phone || '\"' FROM d")
+def u05_fields(s, d):
+    """Each customer as the metadata of an input: of equal segments and instances the first one's fields, of a segment the first descriptions."""
+    from metrifold.operators.metadata import merge_fields
+
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    inputs = table(s, d, "customer").select(F.col("c_custkey").alias("pos"), F.col("c_mktsegment").alias("source"), none("node"), (F.col("c_nationkey") % 3).cast("string").alias("instance"), F.col("c_name").alias("version"), none("systeminfo"), F.to_json(F.create_map(F.concat(F.lit("m"), F.col("c_nationkey")), F.concat(F.lit("t"), F.col("c_custkey")))).alias("descriptions"), none("per_source"))
+    return merge_fields(inputs).where("field <> ''")
+
+
 @query("u05_merge_metadata", "SELECT p_brand AS source, count(DISTINCT p_type) AS n, min(m) AS least FROM (SELECT p_brand, p_type, max(p_name) AS m FROM part GROUP BY ALL) GROUP BY ALL")
 def u05(s, d):
     p = table(s, d, "part").select(F.col("p_brand").alias("source"), F.col("p_type").alias("metric"), F.col("p_name").alias("description"))
