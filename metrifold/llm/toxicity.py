@@ -44,8 +44,12 @@ _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else
 
 def _kinds(word: bytes) -> list[int]:
     """The hashes of a word and of its beginnings by letters; a beginning differs from the word that is the same letters."""
+    crc = zlib.crc32
+    if word.isascii():  # a letter is a byte, in lower case already
+        size = min(len(word), 64)
+        return [crc(word), *[crc(word[:n], n) for n in PREFIXES if size > n]]
     letters = word[:64].decode(errors="ignore").lower()
-    return [zlib.crc32(word), *(zlib.crc32(letters[:n].encode(), n) for n in PREFIXES if len(letters) > n)]
+    return [crc(word), *[crc(letters[:n].encode(), n) for n in PREFIXES if len(letters) > n]]
 
 
 class Reader:
@@ -59,7 +63,7 @@ class Reader:
         found = self.known.get(word)
         if found is None:
             kinds = _kinds(word)
-            found = tuple(kinds) if self.at is None else tuple(self.at[k] for k in kinds if k in self.at)
+            found = tuple(kinds) if self.at is None else tuple([self.at[k] for k in kinds if k in self.at])
             if len(self.known) >= self.most:
                 self.known.clear()
             if len(word) <= 64:
@@ -70,8 +74,12 @@ class Reader:
         """(times of each candidate, number of words)."""
         words = text.translate(_TABLE).split() if text else []
         out: dict[int, int] = {}
+        known = self.known
         for word, times in Counter(words).items():
-            for k in self._of(word):
+            found = known.get(word)
+            if found is None:
+                found = self._of(word)
+            for k in found:
                 out[k] = out.get(k, 0) + times
         return out, len(words)
 
