@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,39 +26,103 @@ def taus_up_to(n: int) -> list[int]:
 
 _TAUS = tuple(taus_up_to(3 * 10**12))
 _CHUNK = 4096
-
-
-def _differences(df: DataFrame, keys: Sequence[str], order: int, column: str = "value", spare: int = 0) -> DataFrame:
-    """(keys, tau, x0 .. x_order): the points at idx, idx + tau, ... for each tau that the series' length allows.
-
-    Points that are a multiple of tau apart have one residue. A point goes once to its residue for each tau, in chunks
-    of at most _CHUNK points (the first few of a chunk stand at the end of the one before too), and the differences
-    are leads there: one exchange, and no task holds a series. ``spare`` rows of a series are no points.
+#: In segments of _CHUNK points: a block, its longest tau and the residues of a tile (at most the longest tau); and a tile's places.
+_LAYOUT = (64, 16, 8, 8)
+_STEPS = {2: (1.0, -2.0, 1.0), 3: (-1.0, 3.0, -3.0, 1.0)}
+
+
+def _squares(x: np.ndarray, there: np.ndarray | None, valued: np.ndarray | None, order: int, tau: int, starts: int) -> tuple[float, int]:
+    """Sum of the squared differences over rows that are ``tau`` apart from each of the first ``starts`` rows, and their number; differences of a null are counted with no square."""
+    m = min(starts, x.shape[0] - order * tau)
+    if m <= 0:
+        return 0.0, 0
+    part = lambda a, k: a[k * tau : k * tau + m]
+    diff = sum(c * part(x, k) for k, c in enumerate(_STEPS[order]))
+    if there is None:
+        return float(np.sum(diff * diff)), diff.size
+    both = np.logical_and.reduce([part(there, k) for k in range(order + 1)])
+    use = np.logical_and.reduce([part(valued, k) for k in range(order + 1)])
+    return float(np.sum(diff[use] ** 2)), int(both.sum())
+
+
+def _difference_sums(df: DataFrame, keys: Sequence[str], order: int, column: str = "value", spare: int = 0) -> DataFrame:
+    """(keys, tau, squares, count): the differences of points at idx, idx + tau, ... for each tau that the series' length allows.
+
+    Points are packed into segments. For short taus a segment goes to its block, and to those before it that reach
+    into it; for each longer tau, to tiles of neighbouring residues (points a multiple of tau apart have one residue) and some
+    places of each. A tile or block is a matrix of bounded size, and no task holds a series. ``spare`` rows of a series are no points.
     """
-    sizes = df.groupBy(*keys).agg((F.count("*") - spare).alias("n"))
-    d = df.select(*keys, "idx", F.col(column).cast("double").alias("x0")).join(sizes, list(keys))
-    d = d.select(*keys, "idx", "x0", F.explode(F.filter(F.array(*[F.lit(t).cast("long") for t in _TAUS]), lambda t: t * 3 <= F.col("n"))).alias("tau"))
-    place = F.call_function("div", F.col("idx"), F.col("tau"))
-    chunk = F.call_function("div", place, F.lit(_CHUNK))
-    early = (place % _CHUNK < order) & (chunk > 0)
-    d = d.select(*keys, "idx", "x0", "tau", (F.col("idx") % F.col("tau")).alias("r"), F.explode(F.when(early, F.array(chunk - 1, chunk)).otherwise(F.array(chunk))).alias("chunk"))
-    w = Window.partitionBy(*keys, "tau", "r", "chunk").orderBy("idx")
-    return d.select(*keys, "tau", "x0", *[F.lead("x0", k).over(w).alias(f"x{k}") for k in range(1, order + 1)]).where(F.col(f"x{order}").isNotNull())
+    size, places = _CHUNK, _LAYOUT[3]
+    span, reach, width = (size * k for k in _LAYOUT[:3])
+    at = lambda c, n: F.call_function("div", c, n if isinstance(n, Column) else F.lit(n))
+    span_of = lambda a, b: F.explode(F.sequence(a, b))
+    d = df.select(*keys, F.col("idx").cast("long").alias("idx"), F.col(column).cast("double").alias("x"))
+    segments = d.groupBy(*keys, at(F.col("idx"), size).alias("segment")).agg(F.array_sort(F.collect_list(F.struct((F.col("idx") % size).cast("int").alias("o"), "x"))).alias("p"))
+    sizes = segments.groupBy(*keys).agg((F.sum(F.size("p")) - spare).alias("n"))
+    whole_one = F.element_at("p", -1)["o"] == F.size("p") - 1
+    segments = segments.select(*keys, (F.col("segment") * size).alias("s0"), F.when(~whole_one, F.col("p.o")).alias("o"), F.col("p.x").alias("x"))
+    j = segments.withColumn("__k", F.struct(*keys)).join(sizes.select(F.struct(*keys).alias("__k"), "n"), "__k").drop("__k").where("n >= 3")
+    last = F.col("s0") + size - 1
+    blocks = j.select("*", F.lit(0).cast("long").alias("tau"), F.lit(0).cast("long").alias("tile"), span_of(F.greatest(F.lit(0), at(F.col("s0") - order * reach, span)), at(last, span)).alias("part"))
+    long_taus = F.filter(F.array(*[F.lit(t).cast("long") for t in _TAUS if t > reach]), lambda t: t * 3 <= F.col("n"))
+    tiles = j.where(F.col("n") > 3 * reach).select("*", F.explode(long_taus).alias("tau"))
+    tiles = tiles.select("*", span_of(at(F.col("s0"), F.col("tau")), at(last, F.col("tau"))).alias("place"))
+    base = F.col("place") * F.col("tau")
+    tiles = tiles.select("*", span_of(at(F.greatest(F.col("s0") - base, F.lit(0)), width), at(F.least(last - base, F.col("tau") - 1), width)).alias("tile"))
+    part = at(F.col("place"), places)
+    early = (F.col("place") % places < order) & (part > 0)
+    tiles = tiles.withColumn("part", F.explode(F.when(early, F.array(part - 1, part)).otherwise(F.array(part)))).drop("place")
+
+    def sums(group: pa.Table) -> pa.Table:
+        n, tau, tile, at_part = (group.column(c)[0].as_py() for c in ("n", "tau", "tile", "part"))
+        # the runs of points that stand one below the other: a block is one run, a tile one for each place
+        if tau:
+            runs, length, starts = range(at_part * places, at_part * places + places + order), min(width, tau - tile * width), places
+            origin = {p: p * tau + tile * width for p in runs}
+        else:
+            runs, length, starts = range(1), span + order * reach, span
+            origin = {0: at_part * span}
+        x = np.full((len(runs), length), np.nan)
+        there, valued = np.zeros(x.shape, bool), np.zeros(x.shape, bool)
+        for s0, o, v in zip(group.column("s0").to_pylist(), group.column("o"), group.column("x"), strict=True):
+            v = v.values
+            i = s0 + (o.values.to_numpy() if o.is_valid else np.arange(len(v)))
+            known, v = v.is_valid().to_numpy(zero_copy_only=False), v.to_numpy(zero_copy_only=False)
+            for row, p in enumerate(runs):
+                a, b = np.searchsorted(i, (origin[p], origin[p] + length))
+                if a < b:
+                    to = i[a:b] - origin[p]
+                    x[row, to], there[row, to], valued[row, to] = v[a:b], True, known[a:b]
+        if not tau:
+            end = int(np.flatnonzero(there[0])[-1]) + 1
+            x, there, valued = x[0, :end], there[0, :end], valued[0, :end]
+        full = there.all() and valued.all()
+        steps = [(tau, 1)] if tau else [(t, t) for t in _TAUS if t <= reach and t * 3 <= n]
+        out = [(t, *_squares(x, None if full else there, None if full else valued, order, by, starts)) for t, by in steps]
+        out = [r for r in out if r[2]]
+        names = pa.table({k: pa.chunked_array([group.column(k).slice(0, 1).combine_chunks().take(pa.array([0] * len(out), pa.int64()))]) for k in keys})
+        for name, kind, c in (("tau", pa.int64(), 0), ("squares", pa.float64(), 1), ("count", pa.int64(), 2)):
+            names = names.append_column(name, pa.array([r[c] for r in out], kind))
+        return names
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "tau long, squares double, count long"])
+    parts = blocks.unionByName(tiles).groupBy(*keys, "tau", "tile", "part").applyInArrow(sums, schema)
+    return parts.groupBy(*keys, "tau").agg(F.sum("squares").alias("squares"), F.sum("count").alias("count"))
+
+
+def _deviation(sums: DataFrame, keys: Sequence[str], scale: Column) -> DataFrame:
+    return sums.select(*keys, "tau", F.sqrt(F.col("squares") / (scale * F.col("count"))).alias("dev"))
 
 
 def allan(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, tau, dev): Allan deviation."""
-    second = F.col("x2") - 2 * F.col("x1") + F.col("x0")
-    return _differences(df, keys, 2).groupBy(*keys, "tau").agg(F.sqrt(F.sum(second * second) / (2.0 * F.col("tau") * F.col("tau") * F.count("*"))).alias("dev"))
-
-
-def _third() -> Column:
-    return F.col("x3") - 3 * F.col("x2") + 3 * F.col("x1") - F.col("x0")
+    return _deviation(_difference_sums(df, keys, 2), keys, 2.0 * F.col("tau") * F.col("tau"))
 
 
 def hadamard(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, tau, dev): Hadamard deviation."""
-    return _differences(df, keys, 3).groupBy(*keys, "tau").agg(F.sqrt(F.sum(_third() * _third()) / (6.0 * F.col("tau") * F.col("tau") * F.count("*"))).alias("dev"))
+    return _deviation(_difference_sums(df, keys, 3), keys, 6.0 * F.col("tau") * F.col("tau"))
 
 
 def _sums_before(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -69,8 +135,7 @@ def _sums_before(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def mod_allan(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, tau, dev): modified Allan deviation, by differences of running sums."""
     t = F.col("tau").cast("double")
-    d = _differences(_sums_before(df, keys), keys, 3, "s", spare=1)
-    return d.groupBy(*keys, "tau").agg(F.sqrt(F.sum(_third() * _third()) / (2.0 * t * t * t * t * F.count("*"))).alias("dev"))
+    return _deviation(_difference_sums(_sums_before(df, keys), keys, 3, "s", spare=1), keys, 2.0 * t * t * t * t)
 
 
 DEVIATIONS = {"allan": allan, "hadamard": hadamard, "mod_allan": mod_allan}

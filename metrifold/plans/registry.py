@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from metrifold.operators import scan
 from metrifold.operators.base import idiv
 from metrifold.operators.histogram import bucketed
 
@@ -60,8 +61,8 @@ c AS (SELECT metric, usr, ts_ns, CAST(sum(inc) OVER (PARTITION BY metric, usr, w
 
 def series(spark: SparkSession, d: str) -> DataFrame:
     """One gauge series for each event type: metric, idx, ts_ns, value."""
-    w = Window.partitionBy("metric").orderBy("ts_ns")
-    return gauges(spark, d).select("metric", "ts_ns", "value", (F.row_number().over(w) - 1).cast("long").alias("idx"))
+    g = gauges(spark, d).select("metric", "ts_ns", "value")
+    return scan.plain(scan.numbered(scan.chunked(g, ["metric"]), "idx"))
 
 
 X = G + ", x AS (SELECT metric, ts_ns, value, row_number() OVER (PARTITION BY metric ORDER BY ts_ns) - 1 AS idx FROM g)"

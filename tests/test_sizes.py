@@ -1,9 +1,11 @@
 """What only shows on larger tables or with parts made small."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from metrifold.operators import stability as S
 from metrifold.plans import catalog
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
@@ -44,3 +46,28 @@ def test_taus_of_the_sql_on_a_long_series(spark, one_long_series, name):
         assert [tuple(r) for r in QUERIES[name](spark, one_long_series).select("metric", "slope", "noise").collect()] == want
     else:
         assert max(r.tau for r in _same_as_sql(spark, one_long_series, name).collect()) == 138_255
+
+
+@pytest.mark.parametrize("kind", ["allan", "hadamard"])
+def test_deviations_over_small_blocks_and_tiles(spark, monkeypatch, kind):
+    """Blocks and tiles far shorter than the series, points that lack a value and places that lack a point."""
+    monkeypatch.setattr(S, "_CHUNK", 8)
+    monkeypatch.setattr(S, "_LAYOUT", (8, 2, 1, 4), raising=False)
+    rng = np.random.default_rng(5)
+    n = 700
+    values = np.cumsum(rng.normal(size=n))
+    full = [("full", i, float(v)) for i, v in enumerate(values)]
+    holes = [("holes", i, None if i % 97 == 3 else float(v)) for i, v in enumerate(values) if not 200 <= i < 210]
+    rows = full + holes + [("short", 0, 1.0), ("short", 1, 4.0)]
+    got = {(r.k, r.tau): r.dev for r in S.DEVIATIONS[kind](spark.createDataFrame(rows, "k string, idx long, value double"), ["k"]).collect()}
+    order, scale, steps = {"allan": (2, 2.0, (1, -2, 1)), "hadamard": (3, 6.0, (-1, 3, -3, 1))}[kind]
+    want = {}
+    for name in ("full", "holes"):
+        points = {i: v for k, i, v in rows if k == name}
+        for tau in S.taus_up_to(len(points)):
+            sets = [[points[i + j * tau] for j in range(order + 1)] for i in points if all(i + j * tau in points for j in range(order + 1))]
+            squares = [sum(c * v for c, v in zip(steps, s, strict=True)) ** 2 for s in sets if None not in s]
+            if sets:
+                want[name, tau] = float(np.sqrt(sum(squares) / (scale * tau * tau * len(sets))))
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
