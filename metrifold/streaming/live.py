@@ -161,7 +161,7 @@ def stream_jitter(sdf: DataFrame, key: str = "series", ttl_ms: int | None = None
         last = state.get[0] if state.exists else None
         out = []
         for ts in sorted(pd.concat(list(batches))["ts_ns"].tolist()):
-            if last is not None and ts > last:
+            if last is not None and ts >= last:
                 out.append((s[0], ts, (ts - last) / 1e6))
             last = ts if last is None else max(last, ts)
         state.update((last,))

@@ -71,3 +71,10 @@ def test_deviations_over_small_blocks_and_tiles(spark, monkeypatch, kind):
                 want[name, tau] = float(np.sqrt(sum(squares) / (scale * tau * tau * len(sets))))
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+
+
+def test_jitter_of_equal_times(spark, tmp_path):
+    """Two samples of a series at one time are 0 ms apart, as in the SQL."""
+    at = [(10, 1), (10, 2), (25, 1), (40, 1), (40, 2), (40, 3)]
+    rows = spark.createDataFrame([(1_704_067_200_000_000 + 1000 * t, u, "view", float(u)) for t, u in at], "ts_us long, user_id long, event_type string, value double")
+    assert sorted(r.gap_ms for r in _same_as_sql(spark, _events(spark, tmp_path, rows), "st08_stream_jitter").collect()) == [0.0, 0.0, 0.0, 15.0, 15.0]
