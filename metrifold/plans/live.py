@@ -33,9 +33,9 @@ def _done(s, sdf, mode="append"):
 
 
 def _kept(s, sdf) -> str:
-    """Where all rows that the stream gives are written."""
+    """Where all rows that the stream gives are written; in files short enough for several readers of a series."""
     path = _shared(s)
-    q = sdf.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    q = sdf.writeStream.format("parquet").option("maxRecordsPerFile", 200_000).option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return f"{path}/rows"
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,20 @@ def _timeout(ttl_ms: int | None) -> str:
     return GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
 
 
+def _columns(batches: Iterator[pd.DataFrame], **kinds: type) -> list[np.ndarray]:
+    """The named columns of a series' rows as arrays of numbers; the frames they come in are not kept."""
+    parts = [[np.array(b[name], kind) for name, kind in kinds.items()] for b in batches]
+    return [np.concatenate(c) for c in zip(*parts, strict=True)]
+
+
+#: Rows of a frame that a state function gives.
+_PIECE = 8192
+
+
+def _pieces(n: int, size: int) -> Iterator[slice]:
+    return (slice(i, i + size) for i in range(0, n, size))
+
+
 def stream_rate(sdf: DataFrame, key: str = "series", ttl_ms: int | None = None) -> DataFrame:
     """Reset-aware rate of each series; the last sample is kept in state, older rows than it are passed over."""
 
@@ -118,16 +133,18 @@ def stream_histogram_summary(sdf: DataFrame, interval: str, gp: int, keys: Seque
 
 def cumulative_histograms(sdf: DataFrame, key: str, n: int) -> DataFrame:
     """A snapshot of each series' counts so far (``buckets``) with every sample's ``bucket``: an array of state for each series."""
+    size = _PIECE
 
     def snapshots(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        counts = list(state.get[0]) if state.exists else [0] * n
-        rows = pd.concat(list(batches)).sort_values("ts_ns")
-        out = []
-        for ts, b in zip(rows["ts_ns"].tolist(), rows["bucket"].tolist(), strict=True):
-            counts[b] += 1
-            out.append((k[0], ts, list(counts)))
-        state.update((counts,))
-        yield pd.DataFrame(out, columns=[key, "ts_ns", "buckets"])
+        counts = np.array(state.get[0] if state.exists else [0] * n, np.int64)
+        ts, bucket = _columns(batches, ts_ns=np.int64, bucket=np.int32)
+        order = np.argsort(ts, kind="stable")
+        for piece in _pieces(len(ts), size):
+            at = order[piece]
+            run = counts + np.cumsum(bucket[at][:, None] == np.arange(n), axis=0)
+            counts = run[-1]
+            yield pd.DataFrame({key: k[0], "ts_ns": ts[at], "buckets": list(run)})
+        state.update((counts.tolist(),))
 
     return sdf.select(key, "ts_ns", "bucket").groupBy(key).applyInPandasWithState(snapshots, f"{key} string, ts_ns long, buckets array<long>", "counts array<long>", "append", GroupStateTimeout.NoTimeout)
 
@@ -153,21 +170,24 @@ def snapshot(df: DataFrame, start: int | None = None, end: int | None = None, la
 
 def stream_jitter(sdf: DataFrame, key: str = "series", ttl_ms: int | None = None) -> DataFrame:
     """Gap to the last sample in ms, from state."""
+    size = _PIECE
 
     def gaps(s: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get[0] if state.exists else None
-        out = []
-        for ts in sorted(pd.concat(list(batches))["ts_ns"].tolist()):
-            if last is not None and ts >= last:
-                out.append((s[0], ts, (ts - last) / 1e6))
-            last = ts if last is None else max(last, ts)
-        state.update((last,))
+        (ts,) = _columns(batches, ts_ns=np.int64)
+        ts.sort()
+        newest = int(ts[-1])
+        if state.exists:
+            last = state.get[0]
+            newest, ts = max(last, newest), np.concatenate([[last], ts[ts >= last]])
+        for piece in _pieces(len(ts) - 1, size):
+            at = ts[piece.start : piece.stop + 1]
+            yield pd.DataFrame({key: s[0], "ts_ns": at[1:], "gap_ms": np.diff(at) / 1e6})
+        state.update((newest,))
         if ttl_ms:
             state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame(out, columns=[key, "ts_ns", "gap_ms"])
 
     return sdf.select(F.col(key).cast("string").alias(key), "ts_ns").groupBy(key).applyInPandasWithState(gaps, f"{key} string, ts_ns long, gap_ms double", "last long", "append", _timeout(ttl_ms))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from metrifold.operators import stability as S
 from metrifold.plans import catalog
+from metrifold.streaming import live as L
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
@@ -78,3 +79,30 @@ def test_jitter_of_equal_times(spark, tmp_path):
     at = [(10, 1), (10, 2), (25, 1), (40, 1), (40, 2), (40, 3)]
     rows = spark.createDataFrame([(1_704_067_200_000_000 + 1000 * t, u, "view", float(u)) for t, u in at], "ts_us long, user_id long, event_type string, value double")
     assert sorted(r.gap_ms for r in _same_as_sql(spark, _events(spark, tmp_path, rows), "st08_stream_jitter").collect()) == [0.0, 0.0, 0.0, 15.0, 15.0]
+
+
+def _stream_of(spark, path, rows, schema, parts):
+    """A stream with a micro-batch for each of ``parts``; what a form gives of it is written and read."""
+    for i, part in enumerate(parts):
+        spark.createDataFrame([rows[j] for j in part], schema).coalesce(1).write.parquet(f"{path}/in/{i}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{path}/in")
+
+
+def _given(spark, path, sdf):
+    q = sdf.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return [tuple(r) for r in spark.read.schema(sdf.schema).parquet(f"{path}/out").collect()]
+
+
+def test_state_goes_on_over_micro_batches_in_pieces(spark, tmp_path, monkeypatch):
+    """Snapshots and gaps given in pieces of three rows, over three micro-batches."""
+    monkeypatch.setattr(L, "_PIECE", 3)
+    rng = np.random.default_rng(3)
+    rows = [(k, 10 * i, int(b)) for k in ("a", "b") for i, b in enumerate(rng.integers(0, 4, 20))]
+    parts = [[j for j in range(40) if lo <= rows[j][1] < lo + 70][::-1] for lo in (0, 70, 140)]
+    src = _stream_of(spark, tmp_path, rows, "series string, ts_ns long, bucket int", parts)
+    got = {(k, ts): b for k, ts, b in _given(spark, tmp_path / "h", L.cumulative_histograms(src, "series", 4))}
+    want = {(k, ts): [sum(1 for x, t, b in rows if x == k and t <= ts and b == n) for n in range(4)] for k, ts, _ in rows}
+    assert got == want
+    gaps = _given(spark, tmp_path / "j", L.stream_jitter(src))
+    assert sorted(gaps) == sorted((k, ts, 10 / 1e6) for k, ts, _ in rows if ts > 0)
