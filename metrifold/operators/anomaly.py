@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from metrifold.operators import scan
-from metrifold.operators.base import cut, finite, folded, whole
+from metrifold.operators.base import cut, finite, folded, idiv, whole
 from metrifold.operators.ranks import order_statistics
 from metrifold.operators.stability import all_noise_transitions, allan, dev_at, smooth, smoothing_tau
 
@@ -75,9 +75,14 @@ def cliffs(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     A level change is a difference of 1.5 s deviations between the means of the two points before and the two after;
     next to a step none counts, and of neighbouring ones every second.
     """
-    w, all_of = Window.partitionBy(*keys).orderBy("idx"), whole(keys)
     v = F.col("value").cast("double")
-    d = df.select(*keys, "idx", v.alias("value"), F.avg(v).over(all_of).alias("mean"), F.stddev_pop(v).over(all_of).alias("sd"), *[F.lag(v, i).over(w).alias(f"b{i}") for i in (1, 2)], *[F.lead(v, i).over(w).alias(f"a{i}") for i in (1, 2)])
+    means = df.groupBy(*keys).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"))
+    # chunks of neighbouring places, with the three rows on either side that their windows see
+    d = scan.numbered(scan.with_series(scan.chunked(df.select(*keys, "idx", v.alias("value")), keys, "idx"), means, keys), "__p", "idx")
+    near = F.array_distinct(F.transform(F.array(*[F.lit(i) for i in (-3, 0, 3)]), lambda i: idiv(F.greatest(F.col("__p") + i, F.lit(0)), scan.ROWS)))
+    d = d.withColumns({"__home": idiv(F.col("__p"), scan.ROWS), "__c": F.explode(near)})
+    w = Window.partitionBy("__k", "__c").orderBy("idx")
+    d = d.withColumns({**{f"b{i}": F.lag("value", i).over(w) for i in (1, 2)}, **{f"a{i}": F.lead("value", i).over(w) for i in (1, 2)}})
     cv = F.when(F.col("mean") != 0, F.col("sd") / F.abs("mean")).otherwise(0.0)
     d = d.withColumns({"far": F.when(cv > 0.4, 5.0).when(cv > 0.25, 4.0).otherwise(3.0) * F.col("sd"), "share": F.when(cv > 0.4, 0.5).when(cv > 0.25, 0.35).otherwise(0.25), "diff": F.col("value") - F.col("b1")})
     size = F.abs("diff")
@@ -87,9 +92,10 @@ def cliffs(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     d = d.withColumns({"step": F.coalesce(big & lasts, F.lit(False)), "change": change})
     beside = F.col("step") | F.coalesce(F.lag("step").over(w), F.lit(False)) | F.coalesce(F.lead("step").over(w), F.lit(False))
     d = d.withColumn("level", F.coalesce(F.abs("change") > 1.5 * F.col("far"), F.lit(False)) & ~beside)
-    found = d.where("step or level").withColumn("island", F.col("idx") - F.row_number().over(Window.partitionBy(*keys, "level").orderBy("idx")))
-    odd = (F.row_number().over(Window.partitionBy(*keys, "level", "island").orderBy("idx")) % 2) == 1
-    found = found.withColumn("odd", odd).where("step or odd").withColumn("by", F.when(F.col("step"), F.col("diff")).otherwise(F.col("change")))
+    found = cut(d.where("(step or level) and __c = __home").select(*keys, "idx", "step", F.when(F.col("step"), F.col("diff")).otherwise(F.col("change")).alias("by")), "cliffs")
+    levels = scan.numbered(scan.chunked(found.where("not step"), keys, "idx"), "place", "idx").withColumn("island", F.col("idx") - F.col("place"))
+    odd = (F.row_number().over(Window.partitionBy(*keys, "island").orderBy("idx")) % 2) == 1
+    found = found.where("step").unionByName(levels.withColumn("odd", odd).where("odd").select(*found.columns))
     return found.select(*keys, "idx", F.abs("by").alias("magnitude"), F.when(F.col("by") > 0, "Increase").otherwise("Decrease").alias("direction"), F.when(F.col("step"), "step").otherwise("level").alias("kind"))
 
 
@@ -211,7 +217,7 @@ def change_points(df: DataFrame, keys: Sequence[str], devs: DataFrame | None = N
     v = F.col("value").cast("double")
     # values are taken from their series' mean first, so that the difference of two sums of squares keeps its digits
     middle = df.groupBy(*keys).agg(F.avg(v).alias("middle"))
-    d = scan.chunked(df.select(*keys, "idx", v.alias("v")).join(middle, list(keys)), keys, "idx")
+    d = scan.with_series(scan.chunked(df.select(*keys, "idx", v.alias("v")), keys, "idx"), middle, keys)
     x = F.col("v") - F.col("middle")
     sums = scan.prefix_sums(d, {"s": x, "q": x * x}, "idx").select(*keys, "idx", "middle", "s", "q")
     half = F.floor(F.col("w") / 2)
@@ -296,7 +302,7 @@ def detect(df: DataFrame, keys: Sequence[str], step_s: float = 1.0) -> dict[str,
     What several detectors read is written once to the shared folder, so plans stay small and nothing stays in memory.
     """
     df = cut(df.select(*keys, "idx", F.col("value").cast("double").alias("value")), "samples")
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n")).where((F.col("n") - 1) * step_s >= 10)
+    sizes = cut(df.groupBy(*keys).agg(F.count("*").alias("n")).where((F.col("n") - 1) * step_s >= 10), "sizes")
     df = df.join(sizes.select(*keys), list(keys))
     devs = cut(allan(df, keys), "deviations")
     noise = cut(smoothing_tau(devs, keys).join(sizes.select(*keys), list(keys), "right").select(*keys, F.coalesce("noise", F.lit("Unknown")).alias("noise"), F.coalesce("tau", F.lit(30)).cast("long").alias("tau")), "noise")

@@ -48,6 +48,13 @@ def prefix_sums(d: DataFrame, sums: dict[str, Column], order: str = "ts_ns") ->
     return run.withColumns({n: F.coalesce(F.col(n) + F.col(f"__o_{n}"), F.col(n), F.col(f"__o_{n}")) for n in sums}).drop(*[f"__o_{n}" for n in sums])
 
 
+def with_series(d: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``d``, chunked, with the other columns of ``stats`` (a row a series), joined by chunk: a join by series would bring each series into one task."""
+    rest = [c for c in stats.columns if c not in keys]
+    chunks = d.select(*_AT).distinct().join(stats.select(F.struct(*[F.col(k) for k in keys]).alias("__k"), *rest), "__k")
+    return d.join(chunks, list(_AT))
+
+
 def numbered(d: DataFrame, name: str, order: str = "ts_ns") -> DataFrame:
     """``d``, chunked, with the row's place in its series from 0."""
     sizes = d.groupBy(*_AT).agg(F.count("*").alias("__n"))

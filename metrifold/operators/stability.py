@@ -193,7 +193,7 @@ def smooth(df: DataFrame, keys: Sequence[str], width: Column | int) -> DataFrame
     """
     d = df.withColumn("w", (width if isinstance(width, Column) else F.lit(width)).cast("long"))
     sizes = d.groupBy(*keys).agg(F.count("*").alias("n"))
-    d = scan.plain(scan.prefix_sums(scan.chunked(d, keys, "idx"), {"s": F.col("value").cast("double")}, "idx")).join(sizes, list(keys))
+    d = scan.plain(scan.with_series(scan.prefix_sums(scan.chunked(d, keys, "idx"), {"s": F.col("value").cast("double")}, "idx"), sizes, keys))
     half, i = F.floor(F.col("w") / 2), F.col("idx")
     early, late = i < half, i + half >= F.col("n")
     start = F.when(early, 0).when(late, F.col("n") - F.col("w")).otherwise(i - half)
@@ -223,7 +223,7 @@ def all_noise_transitions(df: DataFrame, keys: Sequence[str], kinds: Sequence[st
     """
     sizes = df.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("w", F.greatest(F.floor(F.col("n") / 4), F.lit(50)).cast("long")).where("n >= 100").withColumn("m", F.greatest(F.floor(F.col("w") / 10), F.lit(2)).cast("long"))
     hop = F.floor(F.col("w") / 2)
-    d = _sums_before(df, keys).join(sizes, list(keys)).withColumn("win", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("idx") - F.col("w") - 1) / hop) + 1).cast("long"), F.floor(F.col("idx") / hop).cast("long"))))
+    d = scan.plain(scan.with_series(scan.chunked(_sums_before(df, keys), keys, "idx"), sizes, keys)).withColumn("win", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("idx") - F.col("w") - 1) / hop) + 1).cast("long"), F.floor(F.col("idx") / hop).cast("long"))))
     end = F.col("win") * hop + F.col("w")
     d = d.where((F.col("idx") >= F.col("win") * hop) & (F.col("idx") <= end) & (end <= F.col("n")))  # a running sum stands at the end, a value does not
     pts = d.select(*keys, "win", "w", F.col("m").alias("tau"), "idx", F.when(F.col("idx") < end, F.col("value").cast("double")).alias("x"), "s", F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("part"))

@@ -1,10 +1,14 @@
 """What only shows on larger tables or with parts made small."""
 
+import re
+
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from metrifold.operators import anomaly as N
+from metrifold.operators import scan
 from metrifold.operators import stability as S
 from metrifold.plans import catalog
 from metrifold.streaming import live as L
@@ -106,3 +110,24 @@ def test_state_goes_on_over_micro_batches_in_pieces(spark, tmp_path, monkeypatch
     assert got == want
     gaps = _given(spark, tmp_path / "j", L.stream_jitter(src))
     assert sorted(gaps) == sorted((k, ts, 10 / 1e6) for k, ts, _ in rows if ts > 0)
+
+
+def test_cliffs_over_chunk_ends(spark, monkeypatch):
+    """Chunks of 8 rows give the cliffs of one chunk; no window is over a series alone."""
+    rng = np.random.default_rng(11)
+    v = rng.normal(10, 1, 400) + 30 * (np.arange(400) % 23 == 0) + 12 * (np.arange(400) // 40 % 2) + 8 * (np.arange(400) % 50 < 2)
+    d = spark.createDataFrame([(k, i, float(x)) for k in ("a", "b") for i, x in enumerate(v) if k == "a" or i % 9 != 4], "k string, idx long, value double")
+    want = sorted(map(tuple, N.cliffs(d, ["k"]).collect()))
+    monkeypatch.setattr(scan, "ROWS", 8)
+    found = N.cliffs(d, ["k"])
+    got = sorted(map(tuple, found.collect()))
+    assert len(got) > 20 and [(*g[:2], *g[3:]) for g in got] == [(*w[:2], *w[3:]) for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want])
+
+
+def test_series_statistics_join_by_chunk(spark):
+    """A join by series alone would leave a series' rows in one task."""
+    d = spark.createDataFrame([("a", i, float(i)) for i in range(300)], "k string, idx long, value double")
+    for df in (S.smooth(d, ["k"], 4), S.all_noise_transitions(d, ["k"])):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "__c" in plan and not re.search(r"Join \w+, \(k#\d+ = k#\d+\)\s*$", plan, re.M)
