@@ -76,12 +76,15 @@ def duplicate_matches(b: DataFrame, on: Sequence[str]) -> DataFrame:
 def annotate_samples(df: DataFrame, annotations: DataFrame, slot: int) -> DataFrame:
     """Samples with the annotations in whose time and scope they lie; null scopes fit all.
 
-    An annotation is dealt to the time slots it touches, so the range join is an equi-join on slots.
+    An annotation is dealt to the time slots it touches, so the range join is an equi-join on slots. They are ``slot`` wide,
+    or as wide as the longest annotation where that is less: then each touches two at most and few pairs miss it.
     """
+    longest = annotations.agg(F.greatest(F.lit(1), F.least(F.lit(slot), F.max("duration_ns"))).cast("long").alias("__width"))
     end = F.col("ts_ns") + F.coalesce(F.col("duration_ns"), F.lit(0))
     a = annotations.select(F.col("ts_ns").alias("a_start"), end.alias("a_end"), "id", "description", *[F.col(c).alias(f"a_{c}") for c in ("source", "node", "instance")])
-    a = a.withColumn("__slot", F.explode(F.sequence(idiv(F.col("a_start"), slot), idiv(F.col("a_end"), slot))))
-    j = df.withColumn("__slot", idiv(F.col("ts_ns"), slot)).join(a, "__slot").where(F.col("ts_ns").between(F.col("a_start"), F.col("a_end")))
+    width = F.col("__width")
+    a = a.join(F.broadcast(longest)).withColumn("__slot", F.explode(F.sequence(idiv(F.col("a_start"), width), idiv(F.col("a_end"), width)))).drop("__width")  # one row
+    j = df.join(F.broadcast(longest)).withColumn("__slot", idiv(F.col("ts_ns"), width)).drop("__width").join(a, "__slot").where(F.col("ts_ns").between(F.col("a_start"), F.col("a_end")))
     for c in ("source", "node", "instance"):
         if c in df.columns:
             j = j.where(F.coalesce(F.col(f"a_{c}"), F.col(c)).eqNullSafe(F.col(c)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from metrifold.operators import anomaly as N
 from metrifold.operators import scan
 from metrifold.operators import stability as S
+from metrifold.operators.joins import annotate_samples
 from metrifold.plans import catalog
 from metrifold.streaming import live as L
 
@@ -131,3 +132,15 @@ def test_series_statistics_join_by_chunk(spark):
     for df in (S.smooth(d, ["k"], 4), S.all_noise_transitions(d, ["k"])):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "__c" in plan and not re.search(r"Join \w+, \(k#\d+ = k#\d+\)\s*$", plan, re.M)
+
+
+@pytest.mark.parametrize("durations", [[None, 5, 7], [0, 900, 3], []])
+def test_annotations_in_slots_of_the_longest(spark, durations):
+    """Slots are as narrow as the longest annotation allows, and the rows do not go by them."""
+    d = spark.createDataFrame([(t, float(t)) for t in range(-50, 1000, 3)], "ts_ns long, value double")
+    at = [(100 * i - 20, n, str(i)) for i, n in enumerate(durations)]
+    a = spark.createDataFrame(at, "ts_ns long, duration_ns long, id string").selectExpr("*", "'x' as description", *[f"cast(null as string) as {c}" for c in ("source", "node", "instance")])
+    found = annotate_samples(d, a, 400)
+    want = sorted((t, i) for t in range(-50, 1000, 3) for s, n, i in at if s <= t <= s + (n or 0))
+    assert sorted((r.ts_ns, r.id) for r in found.collect()) == want
+    assert "max(duration_ns" in found._jdf.queryExecution().optimizedPlan().toString() or not durations
