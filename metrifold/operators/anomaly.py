@@ -139,9 +139,12 @@ def cusum(df: DataFrame, keys: Sequence[str], levels: Sequence[tuple[float, floa
 
 
 def _folds(d: DataFrame, keys: Sequence[str], levels: Sequence[tuple[float, float]]) -> DataFrame:
-    """(keys, idx, level, side, ends): alarms, and for each piece of rows a row of side "end" with all sums after it. A row without z sets the sums to its ``begins``."""
-    if "begins" not in d.columns:
-        d = d.withColumn("begins", F.lit(None).cast("array<double>"))
+    """(keys, idx, level, side, ends): alarms, and for each piece of rows a row of side "end" with all sums after it. A row without z sets the sums to its ``begins``.
+
+    Other rows have an empty one: a column of arrays that are null takes Spark's writer of Arrow batches a time quadratic in a batch's rows.
+    """
+    none = F.array().cast("array<double>")
+    d = d.withColumn("begins", F.coalesce("begins", none) if "begins" in d.columns else none)
     schema = _arrow(d, keys)
     for field in (pa.field("idx", pa.int64()), pa.field("level", pa.int64()), pa.field("side", pa.string()), pa.field("ends", pa.list_(pa.float64()))):
         schema = schema.append(field)
@@ -149,7 +152,7 @@ def _folds(d: DataFrame, keys: Sequence[str], levels: Sequence[tuple[float, floa
 
     def step(state: dict, rows: pa.RecordBatch) -> pa.RecordBatch:
         first = rows.column("begins")[0].as_py()
-        if first is not None:
+        if first:
             state["sums"] = first
             rows = rows.slice(1)
         sums = state.setdefault("sums", [0.0] * (2 * len(levels)))
@@ -225,7 +228,7 @@ def change_points(df: DataFrame, keys: Sequence[str], devs: DataFrame | None = N
     c = c.withColumns({"lo": F.col("mid") - F.col("w"), "hi": F.least(F.col("mid") + F.col("w"), F.col("n"))})
     at = lambda name: sums.select(*keys, (F.col("idx") + 1).alias(name), F.col("s").alias(f"s_{name}"), F.col("q").alias(f"q_{name}"), *(["middle"] if name == "mid" else []))
     for name in ("lo", "mid", "hi"):
-        c = c.join(at(name), [*keys, name], "left")
+        c = c.join(at(name), [name, *keys], "left")  # the place leads: a sort by a name first compares whole rows
     zero = lambda name: F.coalesce(F.col(name), F.lit(0.0))
     nb, na = F.col("w"), F.col("hi") - F.col("mid")
     mb, ma = (F.col("s_mid") - zero("s_lo")) / nb, (F.col("s_hi") - F.col("s_mid")) / na
@@ -283,7 +286,7 @@ def score(findings: DataFrame, values: DataFrame, keys: Sequence[str], stats: Da
     has = lambda *kinds: F.coalesce(F.bool_or(F.col("kind").isin(*kinds)), F.lit(False))
     g = d.groupBy(*keys, "idx").agg(F.sum("weight").alias("score"), has("mad").alias("outlier"), has("up", "down").alias("shift"), has("cusum").alias("alarm"), has("cliff").alias("cliff"))
     g = g.withColumn("score", F.col("score") + F.when(F.col("alarm") & ~F.col("cliff") & ~F.col("shift"), 0.5).otherwise(0.0))
-    g = g.join(values.select(*keys, "idx", F.col("value").cast("double").alias("value")), [*keys, "idx"]).join(stats.select(*keys, "median", "mad"), list(keys))
+    g = g.join(values.select(*keys, "idx", F.col("value").cast("double").alias("value")), ["idx", *keys]).join(stats.select(*keys, "median", "mad"), list(keys))
     g = g.withColumn("far", F.when(F.col("mad") > 0, F.abs(F.col("value") - F.col("median")) / F.col("mad")).otherwise(0.0))
     s, far = F.col("score"), F.col("far")
     single = F.when(far > 10, 0.8).when(far > 7, 0.7).when(far > 5, 0.6).otherwise(0.4)

@@ -76,6 +76,7 @@ def extract_features(df: DataFrame, consumers: DataFrame | None = None, correlat
     severity, a shift, being a top consumer, a strong correlation. Constant series have no findings.
     """
     keys = ["metric"]
+    df = cut(df, "indexed")  # its places are not worked out again by each reader
     stats = summary_stats(df, keys).join(df.groupBy("metric").agg(F.count_if(finite(F.col("value"))).alias("n")), "metric")
     stats = cut(analysis_status(stats), "statistics")
     found = detect(df.where(finite(F.col("value"))), keys, step_s)

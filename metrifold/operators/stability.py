@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metrifold.operators import scan
+from metrifold.operators.base import idiv
 
 
 def taus_up_to(n: int) -> list[int]:
@@ -28,6 +29,8 @@ _TAUS = tuple(taus_up_to(3 * 10**12))
 _CHUNK = 4096
 #: In segments of _CHUNK points: a block, its longest tau and the residues of a tile (at most the longest tau); and a tile's places.
 _LAYOUT = (64, 16, 8, 8)
+#: Of each kind of deviation what it takes differences of, values or running sums, and their order.
+_PARTS = {"allan": ("x", 2), "hadamard": ("x", 3), "mod_allan": ("s", 3)}
 _STEPS = {2: (1.0, -2.0, 1.0), 3: (-1.0, 3.0, -3.0, 1.0)}
 
 
@@ -202,7 +205,8 @@ def smooth(df: DataFrame, keys: Sequence[str], width: Column | int) -> DataFrame
     at = d.select(*keys, F.col("idx").alias("__i"), F.col("s").alias("__s"))
     hi = at.withColumnsRenamed({"__i": "to", "__s": "s_to"})
     lo = at.withColumnsRenamed({"__i": "from", "__s": "s_from"})
-    j = d.join(hi, [*keys, "to"], "left").join(lo, [*keys, "from"], "left")
+    # the place leads the join keys: sorts by a name first compare whole rows
+    j = d.join(hi, ["to", *keys], "left").join(lo, ["from", *keys], "left").select(*d.columns, "s_to", "s_from")
     mean = (F.col("s_to") - F.coalesce("s_from", F.lit(0.0))) / (F.col("to") - F.col("from"))
     out = F.when((F.col("w") <= 2) | (F.col("n") < 2 * F.col("w")), F.col("value").cast("double")).otherwise(mean)
     return j.withColumn("smoothed", out).drop("w", "n", "s", "from", "to", "s_to", "s_from")
@@ -218,22 +222,50 @@ def all_noise_transitions(df: DataFrame, keys: Sequence[str], kinds: Sequence[st
 
     Series of at least 100 points; confidence is 0.8 beyond a ratio of 3 or 0.33, else 0.7.
 
-    One pass serves all kinds: each point goes to the up to four differences that it is part of, and these are gathered by
-    (series, window, idx). Differences that reach beyond a window lack a part, so they are null and not counted.
+    One pass serves all kinds: a point goes once to each window that it is in, to a tile of neighbouring residues by tau, where
+    differences are those of a matrix's rows; the windows of a short series share a tile. Differences that reach beyond a window lack a part and are not counted.
     """
+    size = _CHUNK
     sizes = df.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("w", F.greatest(F.floor(F.col("n") / 4), F.lit(50)).cast("long")).where("n >= 100").withColumn("m", F.greatest(F.floor(F.col("w") / 10), F.lit(2)).cast("long"))
     hop = F.floor(F.col("w") / 2)
     d = scan.plain(scan.with_series(scan.chunked(_sums_before(df, keys), keys, "idx"), sizes, keys)).withColumn("win", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("idx") - F.col("w") - 1) / hop) + 1).cast("long"), F.floor(F.col("idx") / hop).cast("long"))))
     end = F.col("win") * hop + F.col("w")
     d = d.where((F.col("idx") >= F.col("win") * hop) & (F.col("idx") <= end) & (end <= F.col("n")))  # a running sum stands at the end, a value does not
-    pts = d.select(*keys, "win", "w", F.col("m").alias("tau"), "idx", F.when(F.col("idx") < end, F.col("value").cast("double")).alias("x"), "s", F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("part"))
-    pts = pts.withColumn("idx", F.col("idx") - F.col("part") * F.col("tau")).where(F.col("idx") >= F.col("win") * hop)
-    parts = pts.groupBy(*keys, "win", "w", "tau", "idx").agg(*[F.max(F.when(F.col("part") == k, F.col(c))).alias(f"{c}{k}") for c in ("x", "s") for k in range(4)])
-    third = lambda c: F.col(f"{c}3") - 3 * F.col(f"{c}2") + 3 * F.col(f"{c}1") - F.col(f"{c}0")
+    at = (F.col("idx") - F.col("win") * hop).cast("long")
+    pts = d.select(*keys, "win", "w", F.col("m").alias("tau"), at.alias("at"), F.when(F.col("idx") < end, F.col("value").cast("double")).alias("x"), "s")
+    pts = pts.withColumns({"tile": idiv(F.col("at") % F.col("tau"), size), "part": F.when(F.col("w") > size, F.col("win")).otherwise(-1)})
+
+    def squares(group: pa.Table) -> pa.Table:
+        w, tau, tile = (group.column(c)[0].as_py() for c in ("w", "tau", "tile"))
+        win, at = group.column("win").to_numpy(), group.column("at").to_numpy()
+        wins, nth = np.unique(win, return_inverse=True)
+        shape = (len(wins), w // tau + 1, min(size, tau - tile * size))
+        to = (nth, at // tau, at % tau - tile * size)
+        values, known = {}, {}
+        for name in ("x", "s"):
+            c = group.column(name).combine_chunks()
+            values[name], known[name] = np.zeros(shape), np.zeros(shape, bool)
+            valid = c.is_valid().to_numpy(zero_copy_only=False)
+            known[name][to] = valid
+            values[name][to] = np.where(valid, c.to_numpy(zero_copy_only=False), 0.0)
+        out = pa.table({k: group.column(k).take(pa.array([0] * len(wins), pa.int64())) for k in keys})
+        out = out.append_column("win", pa.array(wins, pa.int64())).append_column("w", pa.array([w] * len(wins), pa.int64())).append_column("tau", pa.array([tau] * len(wins), pa.int64()))
+        for kind in kinds:
+            name, order = _PARTS[kind]
+            rows = max(shape[1] - order, 0)
+            part = lambda a: [a[:, k : k + rows] for k in range(order + 1)]  # noqa: B023, E731
+            use = np.logical_and.reduce(part(known[name]))
+            diff = sum(c * v for c, v in zip(_STEPS[order], part(values[name]), strict=True))
+            out = out.append_column(f"q_{kind}", pa.array(np.sum(np.where(use, diff * diff, 0.0), axis=(1, 2)), pa.float64())).append_column(f"n_{kind}", pa.array(use.sum(axis=(1, 2)), pa.int64()))
+        return out
+
+    of = dict(df.dtypes)
+    schema = ", ".join([*(f"`{k}` {of[k]}" for k in keys), "win long, w long, tau long", *(f"q_{kind} double, n_{kind} long" for kind in kinds)])
+    parts = pts.groupBy(*keys, "part", "tile").applyInArrow(squares, schema)
     t = F.col("tau").cast("double")
-    forms = {"allan": (F.col("x2") - 2 * F.col("x1") + F.col("x0"), 2.0 * t * t), "hadamard": (third("x"), 6.0 * t * t), "mod_allan": (third("s"), 2.0 * t * t * t * t)}
-    dev = lambda diff, scale: F.sqrt(F.try_divide(F.sum(diff * diff), scale * F.count(diff)))
-    devs = parts.groupBy(*keys, "win", "w", "tau").agg(*[dev(*forms[kind]).alias(kind) for kind in kinds])
+    scales = {"allan": 2.0 * t * t, "hadamard": 6.0 * t * t, "mod_allan": 2.0 * t * t * t * t}
+    dev = lambda kind: F.sqrt(F.try_divide(F.sum(f"q_{kind}"), scales[kind] * F.sum(f"n_{kind}")))
+    devs = parts.groupBy(*keys, "win", "w", "tau").agg(*[dev(kind).alias(kind) for kind in kinds])
     devs = devs.select(*keys, "win", "w", F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("dev")) for kind in kinds])))
     ratio = F.try_divide(F.col("dev"), F.lag("dev").over(Window.partitionBy(*keys, "kind").orderBy("win")))
     out = devs.withColumn("ratio", ratio).where((F.col("ratio") > 2) | (F.col("ratio") < 0.5))

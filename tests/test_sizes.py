@@ -144,3 +144,31 @@ def test_annotations_in_slots_of_the_longest(spark, durations):
     want = sorted((t, i) for t in range(-50, 1000, 3) for s, n, i in at if s <= t <= s + (n or 0))
     assert sorted((r.ts_ns, r.id) for r in found.collect()) == want
     assert "max(duration_ns" in found._jdf.queryExecution().optimizedPlan().toString() or not durations
+
+
+def test_no_null_arrays_go_to_the_folds(spark, monkeypatch):
+    """Spark writes a column of null arrays to Arrow in a time quadratic in a batch's rows."""
+    seen = []
+    folded = N.folded
+    monkeypatch.setattr(N, "folded", lambda d, *a: seen.append(d.where("begins is null").count()) or folded(d, *a))
+    monkeypatch.setattr(scan, "ROWS", 16)
+    rng = np.random.default_rng(2)
+    d = spark.createDataFrame([(k, i, float(x)) for k in ("a", "b") for i, x in enumerate(rng.normal(size=100) + 3 * (np.arange(100) > 50))], "k string, idx long, value double")
+    long = sorted(map(tuple, N.cusum(d, ["k"], N.CUSUM_LEVELS).collect()))
+    assert len(seen) > 1 and not any(seen)
+    monkeypatch.setattr(scan, "ROWS", 1000)
+    assert long == sorted(map(tuple, N.cusum(d, ["k"], N.CUSUM_LEVELS).collect())) and long
+
+
+def test_transitions_in_small_tiles(spark, monkeypatch):
+    """Each point goes once to a window, and tiles of 8 residues give the transitions of whole windows."""
+    rng = np.random.default_rng(7)
+    v = [rng.normal(size=n) * (1 + 9 * (np.arange(n) // (n // 5) % 2)) for n in (900, 130, 400)]
+    d = spark.createDataFrame([(k, i, None if k == 2 and i % 50 == 7 else float(x)) for k, n in enumerate(v) for i, x in enumerate(n) if k < 2 or not 60 <= i < 64], "k long, idx long, value double")
+    want = sorted(map(tuple, S.all_noise_transitions(d, ["k"]).collect()))
+    monkeypatch.setattr(S, "_CHUNK", 8)
+    found = S.all_noise_transitions(d, ["k"])
+    got = sorted(map(tuple, found.collect()))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and len(got) > 5 and [g[:3] for g in got] == [w[:3] for w in want]
+    assert [x for g in got for x in g[3:]] == pytest.approx([x for w in want for x in w[3:]])
