@@ -48,28 +48,56 @@ def _pieces(n: int, size: int) -> Iterator[slice]:
     return (slice(i, i + size) for i in range(0, n, size))
 
 
+#: Groups of series that share a call and its state.
+BUCKETS = 4096
+
+
 def stream_rate(sdf: DataFrame, key: str = "series", ttl_ms: int | None = None) -> DataFrame:
-    """Reset-aware rate of each series; the last sample is kept in state, older rows than it are passed over."""
+    """Reset-aware rate of each series; the last sample is kept in state, older rows than it are passed over.
 
-    def rates(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last_ts, last_v = state.get if state.exists else (None, None)
-        rows = pd.concat(list(batches)).sort_values("ts_ns")
-        out = []
-        for ts, v in zip(rows["ts_ns"].tolist(), rows["value"].tolist(), strict=True):
-            if last_ts is not None and ts > last_ts:
-                out.append((k[0], ts, (v if v < last_v else v - last_v) / ((ts - last_ts) / 1e9)))
-            if last_ts is None or ts > last_ts:
-                last_ts, last_v = ts, v
-        state.update((last_ts, last_v))
-        if ttl_ms:
-            state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame(out, columns=[key, "ts_ns", "value"])
+    Series are dealt to ``BUCKETS`` by hash, for a call a series costs more than its rows. A bucket's state holds the last sample of each
+    of its series and the time that it was last heard of; what is silent for ``ttl_ms`` goes when the bucket is next called.
+    """
 
-    d = sdf.select(F.col(key).cast("string").alias(key), "ts_ns", F.col("value").cast("double").alias("value"))
-    return d.groupBy(key).applyInPandasWithState(rates, f"{key} string, ts_ns long, value double", "ts long, v double", "append", _timeout(ttl_ms))
+    def rates(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentProcessingTimeMs() if ttl_ms else 0
+        names, ts, values, heard = state.get if state.exists else ([], [], [], [])
+        held = pd.DataFrame({key: pd.Series(names, dtype=object), "ts_ns": np.array(ts, np.int64), "value": np.array(values, np.float64), "heard": np.array(heard, np.int64), "new": False})
+        if ttl_ms:
+            held = held[held["heard"] + ttl_ms > now]
+        rows = held if state.hasTimedOut else pd.concat([held, *(b.assign(heard=now, new=True) for b in batches if len(b))], ignore_index=True)
+        # of equal times the first counts; the held sample stands before new ones of its time
+        at = pd.factorize(rows[key], use_na_sentinel=False)[0]
+        order = np.lexsort((rows["ts_ns"], at))
+        rows, at = rows.iloc[order], at[order]
+        ts, values, new, heard = rows["ts_ns"].to_numpy(np.int64), rows["value"].to_numpy(float), rows["new"].to_numpy(bool), rows["heard"].to_numpy(np.int64)
+        begins = np.concatenate([[True], at[1:] != at[:-1]])[: len(at)]
+        starts = np.flatnonzero(begins)
+        latest = np.maximum.reduceat(heard, starts) if len(starts) else heard
+        floor = np.full(len(begins) and at[-1] + 1, np.iinfo(np.int64).min)
+        floor[at[~new]] = ts[~new]
+        later = ~new | (ts > floor[at])
+        keep = later & (begins | np.concatenate([[True], ts[1:] != ts[:-1]])[: len(ts)] | ~new)
+        who, ts, values, new, series = at[keep], ts[keep], values[keep], new[keep], rows[key].to_numpy(object)[keep]
+        same = who[1:] == who[:-1]
+        last = np.concatenate([~same, [True]])[: len(who)]
+        if len(who):
+            state.update((series[last].tolist(), ts[last].tolist(), values[last].tolist(), latest.tolist()))
+            if ttl_ms:
+                state.setTimeoutDuration(ttl_ms)
+        elif state.exists:
+            state.remove()
+        v, before = values[1:], values[:-1]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            rate = np.where(v < before, v, v - before) / (np.where(same, np.diff(ts), 1) / 1e9)
+        for piece in _pieces(len(same), _PIECE):
+            there = np.flatnonzero(same[piece]) + piece.start
+            yield pd.DataFrame({key: series[1:][there], "ts_ns": ts[1:][there], "value": rate[there]})
+
+    d = sdf.select(F.col(key).cast("string").alias(key), "ts_ns", F.col("value").cast("double").alias("value")).where("ts_ns is not null")
+    d = d.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)))
+    held = f"{key} array<string>, ts array<long>, v array<double>, heard array<long>"
+    return d.groupBy("__bucket").applyInPandasWithState(rates, f"{key} string, ts_ns long, value double", held, "append", _timeout(ttl_ms))
 
 
 def stream_cusum(sdf: DataFrame, baseline: DataFrame, key: str = "series", k: float = 1.0, h: float = 6.0, ttl_ms: int | None = None) -> DataFrame:

@@ -172,3 +172,25 @@ def test_transitions_in_small_tiles(spark, monkeypatch):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and len(got) > 5 and [g[:3] for g in got] == [w[:3] for w in want]
     assert [x for g in got for x in g[3:]] == pytest.approx([x for w in want for x in w[3:]])
+
+
+def test_rates_of_series_that_share_a_bucket(spark, tmp_path, monkeypatch):
+    """Few calls serve many series; older and equal times are passed over, over three micro-batches, as in a fold of each series."""
+    monkeypatch.setattr(L, "BUCKETS", 2)
+    rng = np.random.default_rng(4)
+    rows = [(k, int(t), float(v)) for k in (None, *"abcdef") for t, v in zip(rng.permutation(40)[:25] * 10, rng.integers(0, 9, 25), strict=True)]
+    parts = [list(range(i, len(rows), 3)) for i in range(3)]
+    src = _stream_of(spark, tmp_path, rows, "series string, ts_ns long, value double", parts)
+    found = L.stream_rate(src)
+    assert "pmod" in found._jdf.queryExecution().analyzed().toString()
+    got = _given(spark, tmp_path / "r", found)
+    want, last = [], {}
+    for part in parts:
+        for k, t, v in sorted((rows[j] for j in part), key=lambda r: r[1]):
+            before = last.get(k)
+            if before is None or t > before[0]:
+                if before:
+                    want.append((k, t, (v if v < before[1] else v - before[1]) / ((t - before[0]) / 1e9)))
+                last[k] = (t, v)
+    by = lambda r: (r[0] or "", r[1])
+    assert sorted(got, key=by) == sorted(want, key=by) and len(got) > 20
