@@ -16,6 +16,7 @@ import hashlib
 from collections.abc import Iterator
 from heapq import heappop, heappush
 from itertools import repeat
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,9 @@ class Bpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
-        self.tokens = {i: b for b, i in ranks.items()}
+        self.tokens = np.full(max(ranks.values()) + 1, None, object)
+        for b, i in ranks.items():
+            self.tokens[i] = b
         self.queue = RankQueue(max(ranks.values()) + 1)
         self.pairs = [ranks.get(bytes((i >> 8, i & 255)), -1) for i in range(1 << 16)]  # ranks of two-byte tokens
 
@@ -126,8 +129,8 @@ class Bpe:
             out += self.merge(m.encode())
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray | list[int]) -> bytes:
+        return b"".join(self.tokens[np.asarray(ids, np.int64)].tolist())
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -140,13 +143,14 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str):
         self.bpe = Bpe(read_ranks(path), pattern)
-        self.words = Bounded(24)
+        self.words = Bounded(24, at_once=True)  # the parts' cache above it keeps what comes often
         self.cache = PartCache(lambda parts: [self.plain(" " + part) for part in parts], self.plain, b"".join, special="\x00") if pattern == SAFE_PATTERN else None
 
     def _word(self, word: str) -> bytes:
         value = self.words.find(word)
         if value is None:
-            value = np.array(self.bpe.merge(word.encode()), "<u4").tobytes()
+            ids = self.bpe.merge(word.encode())
+            value = pack(f"<{len(ids)}I", *ids)
             self.words.keep(word, value)
         return value
 
@@ -161,7 +165,7 @@ class Encoder:
         return next(self.encode_all([text]))
 
     def decode(self, ids: bytes) -> bytes:
-        return self.bpe.decode(np.frombuffer(ids, "<u4").tolist())
+        return self.bpe.decode(np.frombuffer(ids, "<u4"))
 
 
 def encoder(path: str, pattern: str) -> Encoder:

@@ -46,11 +46,13 @@ class Bounded(dict):
     """A cache in two generations of at most ``mb`` megabytes together.
 
     A key is kept when it is met for the second time (by a filter of ``hash`` bits), so that what occurs once does
-    not drive out the rest; keys of over 64 characters are never kept.
+    not drive out the rest; keys of over 64 characters are never kept. With ``at_once`` a key is kept when it is first met,
+    for a tier below another cache: there the second meeting finds it.
     """
 
-    def __init__(self, mb: float, value_bytes: int = 40):
+    def __init__(self, mb: float, value_bytes: int = 40, at_once: bool = False):
         super().__init__()
+        self.at_once = at_once
         self.most, self.old, self.met = int(mb * (1 << 19)) // (_ENTRY + value_bytes), {}, bytearray(1 << 20)
 
     def find(self, key: str):
@@ -61,7 +63,7 @@ class Bounded(dict):
 
     def keep(self, key: str, value) -> None:
         at = hash(key) & 0xFFFFF
-        if not self.met[at]:
+        if not self.at_once and not self.met[at]:
             self.met[at] = 1
         elif len(key) <= 64:
             if len(self) >= self.most:

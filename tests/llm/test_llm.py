@@ -812,3 +812,17 @@ def test_the_whole_pipeline_equals_brute_force(spark, real):
 
 def test_every_operator_has_a_query():
     assert [n for n in range(1, 14) if sum(q.startswith(f"op{n}_") for q in QUERIES) != 1] == []
+
+
+def test_bpe_merges_a_word_of_two_documents_once(monkeypatch):
+    """The lower cache keeps a word when it is first met, so that its second document does not merge it again."""
+    import public_tokenizers
+
+    from metrifold.llm import bpe
+
+    enc = bpe.Encoder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    seen, merge = [], enc.bpe.merge
+    monkeypatch.setattr(enc.bpe, "merge", lambda piece: seen.append(piece) or merge(piece))
+    first, second = enc.encode("a zqxjvwk b"), enc.encode("c zqxjvwk d")
+    assert seen.count(b" zqxjvwk") == 1
+    assert enc.decode(first) == b"a zqxjvwk b" and enc.decode(second) == b"c zqxjvwk d"
