@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from metrifold.operators import scan
-from metrifold.operators.base import cut, finite, folded, idiv, whole
+from metrifold.operators.base import cut, finite, folded, idiv, together, whole
 from metrifold.operators.ranks import order_statistics
 from metrifold.operators.stability import all_noise_transitions, allan, dev_at, smooth, smoothing_tau
 
@@ -303,23 +303,35 @@ def detect(df: DataFrame, keys: Sequence[str], step_s: float = 1.0) -> dict[str,
     Outliers, and the values and distances that the anomalies report, are those of the smoothed series; cliffs, CUSUM,
     change points (windows by each series' own tau) and the noise transitions of three deviations go by the raw one.
     What several detectors read is written once to the shared folder, so plans stay small and nothing stays in memory.
+    Detectors that do not read each other run side by side.
     """
     df = cut(df.select(*keys, "idx", F.col("value").cast("double").alias("value")), "samples")
     sizes = cut(df.groupBy(*keys).agg(F.count("*").alias("n")).where((F.col("n") - 1) * step_s >= 10), "sizes")
     df = df.join(sizes.select(*keys), list(keys))
-    devs = cut(allan(df, keys), "deviations")
-    noise = cut(smoothing_tau(devs, keys).join(sizes.select(*keys), list(keys), "right").select(*keys, F.coalesce("noise", F.lit("Unknown")).alias("noise"), F.coalesce("tau", F.lit(30)).cast("long").alias("tau")), "noise")
-    smoothed = cut(smooth(df.join(noise, list(keys)), keys, F.col("tau")).select(*keys, "idx", F.col("smoothed").alias("value"), mad_multiplier(F.col("noise")).alias("m")), "smoothed")
-    stats = cut(mad_stats(smoothed, keys), "medians")
-    changes = cut(change_points(df, keys, devs, step_s, noise), "changes")
+
+    def by_tau() -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        devs = cut(allan(df, keys), "deviations")
+        noise = cut(smoothing_tau(devs, keys).join(sizes.select(*keys), list(keys), "right").select(*keys, F.coalesce("noise", F.lit("Unknown")).alias("noise"), F.coalesce("tau", F.lit(30)).cast("long").alias("tau")), "noise")
+
+        def smoothing() -> tuple[DataFrame, DataFrame]:
+            smoothed = cut(smooth(df.join(noise, list(keys)), keys, F.col("tau")).select(*keys, "idx", F.col("smoothed").alias("value"), mad_multiplier(F.col("noise")).alias("m")), "smoothed")
+            return smoothed, cut(mad_stats(smoothed, keys), "medians")
+
+        (smoothed, stats), changes = together(smoothing, lambda: cut(change_points(df, keys, devs, step_s, noise), "changes"))
+        return noise, smoothed, stats, changes
+
+    (noise, smoothed, stats, changes), steps, alarms, turns = together(
+        by_tau,
+        lambda: cliffs(df, keys),
+        lambda: cut(cusum(df, keys, CUSUM_LEVELS), "alarms"),
+        lambda: cut(all_noise_transitions(df, keys).select(*keys, "idx", "kind", "confidence", "ratio"), "transitions"),
+    )
     one, none = F.lit(1.0).alias("confidence"), F.lit(None).cast("double").alias("ratio")
     mad = mad_outliers(smoothed, keys, F.col("m"), stats=stats).select(*keys, "idx", F.lit("mad").alias("kind"), one, none)
-    steps = cliffs(df, keys).select(*keys, "idx", F.lit("cliff").alias("kind"), one, none)
-    alarms = cut(cusum(df, keys, CUSUM_LEVELS), "alarms")
+    steps = steps.select(*keys, "idx", F.lit("cliff").alias("kind"), one, none)
     any_level = alarms.select(*keys, "idx", F.lit("cusum").alias("kind"), one, none).distinct()
     shifts = alarms.where("level = 1").select(*keys, "idx", F.col("side").alias("kind"), one, none)
     points = changes.select(*keys, "idx", F.lit("change").alias("kind"), "confidence", none)
-    turns = all_noise_transitions(df, keys).select(*keys, "idx", "kind", "confidence", "ratio")
     found = cut(mad.unionByName(steps).unionByName(any_level).unionByName(shifts).unionByName(points).unionByName(turns), "findings")
     return {"anomalies": cut(score(found, smoothed, keys, stats), "anomalies"), "changes": changes, "noise": noise, "sizes": sizes}
 

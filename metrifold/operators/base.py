@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
@@ -75,6 +76,12 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def together(*steps: Callable[[], object]) -> list:
+    """What each of ``steps`` gives, run side by side: jobs of short series leave most cores idle one by one."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [running.result() for running in [pool.submit(step) for step in steps]]
+
+
 def folded(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Callable[[dict, pa.RecordBatch], pa.RecordBatch], schema: str, arrow: pa.Schema) -> DataFrame:
     """A sequential fold of each series over its sorted rows: ``step(state, rows)`` sees a series' rows in pieces and gives rows with the keys.
 

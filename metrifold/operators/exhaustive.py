@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metrifold.operators.anomaly import detect
-from metrifold.operators.base import MINUTE, SECOND, finite, idiv
+from metrifold.operators.base import MINUTE, SECOND, cut, finite, idiv
 from metrifold.operators.histogram import quantiles
 from metrifold.operators.rates import indexed, rate
 from metrifold.operators.select import drop_metrics
@@ -54,7 +54,7 @@ def all_series(counters: DataFrame, keys: Sequence[str], gauges: DataFrame, hist
     """
     at = (idiv(F.col("ts_ns"), step) * step).alias("ts_ns")
     rates = rate(counters, ["metric", *keys], range_ns).where("value is not null").groupBy("metric", *keys, at).agg(F.max_by("value", "ts_ns").alias("value"))
-    summed = rates.groupBy("metric", "ts_ns").agg(F.sum("value").alias("value"))
+    summed = cut(rates.groupBy("metric", "ts_ns").agg(F.sum("value").alias("value")), "summed-rates")  # the ratios read it too
     sums = gauges.groupBy("metric", at).agg(F.sum("value").alias("value"))
     q = quantiles(histograms, ["metric"], gp, PERCENTILES).select("metric", F.concat(F.lit("histogram_p"), F.round(F.col("quantile") * 100).cast("int").cast("string")).alias("form"), "ts_ns", "value")
     kept = lambda d, form: drop_metrics(d, SKIPPED).select("metric", F.lit(form).alias("form"), "ts_ns", "value")
@@ -62,7 +62,10 @@ def all_series(counters: DataFrame, keys: Sequence[str], gauges: DataFrame, hist
 
 
 def detect_all(series: DataFrame, step_s: float = 1.0) -> DataFrame:
-    """The anomalies of all series (metric, form, ts_ns, value), with their times."""
+    """The anomalies of all series (metric, form, ts_ns, value), with their times.
+
+    Series are written once as they are and once with their places, so that neither is worked out again by each reader.
+    """
     keys = ["metric", "form"]
-    d = indexed(series.where(finite(F.col("value"))), keys)
+    d = cut(indexed(cut(series.where(finite(F.col("value"))), "series"), keys), "indexed")
     return detect(d, keys, step_s)["anomalies"].join(d.select(*keys, "idx", "ts_ns"), [*keys, "idx"])

@@ -52,6 +52,14 @@ def adjusted(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return scan.plain(scan.counter_sums(scan.chunked(df, keys)))
 
 
+def _adjusted_once(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same in one pass where, counted first, no series is longer than a chunk; chunks would read all samples twice."""
+    longest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if longest is None or longest > scan.ROWS:
+        return adjusted(df, keys)
+    return reset_delta(df, keys).withColumn("adj", F.sum(F.coalesce("delta", F.lit(0))).over(series(keys)))
+
+
 def interp_grid(df: DataFrame, keys: Sequence[str], step: int, column: str = "value") -> DataFrame:
     """``column`` on the grid of multiples of ``step``, linear between the samples on either side; nothing beyond them."""
     w = series(keys)
@@ -97,12 +105,24 @@ def rate(df: DataFrame, keys: Sequence[str], range_ns: int) -> DataFrame:
 
 
 def increase(df: DataFrame, keys: Sequence[str], range_ns: int, per_second: bool = False) -> DataFrame:
-    """The rate times the range's seconds, as PromQL has it."""
-    w = _over(keys, range_ns - 1)
-    grown = (F.max("adj").over(w) - F.min("adj").over(w)).cast("double")
-    seconds = (F.col("ts_ns") - F.min("ts_ns").over(w)) / float(SECOND)
-    value = F.try_divide(grown, seconds) * (1.0 if per_second else range_ns / SECOND)
-    return adjusted(df, keys).select(*keys, "ts_ns", value.alias("value"))
+    """The rate times the range's seconds, as PromQL has it.
+
+    A sliding frame would go through all samples of a range for each sample. Time is cut into blocks as long as the range, so
+    that a range ends in one block and begins in the one before. A running frame sees its part of the one; a sample goes on to
+    the next block, to the time when ranges leave it, where a frame that runs backwards sees the part of the other.
+    """
+    t = F.col("ts_ns")
+    d = _adjusted_once(df, keys).select(*keys, "ts_ns", "adj", idiv(t - F.pmod(t, F.lit(range_ns)), range_ns).alias("__b"))
+    own = Window.partitionBy(*keys, "__b").orderBy("ts_ns")
+    d = d.withColumns({"__most": F.max("adj").over(own), "__least": F.min("adj").over(own), "__from": F.min("ts_ns").over(own)})
+    place = lambda later, left: F.struct((F.col("__b") + later).alias("__p"), (t + later * range_ns).alias("__t"), F.lit(left).alias("__left"))
+    d = d.select(*d.columns, F.inline(F.array(place(0, False), place(1, True))))
+    before = Window.partitionBy(*keys, "__p").orderBy(F.desc("__t"), "__left")
+    left = lambda f, c: f(F.when(F.col("__left"), F.col(c))).over(before)
+    d = d.withColumns({"__most": F.greatest("__most", left(F.max, "adj")), "__least": F.least("__least", left(F.min, "adj")), "__from": F.least("__from", left(F.min, "ts_ns"))}).where("not __left")
+    seconds = (t - F.col("__from")) / float(SECOND)
+    value = F.try_divide((F.col("__most") - F.col("__least")).cast("double"), seconds) * (1.0 if per_second else range_ns / SECOND)
+    return d.select(*keys, "ts_ns", value.alias("value"))
 
 
 OVER_TIME = {"avg": F.avg, "min": F.min, "max": F.max, "sum": F.sum, "count": F.count, "stddev": F.stddev_pop, "stdvar": F.var_pop, "last": F.last}

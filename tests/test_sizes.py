@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from metrifold.operators import anomaly as N
+from metrifold.operators import exhaustive as E
+from metrifold.operators import rates as R
 from metrifold.operators import scan
 from metrifold.operators import stability as S
 from metrifold.operators.joins import annotate_samples
@@ -194,3 +196,46 @@ def test_rates_of_series_that_share_a_bucket(spark, tmp_path, monkeypatch):
                 last[k] = (t, v)
     by = lambda r: (r[0] or "", r[1])
     assert sorted(got, key=by) == sorted(want, key=by) and len(got) > 20
+
+
+@pytest.mark.parametrize("rows", [scan.ROWS, 16])
+def test_rates_without_sliding_frames(spark, monkeypatch, rows):
+    """A sliding frame goes through a whole range for each sample: quadratic in how dense samples are."""
+    monkeypatch.setattr(scan, "ROWS", rows)
+    rng, span = np.random.default_rng(6), 50
+    points = {k: [(int(t), int(v)) for t, v in zip(sorted(rng.choice(np.arange(-300, 900), n, replace=False)), rng.integers(low, 1000, n), strict=True)] for k, n, low in ((None, 200, 0), ("dense", 700, 0), ("sparse", 9, 0), ("falls", 90, -50))}
+    points["ends"] = [(0, 4), (span - 1, 6), (span, 9), (2 * span - 1, 10), (3 * span, 10), (-span, 1)]
+    points["ends"].sort()
+    d = spark.createDataFrame([(k, t, v) for k, p in points.items() for t, v in p], "k string, ts_ns long, value long")
+    want = {}
+    for k, p in points.items():
+        grown = [0] + [b if b < a else b - a for (_, a), (_, b) in zip(p, p[1:])]
+        adj = np.cumsum(grown)
+        for t, _ in p:
+            inside = [i for i, (x, _) in enumerate(p) if t - span < x <= t]
+            since = t - p[inside[0]][0]
+            want[k, t] = float(max(adj[inside]) - min(adj[inside])) / (since / 1e9) if since else -1.0
+    found = R.rate(d, ["k"], span)
+    assert {(r.k, r.ts_ns): -1.0 if r.value is None else r.value for r in found.collect()} == pytest.approx(want, rel=1e-12)
+    assert not re.search(r"RangeFrame, -\d+", found._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_detection_reads_its_series_once(spark):
+    """Anomalies get their times from the written series; the given frame is not worked out again."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(10, 1, 300) + 40 * (np.arange(300) == 150)
+    given = spark.createDataFrame([("m", "gauge", i * 1000, float(x)) for i, x in enumerate(v)], "metric string, form string, ts_ns long, value double")
+    found = E.detect_all(given)
+    assert "LogicalRDD" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert (150, 150_000) in {(r.idx, r.ts_ns) for r in found.collect()}
+
+
+def test_ratios_read_written_rates(spark):
+    """The ratios need the summed rates a second time, and not the rates."""
+    counters = spark.createDataFrame([(m, u, t * 10**9, t * (u + 2)) for m in ("cpu_instructions", "cpu_cycles") for u in range(2) for t in range(5)], "metric string, usr int, ts_ns long, value long")
+    none = spark.createDataFrame([], "metric string, ts_ns long, value double")
+    histograms = spark.createDataFrame([], "metric string, ts_ns long, bucket long, count long")
+    found = E.all_series(counters, ["usr"], none, histograms, 3)
+    assert [r.value for r in found.where("form = 'derived'").collect()] == [1.0] * 4
+    plan = found.where("metric like 'cpu%'")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lag(" not in plan
